@@ -33,7 +33,7 @@ def frequent(rows: DataFrame) -> DataFrame:
             F.expr(f"approx_top_k_accumulate(xxhash64(__digest), {COUNTERS})").alias("__s"),
             F.count(item).alias("__n"),
         )
-        .groupBy(F.lit(0))  # by a key, so that partitions without rows have no summary to merge
+        .groupBy(F.lit("all").alias("__all"))  # by a key, so that partitions without rows have no summary to merge
         .agg(F.expr(f"approx_top_k_combine(__s, {COUNTERS})").alias("__s"), F.sum("__n").alias("__total"))
         .select(F.explode(F.expr(f"approx_top_k_estimate(__s, {CANDIDATES})")).alias("__e"), "__total")
         .select(F.col("__e.item").alias("__item"), "__total")
