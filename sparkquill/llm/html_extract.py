@@ -213,7 +213,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
 
     Null html counts as empty. Null or repeated ids keep their rows; an empty table gives none; other columns aren't read.
     """
-    kept = pages.select(*[F.col(f"`{c}`") for c in keep])
+    names = [*keep, "text", "n_chars"]
 
     def run(batches):
         import pyarrow as pa
@@ -222,11 +222,11 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
             texts = [main_text(t) for t in part.column(part.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                [*kept.columns, "text", "n_chars"],
+                names,
             )
 
-    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in kept.schema)
-    return pages.select(*kept.columns, F.col(f"`{html_col}`")).mapInArrow(run, f"{schema}, text string, n_chars bigint")
+    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in (pages.schema[c] for c in keep))
+    return pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`")).mapInArrow(run, f"{schema}, text string, n_chars bigint")
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
