@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from sparkquill.operators import citations, documents, findings, search, verdicts
+from sparkquill.streaming import events
+
+MODULES = (findings, documents, search, verdicts, citations, events)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
