@@ -19,6 +19,8 @@ FILTERS = {2: 8, 3: 12, 4: 12}
 WIDEST = max(FILTERS)
 #: The sample: labelled texts of each language, and windows of each of these.
 TEXTS_EACH, WINDOWS_EACH = 500, 4
+#: Groups of partitions that the sample is drawn in first.
+MERGE_GROUPS = 64
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 UNKNOWN = "und"
 #: Windows answered at once.
@@ -131,14 +133,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     import numpy as np
 
     usable = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull() & ~held_out(id_col))
-    order = Window.partitionBy("__lang").orderBy(F.xxhash64("__id"), "__id")
-    chosen = (
-        usable.select(F.col(f"`{lang_col}`").alias("__lang"), F.col(f"`{id_col}`").alias("__id"))
-        .withColumn("__rank", F.row_number().over(order))
-        .where(F.col("__rank") <= TEXTS_EACH)
-        .select("__id")
-        .distinct()
+    order = [F.xxhash64("__id"), F.col("__id")]
+    chosen = usable.select(
+        F.col(f"`{lang_col}`").alias("__lang"),
+        F.col(f"`{id_col}`").alias("__id"),
+        F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("__g"),
     )
+    for by in (["__lang", "__g"], ["__lang"]):  # of each group of partitions first, so that a common language isn't one task
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        chosen = chosen.withColumn("__rank", rank).where(F.col("__rank") <= TEXTS_EACH).drop("__rank")
+    chosen = chosen.select("__id").distinct()
     texts = usable.join(F.broadcast(chosen), F.col(f"`{id_col}`") == F.col("__id"), "left_semi").select(
         F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")
     )
