@@ -39,8 +39,8 @@ def docket_key(text: Column) -> Column:
 
 def page_form(text: Column) -> Column:
     """Words broken over lines joined, dashes and quotes plain, white space squashed."""
-    joined = F.regexp_replace(text, "[-‐‑]\n+([A-Za-z])", "$1")
-    plain = F.translate(joined, "‘’‛′“”‟″‐‑‒–—−", "''''\"\"\"\"------")
+    joined = F.regexp_replace(text, r"[-‐‑][\r\n](\p{L})", "$1")
+    plain = F.translate(joined, "‘’‛′“”‟″‐‑‒–—―−", "''''\"\"\"\"-------")
     return squash(plain)
 
 

@@ -53,7 +53,7 @@ def repeated_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(text, '[-‐‑]\\n+([A-Za-z])', '\\1', 'g'), '[ \\t\\n\\f\\r\\v]+', ' ', 'g'))) AS normal,
+    """SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(text, '[-‐‑][\\r\\n](\\p{L})', '\\1', 'g'), '[ \\t\\n\\f\\r\\v]+', ' ', 'g'))) AS normal,
     sha256(lower(regexp_replace(text, '[ \\t\\n\\f\\r\\v]+', '', 'g'))) AS key,
     length(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS docket_chars,
     sha256(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS discovery FROM documents"""

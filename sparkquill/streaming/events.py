@@ -25,9 +25,11 @@ def drained(rows: DataFrame, mode: str) -> DataFrame:
     return spark.table(name)
 
 
-def query(sql: str):
+def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
         return f
 
     return add
@@ -60,3 +62,45 @@ def streaming_daily(spark: SparkSession, d: str) -> DataFrame:
     """Tumbling windows of a day."""
     rows = stream(spark, d).groupBy(F.window("at", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
     return drained(rows, "complete").select("event_type", F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n", "total")
+
+
+@query(
+    """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS fresh FROM events),
+    s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, fresh DESC ROWS UNBOUNDED PRECEDING) AS n FROM e)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS begins, count(*) AS n FROM s GROUP BY user_id, s.n"""
+)
+def streaming_session(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of a user: an event within 12 hours of the one before belongs to its session."""
+    rows = stream(spark, d).groupBy("user_id", F.session_window("at", "12 hours").alias("w")).agg(F.count("*").alias("n"))
+    return drained(rows, "complete").select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("begins"), "n")
+
+
+#: Requests that a key may make within the seconds of a window.
+ADMITTED, SECONDS = 5, 86_400
+
+
+def admit(times, before: list[int]) -> tuple[list[bool], list[int]]:
+    """Which requests, in order of time (microseconds), a window lets in; the times that still count afterwards."""
+    held, out, size = list(before), [], SECONDS * 1_000_000
+    for t in times:
+        held = [x for x in held if x > t - size]
+        out.append(len(held) < ADMITTED)
+        if out[-1]:
+            held.append(t)
+    return out, held
+
+
+@query()
+def streaming_rate_limit(spark: SparkSession, d: str) -> DataFrame:
+    """Requests with whether the sliding window of their key let them in. The state of a key is ADMITTED times at most."""
+    import pandas as pd
+
+    def run(key, pdfs, state):
+        pdf = pd.concat(pdfs).sort_values(["at", "event_id"])
+        out, held = admit(pdf["at"].tolist(), state.get[0] if state.exists else [])
+        state.update((held,))
+        yield pd.DataFrame({"user_id": key[0], "event_id": pdf["event_id"], "admitted": out})
+
+    rows = stream(spark, d).select("user_id", "event_id", F.unix_micros("at").alias("at"))
+    found = rows.groupBy("user_id").applyInPandasWithState(run, "user_id bigint, event_id bigint, admitted boolean", "held array<bigint>", "append", "NoTimeout")
+    return drained(found, "append")
