@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sparkquill.llm.common import table, text_chunks
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*>|[^<]+|<", re.S)
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 HINTS = re.compile(r"\b(class|id|role|hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I | re.S)
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "object", "canvas"}
@@ -59,11 +59,17 @@ def blocks(page: str) -> list[tuple[Block, str]]:
     # an open tag: (name, number, away, away by a hint, home, home by a hint)
     stack = [("", 0, False, False, False, False)]
     out, current, number, links = [], None, 0, 0
-    at, size = 0, len(page)
+    at, size, closed_last = 0, len(page), page.rfind(">")
     while at < size:
-        m = TOKEN.match(page, at)
-        at, token = m.end(), m.group()
-        if token[0] != "<" or token == "<":
+        rest = at > closed_last
+        if rest:  # no tag can end any more: what is left is text, up to an open comment
+            at, token = size, page[at:].partition("<!--")[0]
+            if not token:
+                break
+        else:
+            m = TOKEN.match(page, at)
+            at, token = m.end(), m.group()
+        if rest or token[0] != "<" or token == "<":
             if current is None:
                 name, parent, away, hint, home, home_hint = stack[-1]
                 tag = next((s[0] for s in reversed(stack) if s[0] in BLOCK), "")
@@ -142,45 +148,49 @@ def evidence(block: Block, text: str, has_home: bool) -> float:
 
 
 def minimum_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Which blocks are on the source's side. costs: log-odds, as capacity from the source or to the sink."""
+    """Which blocks are on the source's side. costs: log-odds, as capacity from the source or to the sink.
+
+    Flow goes from each block on to the nearest ones that the sink still takes from. Blocks that are reached when none is
+    left can't reach the sink any more: they are the source's side, and later searches pass them by, so that
+    a search stays near its block on a page of any length.
+    """
     n = len(costs)
-    source, sink = n, n + 1
-    near: list[list[int]] = [[] for _ in range(n + 2)]
+    give, take = [max(z, 0.0) for z in costs], [max(-z, 0.0) for z in costs]
+    near: list[list[int]] = [[] for _ in range(n)]
     to, room = [], []
-
-    def join(a: int, b: int, there: float, back: float) -> None:
-        near[a].append(len(to))
-        to.append(b)
-        room.append(there)
-        near[b].append(len(to))
-        to.append(a)
-        room.append(back)
-
-    for i, z in enumerate(costs):
-        if z > 0:
-            join(source, i, z, 0.0)
-        else:
-            join(i, sink, -z, 0.0)
     for a, b, c in edges:
-        join(a, b, c, c)
-    while True:
-        came, queue = {source: -1}, deque([source])
-        while queue and sink not in came:
-            a = queue.popleft()
-            for e in near[a]:
-                if room[e] > 1e-9 and to[e] not in came:
-                    came[to[e]] = e
-                    queue.append(to[e])
-        if sink not in came:
-            return [i in came for i in range(n)]
-        path, at = [], sink
-        while at != source:
-            path.append(came[at])
-            at = to[came[at] ^ 1]
-        flow = min(room[e] for e in path)
-        for e in path:
-            room[e] -= flow
-            room[e ^ 1] += flow
+        near[a].append(len(to))
+        near[b].append(len(to) + 1)
+        to += (b, a)
+        room += (c, c)
+    cut_off = [False] * n
+    for i in range(n):
+        while give[i] > 1e-9 and not cut_off[i]:
+            came, queue, at = {i: -1}, deque([i]), -1
+            while queue:
+                a = queue.popleft()
+                if take[a] > 1e-9:
+                    at = a
+                    break
+                for e in near[a]:
+                    if room[e] > 1e-9 and to[e] not in came and not cut_off[to[e]]:
+                        came[to[e]] = e
+                        queue.append(to[e])
+            if at < 0:
+                for a in came:
+                    cut_off[a] = True
+                break
+            path, a = [], at
+            while a != i:
+                path.append(came[a])
+                a = to[came[a] ^ 1]
+            flow = min(give[i], take[at], *(room[e] for e in path))
+            give[i] -= flow
+            take[at] -= flow
+            for e in path:
+                room[e] -= flow
+                room[e ^ 1] += flow
+    return cut_off
 
 
 def label(found: list[tuple[Block, str]]) -> list[bool]:

@@ -330,3 +330,37 @@ def test_sql(spark, name):
     at = [want.columns.index(c) for c in cols]
     assert sorted(want.columns) == cols
     assert sorted(str(tuple(r[c] for c in cols)) for r in df.collect()) == sorted(str(tuple(r[i] for i in at)) for r in want.fetchall())
+
+
+def test_html_of_any_length_and_shape():
+    """Long pages and broken ones end in seconds; a page that stops inside a tag keeps its text."""
+    import time
+
+    main, began = html_extract.main_text, time.time()
+    assert main("<p>one two three.</p>" * 20_000).count("\n") == 19_999
+    wide = main("<body>" + "<p>some text here. and more</p><ul><li><a href=x>l</a></li></ul>" * 10_000)
+    assert wide.count("some text here. and more") == 10_000
+    assert main("<article><p>a<i>b</i><c") == "ab<c"
+    assert main("<article><p>tail <!-- no") == "tail"
+    assert main("<!-- " * 50_000) == ""
+    assert main("<article><p>t</p>" + "<a " * 50_000 + '">') == "t"
+    main("<a " * 50_000)
+    assert time.time() - began < 30
+
+
+def test_minimum_cut_against_every_labelling():
+    """The cut's cost is the least of all labellings, on small graphs."""
+    import itertools
+    import random
+
+    draw = random.Random(3)
+    for _ in range(60):
+        n = draw.randint(1, 8)
+        costs = [draw.choice([draw.uniform(-3, 3), draw.uniform(-1, 1), -1e6]) for _ in range(n)]
+        edges = [(i - 1, i, draw.choice([0.5, 1.2])) for i in range(1, n)] + [(a, b, 0.7) for a in range(n) for b in range(a + 2, n) if draw.random() < 0.2]
+
+        def cost(side):
+            return sum(max(-z, 0) if s else max(z, 0) for z, s in zip(costs, side)) + sum(c for a, b, c in edges if side[a] != side[b])
+
+        least = min(cost(side) for side in itertools.product([False, True], repeat=n))
+        assert abs(cost(html_extract.minimum_cut(costs, edges)) - least) < 1e-6
