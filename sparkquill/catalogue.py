@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkquill.operators import citations, documents, findings, passages, search, verdicts
+from sparkquill.operators import citations, documents, findings, passages, reports, search, verdicts
 from sparkquill.streaming import events
 
-MODULES = (findings, documents, search, verdicts, citations, passages, events)
+MODULES = (findings, documents, search, verdicts, citations, passages, reports, events)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
