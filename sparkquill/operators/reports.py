@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkquill.operators.search import HYBRID_SQL, hybrid, ranked, semantic
+from sparkquill.operators.search import HYBRID_SQL, hybrid
 from sparkquill.sources.tables import FINDINGS_SQL, findings, read
 
 QUERIES, SQL = {}, {}
@@ -129,13 +129,22 @@ def investigation_outcome(spark: SparkSession, d: str) -> DataFrame:
     SELECT mode, q, c, rank FROM m WHERE rank <= 4"""
 )
 def ablation_modes(spark: SparkSession, d: str) -> DataFrame:
-    """The first four of each query under three modes; the last reranks the hybrid's first twelve only."""
-    first, both = ranked(semantic(spark, d), ["q"], "score", "c", 4), ranked(hybrid(spark, d), ["q"], "score", "c", 12)
-    order = Window.partitionBy("q").orderBy(F.desc((F.col("c") * 7) % 11), "rank", "c")
-    again = both.select("q", "c", F.row_number().over(order).alias("rank"))
-    modes = {"bm25": first, "hybrid": both, "hybrid_rerank": again}
-    parts = [rows.select(F.lit(mode).alias("mode"), "q", "c", "rank").where("rank <= 4") for mode, rows in modes.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """The first four of each query under three modes; the last reranks the hybrid's first twelve only.
+
+    Scores are computed once and shuffled once: all ranks are windows over one query's rows, dealt to the modes at the end.
+    """
+    both = hybrid(spark, d, keep="single")
+
+    def rank(*order: Column | str) -> Column:
+        return F.row_number().over(Window.partitionBy("q").orderBy(*order, "c"))
+
+    near = both.withColumn("bm25", rank(F.desc("single"))).withColumn("hybrid", rank(F.desc("score"))).where("bm25 <= 4 or hybrid <= 12")
+    asked = F.col("hybrid") <= 12
+    again = rank(F.desc(asked), F.desc((F.col("c") * 7) % 11), "hybrid")
+    modes = near.withColumn("hybrid_rerank", again).select(
+        "q", "c", F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("rank"), (asked | F.lit(m == "bm25")).alias("told")) for m in ("bm25", "hybrid", "hybrid_rerank")])).alias("x")
+    )
+    return modes.where("x.told and x.rank <= 4").select("x.mode", "q", "c", "x.rank")
 
 
 def ablation_problems(cases: DataFrame, corpus: DataFrame, queries: DataFrame) -> DataFrame:

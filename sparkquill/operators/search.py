@@ -150,10 +150,12 @@ HYBRID_SQL = f"""{COS_SQL}, hy AS (SELECT q, c, relevant, round(((score - min(sc
   hr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS rank FROM hy)"""
 
 
-def hybrid(spark: SparkSession, d: str) -> DataFrame:
+def hybrid(spark: SparkSession, d: str, keep: str | None = None) -> DataFrame:
+    """(q, c, relevant, score); the single score stays in a column named by `keep`."""
     rows = semantic(spark, d)
     both = (minmax(F.col("score"), "q") + minmax((F.col("c") % 13).cast("double"), "q")) / 2
-    return rows.select("q", "c", "relevant", F.round(both, 6).alias("score"))
+    single = [F.col("score").alias(keep)] if keep else []
+    return rows.select("q", "c", "relevant", *single, F.round(both, 6).alias("score"))
 
 
 @query(f"WITH {HYBRID_SQL} SELECT q, c, round(score, 4) AS score, rank FROM hr WHERE rank <= 6")
