@@ -127,12 +127,15 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__id, __key, __fp, __first) for each row of docs; __first (missing, id, key) names the row that stays."""
-    prints = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    own = F.struct(F.col("__id").isNull().alias("missing"), F.col("__id").alias("id"), F.col("__key").alias("key"))
-    nodes = stored(prints.groupBy("__fp").agg(F.min(own).alias("__own"), F.count("*").alias("__size")), "classes")
-    roots = components(links(nodes.select("__fp")))
+def own() -> Column:
+    """(missing, id, key) of a row, by which rows of a class are ordered."""
+    return F.struct(F.col("__id").isNull().alias("missing"), F.col("__id").alias("id"), F.col("__key").alias("key"))
+
+
+def settled(prints: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Rows (__id, __key, __fp) with __first (missing, id, key), which names the row of their class that stays."""
+    nodes = stored(prints.groupBy("__fp").agg(F.min(own()).alias("__own"), F.count("*").alias("__size")), "classes")
+    roots = components(links(nodes.select("__fp"))) if roots is None else roots
     named = nodes.join(roots, nodes["__fp"] == roots["node"], "left").select(
         "__fp", "__own", "__size", F.coalesce("root", "__fp").alias("__root")
     )
@@ -142,9 +145,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # at most HOT classes hold a HOT-th of all rows, so these can be broadcast; their rows aren't shuffled
     hot = of.where(F.col("__size") * HOT >= F.lit(total)).select("__fp", F.col("__first").alias("__hot"))
     split = prints.join(F.broadcast(hot), "__fp", "left")
-    settled = split.where(F.col("__hot").isNotNull()).select("__id", "__key", "__fp", F.col("__hot").alias("__first"))
+    fixed = split.where(F.col("__hot").isNotNull()).select("__id", "__key", "__fp", F.col("__hot").alias("__first"))
     rest = split.where(F.col("__hot").isNull()).join(of, "__fp").select("__id", "__key", "__fp", "__first")
-    return settled.unionByName(rest)
+    return fixed.unionByName(rest)
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(__id, __key, __fp, __first) for each row of docs; __first (missing, id, key) names the row that stays."""
+    return settled(stored(fingerprints(docs, id_col, text_col), "fingerprints"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,8 +170,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without rows whose component has a row of smaller id (ties: by a hash of the text; full repeats share a fate)."""
-    own = F.struct(F.col("__id").isNull().alias("missing"), F.col("__id").alias("id"), F.col("__key").alias("key"))
-    lost = classes(docs, id_col, text_col).where(own != F.col("__first")).select("__id", "__key").distinct()
+    lost = classes(docs, id_col, text_col).where(own() != F.col("__first")).select("__id", "__key").distinct()
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__key"))
     return docs.join(lost, same, "left_anti")
 
