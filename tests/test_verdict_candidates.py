@@ -1,0 +1,18 @@
+"""No holder of a passage is passed over for its lexical rank."""
+
+import random
+
+from sparkquill.operators import verdicts
+
+
+def test_long_holder_behind_many_short_texts(spark, tmp_path):
+    draw = random.Random(4)
+    quote = "the court shall decide the matter of the river within seven days"
+    long = [f"w{draw.randint(0, 900)}" for _ in range(900)]
+    docs = [(i, quote.replace("shall", f"s{i}").replace("seven", f"d{i}").replace("matter", f"m{i}")) for i in range(9)]
+    docs += [(100, " ".join(long[:500] + [quote] + long[500:])), (101, " ".join(long))]
+    items = [(1, quote), (2, "nothing here is alike at all"), (3, "[T]he"), (4, "")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.item_id: r.verdict for r in verdicts.quote_verdict_benchmark(spark, str(tmp_path)).collect()}
+    assert got[1] == "VERBATIM" and got[3] == "VERBATIM_WITH_PERMITTED_ALTERATIONS" and got.get(2, "NOT_FOUND_IN_SOURCE") == "NOT_FOUND_IN_SOURCE"
