@@ -7,12 +7,15 @@ many paths share it; findings are joined back to all paths.
 
 from __future__ import annotations
 
+import zlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from sparkquill.llm.common import stored, table
+from sparkquill.llm.common import packed, stored, table, unpacked
 
-RULE_VERSION = 1
 #: (kind, Java pattern, group whose length is tested, least length), in the order that breaks ties.
 #: Runs of AKIA or hex characters that are too short can't hold a longer match, so their least length is in
 #: the pattern; a short password value is matched, and skipped past, before it is dropped.
@@ -26,51 +29,59 @@ RULES = (
     ("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),
 )
+#: Follows from the rules themselves, so findings of other rules are never taken for these.
+RULE_VERSION = zlib.crc32(repr(RULES).encode()) >> 1
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
-#: Parts that a blob's findings are copied to, so that a blob with a third of all paths is not one task.
-SALTS = 16
+LEDGER = f"blob binary, rule_version int, found {SPAN}"
+#: A blob with a HOT-th of all paths is met in several parts.
+HOT = 500
+#: Characters that a text is cut into for its redaction, so that a place in it is found without reading it from its start.
+CHUNK = 4096
+
+
+def blob_of(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def rule_spans(text: Column, rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Spans of one rule in code points: what lies between matches, and the matches, give the offsets."""
+def hits(text: Column, pattern: str, group: int) -> Column:
+    """For each match of a pattern: characters between it and the match before, its own, and those of the tested group."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     tested = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    parts = F.arrays_zip(
-        F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("gap"),
-        whole.alias("hit"),
-        tested.alias("value"),
-    )
+    size = lambda parts: F.transform(parts, lambda x: F.length(x))
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
+    found = F.arrays_zip(size(gaps).alias("gap"), size(whole).alias("hit"), size(tested).alias("value"))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<gap:int,hit:int,value:int>>"))
 
-    def step(state: Column, part: Column) -> Column:
-        start = state["at"] + F.length(part["gap"])
-        end = start + F.length(part["hit"])
-        one = F.struct(
-            start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind")
-        )
-        return F.struct(
-            end.alias("at"),
-            F.when(F.length(part["value"]) >= least, F.concat(state["found"], F.array(one)))
-            .otherwise(state["found"])
-            .cast(SPAN)
-            .alias("found"),
-        )
 
-    none = F.array().cast(SPAN)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("found"))
-    found = F.aggregate(parts, start, step, lambda s: s["found"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+def spans_of(texts: DataFrame) -> DataFrame:
+    """(blob, found) of each distinct blob of texts (blob, text): all spans of all rules, by start and then by the rules' order.
 
-
-def scan(text: Column) -> Column:
-    """All spans of all rules, by start and then by the rules' order."""
-    return F.array_sort(F.concat(*[rule_spans(text, n, *rule) for n, rule in enumerate(RULES)]))
+    Matches are rows, and their places are running sums over one blob's rows, so the cost is in proportion to their number.
+    """
+    every = texts.select("blob", F.array(*[F.struct(F.lit(n).alias("rank"), hits(F.col("text"), p, g).alias("parts")) for n, (_, p, g, _) in enumerate(RULES)]).alias("rules"))
+    every = stored(every, "secret-hits")  # numbers only; blobs without a match are rows too
+    rows = every.select("blob", F.explode("rules").alias("r")).select("blob", "r.rank", F.posexplode("r.parts").alias("pos", "part"))
+    # rows that repeat a blob (an id with its very text twice) give the same matches
+    rows = rows.groupBy("blob", "rank", "pos").agg(F.first("part").alias("part"))
+    end = F.sum(F.col("part.gap") + F.col("part.hit")).over(Window.partitionBy("blob", "rank").orderBy("pos"))
+    kinds, least = (F.array(*[F.lit(r[i]) for r in RULES]) for i in (0, 3))
+    nth = F.col("rank") + 1
+    placed = rows.withColumn("end", end).where(F.col("part.value") >= F.element_at(least, nth))
+    one = F.struct((F.col("end") - F.col("part.hit")).alias("start"), "rank", "end", F.element_at(kinds, nth).alias("kind")).alias("span")
+    marks = every.select("blob", F.lit(None).cast(SPAN[6:-1]).alias("span")).unionByName(placed.select("blob", one))
+    return marks.groupBy("blob").agg(F.array_sort(F.collect_list("span")).alias("found"))
 
 
 def open_ledger(spark: SparkSession, path: str | None) -> DataFrame:
-    """(blob, rule_version, found) so far; empty without a path."""
-    if path is None:
-        return spark.createDataFrame([], f"blob binary, rule_version int, found {SPAN}")
-    return spark.read.parquet(path)
+    """(blob, rule_version, found) so far, each pair once, though two runs at the same time may both have scanned it; empty where nothing is yet."""
+    if path is not None:
+        try:
+            rows = spark.read.schema(LEDGER).parquet(path)
+            return rows.groupBy("blob", "rule_version").agg(F.first("found").alias("found"))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return spark.createDataFrame([], LEDGER)
 
 
 def scan_unseen(docs: DataFrame, paths: DataFrame, ledger: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -84,41 +95,30 @@ def scan_unseen(docs: DataFrame, paths: DataFrame, ledger: DataFrame, id_col: st
             "left_anti",
         )
     )
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    texts = docs.select(
-        F.col(f"`{id_col}`").alias("__id"), text.alias("__text"), F.unhex(F.sha2(text, 256)).alias("__blob")
-    ).alias("t")
+    text = F.col(f"`{text_col}`")
+    texts = docs.select(F.col(f"`{id_col}`").alias("__id"), F.coalesce(text, F.lit("")).alias("text"), blob_of(text).alias("blob")).alias("t")
     only = unseen.hint("shuffle_hash").alias("u")
-    same = F.col("t.__id").eqNullSafe(F.col("u.__id")) & (F.col("t.__blob") == F.col("u.__blob"))
-    return (
-        texts.join(only, same, "left_semi")
-        .select(F.col("__blob").alias("blob"), F.lit(RULE_VERSION).alias("rule_version"), scan(F.col("__text")).alias("found"))
-        .groupBy("blob", "rule_version")
-        .agg(F.first("found").alias("found"))
-    )
+    same = F.col("t.__id").eqNullSafe(F.col("u.__id")) & (F.col("t.blob") == F.col("u.__blob"))
+    found = spans_of(texts.join(only, same, "left_semi").select("blob", "text"))
+    return found.select("blob", F.lit(RULE_VERSION).alias("rule_version"), "found")
 
 
 def located(docs: DataFrame, id_col: str, text_col: str, ledger_path: str | None) -> DataFrame:
     """(__id, __blob, found) for each input row; found is null where nothing was found."""
     spark = docs.sparkSession
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    paths = stored(
-        docs.select(F.col(f"`{id_col}`").alias("__id"), F.unhex(F.sha2(text, 256)).alias("__blob")), "secret-paths"
-    )
+    paths = stored(docs.select(F.col(f"`{id_col}`").alias("__id"), blob_of(F.col(f"`{text_col}`")).alias("__blob")), "secret-paths")
     known = open_ledger(spark, ledger_path)
     new = stored(scan_unseen(docs, paths, known, id_col, text_col), "secret-ledger")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt")
-    found = (
-        known.where(F.col("rule_version") == RULE_VERSION)
-        .unionByName(new)
-        .where(F.size("found") > 0)
-        .select(F.col("blob").alias("__blob"), "found", salts)
-    )
-    result = (
-        paths.withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int"))
-        .join(found, ["__blob", "__salt"], "left")
-        .select("__id", "__blob", "found")
-    )
+    found = known.where(F.col("rule_version") == RULE_VERSION).unionByName(new).where(F.size("found") > 0).select(F.col("blob").alias("__blob"), "found")
+    # blobs with a HOT-th of all paths (HOT at most) are dealt to as many parts as the cluster has cores
+    sizes = paths.groupBy("__blob").agg(F.count("*").alias("n"))
+    hot = F.broadcast(stored(sizes.where(F.col("n") * HOT >= F.lit(paths.count())).select("__blob", F.lit(True).alias("__hot")), "secret-hot"))
+    parts = max(2, spark.sparkContext.defaultParallelism)
+    dealt = F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")
+    split = paths.join(hot, "__blob", "left").withColumn("__salt", F.when(F.col("__hot"), dealt).otherwise(0))
+    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    copied = found.join(hot, "__blob", "left").select("__blob", "found", F.explode(copies).alias("__salt"))
+    result = split.join(copied, ["__blob", "__salt"], "left").select("__id", "__blob", "found")
     if ledger_path is not None:
         result = stored(result, "secret-findings")
         new.write.mode("append").parquet(ledger_path)
@@ -131,8 +131,8 @@ def find_secrets(
     """One row per input row: id, found (array of start, rank, end, kind in code points, end exclusive).
 
     Null text counts as empty and has no findings; null ids and repeated rows keep their rows; an empty table
-    gives no rows. With ledger_path new rows are appended there and known pairs are not scanned again;
-    without it the ledger is a fresh table in the shared folder.
+    gives no rows; other columns aren't read. With ledger_path new rows are appended there (the first run makes the folder) and
+    known pairs are not scanned again; without it the ledger is a fresh table in the shared folder.
     """
     return located(docs, id_col, text_col, ledger_path).select(
         F.col("__id").alias(id_col), F.coalesce("found", F.array().cast(SPAN)).alias("found")
@@ -157,42 +157,49 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cut(text: Column, spans: Column, size: Column) -> Column:
+    """text with each of spans (start, before, end, kind; none overlap) replaced by its mark; `size` is where the last one ends."""
+
+    def of(chunks: Column) -> Column:
+        def part(lo: Column, hi: Column | None = None) -> Column:
+            at = F.floor(lo / CHUNK).cast("int")
+            n = (F.floor(hi / CHUNK).cast("int") - at + 1) if hi is not None else F.size(chunks)
+            near = F.array_join(F.slice(chunks, at + 1, n), "")
+            return F.substring(near, (lo % CHUNK).cast("int") + 1, (hi - lo).cast("int") if hi is not None else F.length(near))
+
+        marked = F.transform(spans, lambda s: F.concat(part(s["before"], s["start"]), F.lit("[REDACTED:"), s["kind"], F.lit("]")))
+        return F.concat(F.array_join(marked, ""), part(size))
+
+    # the chunks are bound once, as the only item of an array, and not cut anew for each span
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return F.transform(F.array(chunks), of)[0]
+
+
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every span replaced by [REDACTED:kind]; overlapping spans become one. n_chars, if there, follows.
+    """docs with every span replaced by [REDACTED:kind]; spans that overlap become one. n_chars, if there, follows.
 
-    Rows without findings are passed on as they are, so a clean text is never changed.
+    Rows without findings are passed on as they are, so a clean text is never changed and a null one stays null. Null ids, repeated rows
+    and other columns, whatever their names, are passed on; an empty table gives none.
     """
-    columns = docs.columns
-    found = (
-        located(docs, id_col, text_col, None)
-        .where(F.col("found").isNotNull())
-        .select(F.col("__id").alias("__of"), F.col("__blob").alias("__in"), F.col("found").alias("__found"))
-        .distinct()
-    )
+    found = located(docs, id_col, text_col, None).where(F.col("found").isNotNull()).select("__id", "__blob", "found")
+    blobs = found.groupBy("__blob").agg(F.first("found").alias("found")).select("__blob", F.explode("found").alias("s")).select("__blob", "s.*")
+    # a span begins a mark where none before it has reached; `before` is where what precedes the mark begins
+    earlier = Window.partitionBy("__blob").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    blobs = blobs.withColumn("before", F.coalesce(F.max("end").over(earlier), F.lit(0)))
+    fresh = F.when(F.col("start") >= F.col("before"), F.struct("start", "before", "end", "kind"))
+    marks = blobs.groupBy("__blob").agg(F.array_sort(F.collect_list(fresh)).alias("__spans"), F.max("end").alias("__last"))
+    marks = found.select("__id", "__blob").distinct().join(marks, "__blob")
     text = F.col(f"`{text_col}`")
-    blob = F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__of")) & (blob == F.col("__in"))
-
-    def step(state: Column, span: Column) -> Column:
-        fresh = span["start"] >= state["at"]
-        gap = F.substring(text, (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int"))
-        mark = F.concat(F.lit("[REDACTED:"), span["kind"], F.lit("]"))
-        return F.struct(
-            F.greatest(state["at"], span["end"]).alias("at"),
-            F.when(fresh, F.concat(state["out"], gap, mark)).otherwise(state["out"]).alias("out"),
-        )
-
-    def tail(state: Column) -> Column:
-        return F.concat(state["out"], F.substring(text, (state["at"] + 1).cast("int"), F.length(text)))
-
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    clean = F.when(F.col("__found").isNull(), text).otherwise(F.aggregate("__found", start, step, tail))
-    joined = docs.join(found, same, "left").withColumn("__clean", clean)
-    out = [F.col("__clean").alias(c) if c == text_col else F.col(f"`{c}`") for c in columns]
-    if "n_chars" in columns:
-        changed = F.when(F.col("__found").isNull(), F.col("n_chars")).otherwise(F.length("__clean").cast("bigint"))
-        out[columns.index("n_chars")] = changed.alias("n_chars")
-    return joined.select(*out)
+    rows = packed(docs, __i=F.col(f"`{id_col}`"), __b=blob_of(text), __text=text)
+    joined = rows.join(marks, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__b") == F.col("__blob")), "left")
+    dirty = F.col("__spans").isNotNull()
+    clean = F.when(dirty, cut(F.col("__text"), F.col("__spans"), F.col("__last"))).otherwise(F.col("__text"))
+    joined = joined.select("__doc", dirty.alias("__dirty"), clean.alias("__clean"))
+    doc = F.col("__doc").withField(f"`{text_col}`", F.col("__clean"))
+    if "n_chars" in docs.columns:
+        size = F.length("__clean").cast(docs.schema["n_chars"].dataType)
+        doc = doc.withField("n_chars", F.when(F.col("__dirty"), size).otherwise(F.col("__doc.n_chars")))
+    return unpacked(joined.select(doc.alias("__doc")))
 
 
 OP9_SQL = r"""
