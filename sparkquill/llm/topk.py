@@ -1,22 +1,31 @@
 """Exact top-k inner products by a dual-tree search over cover trees.
 
-Rows are dealt to blocks of bounded size by a hash of their id, so no vector, however common, makes a large block. Each
-block gets a cover tree: a node has a centre of its own points and a covering radius; centres of its children are
-chosen farthest first until the children cover it at RATIO of its radius. Where the dimension is too high for
-that within BRANCHES children, points go to the nearest centre and the child keeps the radius that it really has, so
-bounds hold in any case. Queries get trees too. A pair of nodes is pruned when the largest inner product that the
-two radii allow is below the worst kth score of the query group. Block pairs meet in an equi-join.
+Rows and queries are dealt to the nearest of a few pivots, chosen farthest first from a sample; these cells are the upper
+level of both trees. A cell with more rows than a block holds is dealt to several blocks by a hash, so no vector, however common,
+makes a large one. Each block gets its cover tree once, and is stored with it: a node has a centre of its own points and a covering
+radius; centres of its children are chosen farthest first until the children cover it at RATIO of its radius. Where the
+dimension is too high for that within BRANCHES children, points go to the nearest centre and the child keeps the radius that it
+really has, so bounds hold in any case. A pair of nodes is pruned when the largest inner product that the two radii allow is
+below the worst kth score of the query group. The same holds between blocks: each query block is searched against its most
+promising row blocks first, and the kth scores found there prune its other block pairs before any vector of theirs is copied.
 """
 
 from __future__ import annotations
 
+import pickle
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkquill.llm.common import stored, table
 
-BLOCK = 8192
+#: Rows of a block, and queries of one.
+BLOCK, ASKED = 8192, 4096
+#: Most pivots, and vectors that they are chosen from.
+PIVOTS, SAMPLE = 256, 4096
+#: Row blocks that a query block is searched against before its other pairs are pruned; block summaries that are compared at once.
+FIRST, SUMMARIES = 4, 2048
 RATIO, BRANCHES = 1 / 1.3, 16
 LEAF = {"row": 1024, "query": 256}
 
@@ -57,20 +66,28 @@ class Tree:
         return len(self.nodes) - 1
 
 
-def search(queries: Tree, rows: Tree, k: int):
-    """(query, rank-free best ids, best scores), k for each query; ties go to smaller ids."""
+def bound(q: tuple, r: tuple) -> float:
+    """The largest inner product that points of two nodes can have, and a little more for rounding."""
+    return float(q[2] @ r[2]) + q[3] * r[4] + r[3] * q[4] + q[3] * r[3] + 1e-6 + 1e-12 * (q[3] + q[4]) * (r[3] + r[4])
+
+
+def search(queries: Tree, rows: Tree, k: int, floor=None, seen: dict | None = None):
+    """(queries, best ids, best scores), k for each query; ties go to smaller ids.
+
+    Scores under a query's `floor`, k of which are known to reach it, aren't looked for. `seen` counts leaf pairs that were scored.
+    """
     import numpy as np
 
     n = len(queries.ids)
     scores, ids = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
-
-    def bound(q: tuple, r: tuple) -> float:
-        return float(q[2] @ r[2]) + q[3] * r[4] + r[3] * q[4] + q[3] * r[3]
+    floor = np.full(n, -np.inf) if floor is None else floor
 
     def base(q: tuple, r: tuple) -> None:
         found = queries.points[q[0] : q[1]] @ rows.points[r[0] : r[1]].T
         found[queries.ids[q[0] : q[1], None] == rows.ids[None, r[0] : r[1]]] = -np.inf
-        worst = scores[q[0] : q[1], -1]
+        if seen is not None:
+            seen["scored"] = seen.get("scored", 0) + 1
+        worst = np.maximum(scores[q[0] : q[1], -1], floor[q[0] : q[1]])
         hit = np.flatnonzero((found >= worst[:, None]).any(axis=1) & (found > -np.inf).any(axis=1))
         if len(hit):
             take = found[hit]
@@ -87,7 +104,7 @@ def search(queries: Tree, rows: Tree, k: int):
             scores[at], ids[at] = np.take_along_axis(all_scores, best, 1), np.take_along_axis(all_ids, best, 1)
 
     def visit(q: tuple, r: tuple) -> None:
-        if bound(q, r) < scores[q[0] : q[1], -1].min():
+        if bound(q, r) < np.maximum(scores[q[0] : q[1], -1], floor[q[0] : q[1]]).min():
             return
         if not q[5] and not r[5]:
             base(q, r)
@@ -107,31 +124,134 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
 
 
-def blocks(rows: DataFrame, n: int, name: str) -> DataFrame:
-    """(block, ids, points, width): rows dealt to n blocks, each packed into one row of bounded size."""
+def matrix(vectors, width: int):
+    """Vectors as rows of one matrix, filled up with zeros."""
+    import numpy as np
+
+    points = np.zeros((len(vectors), width))
+    for i, v in enumerate(vectors):
+        points[i, : len(v)] = v
+    return points
 
-    def pack(pdf):
+
+def pivots(good: DataFrame, n: int, width: int):
+    """n vectors of a sample of at most SAMPLE, each the farthest from those before it."""
+    import numpy as np
+
+    order = good.select("__v", F.xxhash64("__id", "__v").alias("h")).orderBy("h").limit(SAMPLE)
+    sample = np.unique(matrix([r[0] for r in order.select("__v").collect()], width), axis=0) if n > 1 else np.zeros((1, width))
+    chosen, near = [0], ((sample - sample[0]) ** 2).sum(axis=1)
+    while len(chosen) < min(n, len(sample)):
+        chosen.append(int(near.argmax()))
+        near = np.minimum(near, ((sample - sample[chosen[-1]]) ** 2).sum(axis=1))
+    return sample[chosen]
+
+
+def celled(rows: DataFrame, centres, width: int) -> DataFrame:
+    """rows (__id, __v) with __c, the number of the nearest centre."""
+    if len(centres) == 1:
+        return rows.select("__id", "__v", F.lit(0).alias("__c"))
+    sent = rows.sparkSession.sparkContext.broadcast(centres)  # PIVOTS vectors at most
+
+    def run(batches):
+        import numpy as np
+
+        c = sent.value
+        for pdf in batches:
+            x = matrix(list(pdf["__v"]), width)
+            cells = [((c**2).sum(axis=1) - 2 * x[i : i + 1024] @ c.T).argmin(axis=1) for i in range(0, len(x), 1024)]
+            yield pdf.assign(__c=np.concatenate(cells).astype(np.int32) if cells else np.zeros(0, np.int32))
+
+    return rows.select("__id", "__v").mapInPandas(run, "__id bigint, __v array<double>, __c int")
+
+
+def blocks(rows: DataFrame, most: int, width: int, leaf: int, name: str) -> DataFrame:
+    """(no, centre, radius, tree) of rows (__id, __v, __c), stored: cells of over `most` rows are dealt to several blocks by a hash."""
+    rows = stored(rows.withColumn("__copy", F.monotonically_increasing_id()), f"{name}-cells")
+    parts = {r[0]: -(-r[1] // most) for r in rows.groupBy("__c").count().collect()}  # PIVOTS rows at most
+    first, total = {}, 0
+    for cell, n in sorted(parts.items()):
+        first[cell], total = total, total + n
+    plan = rows.sparkSession.createDataFrame([(c, first[c], parts[c]) for c in parts], "__c int, __from int, __parts int")
+    dealt = rows.join(F.broadcast(plan), "__c").select("__id", "__v", (F.col("__from") + F.pmod(F.xxhash64("__id", "__copy"), "__parts")).cast("int").alias("no"))
+
+    def build(pdf):
         import numpy as np
         import pandas as pd
 
-        width = int(pdf["__v"].map(len).max())
-        points = np.zeros((len(pdf), width))
-        for i, v in enumerate(pdf["__v"]):
-            points[i, : len(v)] = v
         order = np.argsort(pdf["__id"].to_numpy(), kind="stable")
-        ids = pdf["__id"].to_numpy(dtype=np.int64)[order]
-        return pd.DataFrame({name: [int(pdf["__b"].iloc[0])], "ids": [ids.tobytes()], "points": [points[order].tobytes()]})
+        tree = Tree(pdf["__id"].to_numpy(dtype=np.int64)[order], matrix(list(pdf["__v"]), width)[order], leaf)
+        root = tree.nodes[tree.root]
+        return pd.DataFrame({"no": [int(pdf["no"].iloc[0])], "centre": [root[2]], "radius": [root[3]], "tree": [pickle.dumps(tree)]})
 
-    dealt = rows.withColumn("__b", F.pmod(F.xxhash64("__id", "__copy"), F.lit(n)).cast("int"))
-    return dealt.groupBy("__b").applyInPandas(pack, f"{name} int, ids binary, points binary")
+    return stored(dealt.groupBy("no").applyInPandas(build, "no int, centre array<double>, radius double, tree binary"), f"{name}-blocks")
+
+
+def block_pairs(rows: DataFrame, asks: DataFrame, floors: DataFrame | None, first: int | None) -> DataFrame:
+    """(q, r) of blocks to be searched: the `first` most promising row blocks of each query block, or those that its floor leaves.
+
+    Only summaries are compared, SUMMARIES row blocks at once: they meet the query blocks by an equi-join on the number of their group.
+    """
+    groups = rows.select(F.floor(F.col("no") / SUMMARIES).cast("int").alias("g"), F.struct("no", "centre", "radius").alias("s"))
+    groups = groups.groupBy("g").agg(F.collect_list("s").alias("s"))
+    asked = asks.select("no", "centre", "radius")
+    asked = asked.withColumn("floor", F.lit(float("-inf"))) if floors is None else asked.join(floors, "no")
+    count = max(1, -(-rows.count() // SUMMARIES))
+    met = asked.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).join(groups, "g").select("no", "centre", "radius", "floor", "s")
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            for x in pdf.itertuples():
+                centre = np.array(x.centre)
+                far, radii = np.array([list(s["centre"]) for s in x.s]), np.array([s["radius"] for s in x.s])
+                size, sizes = np.sqrt((centre**2).sum()), np.sqrt((far**2).sum(axis=1))
+                best = far @ centre + x.radius * sizes + radii * size + radii * x.radius + 1e-6 + 1e-12 * (size + x.radius) * (sizes + radii)
+                keep = best >= x.floor
+                yield pd.DataFrame({"q": x.no, "r": np.array([s["no"] for s in x.s])[keep], "best": best[keep]})
+
+    pairs = met.mapInPandas(run, "q int, r int, best double")
+    if first is not None:
+        order = Window.partitionBy("q").orderBy(F.desc("best"), "r")
+        pairs = pairs.withColumn("n", F.row_number().over(order)).where(F.col("n") <= first)
+    return pairs.select("q", "r")
+
+
+def searched(pairs: DataFrame, rows: DataFrame, asks: DataFrame, k: int, floors: DataFrame | None) -> DataFrame:
+    """(q, query_id, __id, score): each query's k best rows of each block pair, at its floor or above."""
+    # a pair of blocks is one task's work
+    n = max(1, min(pairs.count(), 1 << 16))
+    each = pairs.repartition(n, "q", "r").join(rows.select(F.col("no").alias("r"), F.col("tree").alias("r_tree")), "r")
+    each = each.join(asks.select(F.col("no").alias("q"), F.col("tree").alias("q_tree")), "q")
+    each = each.withColumn("floors", F.lit(None).cast("map<bigint,double>")) if floors is None else each.join(floors.select(F.col("no").alias("q"), "floors"), "q")
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            for x in pdf.itertuples():
+                asked, tree = pickle.loads(x.q_tree), pickle.loads(x.r_tree)
+                known = dict(x.floors) if x.floors is not None else {}
+                floor = np.array([known.get(int(i), -np.inf) for i in asked.ids])
+                of, best, scores = search(asked, tree, k, floor)
+                there = scores > -np.inf
+                yield pd.DataFrame(
+                    {"q": x.q, "query_id": np.repeat(of, k)[there.ravel()], "__id": best[there], "score": scores[there].astype(np.int64)}
+                )
+
+    return each.select("q", "r_tree", "q_tree", "floors").mapInPandas(run, "q int, query_id bigint, __id bigint, score bigint")
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
     """Each query's k best rows: query_id, rank, id, score; score is the inner product of floor(scale * component).
 
-    `queries` tells which rows are queries; a query's own id is no candidate for it. Rows whose id is null, or whose
+    `queries` tells which rows are queries; a query's own id is no candidate for it, whichever row has it. Rows whose id is null, or whose
     vector is null or holds null or non-finite components, take no part. Vectors shorter than others count as filled up with
-    zeros. Rows that repeat an id are candidates each; a query that repeats is asked once. Empty tables give no rows.
+    zeros. Rows that repeat an id are candidates each; a query id that repeats is asked once, with the least of its vectors (compared
+    component by component). Empty tables give no rows; other columns aren't read.
     """
     v = F.col(f"`{vector_col}`")
     good = stored(
@@ -139,42 +259,32 @@ def top_k(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", v
             F.col(f"`{id_col}`").cast("bigint").alias("__id"),
             queries.alias("__asks"),
             F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("__v"),
-            F.monotonically_increasing_id().alias("__copy"),
         ),
         "vectors",
     )
-    asked = good.where("__asks").dropDuplicates(["__id"])
-    n_rows, n_asked = (max(1, -(-x.count() // BLOCK)) for x in (good, asked))
-    rows = stored(blocks(good, n_rows, "r"), "row-blocks")
-    # a pair of blocks is one task's work: each row block meets each query block once, through an equi-join
-    asks = blocks(asked.withColumn("__copy", F.lit(0).cast("bigint")), n_asked, "q").toDF("q", "q_ids", "q_points")
-    pairs = (
-        rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
-        .join(asks, "q")
-        .repartition(max(1, n_rows * n_asked), "q", "r")
-    )
-
-    def run(batches):
-        import numpy as np
-        import pandas as pd
-
-        for pdf in batches:
-            for x in pdf.itertuples():
-                ids, q_ids = np.frombuffer(x.ids, np.int64), np.frombuffer(x.q_ids, np.int64)
-                points = np.frombuffer(x.points).reshape(len(ids), -1)
-                q_points = np.frombuffer(x.q_points).reshape(len(q_ids), -1)
-                width = max(points.shape[1], q_points.shape[1])
-                points, q_points = (np.pad(p, ((0, 0), (0, width - p.shape[1]))) for p in (points, q_points))
-                of, best, scores = search(Tree(q_ids, q_points, LEAF["query"]), Tree(ids, points, LEAF["row"]), k)
-                there = scores > -np.inf
-                yield pd.DataFrame(
-                    {"query_id": np.repeat(of, k)[there.ravel()], "__id": best[there], "score": scores[there].astype(np.int64)}
-                )
-
-    found = pairs.select("ids", "points", "q_ids", "q_points").mapInPandas(run, "query_id bigint, __id bigint, score bigint")
+    n, width = good.agg(F.count("*"), F.max(F.size("__v"))).first()
+    width = max(1, width or 0)
+    centres = pivots(good, min(PIVOTS, max(1, n // BLOCK)), width) if n else None
+    if centres is None:
+        return good.select(F.col("__id").alias("query_id"), F.lit(1).alias("rank"), F.col("__id").alias(id_col), F.lit(0).cast("bigint").alias("score")).limit(0)
+    rows = blocks(celled(good, centres, width), BLOCK, width, LEAF["row"], "row")
+    asked = good.where("__asks").groupBy("__id").agg(F.min("__v").alias("__v"))
+    asks = blocks(celled(asked, centres, width), ASKED, width, LEAF["query"], "query")
+    near = stored(block_pairs(rows, asks, None, FIRST), "near-pairs")
+    found = stored(searched(near, rows, asks, k, None), "near-found")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "__id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # the kth score of each query that has k by now; its group's floor is the worst of these, none if one has fewer
+    kth = best.groupBy("q", "query_id").agg(F.when(F.count("*") == k, F.min("score").cast("double")).otherwise(float("-inf")).alias("kth"))
+    floors = kth.groupBy(F.col("q").alias("no")).agg(
+        F.min("kth").alias("floor"), F.map_from_entries(F.collect_list(F.struct("query_id", "kth"))).alias("floors")
+    )
+    floors = stored(asks.select("no").join(floors, "no", "left").select("no", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), "floors"), "floors")
+    left = stored(block_pairs(rows, asks, floors.select("no", "floor"), None).join(near, ["q", "r"], "left_anti"), "left-pairs")
+    more = searched(left, rows, asks, k, floors)
     return (
-        found.withColumn("rank", F.row_number().over(order))
+        best.select("query_id", "__id", "score").unionByName(more.select("query_id", "__id", "score"))
+        .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", F.col("__id").alias(id_col), "score")
     )
