@@ -3,27 +3,32 @@
 A Misra-Gries summary (Spark's ``approx_top_k`` family, a mergeable frequent-items sketch of that kind)
 names digests that may be frequent. Their exact counts are taken; the winners that hold at least
 ``1 / HEAVY_SHARE`` of the rows are broadcast (at most ``CANDIDATES`` rows) and settled map-side. Every other
-digest goes through an ordinary shuffle, in which no group can be large any more.
+digest goes through an ordinary shuffle: its size and last row are aggregated map-side first and joined back, so that no
+task holds a group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkquill.llm.common import ascii_lower, stored, table
+from sparkquill.llm.common import ascii_lower, packed, stored, table, unpacked
 
 #: Counters of the summary: a digest with over 1 / (0.75 * COUNTERS) of the rows is never lost from it.
-COUNTERS = 1024
+COUNTERS = 16384
 #: Digests taken from the summary, and so the bound of what is broadcast.
-CANDIDATES = 512
+CANDIDATES = 4096
 #: A verified winner has at least a HEAVY_SHARE-th of all rows.
-HEAVY_SHARE = 500
+HEAVY_SHARE = 4000
 #: Groups that the per-partition summaries are first merged into.
 MERGE_GROUPS = 64
 
 
+def digest(text_col: str) -> Column:
+    return F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("binary"), 256))
+
+
 def frequent(rows: DataFrame) -> DataFrame:
     """(item, total): hashes of digests that may be frequent, from a two-level merge of Misra-Gries summaries."""
     item = F.xxhash64("__digest")
@@ -58,19 +63,12 @@ def mark_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Null text counts as empty. In a group the largest id stays; null ids are smaller than any other. Of rows
     that repeat one id and text, exactly one is kept. An empty table gives no rows. Other columns are not read.
     """
-    digests = docs.select(
-        F.col(id_col).alias("__id"),
-        F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)).alias("__digest"),
-    ).withColumn("__tag", F.monotonically_increasing_id())
-    rows = stored(digests, "exact-digests").withColumn("__row", F.struct("__id", "__tag"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("__id"), digest(text_col).alias("__digest"))
+    rows = stored(rows.withColumn("__tag", F.monotonically_increasing_id()), "exact-digests").withColumn("__row", F.struct("__id", "__tag"))
     heavy = stored(winners(rows), "exact-winners")
     tagged = rows.join(F.broadcast(heavy), "__digest", "left")
-    group = Window.partitionBy("__digest")
-    light = (
-        tagged.where(F.col("__last").isNull())
-        .withColumn("__size", F.count("*").over(group))
-        .withColumn("__last", F.max("__row").over(group))
-    )
+    rest = tagged.where(F.col("__last").isNull()).drop("__last", "__size")
+    light = rest.join(rest.groupBy("__digest").agg(F.count("*").alias("__size"), F.max("__row").alias("__last")), "__digest")
     return (
         tagged.where(F.col("__last").isNotNull())
         .unionByName(light)
@@ -88,32 +86,21 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of docs that stay, with all their columns; the same rules as mark_exact_duplicates.
 
     Winners are settled map-side: only the row with the winner's id goes on, and rows that repeat that id and
-    text are pre-aggregated to one. The rest is ranked within its digest after one shuffle.
+    text are pre-aggregated to one. The rest is ranked within its digest; each map task sends one row of a digest
+    at most to that shuffle.
     """
-    columns = docs.columns
-    keyed = docs.withColumn(
-        "__digest", F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256))
-    )
-    rows = stored(
-        keyed.select("__digest", F.struct(F.col(id_col).alias("__id"), F.lit(0).alias("__tag")).alias("__row")),
-        "exact-digests",
-    )
+    keyed = packed(docs, __digest=digest(text_col), __key=F.col(f"`{id_col}`"))
+    rows = stored(keyed.select("__digest", F.struct(F.col("__key").alias("__id"), F.lit(0).alias("__tag")).alias("__row")), "exact-digests")
     heavy = stored(winners(rows), "exact-winners")
     tagged = keyed.join(F.broadcast(heavy), "__digest", "left")
     settled = (
-        tagged.where(F.col("__last").isNotNull() & F.col(id_col).eqNullSafe(F.col("__last.__id")))
+        tagged.where(F.col("__last").isNotNull() & F.col("__key").eqNullSafe(F.col("__last.__id")))
         .groupBy("__digest")
-        .agg(F.first(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("__doc"))
-        .select("__doc.*")
-    )
-    order = Window.partitionBy("__digest").orderBy(F.col(id_col).desc_nulls_last())
-    light = (
-        tagged.where(F.col("__last").isNull())
-        .withColumn("__rank", F.row_number().over(order))
-        .where("__rank = 1")
-        .select(*[F.col(f"`{c}`") for c in columns])
+        .agg(F.first("__doc").alias("__doc"))
     )
-    return settled.unionByName(light)
+    order = Window.partitionBy("__digest").orderBy(F.col("__key").desc_nulls_last())
+    light = tagged.where(F.col("__last").isNull()).withColumn("__rank", F.row_number().over(order)).where("__rank = 1")
+    return unpacked(settled.select("__doc").unionByName(light.select("__doc")))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

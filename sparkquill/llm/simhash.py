@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkquill.llm.common import stored, table, text_chunks
+from sparkquill.llm.common import packed, stored, table, text_chunks, unpacked
 
 K = 3
 RING = 4
@@ -21,6 +21,8 @@ SHINGLE = 3
 SEED = 42
 #: A class with a HOT-th of all rows is settled by broadcast; there are at most HOT of them.
 HOT = 500
+#: Fingerprints of one chain that a join task meets at once; a chain with more is dealt to several.
+CROWD = 4096
 #: Shingles whose bits are counted at once.
 SLICE = 1 << 17
 
@@ -85,16 +87,20 @@ def links(nodes: DataFrame) -> DataFrame:
     chains = F.explode(F.array(*[chain(F.col("__fp"), i) for i in range(RING)])).alias("__chain")
     flips = F.explode(F.array(*[F.lit(x).cast("bigint") for x in (0, *(1 << b for b in range(WIDTH)))])).alias("__flip")
     plain = nodes.select(F.col("__fp").alias("b"), chains)
+    # a chain that many fingerprints share is dealt to parts of CROWD of them; whoever tries it meets every part
+    crowded = stored(plain.groupBy("__chain").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("__chain", F.ceil(F.col("n") / CROWD).alias("parts")), "crowded")
+    plain = plain.join(crowded, "__chain", "left").select("b", "__chain", F.coalesce(F.pmod(F.xxhash64("b"), "parts"), F.lit(0)).alias("__part"))
     tried = (
         nodes.select(F.col("__fp").alias("a"), chains)
         .select("a", "__chain", flips)
         .select("a", F.col("__chain").bitwiseXOR(F.col("__flip")).alias("__chain"))
     )
+    tried = tried.join(crowded, "__chain", "left").select("a", "__chain", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)) - 1)).alias("__part"))
     apart = F.col("a").bitwiseXOR(F.col("b"))
     at = F.shiftrightunsigned(F.col("__chain"), 2 * WIDTH)
     near = [in_chain(apart, at, n) <= n * K // RING for n in range(3, RING)]
     return (
-        tried.join(plain, "__chain")
+        tried.join(plain, ["__chain", "__part"])
         .where(F.col("a") < F.col("b"))
         .where(near[0])
         .where(F.bit_count(apart) <= K)
@@ -170,9 +176,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without rows whose component has a row of smaller id (ties: by a hash of the text; full repeats share a fate)."""
-    lost = classes(docs, id_col, text_col).where(own() != F.col("__first")).select("__id", "__key").distinct()
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__key"))
-    return docs.join(lost, same, "left_anti")
+    return without(docs, classes(docs, id_col, text_col), id_col, text_col)
+
+
+def without(docs: DataFrame, of: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows that `of` (__id, __key, __first) says aren't the first of their class."""
+    lost = of.where(own() != F.col("__first")).select("__id", "__key").distinct()
+    rows = packed(docs, __i=F.col(f"`{id_col}`"), __k=F.xxhash64(F.col(f"`{text_col}`")))
+    return unpacked(rows.join(lost, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key")), "left_anti"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
