@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sparkquill.llm.common import table, text_chunks
+from sparkquill.llm.common import packed, table, text_chunks, unpacked
 
 WINDOW, EMBED = 256, 8
 #: Filters of each width in bytes.
@@ -128,24 +129,25 @@ def held_out(id_col: str):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """Fits a network to TEXTS_EACH texts of each language, WINDOWS_EACH windows of each; None without labelled texts.
 
-    The texts are those with the least hash of their id, of rows that aren't held out. Only windows come to the driver.
+    The texts are those with the least hashes of id and text, of rows that aren't held out; rows that repeat both count as one, so
+    the bound holds whatever repeats. It grows with the number of languages alone: TEXTS_EACH * WINDOWS_EACH * WINDOW bytes of each
+    (512 KB) come to the driver, and nothing else.
     """
     import numpy as np
 
-    usable = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull() & ~held_out(id_col))
-    order = [F.xxhash64("__id"), F.col("__id")]
-    chosen = usable.select(
+    usable = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull() & ~held_out(id_col)).select(
         F.col(f"`{lang_col}`").alias("__lang"),
-        F.col(f"`{id_col}`").alias("__id"),
-        F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("__g"),
+        F.xxhash64(F.col(f"`{id_col}`")).alias("__h"),
+        F.xxhash64(F.col(f"`{text_col}`")).alias("__t"),
+        F.col(f"`{text_col}`").alias("__text"),
     )
+    chosen = usable.select("__lang", "__h", "__t", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("__g"))
     for by in (["__lang", "__g"], ["__lang"]):  # of each group of partitions first, so that a common language isn't one task
-        rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("__h", "__t"))
         chosen = chosen.withColumn("__rank", rank).where(F.col("__rank") <= TEXTS_EACH).drop("__rank")
-    chosen = chosen.select("__id").distinct()
-    texts = usable.join(F.broadcast(chosen), F.col(f"`{id_col}`") == F.col("__id"), "left_semi").select(
-        F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")
-    )
+    chosen = chosen.select("__lang", "__h", "__t").distinct()
+    texts = usable.join(chosen, ["__lang", "__h", "__t"], "left_semi").groupBy("__lang", "__h", "__t").agg(F.first("__text").alias("__text"))
+    texts = texts.select("__lang", "__text")
 
     def run(batches):
         import pyarrow as pa
@@ -222,17 +224,17 @@ def keep_identified(
     """Rows of docs, with all columns, whose text's language is told with a score of `least` or more.
 
     Rejected: null texts, texts without a letter, texts that are like no language learned. A declared language
-    decides nothing. Null ids, repeated rows and other columns are passed on.
+    decides nothing. Null ids, repeated rows and other columns, whatever their names, are passed on; an empty table gives none.
     """
     network = train(docs, id_col, text_col, lang_col)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    last = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(f"`{text_col}`"))
+    # the text stands beside the packed row, as it is what the tasks read
+    rows = packed(docs, __text=F.col(f"`{text_col}`"))
 
     def run(batches):
         import pyarrow as pa
 
         for part in text_chunks(batches, 1 << 20):
-            langs, scores = answers(network, part.column(part.num_columns - 1))
-            yield part.filter(pa.array((langs != UNKNOWN) & (scores >= least)))
+            langs, scores = answers(network, part.column(1))
+            yield part.select([0]).filter(pa.array((langs != UNKNOWN) & (scores >= least)))
 
-    return last.mapInArrow(run, last.schema).select(*columns)
+    return unpacked(rows.mapInArrow(run, T.StructType([rows.schema[0]])))

@@ -19,6 +19,8 @@ SYMBOLS = b"#$%&*+<=>@\\^_`{|}~[]/"
 #: Least and largest weight of a prior, in documents.
 WEIGHTS = (2.0, 1000.0)
 GOOD = 0.5
+#: A site with a HOT-th of all rows is met by broadcast.
+HOT = 500
 FEATURES = 14
 
 
@@ -72,26 +74,34 @@ def fit(x, y, rounds: int = 25, ridge: float = 1e-3):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"):
-    """(weights, intercept) from SAMPLE labelled documents whose crc32 of the id mod 3 isn't 1; None if there are none."""
+    """(weights, intercept) from SAMPLE labelled documents whose crc32 of the id mod 3 isn't 1; None if there are none.
+
+    Rows that repeat an id count as one, with the least statistics of theirs, so SAMPLE rows of FEATURES numbers come to the driver at most.
+    """
     import numpy as np
 
+    label, key = F.col(f"`{label_col}`"), F.col(f"`{id_col}`")
     chosen = (
-        labels.where(F.col(label_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 3 != 1))
-        .groupBy(F.col(id_col).alias("__id"))
-        .agg((F.avg(label_col) >= 0.5).cast("double").alias("__y"))
+        labels.where(label.isNotNull() & (F.crc32(key.cast("string")) % 3 != 1))
+        .groupBy(key.alias("__id"))
+        .agg((F.avg(label) >= 0.5).cast("double").alias("__y"))
         .orderBy(F.xxhash64("__id"), "__id")
         .limit(SAMPLE)
     )
-    texts = docs.join(F.broadcast(chosen), F.col(f"`{id_col}`") == F.col("__id")).select("__y", F.col(f"`{text_col}`"))
+    # at most SAMPLE ids
+    texts = docs.select(key.alias("__key"), F.col(f"`{text_col}`").alias("__text")).join(F.broadcast(chosen), F.col("__key") == F.col("__id"))
+    texts = texts.select(F.xxhash64("__key").alias("__h"), "__y", "__text")
+    kept = "h bigint, y double, x array<double>"
 
     def run(batches):
         import pyarrow as pa
 
         for part in text_chunks(batches):
-            found = [features(t) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.float64()))], ["y", "x"])
+            found = [features(t) for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.float64()))], ["h", "y", "x"])
 
-    rows = sorted((r[0], r[1]) for r in texts.mapInArrow(run, "y double, x array<double>").collect())
+    once = texts.mapInArrow(run, kept).groupBy("h").agg(F.min(F.struct("y", "x")).alias("r")).select("r.y", "r.x")
+    rows = sorted((r[0], r[1]) for r in once.collect())
     if not rows:
         return None
     return fit(np.array([r[1] for r in rows]), np.array([r[0] for r in rows]))
@@ -148,7 +158,10 @@ def score_quality(
     both = named.join(shrunk, F.col("g_host").eqNullSafe(F.col("s_host")))
     p_weight = both.agg(strength(F.col("n"), F.col("k"), F.col("host_rate"))).first()[0] or WEIGHTS[0]
     same = F.col("__host").eqNullSafe(F.col("g_host")) & F.col("__path").eqNullSafe(F.col("g_path"))
-    others = rows.join(both, same)
+    # at most HOT sites hold a HOT-th of all rows: these are broadcast and their rows aren't shuffled
+    few = F.broadcast(both.where(F.col("n") * HOT >= F.lit(total[0] or 0)))
+    crowded = rows.join(few, same)
+    others = crowded.unionByName(rows.join(few, same, "left_anti").join(both, same))
     host = (F.col("hk") - F.col("__p") + h_weight * rate) / (F.col("hn") - 1 + h_weight)
     path = (F.col("k") - F.col("__p") + p_weight * F.col("host")) / (F.col("n") - 1 + p_weight)
 
