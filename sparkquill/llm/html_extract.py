@@ -1,10 +1,11 @@
 """Main-text extraction by minimum-cut labelling.
 
-A page is cut into blocks at block-level tags. Each block gets a probability of being content from a logistic
-classifier over its place in the DOM, its links and its words; the costs of either label become capacities from the
-source and to the sink. Blocks that follow each other and blocks with the same parent are joined by smoothness edges. The
-minimum cut, found by augmenting paths, separates content from boilerplate. Marks that settle a block (scripts,
-menus, forms, comments) get capacities that no sum of smoothness edges outweighs.
+A page is cut into blocks at block-level tags. A logistic classifier over a block's place in the DOM, its links and its words gives
+the log-odds of content; these costs become capacities from the source and to the sink. Blocks that follow each other and
+blocks with the same parent are joined by smoothness edges. The minimum cut, found by augmenting paths, separates content from
+boilerplate. All costs are finite: what a page's marks say (menus, forms, class names) is evidence with a fitted weight, which a
+block's own text and its neighbours can outweigh. The classifier is fitted to the labelled pages of `labelled_pages`.
+Only what a browser doesn't show (scripts, styles, hidden elements) is no block at all.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import html
 import math
 import re
 from collections import deque
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +23,8 @@ from sparkquill.llm.common import table, text_chunks
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*>|[^<]+|<", re.S)
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
-HINTS = re.compile(r"\b(class|id|role|hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I | re.S)
+#: One attribute: its whole name, and its value if it has one.
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "object", "canvas"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set(
@@ -32,33 +35,82 @@ BLOCK = set(
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Block tags that close an open paragraph.
 ENDS_P = BLOCK - {"html", "head", "body"}
-AWAY = {"nav", "footer", "aside", "form", "menu", "head", "header", "select", "button", "dialog", "fieldset"}
+AWAY = {"nav", "footer", "aside", "form", "menu", "header", "select", "button", "dialog", "fieldset"}
 HOME = {"article", "main"}
-AWAY_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|"
+#: Words of class names, ids and roles that speak of boilerplate and of content.
+AWAY_WORD = re.compile(
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|"
     r"nav\w*|menu|breadcrumbs?|footer|header|masthead|side-?bar|widget|related|recommend\w*|share|sharing|social|comments?|"
-    r"disqus|replies|respond|login|search|pagination|pager|tags?|toolbar|complementary|navigation|contentinfo)(?:$|[\s_-])",
+    r"disqus|replies|respond|login|search|pagination|pager|tags?|toolbar|complementary|contentinfo",
     re.I,
 )
-HOME_HINT = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|story|main|body-?text|article-?body)(?:$|[\s_-])", re.I)
-#: Weights of the classifier, and capacities: one that settles a block, and those of the smoothness edges.
-WEIGHTS = {"bias": 0.1, "home": 2.5, "home_hint": 1.2, "paragraph": 0.8, "heading": 0.6, "item": -0.6, "links": -3.5, "words": 0.5, "stops": 0.4}
-SURE, FOLLOWS, SIBLINGS = 1e6, 0.5, 0.7
+HOME_WORD = re.compile(r"article|content|entry|post|story|main|text|body", re.I)
+#: A class that begins so tells how the page is laid out, not what the element is.
+LAYOUT = re.compile(r"(?:has|no|is|with|without|hide|show)[-_]", re.I)
+TITLES = {"header", "masthead", "banner"}
+#: Strength of the ridge that keeps fitted weights finite, largest cost of a block, and capacities of the smoothness edges.
+RIDGE, LARGEST, FOLLOWS, SIBLINGS = 0.001, 8.0, 0.3, 1.2
+
+
+class Open:
+    """What is known inside an open tag."""
+
+    __slots__ = ("name", "number", "away", "strong", "weak", "inside", "home", "home_hint")
+
+    def __init__(self, name="", number=0, away=False, strong=False, weak=False, inside=False, home=False, home_hint=False):
+        self.name, self.number, self.away, self.strong, self.weak = name, number, away, strong, weak
+        self.inside, self.home, self.home_hint = inside, home, home_hint
+
+    def child(self, name: str, number: int, said: list[str], gone: bool) -> "Open":
+        """The state in a tag of this name; `said` are its class tokens, id and role."""
+        new = Open(name, number, self.away, self.strong, self.weak, self.inside, self.home, self.home_hint)
+        titled = name == "header" and self.home  # an article's own header holds its title
+        new.away |= name in AWAY and not titled or gone
+        if name in HOME:  # class names outside say little of what is in an article
+            new.home, new.strong, new.weak = True, False, False
+        elif name not in ("html", "body"):
+            for token in said:
+                words = [w for w in re.split(r"[-_]+", token) if w]
+                if LAYOUT.match(token) or not words:
+                    continue
+                away = [bool(AWAY_WORD.fullmatch(w)) and not (self.home and w.lower() in TITLES) for w in words]
+                if self.home:
+                    new.inside |= away[0] or away[-1]
+                else:
+                    # the last word names the element: main-nav is a menu, nav-open is not
+                    new.strong |= away[-1] or bool(AWAY_WORD.fullmatch(token))
+                    new.weak |= away[0]
+                    new.home_hint |= any(HOME_WORD.fullmatch(w) for w in words) and not any(away)
+        return new
 
 
 class Block:
-    __slots__ = ("parts", "tag", "parent", "away", "hint", "home", "home_hint", "linked")
+    __slots__ = ("parts", "tag", "parent", "at", "linked")
+
+    def __init__(self, tag: str, parent: int, at: Open):
+        self.parts, self.tag, self.parent, self.at, self.linked = [], tag, parent, at, 0
 
-    def __init__(self, tag, parent, away, hint, home, home_hint):
-        self.parts, self.tag, self.parent, self.away, self.hint = [], tag, parent, away, hint
-        self.home, self.home_hint, self.linked = home, home_hint, 0
+
+def attributes(token: str, name: str) -> tuple[list[str], bool, bool]:
+    """(class tokens, id and role; whether a browser hides the element; whether it is marked as not for readers)."""
+    said, hidden, mute = [], False, False
+    for m in ATTRIBUTE.finditer(token, len(name) + 1):
+        key, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if key in ("class", "id", "role"):
+            said += value.split()
+        elif key == "hidden":
+            hidden = True
+        elif key == "style":
+            hidden |= "display:none" in value.replace(" ", "").lower()
+        elif key == "aria-hidden":
+            mute = value.strip().lower() == "true"
+    return said, hidden, mute
 
 
 def blocks(page: str) -> list[tuple[Block, str]]:
     """(block, its text) in page order; blocks without text are left out."""
-    # an open tag: (name, number, away, away by a hint, home, home by a hint)
-    stack = [("", 0, False, False, False, False)]
-    out, current, number, links = [], None, 0, 0
+    stack = [Open()]
+    out, current, number, links, unseen = [], None, 0, 0, 0
     at, size, closed_last = 0, len(page), page.rfind(">")
     while at < size:
         rest = at > closed_last
@@ -70,11 +122,12 @@ def blocks(page: str) -> list[tuple[Block, str]]:
             m = TOKEN.match(page, at)
             at, token = m.end(), m.group()
         if rest or token[0] != "<" or token == "<":
+            if unseen:
+                continue
             if current is None:
-                name, parent, away, hint, home, home_hint = stack[-1]
-                tag = next((s[0] for s in reversed(stack) if s[0] in BLOCK), "")
-                holder = next((s[1] for s in reversed(stack[:-1]) if s[0] in BLOCK or not s[0]), 0)
-                current = Block(tag, holder, away, hint, home, home_hint)
+                tag = next((s.name for s in reversed(stack) if s.name in BLOCK), "")
+                holder = next((s.number for s in reversed(stack[:-1]) if s.name in BLOCK or not s.name), 0)
+                current = Block(tag, holder, stack[-1])
                 out.append(current)
             current.parts.append(token)
             if links:
@@ -88,12 +141,14 @@ def blocks(page: str) -> list[tuple[Block, str]]:
             if name in BLOCK:
                 current = None
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    links -= sum(s[0] == "a" for s in stack[i:])
+                if stack[i].name == name:
+                    links -= sum(s.name == "a" for s in stack[i:])
                     del stack[i:]
                     break
-                if name not in BLOCK and stack[i][0] in BLOCK:
+                if name not in BLOCK and stack[i].name in BLOCK:
                     break
+            if unseen > len(stack) - 1:
+                unseen = 0
             continue
         if name in RAW:
             if not token.endswith("/>"):
@@ -104,47 +159,110 @@ def blocks(page: str) -> list[tuple[Block, str]]:
             current = None
             closed = CLOSES.get(name, set()) | ({"p"} if name in ENDS_P else set())
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in closed:
-                    links -= sum(s[0] == "a" for s in stack[i:])
+                if stack[i].name in closed:
+                    links -= sum(s.name == "a" for s in stack[i:])
                     del stack[i:]
                     break
-                if stack[i][0] in BLOCK and stack[i][0] not in closed:
+                if stack[i].name in BLOCK and stack[i].name not in closed:
                     break
+            if unseen > len(stack) - 1:
+                unseen = 0
         if name == "br" and current is not None:
             current.parts.append(" ")
         if name in VOID or token.endswith("/>"):
             continue
-        _, _, away, hint, home, home_hint = stack[-1]
         number += 1
-        said, gone = "", False
-        if len(token) > len(name) + 2:
-            for key, value in HINTS.findall(token):
-                value, key = value.strip("\"'"), key.lower()
-                gone |= key == "hidden" or key == "style" and "display:none" in value.replace(" ", "").lower()
-                said += f" {value}" if key in ("class", "id", "role") else ""
-        heading = name == "header" and home
-        away |= (name in AWAY and not heading) or gone
-        if home and said:  # an article's own header holds its title
-            said = re.sub(r"(?i)header|masthead|banner", "", said)
-        hint |= bool(said and AWAY_HINT.search(said)) and name not in ("html", "body", "article", "main")
-        home |= name in HOME
-        home_hint |= bool(said and HOME_HINT.search(said)) and name not in ("html", "body")
+        said, hidden, mute = attributes(token, name) if len(token) > len(name) + 2 else ([], False, False)
+        stack.append(stack[-1].child(name, number, said, mute))
         links += name == "a"
-        stack.append((name, number, away, hint, home, home_hint))
+        if (hidden or name == "head") and not unseen:
+            unseen = len(stack) - 1  # up to where this tag ends
     found = ((b, " ".join(html.unescape("".join(b.parts)).split())) for b in out)
     return [(b, t) for b, t in found if t]
 
 
-def evidence(block: Block, text: str, has_home: bool) -> float:
-    """Log-odds of content; +-SURE where the page's marks settle it."""
-    if block.away or block.hint or has_home and not block.home:
-        return -SURE
-    words = len(text.split())
-    z = WEIGHTS["bias"] + WEIGHTS["home"] * block.home + WEIGHTS["home_hint"] * block.home_hint
-    z += WEIGHTS["paragraph"] * (block.tag in ("p", "pre", "blockquote", "dd", "figcaption")) + WEIGHTS["heading"] * (block.tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
-    z += WEIGHTS["item"] * (block.tag in ("li", "td")) + WEIGHTS["links"] * min(1.0, block.linked / max(1, len(text)))
-    z += WEIGHTS["words"] * math.log1p(words) / 2 + WEIGHTS["stops"] * min(3, sum(text.count(c) for c in ".!?"))
-    return z
+FEATURES = (
+    "bias", "home", "outside", "home_hint", "away", "strong", "weak", "inside", "paragraph", "heading", "item", "links", "words", "sentences", "short",
+)
+ENDS = re.compile(r"[.!?…。！？](?:\s|$|[\"'”’)])")
+
+
+def features(found: list[tuple[Block, str]]) -> list[list[float]]:
+    """A row of FEATURES for each block of a page. `outside` is the share of the page's text that lies in its articles, for blocks that don't."""
+    total = sum(len(t) for _, t in found) or 1
+    share = sum(len(t) for b, t in found if b.at.home and not b.at.away) / total
+    rows = []
+    for b, t in found:
+        at, words, ends = b.at, len(t.split()), len(ENDS.findall(t))
+        home = at.home and not at.away
+        rows.append([
+            1.0, float(home), share * (not home), float(at.home_hint and not home), float(at.away), float(at.strong), float(at.weak and not at.strong), float(at.inside),
+            float(b.tag in ("p", "pre", "blockquote", "dd", "figcaption")), float(b.tag in ("h1", "h2", "h3", "h4", "h5", "h6")), float(b.tag in ("li", "td", "th", "dt")),
+            min(1.0, b.linked / max(1, len(t))), math.log1p(words) / 2, min(3, ends) / 3, float(words <= 4 and not ends),
+        ])
+    return rows
+
+
+#: Pages for the classifier. [+n] is a content block of n words in sentences, [-n] a block of boilerplate; a ! after n means that no sentence ends.
+PAGES = (
+    "<body><header><a href=x>[-2!]</a></header><nav><ul><li><a href=x>[-1!]</a><li><a href=x>[-2!]</a></ul></nav><div class=ad>[-12]</div><article><h1>[+9!]</h1><p>[+60]</p><p>[+4]</p><p>[+120]</p></article><footer>[-14]</footer></body>",
+    "<nav><a href=x>[-1!]</a></nav><div class='sidebar'><p>[-20]</p><a href=x>[-5!]</a></div><main><h1>[+6!]</h1><p>[+80]</p><h2>[+3!]</h2><p>[+30]</p><ul><li>[+6!]<li>[+14]</ul></main><div class=footer>[-9!]</div>",
+    "<div id=header>[-4!]</div><div id=nav><ul><li><a href=x>[-1!]</a><li><a href=x>[-1!]</a></ul></div><div id=content><h1>[+7!]</h1><p>[+45]</p><p>[+7]</p><p>[+90]</p></div><div id=comments><p>[-25]</p><p>[-10]</p></div><div id=footer>[-8!]</div>",
+    "<div class='container has-sidebar'><article><h1>[+8!]</h1><p>[+50]</p><p>[+5]</p><aside>[-15]</aside><form>[-6]<button>[-1!]</button></form><p>[+70]</p></article></div><footer>[-10]</footer>",
+    "<article class='post hentry tag-news'><header><h1>[+10!]</h1></header><p>[+35]</p><blockquote>[+20]</blockquote><p>[+66]</p><div class=comments><p>[-30]</p><p>[-12]</p></div><div class='share-buttons'><a href=x>[-1!]</a></div></article>",
+    "<table><tr><td><a href=x>[-2!]</a><td><a href=x>[-2!]</a></tr></table><div><p>[+40]</p><p>[+6]</p><p>[+85]</p></div><div><a href=x>[-3!]</a></div><div>[-5!]</div>",
+    "<div><a href=x>[-2!]</a><a href=x>[-3!]</a></div><div><h1>[+6!]</h1><p>[+30]</p><p>[+12]</p><pre>[+20!]</pre><p>[+55]</p></div><div><p><a href=x>[-8!]</a></p><p><a href=x>[-7!]</a></p></div><div>[-6!]</div>",
+    "<div class='related'><article><h3><a href=x>[-7!]</a></h3></article></div><div class='story-body'><p>[+90]</p><p>[+8]</p><p>[+75]</p><p>[+40]</p></div><div class='cookie-notice'><p>[-18]</p></div>",
+    "<div class='nav-open'><div class='page-wrap'><main><p>[+44]</p><p>[+3]</p><div class='comment-list'><p>[-22]</p></div><div class='newsletter'><p>[-14]</p></div></main></div></div>",
+    "<body><p>[+25]</p><p>[+60]</p><p>[+6]</p></body>",
+    "<div class='promo-banner'><p>[-11]</p></div><div><dl><dt>[+2!]<dd>[+18]<dt>[+2!]<dd>[+25]</dl><p>[+33]</p></div><div><ul><li><a href=x>[-3!]</a><li><a href=x>[-4!]</a></ul></div><div>[-7!]</div>",
+    "<section class=content><h2>[+5!]</h2><p>[+70]</p><figure><figcaption>[+9]</figcaption></figure><p>[+28]</p></section><section><h2>[-2!]</h2><ul><li><a href=x>[-6!]</a><li><a href=x>[-5!]</a></ul></section>",
+    "<div class=top-menu><a href=x>[-1!]</a></div><article><p>[+5]</p><p>[+150]</p><ul><li>[+8]<li>[+3!]</ul><div class='ad-slot'>[-9]</div><p>[+24]</p><div class=tags><a href=x>[-1!]</a></div></article><article><p>[+64]</p></article>",
+    "<div><div>[+55]</div><div>[+90]</div><div>[+22]</div></div><div><div>[-3!]</div><div><a href=x>[-2!]</a></div></div>",
+    "<div><span>[-2!]</span></div><div>[+130]</div><div>[-5!]</div><div>[-3!]</div>",
+    "<div><div>[-4!]</div><div>[-2!]</div></div><div><div>[+38]</div><div>[+75]</div><div>[+16]</div></div>",
+    "<div role=navigation><a href=x>[-2!]</a></div><div><p>[+52]</p><p>[+9]</p></div><div aria-hidden=true>[-3!]</div><div role=contentinfo>[-12]</div>",
+)
+MARK = re.compile(r"\[([+-])(\d+)(!?)\]")
+#: Signs that carry a label through the cutting into blocks.
+CONTENT, OTHER = "\ue001", "\ue000"
+
+
+def labelled_pages(pages=PAGES) -> list[tuple[list[tuple[Block, str]], list[bool]]]:
+    """(blocks, labels) of each page."""
+
+    def words(m) -> str:
+        n = int(m[2])
+        ends = "" if m[3] else "."
+        return (CONTENT if m[1] == "+" else OTHER) + " ".join("word" + (ends if i == n - 1 or i % 12 == 11 else "") for i in range(n))
+
+    out = []
+    for page in pages:
+        found = blocks(MARK.sub(words, page))
+        out.append(([(b, t.strip(CONTENT + OTHER)) for b, t in found], [t[0] == CONTENT for _, t in found]))
+    return out
+
+
+@lru_cache
+def weights() -> tuple[float, ...]:
+    """Weights of FEATURES: logistic regression with a ridge, by Newton's method, over all blocks of the labelled pages."""
+    import numpy as np
+
+    pages = labelled_pages()
+    x = np.array([row for found, _ in pages for row in features(found)])
+    y = np.array([float(v) for _, labels in pages for v in labels])
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        slope = x.T @ (p - y) / len(y) + RIDGE * w
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(y) + RIDGE * np.eye(len(w)), slope)
+    return tuple(float(v) for v in w)
+
+
+def evidence(found: list[tuple[Block, str]]) -> list[float]:
+    """Log-odds of content of each block, no larger than LARGEST either way."""
+    w = weights()
+    return [max(-LARGEST, min(LARGEST, sum(a * b for a, b in zip(w, row)))) for row in features(found)]
 
 
 def minimum_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -194,8 +312,8 @@ def minimum_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list
 
 
 def label(found: list[tuple[Block, str]]) -> list[bool]:
-    has_home = any(b.home and not b.away and not b.hint for b, _ in found)
-    costs = [evidence(b, t, has_home) for b, t in found]
+    """Which blocks are content: the labelling whose costs and smoothness edges between different labels are least in sum."""
+    costs = evidence(found)
     if all(z > 0 for z in costs) or all(z <= 0 for z in costs):
         return [z > 0 for z in costs]
     edges, last = [], {}
@@ -207,8 +325,6 @@ def label(found: list[tuple[Block, str]]) -> list[bool]:
         elif b.parent in last:
             edges[-1] = (i - 1, i, FOLLOWS + SIBLINGS)
         last[b.parent] = i
-    # settled blocks between others keep their side, so a smoothness edge between two of them on one side is moot
-    edges = [(a, b, c) for a, b, c in edges if not (abs(costs[a]) >= SURE and abs(costs[b]) >= SURE)]
     return minimum_cut(costs, edges)
 
 
