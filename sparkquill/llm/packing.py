@@ -10,6 +10,7 @@ and a join with the plan's rank intervals gives each piece its sequence and offs
 
 from __future__ import annotations
 
+import json
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -118,8 +119,14 @@ def tokenizer(ranks: str, pattern: str, special: tuple[tuple[str, int], ...]) ->
     return _tokenizers[ranks]
 
 
-def cut_pieces(docs: DataFrame, ranks: str, pattern: str, special, id_col: str, text_col: str) -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens): full windows of each document, and what remains."""
+def special_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """Added tokens of a tokenizers .json, which the library takes whole wherever a text has them."""
+    with open(path, encoding="utf-8") as f:
+        return tuple((t["content"], t["id"]) for t in json.load(f)["added_tokens"])
+
+
+def cut_pieces(docs: DataFrame, ranks: str, pattern: str, special, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
+    """(id, start, length, ids_crc32, doc_tokens, perhaps ids): full windows of each document, and what remains."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -138,13 +145,15 @@ def cut_pieces(docs: DataFrame, ranks: str, pattern: str, special, id_col: str,
             length = np.minimum(totals[row] - start, CAPACITY)
             at = 4 * (bounds[row] + start)
             crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(row)), *(pa.array(x, pa.int64()) for x in (start, length, crc, totals[row]))],
-                ["__id", "start", "length", "ids_crc32", "doc_tokens"],
-            )
+            columns = [part.column(0).take(pa.array(row)), *(pa.array(x, pa.int64()) for x in (start, length, crc, totals[row]))]
+            if with_ids:
+                ends = np.concatenate([bounds[row] + start, bounds[-1:]]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    return rows.mapInArrow(run, f"__id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    names = ["__id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
+    return rows.mapInArrow(run, f"__id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids)
 
 
 def fullest(counts: dict[int, int], seed: int, capacity: int) -> dict[int, int]:
@@ -195,14 +204,14 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tu
 
 
 def pack(
-    docs: DataFrame, ranks: str, pattern: str, special=(("<|endoftext|>", 50256),), id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, ranks: str, pattern: str, special: tuple[tuple[str, int], ...], id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
 ) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with `with_ids` the piece's ids.
 
     Null and empty texts are the end id alone. Null ids and repeated rows are packed like any other; an empty
     table gives no rows; other columns are not read.
     """
-    pieces = stored(cut_pieces(docs, ranks, pattern, special, id_col, text_col), "pieces")
+    pieces = stored(cut_pieces(docs, ranks, pattern, special, id_col, text_col, with_ids), "pieces")
     rest = pieces.where(F.col("length") < CAPACITY).withColumn(
         "salt", F.pmod(F.xxhash64("__id", "doc_tokens", "ids_crc32"), F.lit(SALTS)).cast("int")
     )
@@ -232,6 +241,8 @@ def pack(
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+    """Ids are those of byte_bpe_50k.json: its ranks come from the .tiktoken file of the same vocabulary, its special tokens from the .json itself."""
+    import public_tokenizers as p
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    special = special_tokens(p.path("byte_bpe_50k.json"))
+    return pack(table(spark, sf_dir, "documents"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN, special)

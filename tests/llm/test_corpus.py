@@ -14,7 +14,9 @@ import public_tokenizers
 from sparkquill.llm import exact_dedup, html_extract, langid, packing, quality, secret_scan, sentencepiece_lattice, simhash, token_counts, topk
 
 SMALL = "/root/testdata/sf0.001"
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, digest string, __group int"
+#: Columns besides, with the names that the operators use inside.
+CLASHES = "__id __doc __digest __last __found __key __fp __text __tag __blob __spans __clean __row __rank __i __k __h __lang found blob span rank pos n unit h".split()
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in CLASHES)
 WORDS = "the of and over rain token stone green light paper river under seven little words ".split()
 
 
@@ -31,7 +33,7 @@ def texts():
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i, t, g, "s", len(t or ""), "clash", 1) for i, t, g in texts()]
+    rows = [(i, t, g, "s", len(t or ""), *CLASHES) for i, t, g in texts()]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
@@ -57,6 +59,7 @@ def test_exact_dedup(docs, empty):
         assert {r.keep_id for r in rows} == {max((i for i in ids if i is not None), default=None)}
     left = exact_dedup.drop_exact_duplicates(docs)
     assert left.columns == docs.columns and left.count() == len(groups)
+    assert {tuple(r[c] for c in CLASHES) for r in left.collect()} == {tuple(CLASHES)}
     assert exact_dedup.mark_exact_duplicates(empty).count() == exact_dedup.drop_exact_duplicates(empty).count() == 0
 
 
@@ -103,7 +106,7 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    args = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    args = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, packing.special_tokens(public_tokenizers.path("byte_bpe_50k.json"))
     got = packing.pack(docs, *args).collect()
     known = {i: np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4") for i, t, _ in texts()}
     for r in got:
@@ -117,6 +120,8 @@ def test_packing(docs, empty):
             at += r.length
         assert at <= packing.CAPACITY
     assert packing.pack(empty, *args).count() == 0
+    for r in packing.pack(docs, *args, with_ids=True).collect():
+        assert r.ids == known[r.doc_id][r.start : r.start + r.length].tolist()
 
 
 def test_unit_cache_agrees_with_the_library_on_odd_texts():
@@ -248,7 +253,6 @@ def test_secret_scan(spark, docs, empty, tmp_path):
         assert not spans(r.text or "") and (r.doc_id in (12, 13) or (r.doc_id, r.text) in {(i, t) for i, t, _ in texts()})
     assert secret_scan.find_secrets(empty).count() == secret_scan.redact_secrets(empty).count() == 0
     path = f"file://{tmp_path}/ledger"
-    secret_scan.open_ledger(spark, None).write.parquet(path)
     first = secret_scan.find_secrets(docs, ledger_path=path).count()
     seen = spark.read.parquet(path).count()
     assert secret_scan.find_secrets(docs, ledger_path=path).count() == first and spark.read.parquet(path).count() == seen
@@ -297,22 +301,42 @@ def test_pipeline_against_brute_force(spark):
     for i, t in known.items():
         best[lower(t)] = max(i, best.get(lower(t), i))
     ids = sorted(best.values())
-    prints = np.array([simhash.fingerprint(known[i]) for i in ids], dtype=np.uint64)
-    root = list(range(len(ids)))
-    for _ in range(5):
-        for a in range(len(ids)):
-            near = np.flatnonzero(np.bitwise_count(prints ^ prints[a]) <= 3)
-            least = min(root[b] for b in near)
-            for b in near:
-                root[b] = least
+
+    def grams(text):
+        w = lower(text).encode().split()
+        return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [grams(known[i]) for i in ids], list(range(len(ids)))
+    pairs = [(a, b) for a in range(len(ids)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in ids:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
     kept = {i for n, i in enumerate(ids) if root[n] == n}
+    assert pairs and len(kept) < len(ids)
     rows = corpus_pipeline.run(spark, SMALL).collect()
     assert {r.doc_id for r in rows} == kept
     totals = {r.doc_id: r.doc_tokens for r in rows}
-    assert sum(r.length for r in rows) == sum(totals.values())
+    assert sum(r.length for r in rows) == sum(totals.values()) and all(len(r.ids) == r.length for r in rows)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "secret_scan", "packing"]
 
 
+@pytest.mark.parametrize("name", ["language_id", "exact_dedup", "near_dedup", "secret_scan", "packing"])
+def test_stages_on_odd_and_empty_tables(spark, docs, empty, name):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    left = stage(spark, docs, "")
+    assert name == "packing" or left.columns == docs.columns
+    assert {r.doc_id for r in left.collect()} <= {i for i, _, _ in texts()} and stage(spark, empty, "").count() == 0
+
+
+def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("name", ["op1_exact_dedup", "op3_top_k", "op9_secret_scan"])
 def test_sql(spark, name):
     import os
