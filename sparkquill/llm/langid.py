@@ -146,7 +146,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         rank = F.row_number().over(Window.partitionBy(*by).orderBy("__h", "__t"))
         chosen = chosen.withColumn("__rank", rank).where(F.col("__rank") <= TEXTS_EACH).drop("__rank")
     chosen = chosen.select("__lang", "__h", "__t").distinct()
-    texts = usable.join(chosen, ["__lang", "__h", "__t"], "left_semi").groupBy("__lang", "__h", "__t").agg(F.first("__text").alias("__text"))
+    # keys of TEXTS_EACH texts of each language, 24 bytes and the language's name each: the same bound as that of the driver's sample
+    texts = usable.join(F.broadcast(chosen), ["__lang", "__h", "__t"], "left_semi").groupBy("__lang", "__h", "__t").agg(F.first("__text").alias("__text"))
     texts = texts.select("__lang", "__text")
 
     def run(batches):
