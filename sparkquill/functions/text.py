@@ -16,17 +16,27 @@ REDACTIONS = (
 DENIED = (r"(?i)\bfabricat\w*\b", r"(?i)\bfake\b", r"(?i)\b(?:lied|lying|liar)\b", r"(?i)\bAI[ -]?generated\b", r"(?i)\b(?:cheated|cheating|cheater)\b")
 
 
-def squash(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+#: White space of Unicode, and the separators \x1c to \x1f.
+SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: The same for DuckDB's patterns.
+SPACE_SQL = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# fixed values: characters of a page that count as plain quotes and dashes
+PAGE_SINGLE, PAGE_DOUBLE, PAGE_DASH = "\u2018\u2019\u201a\u201b", "\u201c\u201d\u201e\u201f", "\u2010\u2011\u2012\u2013\u2014\u2212"
+PAGE_FROM = PAGE_SINGLE + PAGE_DOUBLE + PAGE_DASH
+PAGE_TO = "'" * len(PAGE_SINGLE) + '"' * len(PAGE_DOUBLE) + "-" * len(PAGE_DASH)
+
 
+def strip(text: Column) -> Column:
+    """Without white space at the ends, line breaks and tabs too."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
-def normal_form(text: Column) -> Column:
-    """Lower case, one space for white space, none at the ends."""
-    return F.lower(squash(text))
+
+def squash(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
 def match_key(text: Column) -> Column:
-    return F.lower(F.regexp_replace(text, r"\s+", ""))
+    return F.lower(F.regexp_replace(text, f"{SPACE}+", ""))
 
 
 def discovery_form(text: Column) -> Column:
@@ -39,9 +49,8 @@ def docket_key(text: Column) -> Column:
 
 def page_form(text: Column) -> Column:
     """Words broken over lines joined, dashes and quotes plain, white space squashed."""
-    joined = F.regexp_replace(text, r"[-‐‑][\r\n](\p{L})", "$1")
-    plain = F.translate(joined, "‘’‛′“”‟″‐‑‒–—―−", "''''\"\"\"\"-------")
-    return squash(plain)
+    joined = F.regexp_replace(text, r"[-\u2010\u2011][\r\n](\p{L})", "$1")
+    return squash(F.translate(joined, PAGE_FROM, PAGE_TO))
 
 
 def redact(text: Column) -> Column:

@@ -27,12 +27,33 @@ def is_issue(verdict: Column) -> Column:
     return ~F.coalesce(verdict, F.lit("")).isin(*POSITIVE)
 
 
+# fixed values: verdicts that are shown in words of their own
+LABELS = {
+    "NOT_FOUND_ANYWHERE": "Could not be located after the available checks",
+    "NOT_IN_DATABASE": "Could not be located in CourtListener",
+    "NOT_FOUND_IN_SOURCE": "The quoted language does not appear in the source material reviewed",
+    "ALTERED": "The quoted language differs from the source material reviewed",
+    "PARAPHRASE_IN_QUOTES": "The quoted language appears similar to, but differs from, source language",
+    "CONTRADICTS": "The source passages point in a different direction",
+    "NOT_ADDRESSED": "The source passages reviewed do not address this point",
+    "UNVERIFIABLE": "The available material did not allow verification",
+    "SOURCE_UNAVAILABLE": "The source material was unavailable for this comparison",
+    "AMBIGUOUS": "More than one possible source remained",
+    "WEAKLY_CORROBORATED": "A matching mention was found, but the source was not verified",
+}
+
+
 def label(verdict: Column) -> Column:
-    """The code in words: underscores become spaces and only the first letter is a capital."""
+    """A verdict in its own words, or its code with spaces for underscores and a first capital alone."""
+    known = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
     words = F.lower(F.replace(verdict, F.lit("_"), F.lit(" ")))
-    return F.concat(F.upper(F.substring(words, 1, 1)), F.expr("substring(" + "lower(replace(verdict, '_', ' '))" + ", 2)"))
+    return F.coalesce(known[verdict], F.concat(F.upper(F.left(words, F.lit(1))), F.substring(words, F.lit(2), F.length(words))))
 
 
+LABEL_SQL = (
+    "CASE verdict " + " ".join(f"WHEN '{code}' THEN '{words}'" for code, words in LABELS.items())
+    + " ELSE upper(substr(verdict, 1, 1)) || lower(replace(substr(verdict, 2), '_', ' ')) END"
+)
 RANK_SQL = """CASE WHEN verdict IN ('VERIFIED','VERIFIED_OFFICIAL','VERBATIM','VERBATIM_WITH_PERMITTED_ALTERATIONS','SUPPORTS') THEN 1
   WHEN verdict IN ('NOT_IN_DATABASE','UNRECOGNIZED','PENDING','SOURCE_UNAVAILABLE','UNVERIFIABLE','') THEN 2
   WHEN verdict IN ('NOT_FOUND_ANYWHERE','NOT_FOUND_IN_SOURCE','CONTRADICTS') THEN 4 ELSE 3 END"""

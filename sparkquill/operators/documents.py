@@ -24,28 +24,29 @@ def query(sql: str | None = None):
 
 def paragraphs(docs: DataFrame, separator: str = r"\n\s*\n+", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, para_no, text): trimmed, non-empty paragraphs, numbered from 1."""
-    parts = F.filter(F.transform(F.split(text_col, separator), lambda x: F.trim(x)), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text_col, separator), T.strip), lambda x: x != "")
     return docs.select(id_col, F.posexplode(parts).alias("para_no", "text")).withColumn("para_no", F.col("para_no") + 1)
 
 
 @query(
-    """SELECT doc_id, i::INT AS para_no, sha256(p[i]) AS sha256 FROM (SELECT doc_id,
-    list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents), unnest(range(1, len(p) + 1)) AS r(i)"""
+    r"""SELECT doc_id, i::INT AS para_no, sha256(p[i]) AS sha256 FROM (SELECT doc_id,
+    list_filter(list_transform(string_split_regex(text, '\n\s*\n+'), lambda x: regexp_replace(x, '^"""
+    + T.SPACE_SQL + "+|" + T.SPACE_SQL + """+$', '', 'g')), lambda x: x <> '') AS p FROM documents), unnest(range(1, len(p) + 1)) AS r(i)"""
 )
 def paragraph_split(spark: SparkSession, d: str) -> DataFrame:
-    rows = paragraphs(read(spark, d, "documents"), "\n")
+    rows = paragraphs(read(spark, d, "documents"))
     return rows.select("doc_id", "para_no", F.sha2("text", 256).alias("sha256"))
 
 
 @query(
-    """WITH l AS (SELECT source AS doc, doc_id AS page, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p
-    FROM documents), e AS (SELECT doc, page, lower(unnest([p[1], p[-1]])) AS line FROM l)
+    """WITH l AS (SELECT source AS doc, doc_id AS page, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^"""
+    + T.SPACE_SQL + "+|" + T.SPACE_SQL + """+$', '', 'g')), lambda x: x <> '') AS p FROM documents), e AS (SELECT doc, page, lower(unnest([p[1], p[-1]])) AS line FROM l)
     SELECT doc, line, count(DISTINCT page) AS pages FROM e WHERE length(line) >= 4 AND NOT regexp_full_match(line, '\\d{1,3}')
     GROUP BY ALL HAVING count(DISTINCT page) >= 2"""
 )
 def repeated_lines(spark: SparkSession, d: str) -> DataFrame:
     """First or last lines that two or more pages of a document share."""
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), T.strip), lambda x: x != "")
     edges = read(spark, d, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), lines.alias("p")).where(F.size("p") > 0)
     edges = edges.select("doc", "page", F.explode(F.array(F.element_at("p", 1), F.element_at("p", -1))).alias("line"))
     edges = edges.withColumn("line", F.lower("line")).where((F.length("line") >= 4) & ~F.col("line").rlike(r"^\d{1,3}$"))
@@ -53,8 +54,9 @@ def repeated_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(text, '[-‐‑][\\r\\n](\\p{L})', '\\1', 'g'), '[ \\t\\n\\f\\r\\v]+', ' ', 'g'))) AS normal,
-    sha256(lower(regexp_replace(text, '[ \\t\\n\\f\\r\\v]+', '', 'g'))) AS key,
+    rf"""SELECT doc_id, sha256(trim(translate(regexp_replace(regexp_replace(text, '[-‐‑][\r\n](\p{{L}})', '\1', 'g'), '{T.SPACE_SQL}+', ' ', 'g'),
+    '{T.PAGE_FROM}', '{T.PAGE_TO.replace("'", "''")}'))) AS normal,
+    sha256(lower(regexp_replace(text, '{T.SPACE_SQL}+', '', 'g'))) AS key,
     length(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS docket_chars,
     sha256(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS discovery FROM documents"""
 )
@@ -120,16 +122,36 @@ def url_policy(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", may.alias("may_fetch"))
 
 
+# fixed values: points of a candidate for the case's name, a party, its year, its official host and a direct link
+POINTS = {"name": 100, "party": 200, "year": 20, "host": 50, "direct": 1000}
+
+
+def priority(title: Column, url: Column, name: Column, parties: Column, year: Column, domain: Column, direct: Column) -> Column:
+    """Points of a search result for a citation; `parties` and `direct` (addresses) are arrays. Nulls give none."""
+    hay = T.discovery_form(F.concat_ws(" ", title, url))
+    has = lambda c: F.coalesce((T.discovery_form(c) != "") & hay.contains(T.discovery_form(c)), F.lit(False))
+    facts = {
+        "name": has(name), "party": F.coalesce(F.exists(parties, has), F.lit(False)), "year": F.coalesce(hay.contains(year.cast("string")), F.lit(False)),
+        "host": F.coalesce(T.host(url) == F.lower(domain), F.lit(False)), "direct": F.coalesce(F.array_contains(direct, url), F.lit(False)),
+    }
+    return sum((F.when(fact, POINTS[k]).otherwise(0) for k, fact in facts.items()), F.lit(0))
+
+
 @query(
-    f"""WITH p AS (SELECT page_id, url, {HOST_SQL} AS h, page_id % 20 AS q FROM pages),
-    r AS (SELECT q, page_id, 50 * (suffix(h, '.org'))::INT + 20 * (url LIKE '%/en/%')::INT + 100 * (h LIKE 'm.%')::INT AS priority FROM p)
+    f"""WITH p AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, {HOST_SQL} AS h, page_id // 10 AS q FROM pages),
+    f AS (SELECT *, trim(regexp_replace(lower(title || ' ' || url), '[^a-z0-9]+', ' ', 'g')) AS hay FROM p),
+    r AS (SELECT q, page_id, 100 * contains(hay, 'the')::INT + 200 * (contains(hay, 'blog') OR contains(hay, 'page 2'))::INT + 20 * contains(hay, (q + 100)::VARCHAR)::INT
+      + 50 * coalesce(h = 'm.therou.example.com', false)::INT + 1000 * (url = 'https://m.therou.example.com/en/474.html')::INT AS priority FROM f)
     SELECT q, page_id, priority, n AS pos FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY priority DESC, page_id) AS n FROM r) WHERE n <= 5"""
 )
 def candidate_priority(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of each search in order of priority, up to the budget of five fetches."""
-    h, url = T.host(F.col("url")), F.col("url")
-    points = 50 * F.coalesce(h.endswith(".org"), F.lit(False)).cast("int") + 20 * url.contains("/en/").cast("int") + 100 * h.startswith("m.").cast("int")
-    rows = read(spark, d, "pages").select((F.col("page_id") % 20).alias("q"), "page_id", points.alias("priority"))
+    title, q = F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.floor(F.col("page_id") / 10)
+    points = priority(
+        title, F.col("url"), F.lit("The"), F.array(F.lit("Blog"), F.lit(" page=2 "), F.lit("")), q + 100, F.lit("M.therou.example.com"),
+        F.array(F.lit("https://m.therou.example.com/en/474.html")),
+    )
+    rows = read(spark, d, "pages").select(q.alias("q"), "page_id", points.alias("priority"))
     n = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("priority"), "page_id"))
     return rows.withColumn("pos", n).where("pos <= 5")
 
@@ -138,18 +160,30 @@ def candidate_priority(spark: SparkSession, d: str) -> DataFrame:
     """SELECT i.item_id, d.doc_id FROM benchmark i JOIN documents d ON contains(d.text, i.text) WHERE i.text <> ''"""
 )
 def benchmark_containment(spark: SparkSession, d: str) -> DataFrame:
-    """Texts that hold a passage. The passage's longest word is met by an equi-join, then the text is searched."""
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
-    inner = F.slice(words("text"), F.lit(2), F.greatest(F.size(words("text")) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
-    items = read(spark, d, "benchmark").where("text <> ''").select("item_id", F.col("text").alias("passage"), longest.alias("word"))
+    items = read(spark, d, "benchmark").where("text <> ''").select("item_id", F.col("text").alias("passage"))
     docs = read(spark, d, "documents").select("doc_id", "text")
-    return (
-        docs.select("doc_id", "text", F.explode(F.array_distinct(words("text"))).alias("word"))
-        .join(items, "word")
-        .where(F.col("text").contains(F.col("passage")))
-        .select("item_id", "doc_id")
-    )
+    return holders(items, docs).select("item_id", "doc_id")
+
+
+def holders(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id, passage) of texts (doc_id, text) that hold passages (item_id, passage).
+
+    A passage's inner words are whole words of each text that holds it, so its longest one is a key: words meet ids by an equi-join,
+    and only texts that have the word are searched. A passage of one or two words has no inner word: its longest word lies inside a word of the
+    text. Such passages are compared with the distinct words of the texts instead, and these are joined back.
+    """
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
+    by_size = lambda a: F.array_max(F.transform(a, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
+    inner = F.slice(words("passage"), F.lit(2), F.greatest(F.size(words("passage")) - 2, F.lit(0)))
+    keyed = items.withColumn("word", by_size(inner))
+    held = docs.select("doc_id", F.explode(F.array_distinct(words("text"))).alias("word"))
+    long = keyed.where(F.col("word").isNotNull()).select("item_id", "word").join(held, "word")
+    # passages are stated queries: short ones are few, and each meets each distinct word once
+    short = keyed.where(F.col("word").isNull()).select("item_id", by_size(words("passage")).alias("part"))
+    short = short.join(held.select("word").distinct(), F.col("part").isNull() | F.col("word").contains(F.col("part")))
+    near = long.select("item_id", "doc_id").union(short.join(held, "word").select("item_id", "doc_id")).distinct()
+    met = near.join(items, "item_id").join(docs, "doc_id")
+    return met.where(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id", "passage")
 
 
 @query(

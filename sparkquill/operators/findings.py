@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkquill.functions.verdict_terms import RANK_SQL, TONE_SQL, TONES, is_issue, label, tone, tone_rank
+from sparkquill.functions.verdict_terms import LABEL_SQL, RANK_SQL, TONE_SQL, TONES, is_issue, label, tone, tone_rank
 from sparkquill.sources.tables import FINDINGS_SQL, findings, read
 
 QUERIES, SQL = {}, {}
@@ -100,7 +100,7 @@ def worst_tone(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {FINDINGS_SQL} SELECT verdict, {TONE_SQL} AS tone,
-    upper(substr(verdict, 1, 1)) || lower(replace(substr(verdict, 2), '_', ' ')) AS label, count(*) AS n FROM f GROUP BY ALL"""
+    {LABEL_SQL} AS label, count(*) AS n FROM f GROUP BY ALL"""
 )
 def verdict_label(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("verdict")
@@ -215,16 +215,16 @@ def semi_in_set(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END
+    """SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey % 1000 ORDER BY CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END
     NULLS LAST, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END NULLS LAST, o_orderkey) AS pos FROM orders"""
 )
 def review_order_nulls(spark: SparkSession, d: str) -> DataFrame:
-    """Review order: page, then offset, both with nulls last, then id."""
+    """Review order within a job: page, then offset, both with nulls last, then id."""
     rows = read(spark, d, "orders").select(
-        "o_orderkey", "o_orderpriority", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey")).alias("page"),
+        "o_orderkey", (F.col("o_custkey") % 1000).alias("job"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey")).alias("page"),
         F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")).alias("start"),
     )
-    w = Window.partitionBy("o_orderpriority").orderBy(F.asc_nulls_last("page"), F.asc_nulls_last("start"), "o_orderkey")
+    w = Window.partitionBy("job").orderBy(F.asc_nulls_last("page"), F.asc_nulls_last("start"), "o_orderkey")
     return rows.select("o_orderkey", F.row_number().over(w).alias("pos"))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from sparkquill.functions import alignment as A
+from sparkquill.functions import text as T
+from sparkquill.operators.documents import holders
 from sparkquill.operators.verdicts import name_similarity
 from sparkquill.sources.tables import read
 
@@ -33,31 +35,46 @@ def values(rows, names: str) -> str:
 
 # -- offsets ------------------------------------------------------------------------------------------------------
 
-#: What a page is read as: a word broken over lines, white space, anything else.
-PARTS = re.compile(r"(?P<broken>[-‐‑][\r\n](?=[^\W\d_]))|(?P<space>\s+)|.", re.S)
+#: A word broken over lines: its hyphen and the line break go.
+BROKEN = re.compile(r"[-\u2010\u2011][\r\n](?=[^\W\d_])")
+PAGE_TABLE = str.maketrans(T.PAGE_FROM, T.PAGE_TO)
 
 
 def with_origins(raw: str, removed: set[int]) -> tuple[str, list[int]]:
-    """The normal form of a page without some of its lines, and the raw place of each of its characters."""
-    lines, kept, at = raw.split("\n"), [], 0
-    for n, line in enumerate(lines):
-        size = len(line) + (n < len(lines) - 1)
-        kept += range(at, at + size) if n not in removed else ()
-        at += size
-    text, out, origin, space = "".join(raw[i] for i in kept), [], [], None
-    for m in PARTS.finditer(text):
-        if m["broken"]:
-            continue
-        if m["space"]:
-            space = kept[m.start()] if space is None else space
-            continue
-        if space is not None and out:
-            out.append(" ")
-            origin.append(space)
-        out.append(m.group().translate(A.PLAIN))
-        origin.append(kept[m.start()])
-        space = None
-    return "".join(out), origin
+    """The normal form of a page without some of its lines, and the raw place of each of its characters.
+
+    The places are one array, and what is left out is taken from it by masks: removed lines, broken words, and all white space but the first
+    of each run inside the text.
+    """
+    import numpy as np
+
+    ends = np.cumsum([len(line) + 1 for line in raw.split("\n")])
+    gone = np.zeros(len(raw), dtype=bool)
+    for n in removed:
+        if n < len(ends):
+            gone[ends[n - 1] if n else 0 : ends[n]] = True
+    origin = np.flatnonzero(~gone)
+    shown = "".join(raw[a:b] for a, b in runs(origin))
+    whole = np.ones(len(shown), dtype=bool)
+    for m in BROKEN.finditer(shown):
+        whole[m.start() : m.end()] = False
+    origin, chars = origin[whole], np.array(list(shown.translate(PAGE_TABLE)), dtype=object)[whole]
+    space = np.array([c.isspace() for c in chars], dtype=bool)
+    inside = np.flatnonzero(~space)
+    if not len(inside):
+        return "", []
+    keep = ~(space & np.concatenate([[True], space[:-1]]))
+    keep[: inside[0]] = keep[inside[-1] + 1 :] = False
+    chars[space] = " "
+    return "".join(chars[keep]), origin[keep].tolist()
+
+
+def runs(places) -> list[tuple[int, int]]:
+    """(first, end) of the stretches of places that follow each other."""
+    import numpy as np
+
+    cuts = np.flatnonzero(np.diff(places) > 1) + 1
+    return [(int(x[0]), int(x[-1]) + 1) for x in np.split(places, cuts) if len(x)]
 
 
 PAGE = t.StructType([t.StructField("text", t.StringType()), t.StructField("origin", t.ArrayType(t.IntegerType()))])
@@ -81,8 +98,8 @@ def original_span(origin: Column, start: Column, end: Column) -> Column:
 
 
 @query(
-    r"""SELECT doc_id, sha256(n) AS normal, length(n) AS size, true AS inside FROM (SELECT doc_id, trim(translate(regexp_replace(regexp_replace(text,
-    '[-‐‑][\r\n](\p{L})', '\1', 'g'), '[ \t\n\f\r\v]+', ' ', 'g'), '‘’‛′“”‟″‐‑‒–—―−', '''''''''""""-------')) AS n FROM documents)"""
+    rf"""SELECT doc_id, sha256(n) AS normal, length(n) AS size, true AS inside FROM (SELECT doc_id, trim(translate(regexp_replace(regexp_replace(text,
+    '[-‐‑][\r\n](\p{{L}})', '\1', 'g'), '{T.SPACE_SQL}+', ' ', 'g'), '{T.PAGE_FROM}', '{T.PAGE_TO.replace("'", "''")}')) AS n FROM documents)"""
 )
 def normalise_offsets(spark: SparkSession, d: str) -> DataFrame:
     """Normal forms with the raw place of each character; places grow and lie inside the raw text."""
@@ -286,15 +303,29 @@ def score_label(spark: SparkSession, d: str) -> DataFrame:
 def batches(rows: DataFrame, group: str, order: str, size: str, most: int, room: int) -> DataFrame:
     """(group, order, batch): rows in order, a new batch where `most` rows are in one or its sizes, a separator between two, would go over `room`.
 
-    A group is what one request queue holds, so it is folded as one array.
+    A row's batch depends on all before it in its queue, so a queue is gone over in one task, sorted, in Arrow batches; what is kept is the
+    batch's number, rows and characters. Ties in the order are settled by size. Null sizes count as 0.
     """
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("bigint").alias("s"))))
-    step = f"""aggregate(items, named_struct('b', 0, 'n', 0L, 'c', 0L, 'out', array_repeat(named_struct('o', items[0].o, 'batch', 0), 0)), (a, x) ->
-        if(a.n > 0 and (a.n = {most} or a.c + 1 + x.s > {room}),
-           named_struct('b', a.b + 1, 'n', 1L, 'c', x.s, 'out', concat(a.out, array(named_struct('o', x.o, 'batch', a.b + 1)))),
-           named_struct('b', a.b, 'n', a.n + 1, 'c', a.c + x.s + if(a.n > 0, 1, 0), 'out', concat(a.out, array(named_struct('o', x.o, 'batch', a.b))))))"""
-    folded = rows.groupBy(group).agg(items.alias("items")).select(group, F.explode(F.expr(step)["out"]).alias("r"))
-    return folded.select(group, F.col("r.o").alias(order), F.col("r.batch").alias("batch"))
+    import pandas as pd
+
+    kinds = [rows.schema[c].dataType.simpleString() for c in (group, order)]
+
+    def run(pdfs):
+        queue, started, batch, n, chars = None, False, 0, 0, 0
+        for pdf in pdfs:
+            out = []
+            for key, s in zip(pdf["g"].tolist(), pdf["s"].tolist()):
+                if not started or key != queue:
+                    queue, started, batch, n, chars = key, True, 0, 0, 0
+                elif n == most or chars + 1 + s > room:
+                    batch, n, chars = batch + 1, 0, 0
+                chars += s + (n > 0)
+                n += 1
+                out.append(batch)
+            yield pd.DataFrame({group: pdf["g"], order: pdf["o"], "batch": pd.Series(out, dtype="int32")})
+
+    slim = rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("s"))
+    return slim.repartition("g").sortWithinPartitions("g", "o", "s").mapInPandas(run, f"`{group}` {kinds[0]}, `{order}` {kinds[1]}, batch int")
 
 
 @query(
@@ -331,13 +362,8 @@ def context_window(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, count(*) AS n FROM d JOIN q ON contains(body, quote) GROUP BY doc_id"""
 )
 def quote_exact_verbatim(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold passages word for word. All words of a passage but its first and last are whole in a text that holds it; the longest is the key."""
+    """Documents that hold passages word for word, but for case and signs."""
     form = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")
     quotes = read(spark, d, "benchmark").select("item_id", form("text").alias("quote"))
-    words = F.split(F.trim("quote"), " ")
-    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
-    docs = read(spark, d, "documents").select("doc_id", form("text").alias("body"))
-    near = docs.select("doc_id", "body", F.explode(F.array_distinct(F.split("body", " "))).alias("word"))
-    held = near.join(quotes.withColumn("word", longest), "word").where(F.col("body").contains(F.col("quote")))
-    return held.groupBy("doc_id").agg(F.count("*").alias("n"))
+    docs = read(spark, d, "documents").select("doc_id", form("text").alias("text"))
+    return holders(quotes.withColumnRenamed("quote", "passage"), docs).groupBy("doc_id").agg(F.count("*").alias("n"))

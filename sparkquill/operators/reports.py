@@ -124,12 +124,12 @@ def investigation_outcome(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {HYBRID_SQL}, re AS (SELECT q, c, row_number() OVER (PARTITION BY q ORDER BY (c * 7) % 11 DESC, rank, c) AS rank FROM hr WHERE rank <= 12),
-    m AS (SELECT 'bm25' AS mode, q, c, rank FROM sem UNION ALL SELECT 'hybrid', q, c, rank FROM hr UNION ALL SELECT 'hybrid_rerank', q, c, rank FROM re)
+    f"""WITH {HYBRID_SQL}, re AS (SELECT q, c, row_number() OVER (PARTITION BY q ORDER BY other DESC, rank, c) AS rank FROM hr WHERE rank <= 12),
+    m AS (SELECT 'semantic' AS mode, q, c, rank FROM sem UNION ALL SELECT 'hybrid', q, c, rank FROM hr UNION ALL SELECT 'hybrid_rerank', q, c, rank FROM re)
     SELECT mode, q, c, rank FROM m WHERE rank <= 4"""
 )
 def ablation_modes(spark: SparkSession, d: str) -> DataFrame:
-    """The first four of each query under three modes; the last reranks the hybrid's first twelve only.
+    """The first four of each query under three modes: cosine, the hybrid of cosine and distance, and the hybrid's first twelve reranked by distance.
 
     Scores are computed once and shuffled once: all ranks are windows over one query's rows, dealt to the modes at the end.
     """
@@ -138,11 +138,11 @@ def ablation_modes(spark: SparkSession, d: str) -> DataFrame:
     def rank(*order: Column | str) -> Column:
         return F.row_number().over(Window.partitionBy("q").orderBy(*order, "c"))
 
-    near = both.withColumn("bm25", rank(F.desc("single"))).withColumn("hybrid", rank(F.desc("score"))).where("bm25 <= 4 or hybrid <= 12")
+    near = both.withColumn("semantic", rank(F.desc("single"))).withColumn("hybrid", rank(F.desc("score"))).where("semantic <= 4 or hybrid <= 12")
     asked = F.col("hybrid") <= 12
-    again = rank(F.desc(asked), F.desc((F.col("c") * 7) % 11), "hybrid")
+    again = rank(F.desc(asked), F.desc("other"), "hybrid")
     modes = near.withColumn("hybrid_rerank", again).select(
-        "q", "c", F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("rank"), (asked | F.lit(m == "bm25")).alias("told")) for m in ("bm25", "hybrid", "hybrid_rerank")])).alias("x")
+        "q", "c", F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("rank"), (asked | F.lit(m == "semantic")).alias("told")) for m in ("semantic", "hybrid", "hybrid_rerank")])).alias("x")
     )
     return modes.where("x.told and x.rank <= 4").select("x.mode", "q", "c", "x.rank")
 

@@ -29,8 +29,8 @@ def ranked(rows: DataFrame, group: list[str], score: str, tie: str, k: int) -> D
     return rows.withColumn("rank", n).where(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, q_id: str, c_id: str, text: str = "text") -> DataFrame:
-    """(q_id, c_id, score) of all pairs that share a token: an equi-join on tokens, as an inverted index does it.
+def bm25(queries: DataFrame, corpus: DataFrame, q_id: str, c_id: str, text: str = "text", overlap: bool = False) -> DataFrame:
+    """(q_id, c_id, score, perhaps overlap) of all pairs that share a token: an equi-join on tokens, as an inverted index does it.
 
     Token counts are aggregated per document before the join; only tokens of a query meet the corpus.
     """
@@ -44,7 +44,8 @@ def bm25(queries: DataFrame, corpus: DataFrame, q_id: str, c_id: str, text: str
     known = asked.join(df, "token").join(F.broadcast(stats))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return known.join(tf, "token").groupBy(q_id, c_id).agg(F.round(F.sum(part), 6).alias("score"))
+    shared = [F.count("*").alias("overlap")] if overlap else []
+    return known.join(tf, "token").groupBy(q_id, c_id).agg(F.round(F.sum(part), 6).alias("score"), *shared)
 
 
 BM25_SQL = """w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
@@ -93,22 +94,28 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 COS_SQL = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-  cs AS (SELECT q.vec_id AS q, c.vec_id AS c, q.label = c.label AS relevant, round(coalesce(list_cosine_similarity(q.e, c.e), 0), 6) AS score
-    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND q.label = c.label OR q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND c.vec_id % 10 = q.vec_id % 10),
+  cs AS (SELECT q.vec_id AS q, c.vec_id AS c, q.label = c.label AS relevant, round(coalesce(list_cosine_similarity(q.e, c.e), 0), 6) AS score,
+    round(-list_distance(q.e, c.e), 6) AS other FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
   sem AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS rank FROM cs)"""
+#: Queries of a block.
+ASKED = 256
 
 
 def semantic(spark: SparkSession, d: str) -> DataFrame:
-    """(q, c, relevant, score): cosine of each query vector with the vectors of its sources, which are equi keys."""
-    rows = read(spark, d, "embeddings")
-    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("embedding").alias("qe"))
-    own = F.array(F.concat(F.lit("l"), F.col("ql").cast("string")), F.concat(F.lit("m"), (F.col("q") % 10).cast("string")))
-    asked = asked.select("q", "ql", "qe", F.explode(own).alias("scope"))
-    label, rest = F.concat(F.lit("l"), F.col("label").cast("string")), F.concat(F.lit("m"), (F.col("vec_id") % 10).cast("string"))
-    held = rows.select(F.col("vec_id").alias("c"), "label", "embedding", F.explode(F.array(label, rest)).alias("scope"))
-    pairs = asked.join(held, "scope").where("q <> c").dropDuplicates(["q", "c"])
-    score = F.round(cosine(F.col("qe"), F.col("embedding")), 6)
-    return pairs.select("q", "c", (F.col("ql") == F.col("label")).alias("relevant"), score.alias("score"))
+    """(q, c, relevant, score, other): cosine of each query vector, and its distance with a minus, with all vectors but its own.
+
+    Queries are the rows whose id is divisible by 100. Rows and queries are dealt to blocks by a hash; a block of rows meets each block of
+    queries by an equi-join on its number, so what a task holds at once is a block of queries.
+    """
+    rows = read(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("embedding").alias("qe"))
+    n = max(1, -(-asked.count() // ASKED))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(n)).cast("int"))
+    held = rows.select(F.col("vec_id").alias("c"), "label", "embedding", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
+    pairs = asked.join(held, "block").where("q <> c")
+    apart = F.aggregate(F.zip_with("qe", "embedding", lambda x, y: x.cast("double") - y.cast("double")), F.lit(0.0), lambda s, x: s + x * x)
+    score, other = F.round(cosine(F.col("qe"), F.col("embedding")), 6), F.round(-F.sqrt(apart), 6)
+    return pairs.select("q", "c", (F.col("ql") == F.col("label")).alias("relevant"), score.alias("score"), other.alias("other"))
 
 
 @query(f"WITH {COS_SQL} SELECT q, c, round(score, 4) AS score, rank FROM sem WHERE rank <= 10")
@@ -124,18 +131,19 @@ def fuse(lists: DataFrame, group: str, item: str, k: int) -> DataFrame:
 
 
 @query(
-    f"""WITH {BM25_SQL}, ov AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score / (1 + doc_id % 7), 6) DESC, doc_id) AS rank FROM bm),
+    f"""WITH {BM25_SQL}, sh AS (SELECT item_id, doc_id, count(*) AS overlap FROM q JOIN tf USING (token) GROUP BY item_id, doc_id),
+    ov AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS rank FROM sh),
     u AS (SELECT item_id, doc_id, rank FROM lex WHERE rank <= 24 UNION ALL SELECT item_id, doc_id, rank FROM ov WHERE rank <= 24),
     s AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(rank) AS first FROM u GROUP BY ALL)
     SELECT item_id, doc_id, score, pos FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, first, doc_id) AS pos FROM s) WHERE pos <= 6"""
 )
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """Fusion of the lexical list with a second ranking of the same scores."""
-    found = bm25(read(spark, d, "benchmark"), read(spark, d, "documents"), "item_id", "doc_id")
-    first = ranked(found, ["item_id"], "score", "doc_id", 24)
-    second = ranked(found.withColumn("score", F.round(F.col("score") / (1 + F.col("doc_id") % 7), 6)), ["item_id"], "score", "doc_id", 24)
-    lists = first.select("item_id", "doc_id", "rank").unionByName(second.select("item_id", "doc_id", "rank"))
-    return fuse(lists, "item_id", "doc_id", 6).drop("first")
+    """Fusion of the lexical list with that of the most shared words. Both orders are ranks over one aggregate, so texts are gone over once."""
+    found = bm25(read(spark, d, "benchmark"), read(spark, d, "documents"), "item_id", "doc_id", overlap=True)
+    rank = lambda *order: F.row_number().over(Window.partitionBy("item_id").orderBy(*order, "doc_id"))
+    ranks = found.select("item_id", "doc_id", rank(F.desc("score")).alias("a"), rank(F.desc("overlap")).alias("b"))
+    both = ranks.select("item_id", "doc_id", F.explode(F.array("a", "b")).alias("rank"))
+    return fuse(both.where("rank <= 24"), "item_id", "doc_id", 6).drop("first")
 
 
 def minmax(score: Column, group: str) -> Column:
@@ -145,17 +153,17 @@ def minmax(score: Column, group: str) -> Column:
     return F.when(hi == lo, 0.0).otherwise((score - lo) / (hi - lo))
 
 
-HYBRID_SQL = f"""{COS_SQL}, hy AS (SELECT q, c, relevant, round(((score - min(score) OVER p) / nullif(max(score) OVER p - min(score) OVER p, 0)
-  + ((c % 13) - min(c % 13) OVER p) / nullif(max(c % 13) OVER p - min(c % 13) OVER p, 0)) / 2, 6) AS score FROM sem WINDOW p AS (PARTITION BY q)),
+HYBRID_SQL = f"""{COS_SQL}, hy AS (SELECT q, c, relevant, other, round((coalesce((score - min(score) OVER p) / nullif(max(score) OVER p - min(score) OVER p, 0), 0)
+  + coalesce((other - min(other) OVER p) / nullif(max(other) OVER p - min(other) OVER p, 0), 0)) / 2, 6) AS score FROM sem WINDOW p AS (PARTITION BY q)),
   hr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS rank FROM hy)"""
 
 
 def hybrid(spark: SparkSession, d: str, keep: str | None = None) -> DataFrame:
-    """(q, c, relevant, score); the single score stays in a column named by `keep`."""
+    """(q, c, relevant, other, score): the mean of two scores, cosine and distance, each scaled within its query; `keep` names a column for the first."""
     rows = semantic(spark, d)
-    both = (minmax(F.col("score"), "q") + minmax((F.col("c") % 13).cast("double"), "q")) / 2
+    both = (minmax(F.col("score"), "q") + minmax(F.col("other"), "q")) / 2
     single = [F.col("score").alias(keep)] if keep else []
-    return rows.select("q", "c", "relevant", *single, F.round(both, 6).alias("score"))
+    return rows.select("q", "c", "relevant", "other", *single, F.round(both, 6).alias("score"))
 
 
 @query(f"WITH {HYBRID_SQL} SELECT q, c, round(score, 4) AS score, rank FROM hr WHERE rank <= 6")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,17 +28,16 @@ def query(sql: str | None = None):
 
 
 ALIGNED = T.StructType(
-    [T.StructField("similarity", T.DoubleType()), T.StructField("altered", T.BooleanType()), T.StructField("nearest", T.StringType()), T.StructField("words", T.IntegerType())]
+    [T.StructField("similarity", T.DoubleType()), T.StructField("closest", T.DoubleType()), T.StructField("altered", T.BooleanType()),
+     T.StructField("nearest", T.StringType()), T.StructField("words", T.IntegerType())]
 )
 
 
 @F.pandas_udf(ALIGNED)
 def aligned(quote, source):
-    import pandas as pd
-
     rows = [A.score(q or "", s or "") for q, s in zip(quote, source)]
     size = [sum(map(len, A.segments(q or "")[0])) for q in quote]
-    return pd.DataFrame({"similarity": [r[0] for r in rows], "altered": [r[1] for r in rows], "nearest": [r[2] for r in rows], "words": size})
+    return pd.DataFrame([(*r, n) for r, n in zip(rows, size)], columns=["similarity", "closest", "altered", "nearest", "words"])
 
 
 def quote_ladder(similarity: Column, altered: Column, has_source: Column, words: Column, semantic: Column) -> Column:
@@ -59,10 +59,10 @@ def check_quotes(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """
     a = aligned(F.col("quote"), F.col("paragraph"))
     each = pairs.withColumn("a", a).withColumn("blank", F.trim(F.coalesce("paragraph", F.lit(""))) == "")
-    best = F.max_by(F.col("a"), F.struct(F.round("a.similarity", 9), -F.col("order")))
+    best = F.max_by(F.col("a"), F.struct(F.round("a.similarity", 9), F.round("a.closest", 9), -F.col("order")))
     out = each.groupBy(*keys).agg(best.alias("a"), F.bool_or(~F.col("blank")).alias("has"), F.max("semantic").alias("semantic"))
     verdict = quote_ladder(F.col("a.similarity"), F.col("a.altered"), F.col("has"), F.col("a.words"), F.coalesce("semantic", F.lit(-1.0)))
-    return out.select(*keys, verdict.alias("verdict"), F.round("a.similarity", 4).alias("similarity"), F.col("a.nearest").alias("nearest"))
+    return out.select(*keys, verdict.alias("verdict"), F.round("a.closest", 4).alias("similarity"), F.col("a.nearest").alias("nearest"))
 
 
 # fixed values: quotes, source paragraphs and what the check says
@@ -92,7 +92,7 @@ def quote_verdict_fixtures(spark: SparkSession, d: str) -> DataFrame:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def source_words(text):
-    return text.map(lambda t: sorted(set(A.WORD.findall(A.plain(t or "")))))
+    return text.map(lambda t: sorted(set(A.source_tokens(t or ""))))
 
 
 @F.pandas_udf(T.StructType([T.StructField("words", T.MapType(T.StringType(), T.IntegerType())), T.StructField("need", T.IntegerType())]))
@@ -101,8 +101,6 @@ def quote_words(quote):
 
     Edits are at least the quote's words that aren't matched, of which a fifth of all its words may be missing at most.
     """
-    import pandas as pd
-
     out = []
     for q in quote:
         words = [w for part in A.segments(q or "")[0] for w in part]
@@ -150,8 +148,6 @@ def quote_verdict_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @F.pandas_udf(T.DoubleType())
 def name_similarity(a, b):
-    import pandas as pd
-
     return pd.Series([A.name_similarity(x, y) for x, y in zip(a, b)])
 
 
@@ -176,22 +172,44 @@ def match_candidate(spark: SparkSession, d: str) -> DataFrame:
     return out.select("kind", "similarity", ((F.col("similarity") >= 0.8) & (court | year | docket)).alias("accepted"))
 
 
-@query("SELECT * FROM (VALUES ('a', 200, 'VERIFIED'), ('b', 404, 'PENDING'), ('c', 400, 'PENDING'), ('d', 300, 'VERIFIED'), ('e', 300, 'PENDING'), ('f', 503, 'UNVERIFIABLE'), ('g', NULL, 'UNVERIFIABLE')) AS t(cite, status, verdict)")
+def existence(cites: DataFrame, lookups: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(cite, status, verdict, id) of citations (cite, case_name, year) from answers of a lookup (cite, status) and the clusters that it named.
+
+    One cluster found verifies a citation. Of several, the only one of the citation's very name whose day is in its year does. What isn't
+    found, ambiguous or malformed is PENDING, as others may find it; any other status, or none, is UNVERIFIABLE. Repeated answers to a
+    citation count as one, of the least status.
+    """
+    from sparkquill.operators.passages import settled
+
+    status = lookups.groupBy("cite").agg(F.min("status").alias("status"))
+    only = clusters.groupBy("cite").agg(F.min("id").alias("only"))
+    known = settled(cites, clusters).join(status, "cite", "left").join(only, "cite", "left")
+    s = F.col("status")
+    verdict = F.when((s == 200) | (s == 300) & F.col("id").isNotNull(), "VERIFIED").when(s.isin(300, 404, 400), "PENDING").otherwise("UNVERIFIABLE")
+    return known.select("cite", "status", verdict.alias("verdict"), F.when(s == 200, F.col("only")).when(s == 300, F.col("id")).alias("id"))
+
+
+@query(
+    """WITH c AS (SELECT o_orderkey AS cite, 'Case v. ' || (o_custkey % 50) AS name, year(o_orderdate) AS y FROM orders),
+    l AS (SELECT l_orderkey AS cite, l_linenumber AS id, 'CASE V ' || (l_suppkey % 50) AS name, year(l_shipdate) AS y FROM lineitem),
+    n AS (SELECT cite, CASE WHEN cite % 11 = 0 THEN 404 WHEN cite % 13 = 0 THEN 503 WHEN cite % 17 = 0 THEN NULL WHEN count(*) = 1 THEN 200 ELSE 300 END AS status, min(id) AS one_id FROM l GROUP BY cite),
+    f AS (SELECT c.cite, min(l.id) AS id FROM c JOIN l ON l.cite = c.cite AND lower(replace(c.name, 'v.', 'v')) = lower(l.name) AND c.y = l.y GROUP BY c.cite HAVING count(*) = 1)
+    SELECT cite, status, CASE WHEN status = 200 OR status = 300 AND id IS NOT NULL THEN 'VERIFIED' WHEN status IN (300, 404, 400) THEN 'PENDING' ELSE 'UNVERIFIABLE' END AS verdict,
+    CASE WHEN status = 200 THEN one_id WHEN status = 300 THEN id END AS id FROM c LEFT JOIN n USING (cite) LEFT JOIN f USING (cite)"""
+)
 def existence_ladder(spark: SparkSession, d: str) -> DataFrame:
-    """Lookup status to verdict. Of several clusters, one of the citation's very name and year settles it."""
-    cites = spark.createDataFrame([("a", 200), ("b", 404), ("c", 400), ("d", 300), ("e", 300), ("f", 503), ("g", None)], "cite string, status int")
-    clusters = spark.createDataFrame(
-        [("d", "Doe v. Roe", "1759-01-01"), ("d", "Doe v. Roe", "1754-01-01"), ("d", "Poe v. Roe", "1759-02-01"), ("e", "Doe v. Roe", "1759-03-01"), ("e", "DOE v ROE", "1759-04-01")],
-        "cite string, name string, day string",
+    """Lookup status to verdict: orders as citations, their line items as the clusters that a lookup named."""
+    cites = read(spark, d, "orders").select(
+        F.col("o_orderkey").alias("cite"), F.concat(F.lit("Case v. "), F.col("o_custkey") % 50).alias("case_name"), F.year("o_orderdate").alias("year")
     )
-    form = F.trim(F.regexp_replace(F.lower("name"), r"(?U)[^\w]+", " "))
-    fit = clusters.where((form == "doe v roe") & (F.coalesce(F.substring("day", 1, 4), F.lit("1759")) == "1759")).groupBy("cite").agg(F.count("*").alias("n"))
-    s = F.col("status")
-    verdict = (
-        F.when(s.isNull(), "UNVERIFIABLE").when(s == 200, "VERIFIED").when((s == 300) & (F.col("n") == 1), "VERIFIED")
-        .when(s.isin(300, 404, 400), "PENDING").otherwise("UNVERIFIABLE")
+    clusters = read(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("cite"), F.col("l_linenumber").alias("id"), F.concat(F.lit("CASE V "), F.col("l_suppkey") % 50).alias("name"),
+        F.lit(None).cast("string").alias("name_full"), F.col("l_shipdate").cast("date").cast("string").alias("day"),
     )
-    return cites.join(fit, "cite", "left").select("cite", "status", verdict.alias("verdict"))
+    k = F.col("cite")
+    status = F.when(k % 11 == 0, 404).when(k % 13 == 0, 503).when(k % 17 == 0, F.lit(None)).when(F.col("n") == 1, 200).otherwise(300)
+    lookups = clusters.groupBy("cite").agg(F.count("*").alias("n")).select("cite", status.alias("status"))
+    return existence(cites, lookups, clusters)
 
 
 # fixed values: parts of the evidence, answers of a judge as JSON, and what the validator says

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_folder: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir. Where it is unset, a temporary one if driver and tasks are one process, else an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    key = spark.sparkContext.applicationId
+    if key not in _folder:
+        _folder[key] = "file://" + tempfile.mkdtemp(prefix="sparkquill-")
+    return _folder[key]
+
+
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as findings: job, citation_id, check, verdict, seq, created."""
     verdict = F.create_map(*[F.lit(x) for pair in VERDICT_OF.items() for x in pair])

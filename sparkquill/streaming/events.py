@@ -7,22 +7,35 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkquill.sources.tables import shared_dir
+
 QUERIES, SQL = {}, {}
+#: Files of a batch at most.
+FILES = 256
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream; times become timestamps of the session's zone, which watermarks need."""
-    rows = spark.readStream.schema(SCHEMA).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    rows = spark.readStream.schema(SCHEMA).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", FILES).parquet(f"{sf_dir}/events.parquet*")
     return rows.withColumn("at", F.col("ts").cast("timestamp"))
 
 
 def drained(rows: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what is there and gives its result table."""
-    spark, name = rows.sparkSession, "s" + uuid.uuid4().hex
-    q = rows.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    """Runs a stream over what is there and gives its result table, which lies in the shared folder, as does the stream's checkpoint.
+
+    Appended rows go to files; a complete result overwrites the one before. Nothing of it passes through the driver.
+    """
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    writer = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", f"{path}/table")
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/table"))
+    query = writer.start()
+    query.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{path}/table")
 
 
 def query(sql: str | None = None):
@@ -75,32 +88,87 @@ def streaming_session(spark: SparkSession, d: str) -> DataFrame:
     return drained(rows, "complete").select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("begins"), "n")
 
 
-#: Requests that a key may make within the seconds of a window.
-ADMITTED, SECONDS = 5, 86_400
+#: What a key may use within the seconds of a window.
+CAPACITY, SECONDS = 12, 86_400
 
 
-def admit(times, before: list[int]) -> tuple[list[bool], list[int]]:
-    """Which requests, in order of time (microseconds), a window lets in; the times that still count afterwards."""
-    held, out, size = list(before), [], SECONDS * 1_000_000
-    for t in times:
-        held = [x for x in held if x > t - size]
-        out.append(len(held) < ADMITTED)
-        if out[-1]:
-            held.append(t)
-    return out, held
+class Window:
+    """A sliding window of one key: (time, amount) of what it let in, oldest first. CAPACITY entries at most, as amounts are 1 or more."""
 
+    def __init__(self, held=()):
+        self.held = [(int(t), int(n)) for t, n in held]
 
-@query()
-def streaming_rate_limit(spark: SparkSession, d: str) -> DataFrame:
-    """Requests with whether the sliding window of their key let them in. The state of a key is ADMITTED times at most."""
+    def ask(self, now: int, amount: int) -> tuple[str, int]:
+        """(outcome, when it is available in microseconds). What is exactly a window old has expired; an amount over CAPACITY can never be had."""
+        if amount < 0 or amount > CAPACITY:
+            return "error", now
+        if amount == 0:
+            return "admitted", now
+        size = SECONDS * 1_000_000
+        self.held = [(t, n) for t, n in self.held if t > now - size]
+        if sum(n for _, n in self.held) + amount > CAPACITY:
+            return "refused", self.held[0][0] + size
+        self.held.append((now, amount))
+        return "admitted", now
+
+
+#: What a limiter's batch gives: outcomes of requests, and entries of windows for the next batch (without an event).
+ASKED = "user_id bigint, event_id bigint, at bigint, amount bigint"
+TOLD = ASKED + ", outcome string, available bigint"
+
+
+def limited(rows: DataFrame) -> DataFrame:
+    """TOLD rows for ASKED rows. Rows without an event are entries that a key's window holds already.
+
+    A key's requests depend on each other, so they are gone over in one task, in order of time and in Arrow batches; all that is kept is the
+    window of the key at hand.
+    """
     import pandas as pd
 
-    def run(key, pdfs, state):
-        pdf = pd.concat(pdfs).sort_values(["at", "event_id"])
-        out, held = admit(pdf["at"].tolist(), state.get[0] if state.exists else [])
-        state.update((held,))
-        yield pd.DataFrame({"user_id": key[0], "event_id": pdf["event_id"], "admitted": out})
+    def run(pdfs):
+        key, window = None, None
 
-    rows = stream(spark, d).select("user_id", "event_id", F.unix_micros("at").alias("at"))
-    found = rows.groupBy("user_id").applyInPandasWithState(run, "user_id bigint, event_id bigint, admitted boolean", "held array<bigint>", "append", "NoTimeout")
-    return drained(found, "append")
+        def rest():
+            return [(key, None, t, n, None, None) for t, n in window.held] if window else []
+
+        for pdf in pdfs:
+            out = []
+            for user, event, at, amount in pdf.itertuples(index=False):
+                if window is None or user != key:
+                    out += rest()
+                    key, window = user, Window()
+                if pd.isna(event):
+                    window.held.append((int(at), int(amount)))
+                else:
+                    out.append((user, event, at, amount, *window.ask(int(at), int(amount))))
+            yield frame(out)
+        yield frame(rest())
+
+    def frame(rows):
+        pdf = pd.DataFrame(rows, columns=["user_id", "event_id", "at", "amount", "outcome", "available"])
+        return pdf.astype({"user_id": "Int64", "event_id": "Int64", "at": "Int64", "amount": "Int64", "available": "Int64"})
+
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "at", F.asc_nulls_first("event_id")).mapInPandas(run, TOLD)
+
+
+@query()
+def streaming_rate_limit(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of an amount each, with their outcome under the sliding window of their key and when they could be had.
+
+    Each batch takes the windows that the batch before left, and writes its outcomes and windows to the shared folder; written anew after a
+    failure, they are the same. Requests of a batch come in order of time.
+    """
+    path = f"{shared_dir(spark)}/limiter-{uuid.uuid4().hex}"
+    rows = stream(spark, d).select("user_id", "event_id", F.unix_micros("at").alias("at"), (F.col("event_id") % 14).alias("amount"))
+
+    def run(batch: DataFrame, number: int) -> None:
+        asked = batch
+        if number:
+            before = spark.read.schema(TOLD).parquet(f"{path}/told/batch={number - 1}").where("event_id is null")
+            asked = asked.unionByName(before.select("user_id", "event_id", "at", "amount"))
+        limited(asked).write.mode("overwrite").parquet(f"{path}/told/batch={number}")
+
+    writer = rows.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(run)
+    writer.start().awaitTermination()
+    told = spark.read.schema(TOLD).option("recursiveFileLookup", "true").parquet(f"{path}/told")
+    return told.where("event_id is not null").select("user_id", "event_id", "outcome", "available")

@@ -34,6 +34,21 @@ def test_page_form(spark):
     assert one(spark, "The court’s well-\nreasoned — opinion  \ncontrols.\n", T.page_form(F.col("x"))) == "The court's wellreasoned - opinion controls."
 
 
+def test_page_form_of_other_quotes_and_spaces(spark):
+    assert one(spark, "\u201eA\u201f \u201ab\u201b\u00a0 c\u2032 d\u2015e\u2003", T.page_form(F.col("x"))) == "\"A\" 'b' c\u2032 d\u2015e"
+
+
+def test_label(spark):
+    from sparkquill.functions.verdict_terms import label
+
+    assert [one(spark, v, label(F.col("x"))) for v in ("ALTERED", "VERIFIED_OFFICIAL", None)] == ["The quoted language differs from the source material reviewed", "Verified official", None]
+
+
+def test_paragraphs_lose_breaks_and_tabs_at_their_ends(spark):
+    rows = spark.createDataFrame([(1, "\nA\n\n\tB \n\n\t")], "doc_id int, text string")
+    assert [tuple(r) for r in paragraphs(rows).orderBy("para_no").collect()] == [(1, 1, "A"), (1, 2, "B")]
+
+
 def test_paragraphs(spark):
     rows = spark.createDataFrame([(1, " 0 a \n\n\n b1 "), (2, ""), (3, None)], "doc_id int, text string")
     assert [tuple(r) for r in paragraphs(rows).orderBy("para_no").collect()] == [(1, 1, "0 a"), (1, 2, "b1")]
@@ -43,31 +58,50 @@ def test_tone(spark):
     assert [one(spark, v, tone(F.col("x"))) for v in ("VERBATIM", "ALTERED", "CONTRADICTS", "PENDING", "", None)] == ["green", "yellow", "red", "grey", "grey", "grey"]
 
 
-def brute(pattern, source):
-    """Least edits against any stretch, by trying all."""
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return row[-1]
 
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
-            row = new
-        return row[-1]
 
-    return min(edits(pattern, source[i:j]) for i in range(len(source) + 1) for j in range(i, len(source) + 1))
+def similarities(pattern, source):
+    """Of every stretch, by trying all."""
+    return {(i, j): 1 - edits(pattern, source[i:j]) / max(len(pattern), j - i, 1) for i in range(len(source) + 1) for j in range(i, len(source) + 1)}
 
 
-def test_alignment_finds_the_least_edits():
+def test_alignment_finds_the_nearest_of_all_stretches():
     import random
 
     draw = random.Random(3)
-    for _ in range(200):
+    for _ in range(400):
         source = [draw.choice("abcd") for _ in range(draw.randint(1, 9))]
         pattern = [draw.choice("abcd") for _ in range(draw.randint(1, 5))]
-        found, first, end = A.align([(w, None) for w in pattern], source)
-        least = brute(pattern, source)
-        assert found >= 1 - least / len(pattern) - 1e-9
+        found, first, end = A.align([(w, None) for w in pattern], A.Source(source))
+        every = similarities(pattern, source)
+        assert abs(found - max(every.values())) < 1e-6 and abs(every[first, end] - found) < 1e-6
+
+
+def test_longer_stretch_may_be_nearer():
+    """Four words more after the fourth: the window of 22 reaches ALTERED."""
+    words = [f"w{i}" for i in range(18)]
+    assert round(A.score(" ".join(words), " ".join([*words[:4], "a", "b", "c", "d", *words[4:]]))[0], 4) == 0.8182
+
+
+def test_parts_in_order_against_all_orders():
+    import random
+
+    draw = random.Random(4)
+    for _ in range(150):
+        source = [draw.choice("abc") for _ in range(draw.randint(2, 9))]
+        parts = [[draw.choice("abc") for _ in range(draw.randint(1, 3))] for _ in range(2)]
+        one, two = (similarities(p, source) for p in parts)
+        best = max((min(x, y) for (_, e), x in one.items() for (b, _), y in two.items() if e <= b), default=0)
+        got = A.ordered([[(w, None) for w in p] for p in parts], A.Source(source))
+        assert (got is None and best < A.ALTERED) or abs(got[0] - best) < 1e-3
 
 
 def test_word_diff():

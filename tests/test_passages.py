@@ -27,15 +27,46 @@ def test_source_texts_of_pages(spark):
     assert rows and all("<p>" not in r["text"] and "</" not in r["text"] for r in rows)
 
 
+def folded(rows):
+    """Outcomes of (user, event, at, amount) by plain lists."""
+    window, out = {}, {}
+    for user, event, at, amount in sorted(rows, key=lambda r: (r[2], r[1])):
+        size = events.SECONDS * 1_000_000
+        held = window[user] = [(t, n) for t, n in window.get(user, []) if at - t < size]
+        if amount > events.CAPACITY:
+            out[event] = ("error", at)
+        elif sum(n for _, n in held) + amount > events.CAPACITY:
+            out[event] = ("refused", held[0][0] + size)
+        else:
+            out[event] = ("admitted", at)
+            held += [(at, amount)] * (amount > 0)
+    return out
+
+
 def test_rate_limit_matches_a_plain_fold(spark):
-    got = {r["event_id"]: r["admitted"] for r in events.streaming_rate_limit(spark, DIR).collect()}
-    rows = read(spark, DIR, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).collect()
-    window, want = {}, {}
-    for r in sorted(rows, key=lambda r: (r["at"], r["event_id"])):
-        inside = [t for t in window.get(r["user_id"], []) if r["at"] - t < events.SECONDS * 1_000_000]
-        want[r["event_id"]] = len(inside) < events.ADMITTED
-        window[r["user_id"]] = inside + [r["at"]] * want[r["event_id"]]
-    assert got == want
+    got = {r["event_id"]: (r["outcome"], r["available"]) for r in events.streaming_rate_limit(spark, DIR).collect()}
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = [tuple(r) for r in read(spark, DIR, "events").select("user_id", "event_id", at, F.col("event_id") % 14).collect()]
+    want = folded(rows)
+    assert got == want and {x for x, _ in want.values()} == {"admitted", "refused", "error"}
+
+
+def test_rate_limit_over_several_batches(spark, tmp_path, monkeypatch):
+    """Windows go from one batch to the next; each file is a batch here."""
+    monkeypatch.setattr(events, "FILES", 1)
+    whole = read(spark, DIR, "events").orderBy("ts", "event_id").limit(900).collect()
+    for i in range(3):
+        spark.createDataFrame(whole[300 * i : 300 * (i + 1)], events.SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_id"]: r["outcome"] for r in events.streaming_rate_limit(spark, str(tmp_path)).collect()}
+    times = spark.createDataFrame(whole, events.SCHEMA).select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id") % 14)
+    assert got == {k: v[0] for k, v in folded([tuple(r) for r in times.collect()]).items()}
+
+
+def test_window_of_a_key():
+    w = events.Window()
+    day = events.SECONDS * 1_000_000
+    assert w.ask(0, events.CAPACITY + 1)[0] == w.ask(0, -1)[0] == "error" and w.ask(0, 0) == ("admitted", 0)
+    assert w.ask(5, events.CAPACITY) == ("admitted", 5) and w.ask(6, 1) == ("refused", 5 + day) and w.ask(5 + day, 1) == ("admitted", 5 + day)
 
 
 def test_batches_of_an_empty_table(spark):
