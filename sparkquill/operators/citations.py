@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkquill.sources.tables import read
+
 QUERIES, SQL = {}, {}
 
 # fixed values: reporters that are told apart
-REPORTERS = (r"U\.S\.", r"S\. ?Ct\.", r"F\.2d", r"F\.3d", r"F\.4th", r"F\. ?Supp\. ?2d", r"F\. ?Supp\. ?3d", r"F\. ?Supp\.", r"F\.R\.D\.", r"NY Slip Op", r"L\. ?Ed\. ?2d")
+REPORTERS = (
+    r"U\.S\.", r"S\. ?Ct\.", r"L\. ?Ed\. ?2d", r"F\.2d", r"F\.3d", r"F\.4th", r"F\. ?Supp\. ?2d", r"F\. ?Supp\. ?3d", r"F\. ?Supp\.", r"F\.R\.D\.", r"B\.R\.",
+    r"N\.E\.2d", r"N\.E\.3d", r"N\.W\.2d", r"P\.2d", r"P\.3d", r"A\.2d", r"A\.3d", r"S\.E\.2d", r"S\.W\.2d", r"S\.W\.3d", r"So\. ?2d", r"So\. ?3d",
+    r"Cal\. ?[2345]th", r"Cal\. ?App\. ?[2345]th", r"N\.Y\.2d", r"N\.Y\.3d", r"A\.D\.[23]d", r"NY Slip Op", r"WL",
+)
 _REP = "(?P<rep>" + "|".join(REPORTERS) + ")"
+# fixed values: a pinpoint is a page, a span of pages, or several of them
 _PIN = r"(?P<pin>\d+(?:[-–]\d+)?(?:, ?\d+(?:[-–]\d+)?)*)"
-_NAME = r"(?P<name>[A-Z][\w.'&]*(?: [\w.'&]+)*? v\. [A-Z][\w.'&]*(?: (?:[A-Z&][\w.'&]*|of|the))*)"
+#: Words of a party's name: capitals, and small words that stand between them.
+_WORD, _SMALL = r"[A-Z][\w.'&]*", r"(?:of|the|and|for|in|on|to|de|la|ex|rel\.|re|&|d/b/a)"
+_NAME = rf"(?P<name>(?:In re|Ex parte) {_WORD}(?: {_WORD})*|(?!(?:In|See|But|Cf\.|And|Under|Compare) ){_WORD}(?: (?:{_WORD}|{_SMALL}))*? v\. {_WORD}(?: (?:[A-Z&][\w.'&]*|of|the))*)"
 FULL = re.compile(rf"(?:{_NAME}, )?(?P<vol>\d+) {_REP} (?P<page>\d+)(?!\w)(?:, {_PIN}(?= \())?(?: \((?P<court>[^()]*?)(?P<year>\d{{4}})\))?")
-SHORT = re.compile(rf"(?:(?P<name>[A-Z][\w.'&]*(?: [A-Z][\w.'&]*)*), )?(?P<vol>\d+) {_REP} at {_PIN}")
-ID = re.compile(rf"\b[Ii]d\.(?: at {_PIN})?")
+SHORT = re.compile(rf"(?:(?P<name>[A-Z][\w.'&]*(?: [A-Z][\w.'&]*)*), )?(?P<vol>\d+) {_REP},? at {_PIN}")
+ID = re.compile(rf"\b[Ii]d\.(?:,? at {_PIN})?")
 SUPRA = re.compile(rf"(?P<name>[A-Z][\w.'&]*(?: [A-Z][\w.'&]*)*), supra(?:,? at {_PIN})?")
+# fixed values: where a sentence ends, a quotation in a line, and the first section after a table of authorities
+SENTENCE_END = re.compile(r"[.!?][\"')\]]*(?=\s+[A-Z\"'])")
+QUOTED = re.compile(r'(?P<open>["“])(?P<text>.*?)(?P<close>["”])', re.S)
+SECTION_START = r"(?m)^\s*\d+\s*$\n\s*[A-Z][A-Z0-9\s]{5,}$"
 
 
 def find(text: str) -> list[dict]:
@@ -28,30 +42,95 @@ def find(text: str) -> list[dict]:
     for start, end, kind, m in sorted(found, key=lambda x: x[:2]):
         if start >= at:
             at, g = -end, m.groupdict()
-            year = g.get("year")
+            year, court = g.get("year"), (g.get("court") or "").strip(" ,")
             out.append({
                 "kind": kind, "start": start, "end": -end, "raw_text": m.group(), "name": g.get("name"), "volume": g.get("vol"), "reporter": g.get("rep"),
-                "pin": g.get("pin"), "year": int(year) if year else None,
+                "pin": g.get("pin"), "year": int(year) if year else None, "court": court or None,
             })
     return out
 
 
-def extract(pages: DataFrame, id_col: str = "doc_id", page_col: str = "page", text_col: str = "text") -> DataFrame:
-    """(id, page, n, kind, start, end, raw_text, name, volume, reporter, pin, year), n in document order; null text has none."""
-    kind = pages.schema[id_col].dataType.simpleString()
+def sentence_starts(text: str) -> list[int]:
+    """Places where sentences begin; 'v.' ends none."""
+    ends = (m for m in SENTENCE_END.finditer(text) if not re.search(r"\b[vV]\.$", text[max(0, m.start() - 2) : m.start() + 1]))
+    return [0, *(m.end() for m in ends)]
+
+
+def window(text: str, starts: list[int], at: int) -> tuple[int, int, int]:
+    """(start of the sentence before, start of the sentence around a place, its end)."""
+    n = bisect.bisect_right(starts, at) - 1
+    return starts[max(0, n - 1)], starts[n], starts[n + 1] if n + 1 < len(starts) else len(text)
+
+
+def last_quote(text: str, lo: int, hi: int) -> tuple[int, int] | None:
+    """The last quotation in a stretch; straight marks pair with straight ones, curly with curly."""
+    pairs = {'"': '"', "“": "”"}
+    found = [m.span("text") for m in QUOTED.finditer(text, lo, hi) if m["close"] == pairs[m["open"]] and m["text"].strip()]
+    return found[-1] if found else None
+
+
+def block_quote(text: str, at: int) -> tuple[int, int] | None:
+    """Two or more indented lines right before a place, the first opened and the last closed by a quotation mark: what is between the marks."""
+    block = re.search(r"(?:^[ \t]+\S[^\n]*\n){2,}\s*\Z", text[:at], re.M)
+    if block is None:
+        return None
+    inner = block.group().strip()
+    lo = block.start() + block.group().index(inner)
+    return (lo + 1, lo + len(inner) - 1) if inner[0] in "\"“" and inner[-1] in "\"”" and len(inner) > 2 else None
+
+
+def around(text: str, cites: list[dict]) -> list[dict]:
+    """cites with context (the sentence around each and the one before) and quote (its block, or the last in these sentences), as spans and texts."""
+    starts = sentence_starts(text)
+    for c in cites:
+        before, here, end = window(text, starts, c["start"])
+        quote = block_quote(text, c["start"])
+        c["is_block"] = quote is not None
+        quote = quote or last_quote(text, here, end) or last_quote(text, before, here)
+        context = text[before:end]
+        c["context_start"], c["context_end"], c["context"] = before, end, context.strip()
+        c["quote_start"], c["quote_end"] = quote or (None, None)
+        c["quote"] = text[slice(*quote)] if quote else None
+    return cites
+
+
+def excluded_pages(pages: DataFrame, id_col: str = "doc_id", page_col: str = "page", text_col: str = "text") -> DataFrame:
+    """(id, page, excluded): pages of a table of authorities, from its heading up to the first numbered page that begins a section.
+
+    Null texts change nothing. A document's pages are one window, of which only two flags are sorted.
+    """
+    flag = F.when(F.upper(text_col).contains("TABLE OF AUTHORITIES"), True).when(F.col(text_col).rlike(SECTION_START), False)
+    w = Window.partitionBy(id_col).orderBy(page_col)
+    return pages.select(id_col, page_col, flag.alias("f")).select(id_col, page_col, F.coalesce(F.last("f", ignorenulls=True).over(w), F.lit(False)).alias("excluded"))
+
+
+CITED = (
+    "kind string, start int, end int, raw_text string, name string, volume string, reporter string, pin string, year int, court string, is_block boolean, "
+    "context_start int, context_end int, context string, quote_start int, quote_end int, quote string"
+)
+
+
+def extract(pages: DataFrame, id_col: str = "doc_id", page_col: str = "page", text_col: str = "text", skip_tables: bool = True) -> DataFrame:
+    """(id, page, n and the columns CITED), n in document order; null text has none, nor has a table of authorities if `skip_tables`.
+
+    Where a page repeats, its citations are there for each.
+    """
+    rows = pages.select(id_col, page_col, text_col)
+    if skip_tables:
+        gone = excluded_pages(rows, id_col, page_col, text_col).where("excluded").select(id_col, page_col).distinct()
+        rows = rows.join(gone, [id_col, page_col], "left_anti").select(id_col, page_col, text_col)
+    kinds = [rows.schema[c].dataType.simpleString() for c in (id_col, page_col)]
+    fields = [x.split()[0] for x in CITED.split(", ")]
 
     def run(batches):
         import pandas as pd
 
-        names = [id_col, page_col, "kind", "start", "end", "raw_text", "name", "volume", "reporter", "pin", "year"]
         for pdf in batches:
-            rows = [{id_col: a, page_col: b, **x} for a, b, t in pdf.itertuples(index=False) for x in find(t or "")]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.assign(year=out["year"].astype("Int32"))
+            out = [(a, b, *(c[f] for f in fields)) for a, b, t in pdf.itertuples(index=False) for c in around(t or "", find(t or ""))]
+            frame = pd.DataFrame(out, columns=[id_col, page_col, *fields])
+            yield frame.astype({f: "Int32" for f in ("year", "quote_start", "quote_end")})
 
-    found = pages.select(id_col, page_col, text_col).mapInPandas(
-        run, f"{id_col} {kind}, {page_col} int, kind string, start int, end int, raw_text string, name string, volume string, reporter string, pin string, year int"
-    )
+    found = rows.mapInPandas(run, f"{id_col} {kinds[0]}, {page_col} {kinds[1]}, {CITED}")
     return found.withColumn("n", F.row_number().over(Window.partitionBy(id_col).orderBy(page_col, "start")))
 
 
@@ -107,21 +186,44 @@ QUERIES["citation_antecedents"] = citation_antecedents
 
 QUOTES = (
     ("before", '"The Court held this." Roe v. Wade, 410 U.S. 113 (1973).', "The Court held this."),
-    ("within", 'Roe v. Wade, 410 U.S. 113 (1973), held that "the rule applies."', "the rule applies."),
+    ("within", 'Roe v. Wade, 500 N.E.2d 10 (1973), held that "the rule applies."', "the rule applies."),
+    ("curly", "“The Court held this.” In re Poe, 10 F.3d 20 (9th Cir. 1995).", "The Court held this."),
     ("far", '"The Court held this." Another sentence stands here. Roe v. Wade, 410 U.S. 113 (1973).', None),
-    ("none", "Roe v. Wade, 410 U.S. 113 (1973).", None),
+    ("block", 'It said:\n    "The first line stands\n    and the second one ends."\nRoe v. Wade, 12 Cal. 4th 345 (1995).', "The first line stands\n    and the second one ends."),
+    ("none", "Roe v. Wade, 2019 WL 12345 (1973).", None),
 )
 SQL["quote_attach"] = 'SELECT * FROM (VALUES ' + ", ".join(f"('{q[0]}', {_value(q[2])})" for q in QUOTES) + ') AS t("case", quote)'
 
 
 def quote_attach(spark: SparkSession, d: str) -> DataFrame:
-    """The quotation that belongs to a citation: the last one of its sentence, else of the sentence before."""
-    rows = spark.createDataFrame([q[:2] for q in QUOTES], "case string, text string")
-    quotes = lambda c: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(c, F.lit('"([^"]*)"'), F.lit(1))), -1)
-    sentences = F.split("text", r"(?<=[.!?])(?<!\bv\.)(?<=[.!?]|[.!?][\"')])\s+(?=[A-Z\"])|(?<=[.!?]\")\s+(?=[A-Z\"])")
-    parts = rows.select("case", sentences.alias("s")).select("case", "s", F.array_position(F.transform("s", lambda x: x.rlike(r"\d+ U\.S\. \d+")), True).alias("at"))
-    own, before = F.get("s", (F.col("at") - 1).cast("int")), F.get("s", (F.col("at") - 2).cast("int"))
-    return parts.select("case", F.coalesce(quotes(own), quotes(before)).alias("quote"))
+    """The quotation that belongs to a citation: a block before it, the last one of its sentence, else of the sentence before."""
+    rows = spark.createDataFrame([(q[0], 1, q[1]) for q in QUOTES], "case string, page int, text string")
+    return extract(rows, "case").select("case", "quote")
 
 
 QUERIES["quote_attach"] = quote_attach
+
+
+def cited_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as pages of one citation each, made from their first words, so that offsets, courts and contexts are known on a whole table."""
+    return read(spark, d, "documents").select(
+        (F.col("doc_id") % 100).alias("brief"), F.floor(F.col("doc_id") / 100).cast("int").alias("page"),
+        F.concat(F.lit("It was so. The rule holds, Roe v. Wade, "), F.col("doc_id") + 1, F.lit(" F.3d "), F.length("text") + 1, F.lit(" (9th Cir. 1995). Id. at "), F.col("doc_id"), F.lit(". And then.")).alias("text"),
+    )
+
+
+SQL["citation_table"] = """WITH p AS (SELECT doc_id % 100 AS brief, (doc_id // 100)::INT AS page, (doc_id + 1)::VARCHAR AS v, (length(text) + 1)::VARCHAR AS g, doc_id::VARCHAR AS i FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT brief, page, 1 AS k, 'full' AS kind, 27 AS start, 'Roe v. Wade, ' || v || ' F.3d ' || g || ' (9th Cir. 1995)' AS raw_text, '9th Cir.' AS court, NULL AS pin,
+      'It was so. The rule holds, Roe v. Wade, ' || v || ' F.3d ' || g || ' (9th Cir. 1995).' AS context FROM p
+      UNION ALL SELECT brief, page, 2, 'id', (27 + length('Roe v. Wade, ' || v || ' F.3d ' || g || ' (9th Cir. 1995). '))::INT, 'Id. at ' || i, NULL, i,
+      'The rule holds, Roe v. Wade, ' || v || ' F.3d ' || g || ' (9th Cir. 1995). Id. at ' || i || '.' FROM p),
+    n AS (SELECT *, row_number() OVER (PARTITION BY brief ORDER BY page, k) AS n FROM c)
+    SELECT brief, page, kind, start, raw_text, court, pin, context, n::INT AS n, CASE WHEN kind = 'id' THEN (n - 1)::INT END AS root FROM n"""
+
+
+def citation_table(spark: SparkSession, d: str) -> DataFrame:
+    """Citations of all pages with their courts, contexts and antecedents."""
+    return antecedents(extract(cited_documents(spark, d), "brief"), "brief").select("brief", "page", "kind", "start", "raw_text", "court", "pin", "context", "n", "root")
+
+
+QUERIES["citation_table"] = citation_table

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkquill.functions import text as T
+from sparkquill.operators.citations import excluded_pages
 from sparkquill.sources.tables import read
 
 QUERIES, SQL = {}, {}
@@ -208,20 +209,27 @@ def offset_range_join(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, false)) AS t(page, excluded)")
 def toa_islands(spark: SparkSession, d: str) -> DataFrame:
     """Pages of a table of authorities: on at its heading, off at the first numbered page with a heading."""
-    pages = [(1, "ii\nTABLE OF AUTHORITIES\nRoe v. Wade"), (2, "iii\nmore"), (3, "1\nARGUMENT\nRoe v. Wade, 410 U.S. 113 (1973)."), (4, "2\nText")]
-    rows = spark.createDataFrame(pages, "page int, text string")
-    flag = F.when(F.col("text").contains("TABLE OF AUTHORITIES"), True).when(F.col("text").rlike(r"(?m)^\s*\d+\s*$\n\s*[A-Z][A-Z0-9\s]{5,}$"), False)
-    w = Window.partitionBy(F.lit("doc")).orderBy("page")  # one document's pages
-    return rows.select("page", F.coalesce(F.last(flag, ignorenulls=True).over(w), F.lit(False)).alias("excluded"))
+    pages = [(1, "ii\nTable of Authorities\nRoe v. Wade"), (2, "iii\nmore"), (3, "1\nARGUMENT\nRoe v. Wade, 410 U.S. 113 (1973)."), (4, "2\nText")]
+    rows = spark.createDataFrame([("brief", *p) for p in pages], "doc_id string, page int, text string")
+    return excluded_pages(rows).select("page", "excluded")
 
 
-@query("SELECT * FROM (VALUES (0, 10, 0, 10), (5, 8, 10, 10), (8, 15, 10, 15), (20, 25, 20, 25)) AS t(lo, hi, shown_from, shown_to)")
+def clamped(spans: DataFrame, page: str, lo: str, hi: str, tie: str) -> DataFrame:
+    """spans with shown_from and shown_to: in order of start, longer ones first, each clamped to begin after all before it on its page."""
+    w = Window.partitionBy(page).orderBy(lo, F.desc(hi), tie).rowsBetween(Window.unboundedPreceding, -1)
+    cursor = F.coalesce(F.max(hi).over(w), F.lit(0))
+    return spans.withColumn("cursor", cursor).select(*spans.columns, F.greatest(lo, "cursor").alias("shown_from"), F.greatest(hi, "cursor").alias("shown_to"))
+
+
+@query(
+    """WITH s AS (SELECT o_custkey AS page, o_orderkey AS id, o_orderkey % 1000 AS lo, o_orderkey % 1000 + o_orderkey % 37 + 1 AS hi FROM orders),
+    c AS (SELECT *, coalesce(max(hi) OVER (PARTITION BY page ORDER BY lo, hi DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cur FROM s)
+    SELECT page, id, lo, hi, greatest(lo, cur) AS shown_from, greatest(hi, cur) AS shown_to FROM c"""
+)
 def span_clamp(spark: SparkSession, d: str) -> DataFrame:
-    """Spans in order, each clamped to begin after all before it."""
-    rows = spark.createDataFrame([(0, 10), (5, 8), (8, 15), (20, 25)], "lo int, hi int")
-    w = Window.partitionBy(F.lit("page")).orderBy("lo", F.desc("hi")).rowsBetween(Window.unboundedPreceding, -1)
-    cursor = F.coalesce(F.max("hi").over(w), F.lit(0))
-    return rows.select("lo", "hi", F.greatest("lo", cursor).alias("shown_from"), F.greatest("hi", cursor).alias("shown_to"))
+    k = F.col("o_orderkey")
+    spans = read(spark, d, "orders").select(F.col("o_custkey").alias("page"), k.alias("id"), (k % 1000).alias("lo"), (k % 1000 + k % 37 + 1).alias("hi"))
+    return clamped(spans, "page", "lo", "hi", "id")
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import types as t
 
 from sparkquill.functions import alignment as A
 from sparkquill.functions import text as T
+from sparkquill.operators.citations import extract
 from sparkquill.operators.documents import holders
 from sparkquill.operators.verdicts import name_similarity
 from sparkquill.sources.tables import read
@@ -350,10 +351,8 @@ CONTEXTS = (
 
 @query(values([(c[0], c[2]) for c in CONTEXTS], '"case", context'))
 def context_window(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([c[:2] for c in CONTEXTS], "case string, text string")
-    s = F.split("text", r"(?<=[.!?])(?<!\b[vV]\.)\s+(?=[A-Z\"'])")
-    at = F.array_position(F.transform(s, lambda x: x.rlike(r"\d+ U\.S\. \d+")), True).cast("int")
-    return rows.select("case", F.when(at > 0, F.array_join(F.slice(s, F.greatest(at - 1, F.lit(1)), F.least(at, F.lit(2))), " ")).alias("context"))
+    rows = spark.createDataFrame([(c[0], 1, c[1]) for c in CONTEXTS], "case string, page int, text string")
+    return rows.select("case").join(extract(rows, "case").where("n = 1").select("case", "context"), "case", "left")
 
 
 @query(

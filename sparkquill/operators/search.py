@@ -195,12 +195,3 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
         F.round(F.avg(F.when(F.col("gold") > 0, F.col("hits") / F.col("gold")).otherwise(0.0)), 6).alias("recall"),
         F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"),
     )
-
-
-@query("SELECT * FROM (VALUES ('p3', 1), ('p1', 2), ('p2', 3), ('p4', 4)) AS t(para_id, pos)")
-def rerank_safe_order(spark: SparkSession, d: str) -> DataFrame:
-    """A reranker's order over known ids, then the rest in their order; unknown and repeated ids are passed over."""
-    known = spark.createDataFrame([("p1", 1), ("p2", 2), ("p3", 3), ("p4", 4)], "para_id string, old int")
-    given = spark.createDataFrame([(1, "p3"), (2, "zz"), (3, "p1"), (4, "p3")], "new int, para_id string").groupBy("para_id").agg(F.min("new").alias("new"))
-    order = Window.partitionBy(F.lit("one query")).orderBy(F.asc_nulls_last("new"), "old")
-    return known.join(given, "para_id", "left").select("para_id", F.row_number().over(order).alias("pos"))

@@ -220,6 +220,13 @@ ANSWERS = (
     ("unknown part", '{"verdict":"SUPPORTS","cited_paragraph_ids":["p4"],"rationale":"r","confidence":0.9}', "SUPPORTS", None),
     ("not addressed", '{"verdict":"NOT_ADDRESSED","cited_paragraph_ids":[],"rationale":"r","confidence":0.9}', "NOT_ADDRESSED", None),
     ("no object", "[1]", "UNVERIFIABLE", "INVALID_JUDGE_OUTPUT"),
+    ("no JSON", "not JSON", "UNVERIFIABLE", "INVALID_JUDGE_OUTPUT"),
+    ("own verdict", '{"verdict":"UNVERIFIABLE","cited_paragraph_ids":["p1"],"rationale":"r","confidence":0.9}', "UNVERIFIABLE", "INVALID_VERDICT"),
+    ("long rationale", '{"verdict":"SUPPORTS","cited_paragraph_ids":["p1"],"rationale":"' + "x" * 301 + '","confidence":0.9}', "UNVERIFIABLE", "INVALID_RATIONALE"),
+    ("text as number", '{"verdict":"SUPPORTS","cited_paragraph_ids":["p1"],"rationale":"r","confidence":"0.8"}', "UNVERIFIABLE", "INVALID_CONFIDENCE"),
+    ("no number", '{"verdict":"SUPPORTS","cited_paragraph_ids":["p1"],"rationale":"r","confidence":null}', "UNVERIFIABLE", "INVALID_CONFIDENCE"),
+    ("no list", '{"verdict":"SUPPORTS","cited_paragraph_ids":"p1","rationale":"r","confidence":0.9}', "UNVERIFIABLE", "INVALID_CITED_PARAGRAPH_IDS"),
+    ("number as id", '{"verdict":"SUPPORTS","cited_paragraph_ids":["p1",4],"rationale":"r","confidence":0.9}', "UNVERIFIABLE", "INVALID_CITED_PARAGRAPH_IDS"),
     ("verdict", '{"verdict":"MAYBE","cited_paragraph_ids":["p1"],"rationale":"r","confidence":0.9}', "UNVERIFIABLE", "INVALID_VERDICT"),
     ("rationale", '{"verdict":"SUPPORTS","cited_paragraph_ids":["p1"],"rationale":" ","confidence":0.9}', "UNVERIFIABLE", "INVALID_RATIONALE"),
     ("boolean", '{"verdict":"SUPPORTS","cited_paragraph_ids":["p1"],"rationale":"r","confidence":true}', "UNVERIFIABLE", "INVALID_CONFIDENCE"),
@@ -238,31 +245,47 @@ _quoted = lambda x: "NULL" if x is None else f"'{x}'"
 def proposition_validator(spark: SparkSession, d: str) -> DataFrame:
     """A judge's answer against the evidence that it was given; the first rule broken is the reason."""
     rows = spark.createDataFrame([a[:2] for a in ANSWERS], "case string, answer string")
-    v = F.parse_json("answer")
+    parts = F.create_map(*[F.lit(x) for pair in PARTS.items() for x in pair])
+    return validated(rows.withColumn("parts", parts), ["case"])
+
+
+# fixed values: longest rationale, least confidence, and that of a contradiction
+RATIONALE, CONFIDENCE, CONTRADICTION = 300, 0.6, 0.75
+
+
+def validated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, verdict, reason) of a judge's answers: rows (keys, answer, parts), answer as JSON, parts a map of the evidence's ids to opinion parts.
+
+    The first rule broken is the reason, and the verdict then UNVERIFIABLE. Support by dissents and concurrences alone is PARTIAL. Null answers and
+    such as aren't JSON are INVALID_JUDGE_OUTPUT; with null or empty parts no id is known.
+    """
+    v = F.try_parse_json("answer")
     get = lambda path, kind: F.try_variant_get(v, path, kind)
     kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("VOID"))
+    item_kinds = F.transform(get("$.cited_paragraph_ids", "array<variant>"), lambda x: F.schema_of_variant(x))
     rows = rows.select(
-        "case", F.schema_of_variant(v).startswith("OBJECT").alias("object"), get("$.verdict", "string").alias("said"), kind("$.rationale").alias("r_kind"),
+        *keys, F.schema_of_variant(v).startswith("OBJECT").alias("object"), get("$.verdict", "string").alias("said"), kind("$.rationale").alias("r_kind"),
         get("$.rationale", "string").alias("rationale"), kind("$.confidence").alias("c_kind"), get("$.confidence", "double").alias("confidence"),
-        kind("$.cited_paragraph_ids").alias("i_kind"), get("$.cited_paragraph_ids", "array<string>").alias("ids"),
+        kind("$.cited_paragraph_ids").alias("i_kind"), get("$.cited_paragraph_ids", "array<string>").alias("ids"), item_kinds.alias("kinds"),
+        F.coalesce("parts", F.create_map().cast("map<string,string>")).alias("parts"),
     )
-    part = F.create_map(*[F.lit(x) for pair in PARTS.items() for x in pair])
-    ids, said, c = F.col("ids"), F.col("said"), F.col("confidence")
+    ids, said, c, part = F.col("ids"), F.col("said"), F.col("confidence"), F.col("parts")
     no = lambda condition: F.coalesce(condition, F.lit(True))
+    foreign = F.exists("kinds", lambda k: k != "STRING")
     reason = (
         F.when(no(~F.col("object")), "INVALID_JUDGE_OUTPUT")
         .when(no(~said.isin("SUPPORTS", "PARTIAL", "CONTRADICTS", "NOT_ADDRESSED")), "INVALID_VERDICT")
-        .when(no((F.col("r_kind") != "STRING") | (F.trim("rationale") == "") | (F.length("rationale") > 300)), "INVALID_RATIONALE")
+        .when(no((F.col("r_kind") != "STRING") | (F.trim("rationale") == "") | (F.length("rationale") > RATIONALE)), "INVALID_RATIONALE")
         .when(no((F.col("c_kind") == "BOOLEAN") | F.col("c_kind").isin("STRING", "VOID") | ~c.between(0, 1)), "INVALID_CONFIDENCE")
-        .when(no(~F.col("i_kind").startswith("ARRAY") | F.exists(ids, lambda x: x.isNull() | (x == "")) | (F.size(F.array_distinct(ids)) < F.size(ids))), "INVALID_CITED_PARAGRAPH_IDS")
+        .when(no(~F.col("i_kind").startswith("ARRAY") | foreign | F.exists(ids, lambda x: x.isNull() | (x == "")) | (F.size(F.array_distinct(ids)) < F.size(ids))), "INVALID_CITED_PARAGRAPH_IDS")
         .when((said != "NOT_ADDRESSED") & (F.size(ids) == 0), "MISSING_EVIDENCE")
-        .when(F.exists(ids, lambda x: ~x.isin(*PARTS)), "INVALID_EVIDENCE_ID")
-        .when(c < 0.6, "LOW_CONFIDENCE")
-        .when((said == "CONTRADICTS") & (c < 0.75), "CONTRADICTS_CONFIDENCE_TOO_LOW")
+        .when(F.exists(ids, lambda x: ~F.map_contains_key(part, x)), "INVALID_EVIDENCE_ID")
+        .when(c < CONFIDENCE, "LOW_CONFIDENCE")
+        .when((said == "CONTRADICTS") & (c < CONTRADICTION), "CONTRADICTS_CONFIDENCE_TOO_LOW")
     )
-    minor = (said == "SUPPORTS") & (F.size(ids) > 0) & F.forall(ids, lambda x: part[x].isin("dissent", "concurrence"))
+    minor = (said == "SUPPORTS") & (F.size(ids) > 0) & F.forall(ids, lambda x: F.coalesce(part[x].isin("dissent", "concurrence"), F.lit(False)))
     verdict = F.when(reason.isNotNull(), "UNVERIFIABLE").when(minor, "PARTIAL").otherwise(said)
-    return rows.select("case", verdict.alias("verdict"), reason.alias("reason"))
+    return rows.select(*keys, verdict.alias("verdict"), reason.alias("reason"))
 
 
 def confusion(rows: DataFrame) -> DataFrame:
