@@ -305,10 +305,14 @@ def lookup_targets(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# fixed value: a row of a table that names a brief and its job
+JOB_ROW = r"(?i)\|\s*([^|]+?)\s*\|\s*`([0-9a-f-]{36})`"
+
+
 def job_references(lines: DataFrame) -> DataFrame:
     """(brief, job) of tables in Markdown (place, line): the name up to its bracket, in small letters; the last row of a name counts."""
-    hits = F.regexp_extract_all("line", F.lit(r"(?i)\|\s*([^|]+?)\s*\|\s*`([0-9a-f-]{36})`"), F.lit(1))
-    jobs = F.regexp_extract_all("line", F.lit(r"(?i)\|\s*([^|]+?)\s*\|\s*`([0-9a-f-]{36})`"), F.lit(2))
+    hits = F.regexp_extract_all("line", F.lit(JOB_ROW), F.lit(1))
+    jobs = F.regexp_extract_all("line", F.lit(JOB_ROW), F.lit(2))
     rows = lines.select("place", F.posexplode(F.arrays_zip(hits.alias("name"), jobs.alias("job"))).alias("nth", "hit"))
     brief = F.lower(F.element_at(F.split(F.trim(F.col("hit.name")), r" \("), 1))
     return rows.groupBy(brief.alias("brief")).agg(F.max_by("hit.job", F.struct("place", "nth")).alias("job"))
