@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -100,13 +102,23 @@ def url_host(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", T.host(F.col("url")).alias("host"))
 
 
+def glob(pattern: str) -> str:
+    """The regular expression of a glob: any characters, one, one of a set or, after an exclamation mark, one outside of it; an open bracket stands for itself."""
+    out = []
+    for part in re.split(r"(\[!?\]?[^\]]*\]|.)", pattern):
+        if len(part) > 1:
+            out.append("[^" * (part[1] == "!") + "[" * (part[1] != "!") + re.sub(r"([\\\[\]&^])", r"\\\1", part[1 + (part[1] == "!") : -1]) + "]")
+        elif part:
+            out.append({"*": ".*", "?": "."}.get(part, re.escape(part)))
+    return "".join(out)
+
+
 def matches(host: Column, patterns: tuple[str, ...]) -> Column:
     """Whether a host is of any pattern: a glob, or a domain with those under it. Patterns are configuration, not data."""
     hit = F.lit(False)
     for p in patterns:
         if any(c in p for c in "*?["):
-            glob = "".join({"*": ".*", "?": "."}.get(c, "\\" + c if c in ".+()|^$" else c) for c in p)
-            hit = hit | host.rlike(f"^{glob}$")
+            hit = hit | host.rlike(f"^(?:{glob(p)})$")
         elif p:
             hit = hit | (host == p) | host.endswith("." + p)
     return F.coalesce(hit, F.lit(False))

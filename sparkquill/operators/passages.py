@@ -15,6 +15,7 @@ from sparkquill.operators.documents import holders
 from sparkquill.operators.reports import INSTRUCTION as INSTRUCTION_WORDS
 from sparkquill.operators.reports import LONGEST_PROPOSITION
 from sparkquill.operators.verdicts import name_similarity
+from sparkquill.sources.settings import Resolver, settings
 from sparkquill.sources.tables import read
 
 QUERIES, SQL = {}, {}
@@ -187,14 +188,17 @@ def html_clean(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
 
 
-def settled(cites: DataFrame, clusters: DataFrame) -> DataFrame:
-    """cites (cite, case_name, year) with the id of the only cluster (cite, id, name, name_full, day) of their very name whose day, if known, is in their year."""
+def settled(cites: DataFrame, clusters: DataFrame, row: str = "cite") -> DataFrame:
+    """cites (cite, case_name, year) with the id of the only cluster (cite, id, name, name_full, day) of their very name whose day, if known, is in their year.
+
+    `row` is the column that tells citations apart; it is the key itself where each key has one citation.
+    """
     form = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)[^\w]+", " "))
     both = cites.where(F.coalesce(form("case_name"), F.lit("")) != "").join(clusters, "cite")
     same = F.coalesce(form("name") == form("case_name"), F.lit(False)) | F.coalesce(form("name_full") == form("case_name"), F.lit(False))
     fits = F.col("year").isNull() | F.col("day").isNull() | F.col("day").startswith(F.col("year").cast("string"))
-    one = both.where(same & fits).groupBy("cite").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
-    return cites.join(one.select("cite", "id"), "cite", "left")
+    one = both.where(same & fits).groupBy(row).agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    return cites.join(one.select(row, "id"), row, "left")
 
 
 @query(values([("a", 1), ("b", None), ("c", None), ("d", 7)], "cite, id"))
@@ -217,24 +221,23 @@ def fuzzy_name_match(spark: SparkSession, d: str) -> DataFrame:
     return both.select("c_custkey", F.round(name_similarity("c_name", "c_name"), 4).alias("itself"), (F.col("like") >= 0.8).alias("near"))
 
 
-def resolved_urls(text: Column, rules: tuple[tuple[str, str, tuple[str, ...], str], ...]) -> Column:
-    """Array of distinct https URLs, one of each rule (name, pattern, names of its groups, template) that the text meets."""
+def resolved_urls(text: Column, rules: tuple[Resolver, ...]) -> Column:
+    """Array of distinct https URLs, one of each rule that the text meets; the pattern's named groups fill its template."""
     found = []
-    for _, pattern, groups, template in rules:
-        url = F.lit(template)
-        for n, group in enumerate(groups, 1):
-            value = F.replace(F.url_encode(F.regexp_extract(text, f"(?i){pattern}", n)), F.lit("+"), F.lit("%20"))
+    for rule in rules:
+        pattern = "(?i)" + rule.citation_pattern.replace("(?P<", "(?<")
+        url = F.lit(rule.url_template)
+        for group, n in re.compile(rule.citation_pattern).groupindex.items():
+            value = F.replace(F.url_encode(F.regexp_extract(text, pattern, n)), F.lit("+"), F.lit("%20"))
             url = F.replace(url, F.lit("{" + group + "}"), value)
         safe = url.startswith("https://") & ~F.regexp_extract(url, "^https://([^/]*)", 1).contains("@")
-        found.append(F.when(text.rlike(f"(?i){pattern}") & safe, url))
+        found.append(F.when(text.rlike(pattern) & safe, url))
     return F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull()))
 
 
-# fixed values: a rule of official sites, and one whose template isn't https
-RULES = (
-    ("ny_reporter_3d", r"(?<!\d)(\d{4})\s+N\.?Y\.?\s+Slip\s+Op\s+(\d+)(?:\([A-Z]\))?", ("year", "number"), "https://www.nycourts.gov/reporter/3dseries/{year}/{year}_{number}.htm"),
-    ("plain", r"(\d{4})\s+NY", ("year",), "http://www.nycourts.gov/{year}"),
-)
+#: The rules of the settings, and one whose template isn't https.
+RULES = (*settings().resolvers, Resolver("plain", r"(?P<year>\d{4})\s+NY", "http://www.nycourts.gov/{year}"))
+# fixed values: citations and their addresses
 LINKS = (("2025 NY Slip Op 51938(U)", "https://www.nycourts.gov/reporter/3dseries/2025/2025_51938.htm"), ("2024 n.y. slip op 7", "https://www.nycourts.gov/reporter/3dseries/2024/2024_7.htm"), ("410 U.S. 113", ""))
 
 
