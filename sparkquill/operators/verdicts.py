@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from sparkquill.functions import alignment as A
 from sparkquill.operators.search import lexical
+from sparkquill.sources.settings import settings
 from sparkquill.sources.tables import read
 
 QUERIES, SQL = {}, {}
@@ -52,17 +53,49 @@ def quote_ladder(similarity: Column, altered: Column, has_source: Column, words:
     )
 
 
+def pinpoint_page(pinpoint: Column) -> Column:
+    """The first number of a pinpoint; null without one."""
+    return F.regexp_substr(pinpoint, F.lit(r"[0-9]+")).try_cast("int")
+
+
+def quote_notes(verdict: Column, words: Column, semantic: Column, asked: Column, page: Column) -> Column:
+    """Array of notes: a page that isn't the pinpoint's for quotes that were found, else what the meaning says, or that it wasn't compared."""
+    found = verdict.isin("VERBATIM", "VERBATIM_WITH_PERMITTED_ALTERATIONS", "ALTERED")
+    note = (
+        F.when(verdict == "SOURCE_UNAVAILABLE", F.lit(None)).when(words == 0, "EMPTY_QUOTE").when(found, F.when(asked != page, "PINPOINT_MISMATCH"))
+        .when(verdict == "PARAPHRASE_IN_QUOTES", "SEMANTIC_MATCH").when(semantic.isNotNull(), "SEMANTIC_NO_MATCH").otherwise("SEMANTIC_PROVIDER_REQUIRED")
+    )
+    return F.array_compact(F.array(note))
+
+
+def semantic_status(verdict: Column, words: Column, semantic: Column) -> Column:
+    """Whether meanings were compared; where the words or the missing source decide, it isn't needed."""
+    by_words = verdict.isin("SOURCE_UNAVAILABLE", "VERBATIM", "VERBATIM_WITH_PERMITTED_ALTERATIONS", "ALTERED")
+    return F.when(by_words, "NOT_NEEDED").when((words > 0) & semantic.isNotNull(), "COMPLETED").otherwise("NOT_CONFIGURED")
+
+
 def check_quotes(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Verdict per key of pairs (keys, quote, order, paragraph, semantic): the best paragraph wins, the earlier one in a tie.
+    """(keys, verdict, similarity, nearest, notes, status) of pairs (keys, quote, order, paragraph, semantic, perhaps page and pinpoint).
 
-    Only candidate pairs get here; the aligner runs once for each.
+    The best paragraph wins, the earlier one in a tie, and its page is held against the first number of the key's pinpoint; where either is null
+    nothing is noted. Only candidate pairs get here; the aligner runs once for each. A paraphrase has its meaning's similarity.
     """
     a = aligned(F.col("quote"), F.col("paragraph"))
+    given = lambda name, kind: F.col(name) if name in pairs.columns else F.lit(None).cast(kind)
     each = pairs.withColumn("a", a).withColumn("blank", F.trim(F.coalesce("paragraph", F.lit(""))) == "")
+    each = each.withColumn("a", F.struct("a.*", given("page", "int").alias("page")))
     best = F.max_by(F.col("a"), F.struct(F.round("a.similarity", 9), F.round("a.closest", 9), -F.col("order")))
-    out = each.groupBy(*keys).agg(best.alias("a"), F.bool_or(~F.col("blank")).alias("has"), F.max("semantic").alias("semantic"))
-    verdict = quote_ladder(F.col("a.similarity"), F.col("a.altered"), F.col("has"), F.col("a.words"), F.coalesce("semantic", F.lit(-1.0)))
-    return out.select(*keys, verdict.alias("verdict"), F.round("a.closest", 4).alias("similarity"), F.col("a.nearest").alias("nearest"))
+    out = each.groupBy(*keys).agg(
+        best.alias("a"), F.bool_or(~F.col("blank")).alias("has"), F.max("semantic").alias("semantic"), F.min(pinpoint_page(given("pinpoint", "string"))).alias("asked")
+    )
+    words, semantic = F.col("a.words"), F.col("semantic")
+    out = out.withColumn("verdict", quote_ladder(F.col("a.similarity"), F.col("a.altered"), F.col("has"), words, F.coalesce(semantic, F.lit(-1.0))))
+    verdict = F.col("verdict")
+    similarity = F.when(verdict == "PARAPHRASE_IN_QUOTES", semantic).otherwise(F.col("a.closest"))
+    return out.select(
+        *keys, "verdict", F.round(similarity, 4).alias("similarity"), F.col("a.nearest").alias("nearest"),
+        quote_notes(verdict, words, semantic, F.col("asked"), F.col("a.page")).alias("notes"), semantic_status(verdict, words, semantic).alias("status"),
+    )
 
 
 # fixed values: quotes, source paragraphs and what the check says
@@ -90,6 +123,22 @@ def quote_verdict_fixtures(spark: SparkSession, d: str) -> DataFrame:
     return check_quotes(rows.withColumn("order", F.lit(1)), ["case"]).select("case", "verdict")
 
 
+@query(
+    """SELECT item_id, item_id % 4 = 3 AS missing, CASE WHEN item_id % 4 = 3 THEN CASE WHEN item_id % 8 = 3 THEN 'SEMANTIC_PROVIDER_REQUIRED' ELSE 'SEMANTIC_NO_MATCH' END
+      WHEN item_id % 5 <> item_id % 3 AND item_id % 4 <> 2 THEN 'PINPOINT_MISMATCH' ELSE '' END AS notes,
+    CASE WHEN item_id % 4 <> 3 THEN 'NOT_NEEDED' WHEN item_id % 8 = 3 THEN 'NOT_CONFIGURED' ELSE 'COMPLETED' END AS status FROM benchmark"""
+)
+def quote_pinpoints(spark: SparkSession, d: str) -> DataFrame:
+    """Passages held against themselves, as the paragraphs of a page, or against a paragraph without any of their words."""
+    k, text = F.col("item_id"), F.col("text")
+    pages = read(spark, d, "benchmark").select(
+        "item_id", text.alias("quote"), F.lit(1).alias("order"), F.when(k % 4 == 3, "0 1 2 3").otherwise(text).alias("paragraph"),
+        F.when(k % 8 == 7, 0.5).alias("semantic"), (k % 5).cast("int").alias("page"), F.when(k % 4 != 2, F.concat(F.lit("at "), k % 3, F.lit("-9"))).alias("pinpoint"),
+    )
+    missing = F.col("verdict") == "NOT_FOUND_IN_SOURCE"
+    return check_quotes(pages, ["item_id"]).select("item_id", missing.alias("missing"), F.array_join("notes", ",").alias("notes"), "status")
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def source_words(text):
     return text.map(lambda t: sorted(set(A.source_tokens(t or ""))))
@@ -249,8 +298,10 @@ def proposition_validator(spark: SparkSession, d: str) -> DataFrame:
     return validated(rows.withColumn("parts", parts), ["case"])
 
 
-# fixed values: longest rationale, least confidence, and that of a contradiction
-RATIONALE, CONFIDENCE, CONTRADICTION = 300, 0.6, 0.75
+# fixed value: longest rationale
+RATIONALE = 300
+#: Least confidence, and that of a contradiction.
+CONFIDENCE, CONTRADICTION = settings().confidence, settings().contradiction
 
 
 def validated(rows: DataFrame, keys: list[str]) -> DataFrame:
