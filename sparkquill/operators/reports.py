@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkquill.operators.search import HYBRID_SQL, hybrid
+from sparkquill.operators.search import HYBRID_SQL, hybrid, ranked
 from sparkquill.sources.tables import FINDINGS_SQL, findings, read
 
 QUERIES, SQL = {}, {}
@@ -131,20 +131,14 @@ def investigation_outcome(spark: SparkSession, d: str) -> DataFrame:
 def ablation_modes(spark: SparkSession, d: str) -> DataFrame:
     """The first four of each query under three modes: cosine, the hybrid of cosine and distance, and the hybrid's first twelve reranked by distance.
 
-    Scores are computed once and shuffled once: all ranks are windows over one query's rows, dealt to the modes at the end.
+    Each list is cut to its length before its shuffle, so that no task holds all pairs of a query.
     """
     both = hybrid(spark, d, keep="single")
-
-    def rank(*order: Column | str) -> Column:
-        return F.row_number().over(Window.partitionBy("q").orderBy(*order, "c"))
-
-    near = both.withColumn("semantic", rank(F.desc("single"))).withColumn("hybrid", rank(F.desc("score"))).where("semantic <= 4 or hybrid <= 12")
-    asked = F.col("hybrid") <= 12
-    again = rank(F.desc(asked), F.desc("other"), "hybrid")
-    modes = near.withColumn("hybrid_rerank", again).select(
-        "q", "c", F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("rank"), (asked | F.lit(m == "semantic")).alias("told")) for m in ("semantic", "hybrid", "hybrid_rerank")])).alias("x")
-    )
-    return modes.where("x.told and x.rank <= 4").select("x.mode", "q", "c", "x.rank")
+    first = ranked(both, ["q"], "score", "c", 12)
+    again = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("other"), "rank", "c"))
+    modes = {"semantic": ranked(both, ["q"], "single", "c", 4), "hybrid": first, "hybrid_rerank": first.withColumn("rank", again)}
+    lists = [rows.where("rank <= 4").select(F.lit(mode).alias("mode"), "q", "c", "rank") for mode, rows in modes.items()]
+    return lists[0].union(lists[1]).union(lists[2])
 
 
 def ablation_problems(cases: DataFrame, corpus: DataFrame, queries: DataFrame) -> DataFrame:

@@ -101,21 +101,25 @@ COS_SQL = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::
 ASKED = 256
 
 
-def semantic(spark: SparkSession, d: str) -> DataFrame:
+def semantic(spark: SparkSession, d: str, known: DataFrame | None = None) -> DataFrame:
     """(q, c, relevant, score, other): cosine of each query vector, and its distance with a minus, with all vectors but its own.
 
+    `known` has more columns of the queries, by q, which their pairs then have.
+
     Queries are the rows whose id is divisible by 100. Rows and queries are dealt to blocks by a hash; a block of rows meets each block of
     queries by an equi-join on its number, so what a task holds at once is a block of queries.
     """
     rows = read(spark, d, "embeddings").select("vec_id", "label", "embedding")
     asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("embedding").alias("qe"))
     n = max(1, -(-asked.count() // ASKED))
+    more = [] if known is None else [c for c in known.columns if c != "q"]
+    asked = asked if known is None else asked.join(known, "q")
     asked = asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(n)).cast("int"))
     held = rows.select(F.col("vec_id").alias("c"), "label", "embedding", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
     pairs = asked.join(held, "block").where("q <> c")
     apart = F.aggregate(F.zip_with("qe", "embedding", lambda x, y: x.cast("double") - y.cast("double")), F.lit(0.0), lambda s, x: s + x * x)
     score, other = F.round(cosine(F.col("qe"), F.col("embedding")), 6), F.round(-F.sqrt(apart), 6)
-    return pairs.select("q", "c", (F.col("ql") == F.col("label")).alias("relevant"), score.alias("score"), other.alias("other"))
+    return pairs.select("q", "c", (F.col("ql") == F.col("label")).alias("relevant"), score.alias("score"), other.alias("other"), *more)
 
 
 @query(f"WITH {COS_SQL} SELECT q, c, round(score, 4) AS score, rank FROM sem WHERE rank <= 10")
@@ -146,11 +150,10 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     return fuse(both.where("rank <= 24"), "item_id", "doc_id", 6).drop("first")
 
 
-def minmax(score: Column, group: str) -> Column:
-    """Scaled to 0..1 within a group; 0 where all scores are the same."""
-    w = Window.partitionBy(group)
-    lo, hi = F.min(score).over(w), F.max(score).over(w)
-    return F.when(hi == lo, 0.0).otherwise((score - lo) / (hi - lo))
+def minmax(score: str) -> Column:
+    """Scaled to 0..1 between the query's bounds `lo_` and `hi_` of this score; 0 where all scores are the same."""
+    lo, hi = F.col(f"lo_{score}"), F.col(f"hi_{score}")
+    return F.when(hi == lo, 0.0).otherwise((F.col(score) - lo) / (hi - lo))
 
 
 HYBRID_SQL = f"""{COS_SQL}, hy AS (SELECT q, c, relevant, other, round((coalesce((score - min(score) OVER p) / nullif(max(score) OVER p - min(score) OVER p, 0), 0)
@@ -159,11 +162,15 @@ HYBRID_SQL = f"""{COS_SQL}, hy AS (SELECT q, c, relevant, other, round((coalesce
 
 
 def hybrid(spark: SparkSession, d: str, keep: str | None = None) -> DataFrame:
-    """(q, c, relevant, other, score): the mean of two scores, cosine and distance, each scaled within its query; `keep` names a column for the first."""
-    rows = semantic(spark, d)
-    both = (minmax(F.col("score"), "q") + minmax(F.col("other"), "q")) / 2
+    """(q, c, relevant, other, score): the mean of two scores, cosine and distance, each scaled within its query; `keep` names a column for the first.
+
+    The bounds of a query's scores are an aggregate, combined before its shuffle, and come back with the query. So pairs are scored twice but
+    never brought together by query.
+    """
+    bounds = semantic(spark, d).groupBy("q").agg(*[f(c).alias(f"{name}_{c}") for c in ("score", "other") for name, f in (("lo", F.min), ("hi", F.max))])
+    both = (minmax("score") + minmax("other")) / 2
     single = [F.col("score").alias(keep)] if keep else []
-    return rows.select("q", "c", "relevant", "other", *single, F.round(both, 6).alias("score"))
+    return semantic(spark, d, bounds).select("q", "c", "relevant", "other", *single, F.round(both, 6).alias("score"))
 
 
 @query(f"WITH {HYBRID_SQL} SELECT q, c, round(score, 4) AS score, rank FROM hr WHERE rank <= 6")
