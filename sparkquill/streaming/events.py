@@ -88,6 +88,43 @@ def streaming_session(spark: SparkSession, d: str) -> DataFrame:
     return drained(rows, "complete").select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("begins"), "n")
 
 
+# fixed values: events that end a feed
+TERMINAL = ("purchase", "error")
+FEED = "user_id bigint, event_id bigint, ts timestamp_ntz, event_type string"
+
+
+def ends_of(rows: DataFrame) -> DataFrame:
+    """(user_id, end): time and id of each key's first terminal event."""
+    return rows.where(F.col("event_type").isin(*TERMINAL)).groupBy("user_id").agg(F.min(F.struct("ts", "event_id")).alias("end"))
+
+
+@query(
+    """WITH e AS (SELECT user_id, min(struct_pack(a := ts, b := event_id)) AS over FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND event_type IN ('purchase', 'error') GROUP BY user_id)
+    SELECT user_id, event_id, event_type FROM events LEFT JOIN e USING (user_id) WHERE ts >= TIMESTAMP '2024-01-10' AND (over IS NULL OR struct_pack(a := ts, b := event_id) <= over)"""
+)
+def streaming_feed(spark: SparkSession, d: str) -> DataFrame:
+    """What a subscriber sees of each key from a moment on: its events up to the first terminal one, nothing of before.
+
+    The ends of keys go from batch to batch in the shared folder; a batch that is written anew after a failure is the same. An event that comes
+    after its key has ended is kept only if it lies before the end; what was told is never taken back by an end that comes late.
+    """
+    path = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    rows = stream(spark, d).where(F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")).select("user_id", "event_id", "ts", "event_type")
+
+    def run(batch: DataFrame, number: int) -> None:
+        ends = ends_of(batch)
+        if number:
+            before = spark.read.schema(ends.schema).parquet(f"{path}/ends/batch={number - 1}")
+            ends = ends.union(before).groupBy("user_id").agg(F.min("end").alias("end"))
+        ends.write.mode("overwrite").parquet(f"{path}/ends/batch={number}")
+        known = spark.read.schema(ends.schema).parquet(f"{path}/ends/batch={number}")
+        kept = batch.join(known, "user_id", "left").where(F.col("end").isNull() | (F.struct("ts", "event_id") <= F.col("end")))
+        kept.select("user_id", "event_id", "ts", "event_type").write.mode("overwrite").parquet(f"{path}/told/batch={number}")
+
+    rows.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(run).start().awaitTermination()
+    return spark.read.schema(FEED).option("recursiveFileLookup", "true").parquet(f"{path}/told").select("user_id", "event_id", "event_type")
+
+
 #: What a key may use within the seconds of a window.
 CAPACITY, SECONDS = 12, 86_400
 

@@ -62,6 +62,21 @@ def test_rate_limit_over_several_batches(spark, tmp_path, monkeypatch):
     assert got == {k: v[0] for k, v in folded([tuple(r) for r in times.collect()]).items()}
 
 
+def test_feed_over_several_batches(spark, tmp_path, monkeypatch):
+    """The ends of keys go from one batch to the next; each file is a batch here, and files are in order of time."""
+    monkeypatch.setattr(events, "FILES", 1)
+    whole = read(spark, DIR, "events").where("ts >= '2024-01-10'").orderBy("ts", "event_id").limit(600).collect()
+    for i in range(3):
+        spark.createDataFrame(whole[200 * i : 200 * (i + 1)], events.SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    ended, want = set(), set()
+    for r in whole:
+        if r["user_id"] not in ended:
+            want.add(r["event_id"])
+        if r["event_type"] in events.TERMINAL:
+            ended.add(r["user_id"])
+    assert {r["event_id"] for r in events.streaming_feed(spark, str(tmp_path)).collect()} == want and 0 < len(want) < 600
+
+
 def test_window_of_a_key():
     w = events.Window()
     day = events.SECONDS * 1_000_000
