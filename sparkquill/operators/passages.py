@@ -263,13 +263,23 @@ CLAIMS = (
 def proposition_offsets(spark: SparkSession, d: str) -> DataFrame:
     """Whether a proposition repeats its excerpt, and where; white space may differ."""
     rows = spark.createDataFrame([c[:3] for c in CLAIMS], "case string, excerpt string, claim string")
+    return located(rows).select("case", F.col("safe").cast("int").alias("safe"), "lo", "hi")
+
+
+def located(rows: DataFrame) -> DataFrame:
+    """rows (excerpt, claim) with safe, and with lo and hi, the place of a safe claim in its excerpt; null where it differs by more than case and white space.
+
+    Nulls, empty claims, long ones and instructions aren't safe.
+    """
     claim = F.trim("claim")
-    safe = (claim != "") & (F.length(claim) <= LONGEST) & ~claim.rlike(INSTRUCTION) & compatible("excerpt").contains(compatible(claim))
-    # each word of the claim as it is, any white space between
-    loose = F.concat(F.lit(r"(?is)\Q"), F.array_join(F.split(claim, r"\s+"), r"\E\s+\Q"), F.lit(r"\E"))
+    held = compatible("excerpt").contains(compatible(claim))
+    safe = F.coalesce((claim != "") & (F.length(claim) <= LONGEST) & ~claim.rlike(INSTRUCTION) & held, F.lit(False))
+    # the claim's characters stand for themselves, with any white space between its words
+    plain = F.regexp_replace(claim, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
+    loose = F.concat(F.lit("(?is)"), F.array_join(F.split(plain, r"\s+"), r"\s+"))
     rows = rows.withColumn("safe", safe).withColumn("hit", F.when(F.col("safe"), F.regexp_substr("excerpt", loose)))
     lo = F.when(F.col("hit").isNotNull(), F.expr("locate(hit, excerpt)") - 1)
-    return rows.select("case", F.col("safe").cast("int").alias("safe"), lo.alias("lo"), (lo + F.length("hit")).alias("hi"))
+    return rows.withColumn("lo", lo).withColumn("hi", F.col("lo") + F.length("hit")).drop("hit")
 
 
 SCORES = (
@@ -281,17 +291,25 @@ SCORES = (
 @query(values([(s[0], *s[2:]) for s in SCORES], '"case", ai, hallucination'))
 def provider_scores(spark: SparkSession, d: str) -> DataFrame:
     """A score of a provider's answer: a number from 0 to 1 of its first document, or else of the answer itself."""
-    v = F.parse_json("answer")
     rows = spark.createDataFrame([s[:2] for s in SCORES], "case string, answer string")
+    return scores_of(rows, {"ai": "completely_generated_prob", "hallucination": "hallucination_score"}).select("case", "ai", "hallucination")
+
+
+def scores_of(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """rows (answer, JSON) with a column for each name: the number from 0 to 1 that its key has in the answer's first document, or else in the answer itself.
+
+    Null answers, such as aren't JSON, texts, booleans and numbers out of range give null.
+    """
+    v = F.try_parse_json("answer")
     first = F.try_variant_get(v, "$.documents[0]", "variant")
-    rows = rows.select("case", F.when(F.schema_of_variant(first).startswith("OBJECT"), first).otherwise(v).alias("doc"))
+    rows = rows.withColumn("doc", F.when(F.schema_of_variant(first).startswith("OBJECT"), first).otherwise(v))
 
     def score(key: str) -> Column:
         kind = F.schema_of_variant(F.try_variant_get("doc", f"$.{key}", "variant"))
         x = F.try_variant_get("doc", f"$.{key}", "double")
         return F.when(kind.rlike("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)") & x.between(0, 1), x)
 
-    return rows.select("case", score("completely_generated_prob").alias("ai"), score("hallucination_score").alias("hallucination"))
+    return rows.withColumns({name: score(key) for name, key in names.items()}).drop("doc")
 
 
 @query(

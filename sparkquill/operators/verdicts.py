@@ -212,13 +212,35 @@ def match_candidate(spark: SparkSession, d: str) -> DataFrame:
         ("other name", "Smith v. James", "S.D.N.Y.", None, None),
     ]
     found = spark.createDataFrame([(*r, *cite) for r in rows], "kind string, name string, court string, day string, docket string, c_name string, c_court string, c_year int, c_docket string")
+    return accepted(found).select("kind", F.round("similarity", 4).alias("similarity"), "accepted")
+
+
+def accepted(found: DataFrame, least: float = settings().name_similarity) -> DataFrame:
+    """found with similarity and accepted: sources (name, court, day, docket) whose name is near the citation's (c_name), and whose court, year or docket agrees (c_court, c_year, c_docket).
+
+    Courts agree as words, dockets as letters and digits, a year where the day has it standing alone. What is null or empty agrees with nothing.
+    """
     form = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)[^\w]+", " "))
     key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    court = F.coalesce(form("court") == form("c_court"), F.lit(False))
-    year = F.coalesce(F.regexp_extract("day", r"(?<!\d)(\d{4})(?!\d)", 1) == F.col("c_year").cast("string"), F.lit(False))
-    docket = F.coalesce((key("docket") == key("c_docket")) & (key("docket") != ""), F.lit(False))
-    out = found.withColumn("similarity", F.round(name_similarity("name", "c_name"), 4))
-    return out.select("kind", "similarity", ((F.col("similarity") >= 0.8) & (court | year | docket)).alias("accepted"))
+    same = lambda a, b: F.coalesce((a == b) & (a != ""), F.lit(False))
+    year = same(F.regexp_extract("day", r"(?<!\d)(\d{4})(?!\d)", 1), F.col("c_year").cast("string"))
+    agrees = same(form("court"), form("c_court")) | year | same(key("docket"), key("c_docket"))
+    out = found.withColumn("similarity", name_similarity("name", "c_name"))
+    return out.withColumn("accepted", (F.col("similarity") >= least) & agrees)
+
+
+@query(
+    """SELECT o_orderkey, o_orderkey % 5 > 0 AS near, o_orderkey % 5 > 0 AND (o_orderkey % 4 = 1 OR o_orderkey % 3 = 0 OR o_orderkey % 7 = 0) AS accepted FROM orders"""
+)
+def candidate_acceptance(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as sources found, of whose facts some agree with those of their citation."""
+    k, c, year = F.col("o_orderkey"), F.col("o_custkey"), F.year("o_orderdate")
+    found = read(spark, d, "orders").select(
+        k, F.when(k % 5 > 0, F.concat(F.lit("CASE V "), c)).otherwise("Unlike").alias("name"), F.when(k % 4 == 1, "S.D.N.Y.").when(k % 4 == 2, "").alias("court"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.when(k % 7 == 0, "23 100").otherwise("99").alias("docket"), F.concat(F.lit("Case v. "), c).alias("c_name"),
+        F.when(k % 4 == 2, " ").otherwise("S. D. N. Y.").alias("c_court"), F.when(k % 3 == 0, year).otherwise(year + 1).alias("c_year"), F.lit("23-100").alias("c_docket"),
+    ).withColumn("c_court", F.replace("c_court", F.lit("S. D. N. Y."), F.lit("s.d.n.y")))
+    return accepted(found).select("o_orderkey", (F.col("similarity") >= 0.8).alias("near"), "accepted")
 
 
 def existence(cites: DataFrame, lookups: DataFrame, clusters: DataFrame) -> DataFrame:

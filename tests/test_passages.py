@@ -87,3 +87,16 @@ def test_window_of_a_key():
 def test_batches_of_an_empty_table(spark):
     rows = spark.createDataFrame([], "g int, o int, s int")
     assert passages.batches(rows, "g", "o", "s", 2, 10).count() == 0
+
+
+def test_places_of_claims(spark):
+    rows = [("A rule (see x) [1] holds.", "rule  (see x) [1]"), ("a\\E b", "a\\E b"), (None, "x"), ("x", None), ("x", ""), ("cost $1 a.b", "COST $1 A.B"), ("axb", "a.b")]
+    df = spark.createDataFrame(rows, "excerpt string, claim string")
+    got = [(r["safe"], r["lo"], r["hi"]) for r in passages.located(df).collect()]
+    assert got == [(True, 2, 18), (True, 0, 5), (False, None, None), (False, None, None), (False, None, None), (True, 0, 11), (False, None, None)]
+    assert passages.located(df.limit(0)).count() == 0
+
+
+def test_scores_of_odd_answers(spark):
+    df = spark.createDataFrame([(None,), ("no JSON",), ("[]",), ('{"p": 1}',), ('{"p": -0.1}',), ('{"documents": [1], "p": 0.5}',)], "answer string")
+    assert [r["x"] for r in passages.scores_of(df, {"x": "p"}).collect()] == [None, None, None, 1.0, None, 0.5]
