@@ -100,3 +100,16 @@ def test_places_of_claims(spark):
 def test_scores_of_odd_answers(spark):
     df = spark.createDataFrame([(None,), ("no JSON",), ("[]",), ('{"p": 1}',), ('{"p": -0.1}',), ('{"documents": [1], "p": 0.5}',)], "answer string")
     assert [r["x"] for r in passages.scores_of(df, {"x": "p"}).collect()] == [None, None, None, 1.0, None, 0.5]
+
+
+def test_running_lines(spark):
+    rows = [
+        ("d", 1, "HEAD one\nbody\n12"), ("d", 2, " head ONE \nother\n\nfoot"), ("d", 3, "only\nfoot"), ("d", 3, "only"), ("e", 1, "HEAD one\nx"), ("d", 4, "abc\nbody"), ("d", 5, "abc"),
+        ("d", 6, ""), ("d", 7, None), (None, 8, "HEAD one"), ("d", 9, "HEAD one"), ("d", None, "HEAD one"),
+    ]
+    pages = spark.createDataFrame(rows, "doc string, page int, text string")
+    got = sorted((r["doc"], r["page"], r["removed"]) for r in passages.running_lines(pages).collect())
+    assert got == [("d", 1, [0]), ("d", 2, [0, 3]), ("d", 3, [1]), ("d", 9, [0])]
+    assert passages.running_lines(pages.limit(0)).count() == 0
+    kept = {(r["doc"], r["page"]): r["p"]["text"] for r in passages.normal_pages(pages.where("page <> 3")).collect()}
+    assert kept["d", 1] == "body 12" and kept["d", 9] == "" and kept["e", 1] == "HEAD one x" and kept["d", 2] == "other foot"
