@@ -104,6 +104,29 @@ def cache_rewrite(cites: DataFrame, cache: DataFrame, clusters: DataFrame) -> Da
     return rows.select("seq", "cite", F.when(done, 200).otherwise(F.col("status")).alias("status"), F.when(done, F.col("first.id")).alias("id"))
 
 
+def parsed_lookups(answers: DataFrame) -> DataFrame:
+    """(batch, nth, cite, status, lo, hi, problem) of a lookup's answers (batch, answer as JSON): a list with an object for each citation found.
+
+    Numbers may be given as text; places that aren't given are 0. An answer that isn't a list, or holds anything but objects with a status and a
+    citation, is UNAVAILABLE as a whole: one row with nothing else. Null answers are so too; an empty list gives no row.
+    """
+    v = F.try_parse_json("answer")
+    items = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+    get = lambda x, path, kind: F.try_variant_get(x, path, kind)
+    place = lambda x, path: F.when(get(x, path, "variant").isNull(), F.lit(0).cast("bigint")).otherwise(get(x, path, "bigint"))
+    rows = F.transform(
+        items,
+        lambda x: F.struct(
+            get(x, "$.citation", "string").alias("cite"), get(x, "$.status", "bigint").alias("status"), place(x, "$.start_index").alias("lo"), place(x, "$.end_index").alias("hi")
+        ),
+    )
+    whole = F.forall(rows, lambda r: r["cite"].isNotNull() & r["status"].isNotNull() & r["lo"].isNotNull() & r["hi"].isNotNull())
+    sound = answers.select("batch", F.when(F.coalesce(whole, F.lit(False)), rows).alias("rows"))
+    good = sound.where("rows is not null").select("batch", F.posexplode("rows").alias("nth", "r")).select("batch", "nth", "r.*", F.lit(None).cast("string").alias("problem"))
+    bad = sound.where("rows is null").select("batch", F.lit("UNAVAILABLE").alias("problem"))
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
 # -- queries --------------------------------------------------------------------------------------------------------
 
 @query(
@@ -207,3 +230,16 @@ def signal_order(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "events").where(F.length(T.strip(F.col("props"))) >= SHORTEST).withColumn("section", F.concat(F.lit("page:"), F.col("event_id") % 12))
     pos = F.row_number().over(Window.partitionBy("user_id").orderBy("section", "event_type", "ts", "event_id"))
     return rows.select("user_id", "event_id", pos.alias("pos"))
+
+
+@query(
+    """SELECT o_orderkey AS batch, n AS nth, CASE n WHEN 0 THEN o_orderkey || ' U.S. 1' WHEN 1 THEN 'x' END AS cite, CASE n WHEN 0 THEN 200 WHEN 1 THEN 404 END AS status,
+    CASE n WHEN 0 THEN 3 WHEN 1 THEN 0 END AS lo, CASE n WHEN 0 THEN 9 WHEN 1 THEN 0 END AS hi, CASE WHEN n IS NULL THEN 'UNAVAILABLE' END AS problem
+    FROM (SELECT o_orderkey, unnest(CASE WHEN o_orderkey % 5 = 2 THEN [0, 1] WHEN o_orderkey % 5 = 4 THEN [] ELSE [NULL] END) AS n FROM orders)"""
+)
+def lookup_contract(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as batches of a lookup, with sound, empty and broken answers."""
+    k = F.col("o_orderkey")
+    sound = F.concat(F.lit('[{"status":"200","citation":"'), k, F.lit(' U.S. 1","start_index":3,"end_index":"9"},{"status":404,"citation":"x"}]'))
+    answer = F.when(k % 5 == 0, "oops").when(k % 5 == 1, "{}").when(k % 5 == 2, sound).when(k % 5 == 3, '[{"status":200,"citation":"a"},7]').otherwise("[]")
+    return parsed_lookups(read(spark, d, "orders").select(k.alias("batch"), answer.alias("answer")))

@@ -98,3 +98,10 @@ def test_notes_of_quotes(spark):
     assert {c: got[c][0] for c in ("same", "no page", "no pin", "no number", "no source")} == dict.fromkeys(("same", "no page", "no pin", "no number", "no source"), [])
     assert got["other page"] == (["PINPOINT_MISMATCH"], "NOT_NEEDED", 1.0) and got["empty"][:2] == (["EMPTY_QUOTE"], "NOT_CONFIGURED")
     assert got["meaning"] == (["SEMANTIC_MATCH"], "COMPLETED", 0.91) and got["no meaning"][:2] == (["SEMANTIC_NO_MATCH"], "COMPLETED") and got["not asked"][:2] == (["SEMANTIC_PROVIDER_REQUIRED"], "NOT_CONFIGURED")
+
+
+def test_lookups_of_odd_answers(spark):
+    rows = [(1, None), (2, "null"), (3, '[{"status":"x","citation":"a"}]'), (4, '[{"status":200}]'), (5, '[{"status":200,"citation":"a","end_index":"z"}]'), (6, '[{"status":300,"citation":"a","start_index":2}]'), (7, "[]"), (8, "[[]]")]
+    got = sorted((tuple(r) for r in investigations.parsed_lookups(spark.createDataFrame(rows, "batch int, answer string")).collect()), key=str)
+    bad = [(n, None, None, None, None, None, "UNAVAILABLE") for n in (1, 2, 3, 4, 5, 8)]
+    assert got == sorted([*bad, (6, 0, "a", 300, 2, 0, None)], key=str)
