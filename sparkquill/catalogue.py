@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkquill.operators import citations, documents, evaluation, findings, investigations, passages, reports, retrieval, search, verdicts
+from sparkquill.operators import citations, documents, evaluation, findings, investigations, passages, quotes, reports, retrieval, search, verdicts
 from sparkquill.streaming import events
 
-MODULES = (findings, documents, search, retrieval, verdicts, citations, passages, reports, investigations, evaluation, events)
+MODULES = (findings, documents, search, retrieval, verdicts, citations, passages, quotes, reports, investigations, evaluation, events)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}

@@ -31,14 +31,25 @@ def paragraphs(docs: DataFrame, separator: str = r"\n\s*\n+", id_col: str = "doc
     return docs.select(id_col, F.posexplode(parts).alias("para_no", "text")).withColumn("para_no", F.col("para_no") + 1)
 
 
-@query(
-    r"""SELECT doc_id, i::INT AS para_no, sha256(p[i]) AS sha256 FROM (SELECT doc_id,
-    list_filter(list_transform(string_split_regex(text, '\n\s*\n+'), lambda x: regexp_replace(x, '^"""
-    + T.SPACE_SQL + "+|" + T.SPACE_SQL + """+$', '', 'g')), lambda x: x <> '') AS p FROM documents), unnest(range(1, len(p) + 1)) AS r(i)"""
-)
+def _paragraphs_sql(text: str, separator: str) -> str:
+    return (
+        r"""SELECT doc_id, i::INT AS para_no, sha256(p[i]) AS sha256 FROM (SELECT doc_id,
+    list_filter(list_transform(string_split_regex(""" + text + ", '" + separator + r"""'), lambda x: regexp_replace(x, '^"""
+        + T.SPACE_SQL + "+|" + T.SPACE_SQL + """+$', '', 'g')), lambda x: x <> '') AS p FROM documents), unnest(range(1, len(p) + 1)) AS r(i)"""
+    )
+
+
+@query(_paragraphs_sql("text", r"\n"))
 def paragraph_split(spark: SparkSession, d: str) -> DataFrame:
-    rows = paragraphs(read(spark, d, "documents"))
-    return rows.select("doc_id", "para_no", F.sha2("text", 256).alias("sha256"))
+    """Paragraphs of documents, whose texts part them by line breaks."""
+    return paragraphs(read(spark, d, "documents"), "\n").select("doc_id", "para_no", F.sha2("text", 256).alias("sha256"))
+
+
+@query(_paragraphs_sql(r"regexp_replace(text, '\.\n', E'.\n \n\n', 'g')", r"\n\s*\n+"))
+def paragraph_blank_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs parted by blank lines, the default: of documents with a blank line after each line that ends a sentence."""
+    docs = read(spark, d, "documents").withColumn("text", F.regexp_replace("text", r"\.\n", ".\n \n\n"))
+    return paragraphs(docs).select("doc_id", "para_no", F.sha2("text", 256).alias("sha256"))
 
 
 @query(

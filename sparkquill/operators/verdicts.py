@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +9,6 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sparkquill.functions import alignment as A
-from sparkquill.operators.search import lexical
 from sparkquill.sources.settings import settings
 from sparkquill.sources.tables import read
 
@@ -139,62 +136,6 @@ def quote_pinpoints(spark: SparkSession, d: str) -> DataFrame:
     return check_quotes(pages, ["item_id"]).select("item_id", missing.alias("missing"), F.array_join("notes", ",").alias("notes"), "status")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def source_words(text):
-    return text.map(lambda t: sorted(set(A.source_tokens(t or ""))))
-
-
-@F.pandas_udf(T.StructType([T.StructField("words", T.MapType(T.StringType(), T.IntegerType())), T.StructField("need", T.IntegerType())]))
-def quote_words(quote):
-    """How often a quote has each literal word, and how many of its words a source has to hold to reach ALTERED.
-
-    Edits are at least the quote's words that aren't matched, of which a fifth of all its words may be missing at most.
-    """
-    out = []
-    for q in quote:
-        words = [w for part in A.segments(q or "")[0] for w in part]
-        if not words:
-            out.append(({}, 1))
-            continue
-        plain = Counter(w for w, regex in words if regex is None)
-        out.append((dict(plain), plain.total() - int((1 - A.ALTERED) * len(words) + 1e-9)))
-    return pd.DataFrame(out, columns=["words", "need"])
-
-
-def reachable(quotes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(item_id, doc_id): all pairs whose alignment can reach ALTERED, by an equi-join on words. Quotes of patterns only meet all documents."""
-    asked = quotes.withColumn("q", quote_words("text"))
-    bound = F.col("q.need") > 0
-    asked = asked.select("item_id", F.when(bound, F.col("q.need")).otherwise(1).alias("need"), F.explode(F.when(bound, F.col("q.words")).otherwise(F.create_map(F.lit(""), F.lit(1)))).alias("word", "n"))
-    held = docs.select("doc_id", F.explode(F.concat(source_words("text"), F.array(F.lit("")))).alias("word"))
-    held = held.join(asked.select("word").distinct(), "word", "left_semi")
-    met = asked.join(held, "word").groupBy("item_id", "need", "doc_id").agg(F.sum("n").alias("n"))
-    return met.where(F.col("n") >= F.col("need")).select("item_id", "doc_id")
-
-
-def benchmark_verdicts(spark: SparkSession, d: str, candidates: int = 3) -> DataFrame:
-    """Passages as quotes: all documents that can reach ALTERED, then the aligner, then the ladder.
-
-    The first lexical candidates come besides, for the similarity of passages that no document can reach, and first in ties.
-    """
-    near = lexical(spark, d, candidates).select("item_id", "doc_id", "rank")
-    near = reachable(read(spark, d, "benchmark"), read(spark, d, "documents")).join(near, ["item_id", "doc_id"], "full_outer")
-    near = near.select("item_id", "doc_id", F.coalesce("rank", F.lit(candidates + 1) + F.col("doc_id")).alias("order"))
-    docs = near.join(read(spark, d, "documents").select("doc_id", F.col("text").alias("paragraph")), "doc_id")
-    pairs = docs.join(read(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")), "item_id")
-    return check_quotes(pairs.withColumn("semantic", F.lit(None).cast("double")), ["item_id"])
-
-
-@query()
-def quote_verdict_benchmark(spark: SparkSession, d: str) -> DataFrame:
-    return benchmark_verdicts(spark, d).select("item_id", "verdict", "similarity")
-
-
-@query()
-def quote_verdict_summary(spark: SparkSession, d: str) -> DataFrame:
-    return benchmark_verdicts(spark, d).groupBy("verdict").agg(F.count("*").alias("n"))
-
-
 @F.pandas_udf(T.DoubleType())
 def name_similarity(a, b):
     return pd.Series([A.name_similarity(x, y) for x, y in zip(a, b)])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _folder: dict[str, str] = {}
+#: Tables and streams that were written to the shared folder, by application, until `release` removes them.
+_written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +35,35 @@ def shared_dir(spark: SparkSession) -> str:
     return _folder[key]
 
 
+def own_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that `release` knows."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes df once to the shared folder and reads it back: cuts lineage and is computed a single time."""
+    path = own_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def held(spark: SparkSession) -> list[str]:
+    """Paths that were written and are there still."""
+    return list(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Removes what was written (all of this application's, or those in `paths`); results that read it can't be used any more."""
+    mine = _written.get(spark.sparkContext.applicationId, [])
+    for path in list(mine) if paths is None else paths:
+        if path in mine:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            mine.remove(path)
+
+
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as findings: job, citation_id, check, verdict, seq, created."""
     verdict = F.create_map(*[F.lit(x) for pair in VERDICT_OF.items() for x in pair])

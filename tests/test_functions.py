@@ -105,7 +105,36 @@ def test_parts_in_order_against_all_orders():
 
 
 def test_word_diff():
-    assert A.word_diff("The Court unanimously held", "the court held") == [("equal", ["the", "court"], ["the", "court"]), ("delete", ["unanimously"], []), ("equal", ["held"], ["held"])]
+    parts = A.segments("The Court unanimously held ... [t]he rule")[0]
+    assert A.diff_rows(parts, [["the", "court", "held"], ["the", "law"]]) == [
+        (0, "equal", ["the", "court"], ["the", "court"]), (0, "delete", ["unanimously"], []), (0, "equal", ["held"], ["held"]), (1, "equal", ["the"], ["the"]), (1, "replace", ["rule"], ["law"])
+    ]
+
+
+def test_alignment_in_a_long_source():
+    """300,000 words and a quote of 300, with edits: whole numbers leave no rounding to go wrong."""
+    import random
+
+    draw = random.Random(8)
+    for _ in range(2):
+        source = [f"w{draw.randint(0, 5000)}" for _ in range(300_000)]
+        quote = source[200_000:200_300]
+        quote[50], quote[150:153] = "other", []
+        found, first, end = A.align([(w, None) for w in quote], A.Source(source))
+        assert (first, end) == (200_000, 200_300) and abs(found - (1 - 4 / 300)) < 1e-12
+
+
+def test_spans_give_the_words_back():
+    import random
+
+    draw = random.Random(6)
+    pieces = ["The", " ", "\n", "-\n", "ﬁne", "“", "”", "ß", "é", "e\u0301", "İ", "[12]", "*", "†", " ", "가", "\u1100\u1161", "ｆｕｌｌ", "'", "x’s", "—", "…", "Ⅷ", "½"]
+    for _ in range(500):
+        text = "".join(draw.choice(pieces) for _ in range(draw.randint(0, 14)))
+        words, spans = A.source_spans(text)
+        assert words == A.source_tokens(text) and all(0 <= a < b <= len(text) for a, b in spans)
+        assert [a for a, _ in spans] == sorted(a for a, _ in spans)
+    assert A.source_spans("The “inter-\nrupted” rule")[1] == [(0, 3), (5, 18), (20, 24)]
 
 
 def test_normal_quote_form():
