@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkquill.sources.tables import shared_dir
+from sparkquill.sources.tables import own_path, read
+from sparkquill.streaming import state
+from sparkquill.streaming.state import Window  # noqa: F401
 
 QUERIES, SQL = {}, {}
 #: Files of a batch at most.
@@ -27,7 +27,7 @@ def drained(rows: DataFrame, mode: str) -> DataFrame:
     Appended rows go to files; a complete result overwrites the one before. Nothing of it passes through the driver.
     """
     spark = rows.sparkSession
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    path = own_path(spark, "stream")
     writer = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         writer = writer.format("parquet").option("path", f"{path}/table")
@@ -88,14 +88,9 @@ def streaming_session(spark: SparkSession, d: str) -> DataFrame:
     return drained(rows, "complete").select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("begins"), "n")
 
 
-# fixed values: events that end a feed
-TERMINAL = ("purchase", "error")
-FEED = "user_id bigint, event_id bigint, ts timestamp_ntz, event_type string"
-
-
-def ends_of(rows: DataFrame) -> DataFrame:
-    """(user_id, end): time and id of each key's first terminal event."""
-    return rows.where(F.col("event_type").isin(*TERMINAL)).groupBy("user_id").agg(F.min(F.struct("ts", "event_id")).alias("end"))
+def micros(ts) -> Column:
+    """Microseconds of a time without a zone since 1970, whatever the session's zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts)
 
 
 @query(
@@ -103,109 +98,75 @@ def ends_of(rows: DataFrame) -> DataFrame:
     SELECT user_id, event_id, event_type FROM events LEFT JOIN e USING (user_id) WHERE ts >= TIMESTAMP '2024-01-10' AND (over IS NULL OR struct_pack(a := ts, b := event_id) <= over)"""
 )
 def streaming_feed(spark: SparkSession, d: str) -> DataFrame:
-    """What a subscriber sees of each key from a moment on: its events up to the first terminal one, nothing of before.
-
-    The ends of keys go from batch to batch in the shared folder; a batch that is written anew after a failure is the same. An event that comes
-    after its key has ended is kept only if it lies before the end; what was told is never taken back by an end that comes late.
-    """
-    path = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
-    rows = stream(spark, d).where(F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")).select("user_id", "event_id", "ts", "event_type")
-
-    def run(batch: DataFrame, number: int) -> None:
-        ends = ends_of(batch)
-        if number:
-            before = spark.read.schema(ends.schema).parquet(f"{path}/ends/batch={number - 1}")
-            ends = ends.union(before).groupBy("user_id").agg(F.min("end").alias("end"))
-        ends.write.mode("overwrite").parquet(f"{path}/ends/batch={number}")
-        known = spark.read.schema(ends.schema).parquet(f"{path}/ends/batch={number}")
-        kept = batch.join(known, "user_id", "left").where(F.col("end").isNull() | (F.struct("ts", "event_id") <= F.col("end")))
-        kept.select("user_id", "event_id", "ts", "event_type").write.mode("overwrite").parquet(f"{path}/told/batch={number}")
-
-    rows.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(run).start().awaitTermination()
-    return spark.read.schema(FEED).option("recursiveFileLookup", "true").parquet(f"{path}/told").select("user_id", "event_id", "event_type")
-
-
-#: What a key may use within the seconds of a window.
-CAPACITY, SECONDS = 12, 86_400
-
-
-class Window:
-    """A sliding window of one key: (time, amount) of what it let in, oldest first. CAPACITY entries at most, as amounts are 1 or more."""
-
-    def __init__(self, held=()):
-        self.held = [(int(t), int(n)) for t, n in held]
-
-    def ask(self, now: int, amount: int) -> tuple[str, int]:
-        """(outcome, when it is available in microseconds). What is exactly a window old has expired; an amount over CAPACITY can never be had."""
-        if amount < 0 or amount > CAPACITY:
-            return "error", now
-        if amount == 0:
-            return "admitted", now
-        size = SECONDS * 1_000_000
-        self.held = [(t, n) for t, n in self.held if t > now - size]
-        if sum(n for _, n in self.held) + amount > CAPACITY:
-            return "refused", self.held[0][0] + size
-        self.held.append((now, amount))
-        return "admitted", now
+    """What a subscriber sees of each key from a moment on: its events up to the first terminal one, nothing of before."""
+    rows = stream(spark, d).where(F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")).select("user_id", "event_id", micros(F.col("ts")).alias("micros"), "event_type")
+    return state.kept_by_state(rows, "user_id", state.Feed(), state.FEED, own_path(spark, "feed"))
 
 
-#: What a limiter's batch gives: outcomes of requests, and entries of windows for the next batch (without an event).
-ASKED = "user_id bigint, event_id bigint, at bigint, amount bigint"
-TOLD = ASKED + ", outcome string, available bigint"
-
-
-def limited(rows: DataFrame) -> DataFrame:
-    """TOLD rows for ASKED rows. Rows without an event are entries that a key's window holds already.
-
-    A key's requests depend on each other, so they are gone over in one task, in order of time and in Arrow batches; all that is kept is the
-    window of the key at hand.
-    """
-    import pandas as pd
-
-    def run(pdfs):
-        key, window = None, None
+@query(
+    f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, event_id % 14 AS amount, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    s(user_id, n, event_id, outcome, available, held) AS (
+      SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT, []::STRUCT(t BIGINT, a BIGINT)[] FROM events
+      UNION ALL SELECT user_id, n, event_id, outcome, CASE WHEN outcome = 'refused' THEN kept[1].t + {state.SECONDS * 1_000_000} ELSE t END,
+        CASE WHEN amount = 0 OR outcome = 'error' THEN held WHEN outcome = 'refused' THEN kept ELSE list_append(kept, {{'t': t, 'a': amount}}) END
+      FROM (SELECT *, CASE WHEN amount > {state.CAPACITY} THEN 'error' WHEN amount > 0 AND coalesce(list_sum(list_transform(kept, lambda x: x.a)), 0) + amount > {state.CAPACITY} THEN 'refused' ELSE 'admitted' END AS outcome
+        FROM (SELECT e.user_id, e.n, e.event_id, e.t, e.amount, s.held, list_filter(s.held, lambda x: x.t > e.t - {state.SECONDS * 1_000_000}) AS kept FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)))
+    SELECT user_id, event_id, outcome, available FROM s WHERE n > 0"""
+)
+def streaming_rate_limit(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of an amount each, with their outcome under the sliding window of their key and when they could be had."""
+    rows = stream(spark, d).select("user_id", "event_id", micros(F.col("ts")).alias("micros"), (F.col("event_id") % 14).alias("amount"))
+    return state.kept_by_state(rows, "user_id", state.Limiter(), state.TOLD, own_path(spark, "limiter"))
 
-        def rest():
-            return [(key, None, t, n, None, None) for t, n in window.held] if window else []
 
-        for pdf in pdfs:
-            out = []
-            for user, event, at, amount in pdf.itertuples(index=False):
-                if window is None or user != key:
-                    out += rest()
-                    key, window = user, Window()
-                if pd.isna(event):
-                    window.held.append((int(at), int(amount)))
-                else:
-                    out.append((user, event, at, amount, *window.ask(int(at), int(amount))))
-            yield frame(out)
-        yield frame(rest())
+def job_facts(rows: DataFrame) -> DataFrame:
+    """FACTS of events: a user is a job of three citations; events declare these, quote, find, and start or end runs."""
+    k, kind = F.get_json_object("props", "$.k").cast("bigint"), F.col("event_type")
+    found = F.element_at(F.array(F.lit("existence"), F.lit("quoted"), F.lit("proposition")), (F.floor(k / 3) % 3 + 1).cast("int"))
+    named = F.when(kind == "click", "citation").when(kind == "view", F.when(F.col("value") > 60, "quote")).when(kind == "purchase", found).when(kind == "signup", F.when(F.col("value") > 60, "run")).otherwise("run_done")
+    return rows.select(F.col("user_id").alias("job"), "at", F.col("event_id").alias("seq"), named.alias("kind"), (k % 3).alias("citation")).where("kind is not null")
 
-    def frame(rows):
-        pdf = pd.DataFrame(rows, columns=["user_id", "event_id", "at", "amount", "outcome", "available"])
-        return pdf.astype({"user_id": "Int64", "event_id": "Int64", "at": "Int64", "amount": "Int64", "available": "Int64"})
 
-    return rows.repartition("user_id").sortWithinPartitions("user_id", "at", F.asc_nulls_first("event_id")).mapInPandas(run, TOLD)
+@query(
+    """WITH f AS (SELECT DISTINCT user_id AS job, CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 AS citation,
+      CASE event_type WHEN 'click' THEN 'citation' WHEN 'view' THEN CASE WHEN value > 60 THEN 'quote' END WHEN 'purchase' THEN
+        ['existence', 'quoted', 'proposition'][CAST(json_extract_string(props, '$.k') AS BIGINT) // 3 % 3 + 1] WHEN 'signup' THEN CASE WHEN value > 60 THEN 'run' END ELSE 'run_done' END AS kind FROM events),
+    c AS (SELECT job, citation, bool_or(kind = 'citation') AS known, bool_or(kind = 'existence') AS e, bool_or(kind = 'quote') AS q, bool_or(kind = 'quoted') AS qd, bool_or(kind = 'proposition') AS p,
+      bool_or(kind IN ('run', 'run_done')) AS r, bool_or(kind = 'run_done') AS rd FROM f WHERE kind IS NOT NULL GROUP BY ALL),
+    n AS (SELECT job, count(*) FILTER (WHERE known) AS total, count(*) FILTER (WHERE known AND e) AS existence, count(*) FILTER (WHERE known AND q) AS quotes, count(*) FILTER (WHERE known AND qd) AS quoted,
+      count(*) FILTER (WHERE known AND p) AS proposition, count(*) FILTER (WHERE known AND r) AS runs, count(*) FILTER (WHERE known AND rd) AS runs_done FROM c GROUP BY job)
+    SELECT *, total > 0 AND total = existence AND total = proposition AND quotes = quoted AND runs = runs_done AS complete FROM n"""
+)
+def job_six_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What a job's completion needs, as a batch: citations, existence findings, quotes wanted and answered, proposition findings, runs and finished runs."""
+    facts = job_facts(read(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp")))
+    kind = F.col("kind")
+    there = lambda *kinds: F.coalesce(F.bool_or(kind.isin(*kinds)), F.lit(False))
+    named = {"existence": ("existence",), "quotes": ("quote",), "quoted": ("quoted",), "proposition": ("proposition",), "runs": ("run", "run_done"), "runs_done": ("run_done",)}
+    each = facts.groupBy("job", "citation").agg(there("citation").alias("total"), *[there(*k).alias(name) for name, k in named.items()])
+    n = each.groupBy("job").agg(*[F.count_if(F.col("total") & F.col(c)).alias(c) for c in state.COUNTS])
+    c = F.col
+    agree = (c("total") > 0) & (c("total") == c("existence")) & (c("total") == c("proposition")) & (c("quotes") == c("quoted")) & (c("runs") == c("runs_done"))
+    return n.withColumn("complete", agree)
 
 
-@query()
-def streaming_rate_limit(spark: SparkSession, d: str) -> DataFrame:
-    """Requests of an amount each, with their outcome under the sliding window of their key and when they could be had.
+@query(
+    """WITH f AS (SELECT user_id AS job, ts, event_id AS seq, CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 AS citation,
+      CASE event_type WHEN 'click' THEN 'citation' WHEN 'view' THEN CASE WHEN value > 60 THEN 'quote' END WHEN 'purchase' THEN
+        ['existence', 'quoted', 'proposition'][CAST(json_extract_string(props, '$.k') AS BIGINT) // 3 % 3 + 1] WHEN 'signup' THEN CASE WHEN value > 60 THEN 'run' END ELSE 'run_done' END AS kind FROM events),
+    g AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY ts, seq) AS n FROM f WHERE kind IS NOT NULL),
+    c AS (SELECT job, citation, min(n) FILTER (WHERE kind = 'citation') AS known, min(n) FILTER (WHERE kind = 'existence') AS e, min(n) FILTER (WHERE kind = 'quote') AS q, min(n) FILTER (WHERE kind = 'quoted') AS qd,
+      min(n) FILTER (WHERE kind = 'proposition') AS p, min(n) FILTER (WHERE kind IN ('run', 'run_done')) AS r, min(n) FILTER (WHERE kind = 'run_done') AS rd FROM g GROUP BY ALL),
+    a AS (SELECT g.job, g.ts, g.seq, g.n, count(*) FILTER (WHERE known <= g.n) AS total, count(*) FILTER (WHERE known <= g.n AND e <= g.n) AS existence, count(*) FILTER (WHERE known <= g.n AND q <= g.n) AS quotes,
+      count(*) FILTER (WHERE known <= g.n AND qd <= g.n) AS quoted, count(*) FILTER (WHERE known <= g.n AND p <= g.n) AS proposition, count(*) FILTER (WHERE known <= g.n AND r <= g.n) AS runs,
+      count(*) FILTER (WHERE known <= g.n AND rd <= g.n) AS runs_done FROM g JOIN c USING (job) GROUP BY ALL)
+    SELECT job, seq, strftime(ts, '%Y-%m-%d %H:%M:%S') AS completed_at, total, existence, quotes, quoted, proposition, runs, runs_done FROM a
+    WHERE total > 0 AND total = existence AND total = proposition AND quotes = quoted AND runs = runs_done QUALIFY row_number() OVER (PARTITION BY job ORDER BY n) = 1"""
+)
+def streaming_job_completion(spark: SparkSession, d: str) -> DataFrame:
+    """Each job's completion, once: streams of citations, claims, findings and runs, whose counts have to agree.
 
-    Each batch takes the windows that the batch before left, and writes its outcomes and windows to the shared folder; written anew after a
-    failure, they are the same. Requests of a batch come in order of time.
+    The table's files come in no order of time, so the delay spans all of it; a feed in order needs no more than its own delay.
     """
-    path = f"{shared_dir(spark)}/limiter-{uuid.uuid4().hex}"
-    rows = stream(spark, d).select("user_id", "event_id", F.unix_micros("at").alias("at"), (F.col("event_id") % 14).alias("amount"))
-
-    def run(batch: DataFrame, number: int) -> None:
-        asked = batch
-        if number:
-            before = spark.read.schema(TOLD).parquet(f"{path}/told/batch={number - 1}").where("event_id is null")
-            asked = asked.unionByName(before.select("user_id", "event_id", "at", "amount"))
-        limited(asked).write.mode("overwrite").parquet(f"{path}/told/batch={number}")
-
-    writer = rows.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(run)
-    writer.start().awaitTermination()
-    told = spark.read.schema(TOLD).option("recursiveFileLookup", "true").parquet(f"{path}/told")
-    return told.where("event_id is not null").select("user_id", "event_id", "outcome", "available")
+    done = state.completions(lambda: job_facts(stream(spark, d)), own_path(spark, "completion"), "400 days")
+    return done.withColumn("completed_at", F.date_format("completed_at", "yyyy-MM-dd HH:mm:ss"))

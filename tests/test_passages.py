@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sparkquill.operators import passages
 from sparkquill.sources.tables import read
-from sparkquill.streaming import events
+from sparkquill.streaming import events, state
 
 DIR = "/root/testdata/sf0.001"
 
@@ -31,11 +31,11 @@ def folded(rows):
     """Outcomes of (user, event, at, amount) by plain lists."""
     window, out = {}, {}
     for user, event, at, amount in sorted(rows, key=lambda r: (r[2], r[1])):
-        size = events.SECONDS * 1_000_000
+        size = state.SECONDS * 1_000_000
         held = window[user] = [(t, n) for t, n in window.get(user, []) if at - t < size]
-        if amount > events.CAPACITY:
+        if amount > state.CAPACITY:
             out[event] = ("error", at)
-        elif sum(n for _, n in held) + amount > events.CAPACITY:
+        elif sum(n for _, n in held) + amount > state.CAPACITY:
             out[event] = ("refused", held[0][0] + size)
         else:
             out[event] = ("admitted", at)
@@ -72,16 +72,16 @@ def test_feed_over_several_batches(spark, tmp_path, monkeypatch):
     for r in whole:
         if r["user_id"] not in ended:
             want.add(r["event_id"])
-        if r["event_type"] in events.TERMINAL:
+        if r["event_type"] in state.TERMINAL:
             ended.add(r["user_id"])
     assert {r["event_id"] for r in events.streaming_feed(spark, str(tmp_path)).collect()} == want and 0 < len(want) < 600
 
 
 def test_window_of_a_key():
-    w = events.Window()
-    day = events.SECONDS * 1_000_000
-    assert w.ask(0, events.CAPACITY + 1)[0] == w.ask(0, -1)[0] == "error" and w.ask(0, 0) == ("admitted", 0)
-    assert w.ask(5, events.CAPACITY) == ("admitted", 5) and w.ask(6, 1) == ("refused", 5 + day) and w.ask(5 + day, 1) == ("admitted", 5 + day)
+    w = state.Window()
+    day = state.SECONDS * 1_000_000
+    assert w.ask(0, state.CAPACITY + 1)[0] == w.ask(0, -1)[0] == "error" and w.ask(0, 0) == ("admitted", 0)
+    assert w.ask(5, state.CAPACITY) == ("admitted", 5) and w.ask(6, 1) == ("refused", 5 + day) and w.ask(5 + day, 1) == ("admitted", 5 + day)
 
 
 def test_batches_of_an_empty_table(spark):
