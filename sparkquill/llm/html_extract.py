@@ -50,25 +50,31 @@ LAYOUT = re.compile(r"(?:has|no|is|with|without|hide|show)[-_]", re.I)
 TITLES = {"header", "masthead", "banner"}
 #: Strength of the ridge that keeps fitted weights finite, largest cost of a block, and capacities of the smoothness edges.
 RIDGE, LARGEST, FOLLOWS, SIBLINGS = 0.001, 8.0, 0.3, 1.2
+#: Cost of the best block of a page where no block would be content: more than the edges of a block with one neighbour of the other kind on each side.
+FOR_PAGE = 2 * (FOLLOWS + SIBLINGS) + 0.1
 
 
 class Open:
     """What is known inside an open tag."""
 
-    __slots__ = ("name", "number", "away", "strong", "weak", "inside", "home", "home_hint")
+    __slots__ = ("name", "number", "away", "strong", "weak", "inside", "home", "home_hint", "pure")
 
-    def __init__(self, name="", number=0, away=False, strong=False, weak=False, inside=False, home=False, home_hint=False):
+    def __init__(self, name="", number=0, away=False, strong=False, weak=False, inside=False, home=False, home_hint=False, pure=False):
         self.name, self.number, self.away, self.strong, self.weak = name, number, away, strong, weak
-        self.inside, self.home, self.home_hint = inside, home, home_hint
+        self.inside, self.home, self.home_hint, self.pure = inside, home, home_hint, pure
 
     def child(self, name: str, number: int, said: list[str], gone: bool) -> "Open":
         """The state in a tag of this name; `said` are its class tokens, id and role."""
-        new = Open(name, number, self.away, self.strong, self.weak, self.inside, self.home, self.home_hint)
+        new = Open(name, number, self.away, self.strong, self.weak, self.inside, self.home, self.home_hint, self.pure)
         titled = name == "header" and self.home  # an article's own header holds its title
         new.away |= name in AWAY and not titled or gone
-        if name in HOME:  # class names outside say little of what is in an article
-            new.home, new.strong, new.weak = True, False, False
+        if name == "main" or name in HOME and not self.pure:  # class names outside say little of what is in an article
+            new.home, new.strong, new.weak, new.pure = True, False, False, False
         elif name not in ("html", "body"):
+            # a name of nothing but boilerplate, on an element without a name of content: articles in it are teasers or comments
+            kinds = [[w for w in re.split(r"[-_]+", t) if w] for t in said if not LAYOUT.match(t)]
+            plain = any(HOME_WORD.fullmatch(w) for ws in kinds for w in ws)
+            new.pure |= not self.home and not plain and any(ws and all(AWAY_WORD.fullmatch(w) for w in ws) for ws in kinds)
             for token in said:
                 words = [w for w in re.split(r"[-_]+", token) if w]
                 if LAYOUT.match(token) or not words:
@@ -182,11 +188,16 @@ def blocks(page: str) -> list[tuple[Block, str]]:
 
 
 FEATURES = (
-    "bias", "home", "outside", "home_hint", "away", "strong", "weak", "inside", "paragraph", "heading", "item", "links", "words", "sentences", "short",
+    "bias", "home", "outside", "home_hint", "away", "strong", "weak", "inside", "paragraph", "heading", "item", "links", "home_links", "words", "sentences", "short",
 )
 ENDS = re.compile(r"[.!?…。！？](?:\s|$|[\"'”’)])")
 
 
+def linked(b: Block, t: str) -> float:
+    """The share of a block's text that is in links."""
+    return min(1.0, b.linked / max(1, len(t)))
+
+
 def features(found: list[tuple[Block, str]]) -> list[list[float]]:
     """A row of FEATURES for each block of a page. `outside` is the share of the page's text that lies in its articles, for blocks that don't."""
     total = sum(len(t) for _, t in found) or 1
@@ -198,7 +209,7 @@ def features(found: list[tuple[Block, str]]) -> list[list[float]]:
         rows.append([
             1.0, float(home), share * (not home), float(at.home_hint and not home), float(at.away), float(at.strong), float(at.weak and not at.strong), float(at.inside),
             float(b.tag in ("p", "pre", "blockquote", "dd", "figcaption")), float(b.tag in ("h1", "h2", "h3", "h4", "h5", "h6")), float(b.tag in ("li", "td", "th", "dt")),
-            min(1.0, b.linked / max(1, len(t))), math.log1p(words) / 2, min(3, ends) / 3, float(words <= 4 and not ends),
+            linked(b, t), linked(b, t) * home, math.log1p(words) / 2, min(3, ends) / 3, float(words <= 4 and not ends),
         ])
     return rows
 
@@ -221,6 +232,9 @@ PAGES = (
     "<div><div>[+55]</div><div>[+90]</div><div>[+22]</div></div><div><div>[-3!]</div><div><a href=x>[-2!]</a></div></div>",
     "<div><span>[-2!]</span></div><div>[+130]</div><div>[-5!]</div><div>[-3!]</div>",
     "<div><div>[-4!]</div><div>[-2!]</div></div><div><div>[+38]</div><div>[+75]</div><div>[+16]</div></div>",
+    "<nav><a href=x>[-1!]</a><a href=x>[-2!]</a></nav><article><h1>[+4!]</h1><p>[+30]</p><ul><li><a href=x>[+6!]</a><li><a href=x>[+4!]</a><li><a href=x>[+7!]</a></ul><p>[+9]</p><div class=tags><a href=x>[-1!]</a><a href=x>[-1!]</a></div></article>",
+    "<header><a href=x>[-2!]</a></header><article><h2>[+3!]</h2><ul><li><a href=x>[+5!]</a><li><a href=x>[+8!]</a><li><a href=x>[+3!]</a></ul></article><ul><li><a href=x>[-1!]</a><li><a href=x>[-3!]</a></ul>",
+    "<article><h1>[+5!]</h1><p>[+70]</p></article><div class=related><article><h3><a href=x>[-6!]</a></h3><p>[-9]</p></article><article><p>[-7]</p></article></div><div id=comments><article><p>[-21]</p></article></div>",
     "<div role=navigation><a href=x>[-2!]</a></div><div><p>[+52]</p><p>[+9]</p></div><div aria-hidden=true>[-3!]</div><div role=contentinfo>[-12]</div>",
 )
 MARK = re.compile(r"\[([+-])(\d+)(!?)\]")
@@ -312,8 +326,26 @@ def minimum_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list
 
 
 def label(found: list[tuple[Block, str]]) -> list[bool]:
-    """Which blocks are content: the labelling whose costs and smoothness edges between different labels are least in sum."""
+    """Which blocks are content: the labelling whose costs and smoothness edges between different labels are least in sum.
+
+    A page has a text, unless all it has is marked as boilerplate or links. Where no block is content by its own cost and its neighbours',
+    the costs of the blocks that nothing marks (else of those whose class names speak of both kinds) are raised until the best one's is FOR_PAGE.
+    """
     costs = evidence(found)
+    kept = parted(found, costs)
+    if any(kept) or not found:
+        return kept
+    speaks = [not b.at.away and not b.at.pure and (b.at.home or linked(b, t) < 0.5) for b, t in found]
+    plain = [s and not (b.at.strong or b.at.weak or b.at.inside) for s, (b, _) in zip(speaks, found)]
+    chosen = plain if any(plain) else speaks
+    if not any(chosen):
+        return kept
+    lift = FOR_PAGE - max(z for z, c in zip(costs, chosen) if c)
+    return parted(found, [z + lift if c else z for z, c in zip(costs, chosen)])
+
+
+def parted(found: list[tuple[Block, str]], costs: list[float]) -> list[bool]:
+    """The minimum cut of a page's blocks at these costs."""
     if all(z > 0 for z in costs) or all(z <= 0 for z in costs):
         return [z > 0 for z in costs]
     edges, last = [], {}
