@@ -27,6 +27,8 @@ PIVOTS, SAMPLE = 256, 4096
 #: Row blocks that a query block is searched against before its other pairs are pruned; block summaries that are compared at once.
 FIRST, SUMMARIES = 4, 2048
 RATIO, BRANCHES = 1 / 1.3, 16
+#: Block pairs that share one fetch of a tree, about.
+TOGETHER = 16
 LEAF = {"row": 1024, "query": 256}
 
 
@@ -135,11 +137,20 @@ def matrix(vectors, width: int):
 
 
 def pivots(good: DataFrame, n: int, width: int):
-    """n vectors of a sample of at most SAMPLE, each the farthest from those before it."""
+    """n vectors of a sample, each the farthest from those before it. The sample: of the distinct rows those of the least hashes, SAMPLE at most.
+
+    Hashes are cut where about twice as many rows are left, so what comes to the driver has that bound whatever the number of partitions.
+    """
     import numpy as np
 
-    order = good.select("__v", F.xxhash64("__id", "__v").alias("h")).orderBy("h").limit(SAMPLE)
-    sample = np.unique(matrix([r[0] for r in order.select("__v").collect()], width), axis=0) if n > 1 else np.zeros((1, width))
+    if n <= 1:
+        return np.zeros((1, width))
+    hashed = good.select("__v", F.xxhash64("__id", "__v").alias("h"))
+    distinct = hashed.agg(F.approx_count_distinct("h")).first()[0]
+    share = F.shiftrightunsigned("h", 1) / float(1 << 63)
+    few = hashed.where(share < 2 * SAMPLE / max(1, distinct)).groupBy("h").agg(F.min("__v").alias("__v")).collect()
+    least = sorted(few, key=lambda r: r["h"])[:SAMPLE]
+    sample = np.unique(matrix([r["__v"] for r in least], width), axis=0)
     chosen, near = [0], ((sample - sample[0]) ** 2).sum(axis=1)
     while len(chosen) < min(n, len(sample)):
         chosen.append(int(near.argmax()))
@@ -219,30 +230,48 @@ def block_pairs(rows: DataFrame, asks: DataFrame, floors: DataFrame | None, firs
     return pairs.select("q", "r")
 
 
+def dealt(pairs: DataFrame, side: str, other: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs with a part number, the parts of each block of a side): a block's pairs are dealt to parts of about `most` by the other side's number."""
+    parts = pairs.groupBy(side).agg(F.ceil(F.count("*") / most).cast("int").alias("__parts"))
+    part = F.pmod(F.xxhash64(other), F.col("__parts")).cast("int")
+    each = parts.select(side, F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("part"))
+    return pairs.join(parts, side).select(*pairs.columns, part.alias("part")), each
+
+
 def searched(pairs: DataFrame, rows: DataFrame, asks: DataFrame, k: int, floors: DataFrame | None) -> DataFrame:
-    """(q, query_id, __id, score): each query's k best rows of each block pair, at its floor or above."""
-    # a pair of blocks is one task's work
-    n = max(1, min(pairs.count(), 1 << 16))
-    each = pairs.repartition(n, "q", "r").join(rows.select(F.col("no").alias("r"), F.col("tree").alias("r_tree")), "r")
-    each = each.join(asks.select(F.col("no").alias("q"), F.col("tree").alias("q_tree")), "q")
-    each = each.withColumn("floors", F.lit(None).cast("map<bigint,double>")) if floors is None else each.join(floors.select(F.col("no").alias("q"), "floors"), "q")
+    """(q, query_id, __id, score): each query's k best rows of each block pair, at its floor or above.
 
-    def run(batches):
+    Pairs are numbers until their trees are met: parts of a query block's pairs fetch its tree first, then parts of a row block's pairs
+    are brought together with that block's tree, once for TOGETHER query blocks. A part is a group of its own, so no block's pairs are one task.
+    """
+    of_query, parts = dealt(pairs, "q", "r", TOGETHER)
+    given = asks.select(F.col("no").alias("q"), F.col("tree").alias("q_tree"))
+    if floors is not None:
+        given = given.join(floors.select(F.col("no").alias("q"), "floors"), "q", "left")
+    else:
+        given = given.withColumn("floors", F.lit(None).cast("map<bigint,double>"))
+    asked = of_query.join(parts.join(given, "q"), ["q", "part"]).select("q", "r", "q_tree", "floors")
+    _, row_parts = dealt(pairs, "r", "q", TOGETHER)
+    counts = row_parts.groupBy("r").agg(F.count("*").cast("int").alias("__parts"))
+    asked = asked.join(counts, "r").select("q", "r", F.pmod(F.xxhash64("q"), F.col("__parts")).cast("int").alias("part"), "q_tree", "floors")
+    trees = row_parts.join(rows.select(F.col("no").alias("r"), F.col("tree").alias("r_tree")), "r").select(F.col("r").alias("t_r"), F.col("part").alias("t_part"), "r_tree")
+
+    def run(pdf, tree_pdf):
         import numpy as np
         import pandas as pd
 
-        for pdf in batches:
-            for x in pdf.itertuples():
-                asked, tree = pickle.loads(x.q_tree), pickle.loads(x.r_tree)
-                known = dict(x.floors) if x.floors is not None else {}
-                floor = np.array([known.get(int(i), -np.inf) for i in asked.ids])
-                of, best, scores = search(asked, tree, k, floor)
-                there = scores > -np.inf
-                yield pd.DataFrame(
-                    {"q": x.q, "query_id": np.repeat(of, k)[there.ravel()], "__id": best[there], "score": scores[there].astype(np.int64)}
-                )
-
-    return each.select("q", "r_tree", "q_tree", "floors").mapInPandas(run, "q int, query_id bigint, __id bigint, score bigint")
+        out = []
+        tree = pickle.loads(tree_pdf["r_tree"].iloc[0]) if len(tree_pdf) and len(pdf) else None
+        for x in pdf.itertuples():
+            mine = pickle.loads(x.q_tree)
+            known = dict(x.floors) if x.floors is not None else {}
+            floor = np.array([known.get(int(i), -np.inf) for i in mine.ids])
+            of, best, scores = search(mine, tree, k, floor)
+            there = scores > -np.inf
+            out.append(pd.DataFrame({"q": np.int32(x.q), "query_id": np.repeat(of, k)[there.ravel()], "__id": best[there], "score": scores[there].astype(np.int64)}))
+        return pd.concat(out) if out else pd.DataFrame({"q": [], "query_id": [], "__id": [], "score": []}).astype({"q": "int32", "query_id": "int64", "__id": "int64", "score": "int64"})
+
+    return asked.groupBy("r", "part").cogroup(trees.groupBy("t_r", "t_part")).applyInPandas(run, "q int, query_id bigint, __id bigint, score bigint")
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
