@@ -147,7 +147,9 @@ def antecedents(cites: DataFrame, id_col: str = "doc_id") -> DataFrame:
     pairs = back.join(full, (F.col(id_col) == F.col("d")) & (F.col("m") < F.col("n")))
     guess = F.lower("name")
     named = F.contains(F.lower(F.coalesce("f_name", F.lit(""))), guess) | F.contains(F.lower("f_raw"), guess)
-    same = (F.col("volume") == F.col("f_vol")) & (F.col("reporter") == F.col("f_rep"))
+    # a reporter's identity doesn't hang on its spaces: S. Ct. and S.Ct. are one
+    spelled = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
+    same = (F.col("volume") == F.col("f_vol")) & (spelled("reporter") == spelled("f_rep"))
     met = pairs.groupBy(id_col, "n").agg(
         F.max(F.when(named, F.col("m"))).alias("by_name"), F.count_if(same).alias("same"), F.max(F.when(same, F.col("m"))).alias("by_key")
     )
@@ -207,12 +209,12 @@ QUERIES["quote_attach"] = quote_attach
 def cited_documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents as pages of one citation each, made from their first words, so that offsets, courts and contexts are known on a whole table."""
     return read(spark, d, "documents").select(
-        (F.col("doc_id") % 100).alias("brief"), F.floor(F.col("doc_id") / 100).cast("int").alias("page"),
+        F.floor(F.col("doc_id") / 20).alias("brief"), (F.col("doc_id") % 20).cast("int").alias("page"),
         F.concat(F.lit("It was so. The rule holds, Roe v. Wade, "), F.col("doc_id") + 1, F.lit(" F.3d "), F.length("text") + 1, F.lit(" (9th Cir. 1995). Id. at "), F.col("doc_id"), F.lit(". And then.")).alias("text"),
     )
 
 
-SQL["citation_table"] = """WITH p AS (SELECT doc_id % 100 AS brief, (doc_id // 100)::INT AS page, (doc_id + 1)::VARCHAR AS v, (length(text) + 1)::VARCHAR AS g, doc_id::VARCHAR AS i FROM documents WHERE text IS NOT NULL),
+SQL["citation_table"] = """WITH p AS (SELECT doc_id // 20 AS brief, (doc_id % 20)::INT AS page, (doc_id + 1)::VARCHAR AS v, (length(text) + 1)::VARCHAR AS g, doc_id::VARCHAR AS i FROM documents WHERE text IS NOT NULL),
     c AS (SELECT brief, page, 1 AS k, 'full' AS kind, 27 AS start, 'Roe v. Wade, ' || v || ' F.3d ' || g || ' (9th Cir. 1995)' AS raw_text, '9th Cir.' AS court, NULL AS pin,
       'It was so. The rule holds, Roe v. Wade, ' || v || ' F.3d ' || g || ' (9th Cir. 1995).' AS context FROM p
       UNION ALL SELECT brief, page, 2, 'id', (27 + length('Roe v. Wade, ' || v || ' F.3d ' || g || ' (9th Cir. 1995). '))::INT, 'Id. at ' || i, NULL, i,

@@ -365,47 +365,7 @@ def score_label(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "embeddings").select("vec_id", F.concat(share.cast("string"), F.lit("%")).alias("label"))
 
 
-# -- batches, context ------------------------------------------------------------------------------------------------
-
-
-def batches(rows: DataFrame, group: str, order: str, size: str, most: int, room: int) -> DataFrame:
-    """(group, order, batch): rows in order, a new batch where `most` rows are in one or its sizes, a separator between two, would go over `room`.
-
-    A row's batch depends on all before it in its queue, so a queue is gone over in one task, sorted, in Arrow batches; what is kept is the
-    batch's number, rows and characters. Ties in the order are settled by size. Null sizes count as 0.
-    """
-    import pandas as pd
-
-    kinds = [rows.schema[c].dataType.simpleString() for c in (group, order)]
-
-    def run(pdfs):
-        queue, started, batch, n, chars = None, False, 0, 0, 0
-        for pdf in pdfs:
-            out = []
-            for key, s in zip(pdf["g"].tolist(), pdf["s"].tolist()):
-                if not started or key != queue:
-                    queue, started, batch, n, chars = key, True, 0, 0, 0
-                elif n == most or chars + 1 + s > room:
-                    batch, n, chars = batch + 1, 0, 0
-                chars += s + (n > 0)
-                n += 1
-                out.append(batch)
-            yield pd.DataFrame({group: pdf["g"], order: pdf["o"], "batch": pd.Series(out, dtype="int32")})
-
-    slim = rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("s"))
-    return slim.repartition("g").sortWithinPartitions("g", "o", "s").mapInPandas(run, f"`{group}` {kinds[0]}, `{order}` {kinds[1]}, batch int")
-
-
-@query(
-    """WITH RECURSIVE b AS (SELECT item_id % 3 AS queue, item_id, length(text) AS c, row_number() OVER (PARTITION BY item_id % 3 ORDER BY item_id) AS n FROM benchmark),
-    r AS (SELECT queue, item_id, n, 0 AS batch, 1 AS k, c AS chars FROM b WHERE n = 1 UNION ALL
-      SELECT b.queue, b.item_id, b.n, CASE WHEN k = 4 OR chars + 1 + c > 1200 THEN batch + 1 ELSE batch END, CASE WHEN k = 4 OR chars + 1 + c > 1200 THEN 1 ELSE k + 1 END,
-      CASE WHEN k = 4 OR chars + 1 + c > 1200 THEN c ELSE chars + 1 + c END FROM r JOIN b ON b.queue = r.queue AND b.n = r.n + 1)
-    SELECT queue, item_id, batch FROM r"""
-)
-def batch_packing_greedy(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "benchmark").select((F.col("item_id") % 3).alias("queue"), "item_id", F.length("text").alias("size"))
-    return batches(rows, "queue", "item_id", "size", 4, 1200)
+# -- context ------------------------------------------------------------------------------------------------
 
 
 # fixed values: a page, and the sentence of its citation with the one before

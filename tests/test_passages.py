@@ -84,11 +84,6 @@ def test_window_of_a_key():
     assert w.ask(5, state.CAPACITY) == ("admitted", 5) and w.ask(6, 1) == ("refused", 5 + day) and w.ask(5 + day, 1) == ("admitted", 5 + day)
 
 
-def test_batches_of_an_empty_table(spark):
-    rows = spark.createDataFrame([], "g int, o int, s int")
-    assert passages.batches(rows, "g", "o", "s", 2, 10).count() == 0
-
-
 def test_places_of_claims(spark):
     rows = [("A rule (see x) [1] holds.", "rule  (see x) [1]"), ("a\\E b", "a\\E b"), (None, "x"), ("x", None), ("x", ""), ("cost $1 a.b", "COST $1 A.B"), ("axb", "a.b")]
     df = spark.createDataFrame(rows, "excerpt string, claim string")
