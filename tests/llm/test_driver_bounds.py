@@ -23,7 +23,7 @@ same = rows.select("__id", F.array([F.lit(1.0)] * 16).alias("__v")).withColumn("
 assert len(topk.pivots(same, 300, 16)) == 1
 near_copies.REPEATED, near_copies.SAMPLED = 5000, 1
 texts = spark.range(0, 20_000, 1, 200).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), F.floor(F.col("id") / (i + 2))) for i in range(14)]).alias("text"))
-assert near_copies.prefixes(texts, "doc_id", "text").count() == 20_000
+assert near_copies.prefixes(texts, "doc_id", "text")[0].count() == 20_000
 print("repeated shingles hold")
 units = texts.union(texts)
 token_counts.SAMPLED, token_counts.TIER = 10**9, 3000
