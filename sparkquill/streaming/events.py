@@ -170,3 +170,65 @@ def streaming_job_completion(spark: SparkSession, d: str) -> DataFrame:
     """
     done = state.completions(lambda: job_facts(stream(spark, d)), own_path(spark, "completion"), "400 days")
     return done.withColumn("completed_at", F.date_format("completed_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+# fixed values: the fields of each kind of event
+KINDS = {"finding": {"id": "bigint", "score": "double"}, "job": {"id": "bigint", "state": "string"}}
+REJECTED = "text string, reason string"
+
+
+def opened(text: Column) -> Column:
+    """An envelope `{event, data}` as (kind, fields of each kind, reason): the reason why it doesn't fit is null if it does.
+
+    Texts that aren't JSON or no object, kinds that aren't known, and data that lacks a field of its kind or has one of another type, don't fit.
+    """
+    v = F.try_parse_json(text)
+    kind = F.try_variant_get(v, "$.event", "string")
+    data = {k: F.struct(*[F.try_variant_get(v, f"$.data.{f}", t).alias(f) for f, t in fields.items()]) for k, fields in KINDS.items()}
+    # a value of another type may be cast, so its own type is held against what is asked
+    named = {"bigint": ("BIGINT",), "double": ("DOUBLE", "DECIMAL", "BIGINT"), "string": ("STRING",)}
+    fits = lambda f, t: F.coalesce(F.exists(F.array(*map(F.lit, named[t])), lambda x: F.startswith(F.schema_of_variant(F.try_variant_get(v, f"$.data.{f}", "variant")), x)), F.lit(False))
+    wrong = F.lit(False)
+    for k, fields in KINDS.items():
+        for f, t in fields.items():
+            wrong = wrong | (kind == k) & ~fits(f, t)
+    reason = F.when(v.isNull(), "not JSON").when(F.coalesce(~kind.isin(*KINDS), F.lit(True)), "unknown event").when(wrong, "data")
+    return F.struct(kind.alias("kind"), reason.alias("reason"), *[F.when(reason.isNull() & (kind == k), c).alias(k) for k, c in data.items()])
+
+
+def enveloped(rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """(events, rejected) of a stream of texts: what fits, by kind, and beside it what doesn't, with the reason. A batch that is written anew gives the same files."""
+    spark = rows.sparkSession
+    found = rows.select("text", opened(F.col("text")).alias("e"))
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.where("e.reason is null").select("e.kind", *[f"e.{k}" for k in KINDS]).write.mode("overwrite").parquet(f"{path}/events/batch={number}")
+        batch.where("e.reason is not null").select("text", "e.reason").write.mode("overwrite").parquet(f"{path}/rejected/batch={number}")
+
+    found.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(run).start().awaitTermination()
+    fits = found.select("e.kind", *[f"e.{k}" for k in KINDS]).schema
+    kept = lambda name, schema: spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/{name}")
+    return kept("events", fits), kept("rejected", REJECTED)
+
+
+def envelopes(rows: DataFrame) -> DataFrame:
+    """Events as envelopes: errors and purchases as findings with a score, others as jobs with a state; some cut off, of another kind, or with data that doesn't fit."""
+    i, score = F.col("event_id"), F.when(F.col("event_id") % 23 == 0, F.lit('"high"')).otherwise(F.col("value").cast("string"))
+    finding = F.concat(F.lit('{"event": "finding", "data": {"id": '), i, F.lit(', "score": '), score, F.lit("}}"))
+    state = F.when(i % 29 == 0, F.lit("}}")).otherwise(F.concat(F.lit(', "state": "'), F.col("event_type"), F.lit('"}}')))
+    job = F.concat(F.lit('{"event": "'), F.when(i % 19 == 0, "ping").otherwise("job"), F.lit('", "data": {"id": '), i, state)
+    text = F.when(F.col("event_type").isin("error", "purchase"), finding).otherwise(job)
+    return rows.select(F.when(i % 17 == 0, F.left(text, F.length(text) - 3)).otherwise(text).alias("text"))
+
+
+@query(
+    """WITH e AS (SELECT *, event_type IN ('error', 'purchase') AS f FROM events),
+    r AS (SELECT CASE WHEN event_id % 17 = 0 THEN 'not JSON' WHEN NOT f AND event_id % 19 = 0 THEN 'unknown event' WHEN f AND event_id % 23 = 0 THEN 'data' WHEN NOT f AND event_id % 29 = 0 THEN 'data' END AS reason, * FROM e)
+    SELECT CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN f THEN 'finding' ELSE 'job' END AS kind, coalesce(reason, CASE WHEN NOT f THEN event_type END, '') AS what, count(*) AS n,
+      round(sum(CASE WHEN reason IS NULL AND f THEN value END), 2) AS score FROM r GROUP BY ALL"""
+)
+def event_envelopes(spark: SparkSession, d: str) -> DataFrame:
+    """Envelopes by kind and state, with the scores' sum, and the rejected ones by reason."""
+    good, bad = enveloped(envelopes(stream(spark, d)), own_path(spark, "envelopes"))
+    counted = good.groupBy("kind", F.coalesce("job.state", F.lit("")).alias("what")).agg(F.count("*").alias("n"), F.round(F.sum("finding.score"), 2).alias("score"))
+    return counted.unionByName(bad.groupBy(F.lit("rejected").alias("kind"), F.col("reason").alias("what")).agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("score")))
