@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkquill.sources.tables import read
+from sparkquill.sources.tables import dealt, dealt_sql, read
 
 QUERIES, SQL = {}, {}
 
@@ -175,32 +175,33 @@ EXPECTED = (
     ("c", 1, "full", "201", 2009, None), ("c", 2, "short", "201", None, 1), ("c", 3, "full", None, None, None), ("c", 4, "short", "415", None, 3),
     ("d", 1, "full", None, 1971, None), ("d", 2, "full", None, 1971, None), ("d", 3, "short", "415", None, None),
 )
-_value = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
-SQL["citation_antecedents"] = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_value, e)) + ")" for e in EXPECTED) + ") AS t(doc_id, n, kind, pin, year, root)"
+SQL["citation_antecedents"] = dealt_sql("customer", "c_custkey", [(e[0] + "{k}", *e[1:]) for e in EXPECTED], "doc_id, n, kind, pin, year, root", every=True)
 
 
 def citation_antecedents(spark: SparkSession, d: str) -> DataFrame:
-    pages = spark.createDataFrame(PAGES, "doc_id string, page int, text string")
-    return antecedents(extract(pages)).select("doc_id", "n", "kind", "pin", "year", "root")
+    """Citations of four briefs for each row, with the citation that each refers to."""
+    pages = dealt(spark, d, "customer", "c_custkey", [(p[0] + "{k}", *p[1:]) for p in PAGES], "doc_id string, page int, text string", every=True)
+    found = antecedents(extract(pages)).select("doc_id", "n", "kind", "pin", "year", "root")
+    return found.withColumn("k", F.substring("doc_id", 2, 20).cast("bigint"))
 
 
 QUERIES["citation_antecedents"] = citation_antecedents
 
 QUOTES = (
-    ("before", '"The Court held this." Roe v. Wade, 410 U.S. 113 (1973).', "The Court held this."),
-    ("within", 'Roe v. Wade, 500 N.E.2d 10 (1973), held that "the rule applies."', "the rule applies."),
-    ("curly", "“The Court held this.” In re Poe, 10 F.3d 20 (9th Cir. 1995).", "The Court held this."),
+    ("before", '"The Court held this {k}." Roe v. Wade, 410 U.S. 113 (1973).', "The Court held this {k}."),
+    ("within", 'Roe v. Wade, 500 N.E.2d 1{k} (1973), held that "the rule {k} applies."', "the rule {k} applies."),
+    ("curly", "“The Court held this {k}.” In re Poe, 10 F.3d 20 (9th Cir. 1995).", "The Court held this {k}."),
     ("far", '"The Court held this." Another sentence stands here. Roe v. Wade, 410 U.S. 113 (1973).', None),
-    ("block", 'It said:\n    "The first line stands\n    and the second one ends."\nRoe v. Wade, 12 Cal. 4th 345 (1995).', "The first line stands\n    and the second one ends."),
+    ("block", 'It said:\n    "The first line stands {k}\n    and the second one ends."\nRoe v. Wade, 12 Cal. 4th 345 (1995).', "The first line stands {k}\n    and the second one ends."),
     ("none", "Roe v. Wade, 2019 WL 12345 (1973).", None),
 )
-SQL["quote_attach"] = 'SELECT * FROM (VALUES ' + ", ".join(f"('{q[0]}', {_value(q[2])})" for q in QUOTES) + ') AS t("case", quote)'
+SQL["quote_attach"] = dealt_sql("customer", "c_custkey", [(q[0], q[2]) for q in QUOTES], '"case", quote')
 
 
 def quote_attach(spark: SparkSession, d: str) -> DataFrame:
     """The quotation that belongs to a citation: a block before it, the last one of its sentence, else of the sentence before."""
-    rows = spark.createDataFrame([(q[0], 1, q[1]) for q in QUOTES], "case string, page int, text string")
-    return extract(rows, "case").select("case", "quote")
+    rows = dealt(spark, d, "customer", "c_custkey", [(q[0], 1, q[1]) for q in QUOTES], "case string, page int, text string")
+    return rows.select("k", "case").join(extract(rows, "k").select("k", "quote"), "k")
 
 
 QUERIES["quote_attach"] = quote_attach

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from sparkquill.functions import text as T
 from sparkquill.operators.citations import excluded_pages
-from sparkquill.sources.tables import read
+from sparkquill.sources.tables import dealt, dealt_sql, read
 
 QUERIES, SQL = {}, {}
 
@@ -229,12 +229,12 @@ def offset_range_join(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, false)) AS t(page, excluded)")
+@query(dealt_sql("customer", "c_custkey", [(1, True), (2, True), (3, False), (4, False)], "page, excluded", every=True))
 def toa_islands(spark: SparkSession, d: str) -> DataFrame:
     """Pages of a table of authorities: on at its heading, off at the first numbered page with a heading."""
-    pages = [(1, "ii\nTable of Authorities\nRoe v. Wade"), (2, "iii\nmore"), (3, "1\nARGUMENT\nRoe v. Wade, 410 U.S. 113 (1973)."), (4, "2\nText")]
-    rows = spark.createDataFrame([("brief", *p) for p in pages], "doc_id string, page int, text string")
-    return excluded_pages(rows).select("page", "excluded")
+    pages = [(1, "ii\nTable of Authorities\nRoe v. Wade"), (2, "iii\nmore {k}"), (3, "1\nARGUMENT\nRoe v. Wade, 410 U.S. {k} (1973)."), (4, "2\nText")]
+    rows = dealt(spark, d, "customer", "c_custkey", pages, "page int, text string", every=True)
+    return excluded_pages(rows, "k").select("k", "page", "excluded")
 
 
 def clamped(spans: DataFrame, page: str, lo: str, hi: str, tie: str) -> DataFrame:
@@ -256,12 +256,9 @@ def span_clamp(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT * FROM (VALUES ('at 155', '155', 2025, 'majority'), ('at 12-14, 20', '12-14|20', NULL, 'dissent'), ('none', '', 1973, 'unknown'))
-    AS t(pin, pages, year, part)"""
+    dealt_sql("customer", "c_custkey", [("at 1{k}", "1{k}", 2025, "majority"), ("at 12-14, 2{k}", "12-14|2{k}", None, "dissent"), ("none", "", 1973, "unknown")], "pin, pages, year, part")
 )
 def citation_scalars(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(
-        [("at 155", "2025 NY Slip Op 51938(U)", "020lead"), ("at 12-14, 20", "2024 and 2025", "040dissent"), ("none", "Roe (1973)", "035concurrenceinpart")],
-        "pin string, cite string, kind string",
-    )
-    return rows.select("pin", F.array_join(T.pinpoints(F.col("pin")), "|").alias("pages"), T.only_year(F.col("cite")).alias("year"), T.opinion_part(F.col("kind")).alias("part"))
+    cases = [("at 1{k}", "2025 NY Slip Op 51938(U)", "020lead"), ("at 12-14, 2{k}", "2024 and 2025", "040dissent"), ("none", "Roe (1973)", "035concurrenceinpart")]
+    rows = dealt(spark, d, "customer", "c_custkey", cases, "pin string, cite string, kind string")
+    return rows.select("k", "pin", F.array_join(T.pinpoints(F.col("pin")), "|").alias("pages"), T.only_year(F.col("cite")).alias("year"), T.opinion_part(F.col("kind")).alias("part"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkquill.operators.search import HYBRID_SQL, hybrid, ranked
-from sparkquill.sources.tables import FINDINGS_SQL, findings, read
+from sparkquill.sources.tables import dealt, dealt_sql, FINDINGS_SQL, findings, read
 
 QUERIES, SQL = {}, {}
 # fixed values: longest proposition and token, notes of opinion parts, marks of instructions in a text, hours a job is kept
@@ -102,15 +102,17 @@ def outcomes(cases: DataFrame, results: DataFrame) -> DataFrame:
 
 
 @query(
-    """SELECT * FROM (VALUES ('budget', 'NOT_FOUND_ANYWHERE', 1, true), ('direct', 'VERIFIED_OFFICIAL', 2, false), ('error', 'UNVERIFIABLE', 0, false),
-    ('mention', 'WEAKLY_CORROBORATED', 0, false), ('none', 'NOT_FOUND_ANYWHERE', 0, false), ('denied', 'NOT_FOUND_ANYWHERE', 0, false),
-    ('zero', 'NOT_FOUND_ANYWHERE', 0, true)) AS t(id, verdict, used, exhausted)"""
+    dealt_sql(
+        "customer", "c_custkey", [
+            ("budget {k}", "NOT_FOUND_ANYWHERE", 1, True), ("direct {k}", "VERIFIED_OFFICIAL", 2, False), ("error {k}", "UNVERIFIABLE", 0, False), ("mention {k}", "WEAKLY_CORROBORATED", 0, False),
+            ("none {k}", "NOT_FOUND_ANYWHERE", 0, False), ("denied {k}", "NOT_FOUND_ANYWHERE", 0, False), ("zero {k}", "NOT_FOUND_ANYWHERE", 0, True),
+        ], "id, verdict, used, exhausted", every=True,
+    )
 )
 def investigation_outcome(spark: SparkSession, d: str) -> DataFrame:
-    """Outcomes of literal investigations."""
-    cases = spark.createDataFrame(
-        [("budget", 3, 1), ("direct", 3, 5), ("error", 3, 5), ("mention", 3, 5), ("none", 3, 5), ("denied", 3, 5), ("zero", 0, 5)], "id string, searches int, fetches int"
-    )
+    """Outcomes of seven investigations for each customer."""
+    budgets = [("budget", 3, 1), ("direct", 3, 5), ("error", 3, 5), ("mention", 3, 5), ("none", 3, 5), ("denied", 3, 5), ("zero", 0, 5)]
+    cases = dealt(spark, d, "customer", "c_custkey", [(b[0] + " {k}", *b[1:]) for b in budgets], "id string, searches int, fetches int", every=True)
     rows = [  # id, url, query, priority, allowed, denied, secondary, failed, accepted
         ("budget", "a", 0, 9, True, False, False, False, False), ("budget", "b", 1, 5, True, False, False, False, True),
         ("direct", "a", 0, 120, True, False, True, False, False), ("direct", "b", 2, 100, True, False, False, False, True),
@@ -120,7 +122,9 @@ def investigation_outcome(spark: SparkSession, d: str) -> DataFrame:
         ("zero", "a", 0, 500, True, False, True, False, True),
     ]
     names = "id string, url string, query int, priority int, allowed boolean, denied boolean, secondary boolean, failed boolean, accepted boolean"
-    return outcomes(cases, spark.createDataFrame(rows, names))
+    results = dealt(spark, d, "customer", "c_custkey", [(r[0] + " {k}", *r[1:]) for r in rows], names, every=True)
+    found = outcomes(cases.drop("k"), results.drop("k"))
+    return found.withColumn("k", F.element_at(F.split("id", " "), 2).cast("bigint"))
 
 
 @query(
@@ -169,22 +173,27 @@ def ablation_problems(cases: DataFrame, corpus: DataFrame, queries: DataFrame) -
 
 
 @query(
-    """SELECT * FROM (VALUES ('old', 'VERSION'), ('wide', 'TOP_K'), ('narrow', 'CANDIDATE_K'), ('twice', 'CORPUS_IDS'), ('strange', 'GOLD'),
-    ('strange', 'SCORES'), ('again', 'QUERY_IDS'), ('empty', 'GOLD'), ('endless', 'SCORES')) AS t(fixture, problem)"""
+    dealt_sql(
+        "customer", "c_custkey", [
+            ("old {k}", "VERSION"), ("wide {k}", "TOP_K"), ("narrow {k}", "CANDIDATE_K"), ("twice {k}", "CORPUS_IDS"), ("strange {k}", "GOLD"), ("strange {k}", "SCORES"), ("again {k}", "QUERY_IDS"),
+            ("empty {k}", "GOLD"), ("endless {k}", "SCORES"),
+        ], "fixture, problem", every=True,
+    )
 )
 def ablation_validation(spark: SparkSession, d: str) -> DataFrame:
-    """Problems of literal inputs; `sound` has none."""
+    """Problems of nine inputs for each customer; `sound` has none."""
     names = ("sound", "old", "wide", "narrow", "twice", "strange", "again", "empty", "endless")
     cases = [(n, 2 if n == "old" else 1, 9 if n == "wide" else 2, {"narrow": 1, "wide": 27}.get(n)) for n in names]
     ids = [(n, i) for n in names for i in ("a", "b", "c")] + [("twice", "a")]
     good = {"a": 0.5, "b": 0.0, "c": 1.0}
     asked = [(n, "q", ["a"], good) for n in names if n not in ("strange", "empty", "endless")]
     asked += [("again", "q", ["a"], good), ("strange", "q", ["z"], {"a": 0.5, "z": 1.0}), ("empty", "q", [], good), ("endless", "q", ["b"], {**good, "c": float("inf")})]
-    return ablation_problems(
-        spark.createDataFrame(cases, "fixture string, version int, top_k int, candidate_k int"),
-        spark.createDataFrame(ids, "fixture string, id string"),
-        spark.createDataFrame(asked, "fixture string, query string, gold array<string>, scores map<string,double>"),
+    rows = lambda given, kinds: dealt(spark, d, "customer", "c_custkey", [(g[0] + " {k}", *g[1:]) for g in given], kinds, every=True).drop("k")
+    found = ablation_problems(
+        rows(cases, "fixture string, version int, top_k int, candidate_k int"), rows(ids, "fixture string, id string"),
+        rows(asked, "fixture string, query string, gold array<string>, scores map<string,double>"),
     )
+    return found.withColumn("k", F.element_at(F.split("fixture", " "), 2).cast("bigint"))
 
 
 def notes(part: Column, status: Column) -> Column:
@@ -313,11 +322,12 @@ def job_references(lines: DataFrame) -> DataFrame:
 
 
 @query(
-    """SELECT * FROM (VALUES ('alpha', '00000000-0000-4000-8000-000000000003'), ('beta works', '00000000-0000-4000-8000-000000000002')) AS t(brief, job)"""
+    dealt_sql("customer", "c_custkey", [("alpha{k}", "00000000-0000-4000-8000-000000000003"), ("beta works {k}", "00000000-0000-4000-8000-000000000002")], "brief, job", every=True)
 )
 def answer_key_jobs(spark: SparkSession, d: str) -> DataFrame:
     lines = [
-        "| Brief | Job |", "|---|---|", "| Alpha (No. 1) | `00000000-0000-4000-8000-000000000001` |",
-        "|Beta Works|`00000000-0000-4000-8000-000000000002`| done", "| Gamma | `too-short` |", "| ALPHA | `00000000-0000-4000-8000-000000000003` |", "",
+        "| Brief | Job |", "|---|---|", "| Alpha{k} (No. 1) | `00000000-0000-4000-8000-000000000001` |",
+        "|Beta Works {k}|`00000000-0000-4000-8000-000000000002`| done", "| Gamma | `too-short` |", "| ALPHA{k} | `00000000-0000-4000-8000-000000000003` |", "",
     ]
-    return job_references(spark.createDataFrame(list(enumerate(lines)), "place int, line string"))
+    found = job_references(dealt(spark, d, "customer", "c_custkey", list(enumerate(lines)), "place int, line string", every=True))
+    return found.withColumn("k", F.regexp_extract("brief", "([0-9]+)$", 1).cast("bigint"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from sparkquill.functions.text import strip, tokens
 from sparkquill.operators.search import K1, B, cosine, fuse
-from sparkquill.sources.tables import read
+from sparkquill.sources.tables import dealt, dealt_sql, read
 
 QUERIES, SQL = {}, {}
 
@@ -153,9 +153,9 @@ def paragraph_index(spark: SparkSession, d: str) -> DataFrame:
     return turns(spark, d)[1].select("para_id", "source_id", "para_no", "opinion_part", F.col("embedding").isNotNull().alias("has_vector"))
 
 
-@query("SELECT * FROM (VALUES ('p3', 1), ('p1', 2), ('p2', 3), ('p4', 4)) AS t(para_id, pos)")
+@query(dealt_sql("customer", "c_custkey", [("p3", 1), ("p1", 2), ("p2", 3), ("p4", 4)], "para_id, pos", every=True))
 def rerank_safe_order(spark: SparkSession, d: str) -> DataFrame:
     """A reranker's order over known ids, then the rest in their order; unknown and repeated ids are passed over."""
-    known = spark.createDataFrame([(1, "p1", 1), (1, "p2", 2), (1, "p3", 3), (1, "p4", 4)], "q int, para_id string, pos int")
-    given = spark.createDataFrame([(1, "p3", 1), (1, "zz", 2), (1, "p1", 3), (1, "p3", 4)], "q int, para_id string, nth int")
-    return safe_order(known, given).select("para_id", "pos")
+    known = dealt(spark, d, "customer", "c_custkey", [("p1", 1), ("p2", 2), ("p3", 3), ("p4", 4)], "para_id string, pos int", every=True).withColumnRenamed("k", "q")
+    given = dealt(spark, d, "customer", "c_custkey", [("p3", 1), ("zz", 2), ("p1", 3), ("p3", 4)], "para_id string, nth int", every=True).withColumnRenamed("k", "q")
+    return safe_order(known, given).select(F.col("q").alias("k"), "para_id", "pos")

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from sparkquill.functions import alignment as A
 from sparkquill.sources.settings import settings
-from sparkquill.sources.tables import read
+from sparkquill.sources.tables import dealt, dealt_sql, read
 
 QUERIES, SQL = {}, {}
 
@@ -97,7 +97,7 @@ def check_quotes(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 # fixed values: quotes, source paragraphs and what the check says
 CASES = (
-    ("identical", "The Court shall decide the matter.", "The Court shall decide the matter.", None, "VERBATIM"),
+    ("identical", "The Court shall decide matter {k}.", "The Court shall decide matter {k}.", None, "VERBATIM"),
     ("bracket", "[T]he Court shall decide.", "The Court shall decide.", None, "VERBATIM_WITH_PERMITTED_ALTERATIONS"),
     ("emphasis", "The Court shall decide. [emphasis added]", "The Court shall decide.", None, "VERBATIM_WITH_PERMITTED_ALTERATIONS"),
     ("ellipsis", "The Court ... shall decide today.", "The Court after long argument shall decide today.", None, "VERBATIM_WITH_PERMITTED_ALTERATIONS"),
@@ -111,13 +111,13 @@ CASES = (
     ("longer", "one two three four five six seven eight nine ten", "one two", None, "NOT_FOUND_IN_SOURCE"),
     ("empty_quote", "", "The Court shall decide.", None, "NOT_FOUND_IN_SOURCE"),
 )
-CASES_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{c[0]}', '{c[4]}')" for c in CASES) + ') AS t("case", verdict)'
+CASES_SQL = dealt_sql("customer", "c_custkey", [(c[0], c[4]) for c in CASES], '"case", verdict')
 
 
 @query(CASES_SQL)
 def quote_verdict_fixtures(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([c[:4] for c in CASES], "case string, quote string, paragraph string, semantic double")
-    return check_quotes(rows.withColumn("order", F.lit(1)), ["case"]).select("case", "verdict")
+    rows = dealt(spark, d, "customer", "c_custkey", [c[:4] for c in CASES], "case string, quote string, paragraph string, semantic double")
+    return check_quotes(rows.withColumn("order", F.lit(1)), ["k", "case"]).select("k", "case", "verdict")
 
 
 @query(
@@ -142,18 +142,18 @@ def name_similarity(a, b):
 
 
 @query(
-    """SELECT * FROM (VALUES ('name only', 1.0, false), ('court', 1.0, true), ('year', 1.0, true), ('docket', 1.0, true), ('other name', 0.7333, false)) AS t(kind, similarity, accepted)"""
+    dealt_sql("customer", "c_custkey", [("name only", 1.0, False), ("court", 1.0, True), ("year", 1.0, True), ("docket", 1.0, True), ("other name", 0.7333, False)], "kind, similarity, accepted")
 )
 def match_candidate(spark: SparkSession, d: str) -> DataFrame:
     """A found source is accepted if its name is near and court, year or docket agree."""
-    cite = ("Smith v. Jones, Inc.", "S.D.N.Y.", 2020, "23-100")
+    cite = ("Smith v. Jones, Inc.", "S.D.N.Y.", 2020, "{k}-100")
     rows = [
         ("name only", "SMITH V JONES INC", None, None, None), ("court", "SMITH V JONES INC", "S.D.N.Y.", None, None),
-        ("year", "SMITH V JONES INC", None, "2020-05-01", None), ("docket", "SMITH V JONES INC", None, None, "23 100"),
+        ("year", "SMITH V JONES INC", None, "2020-05-01", None), ("docket", "SMITH V JONES INC", None, None, "{k} 100"),
         ("other name", "Smith v. James", "S.D.N.Y.", None, None),
     ]
-    found = spark.createDataFrame([(*r, *cite) for r in rows], "kind string, name string, court string, day string, docket string, c_name string, c_court string, c_year int, c_docket string")
-    return accepted(found).select("kind", F.round("similarity", 4).alias("similarity"), "accepted")
+    found = dealt(spark, d, "customer", "c_custkey", [(*r, *cite) for r in rows], "kind string, name string, court string, day string, docket string, c_name string, c_court string, c_year int, c_docket string")
+    return accepted(found).select("k", "kind", F.round("similarity", 4).alias("similarity"), "accepted")
 
 
 def accepted(found: DataFrame, least: float = settings().name_similarity) -> DataFrame:
@@ -250,15 +250,14 @@ ANSWERS = (
     ("contradicts low", '{"verdict":"CONTRADICTS","cited_paragraph_ids":["p1"],"rationale":"r","confidence":0.749}', "UNVERIFIABLE", "CONTRADICTS_CONFIDENCE_TOO_LOW"),
     ("contradicts", '{"verdict":"CONTRADICTS","cited_paragraph_ids":["p1"],"rationale":"r","confidence":0.75}', "CONTRADICTS", None),
 )
-_quoted = lambda x: "NULL" if x is None else f"'{x}'"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a[0]}', '{a[2]}', {_quoted(a[3])})" for a in ANSWERS) + ') AS t("case", verdict, reason)')
+@query(dealt_sql("events", "event_id", [(a[0], *a[2:]) for a in ANSWERS], '"case", verdict, reason'))
 def proposition_validator(spark: SparkSession, d: str) -> DataFrame:
     """A judge's answer against the evidence that it was given; the first rule broken is the reason."""
-    rows = spark.createDataFrame([a[:2] for a in ANSWERS], "case string, answer string")
+    rows = dealt(spark, d, "events", "event_id", [(a[0], a[1].replace('"r"', '"r {k}"')) for a in ANSWERS], "case string, answer string")
     parts = F.create_map(*[F.lit(x) for pair in PARTS.items() for x in pair])
-    return validated(rows.withColumn("parts", parts), ["case"])
+    return validated(rows.withColumn("parts", parts), ["k", "case"])
 
 
 # fixed value: longest rationale
@@ -341,8 +340,12 @@ def eval_precision_recall(spark: SparkSession, d: str) -> DataFrame:
     return rates(confusion(observations(spark, d))).select("check", "precision", "recall")
 
 
-@query("SELECT * FROM (VALUES ('existence', 0.5, 0.3333), ('proposition', NULL, 0.0), ('quote', 0.0, 0.0)) AS t(\"check\", precision, recall)")
+@query("""SELECT o_custkey AS "check", round(tp / nullif(tp + fp, 0), 4) AS precision, round(tp / nullif(tp + fn, 0), 4) AS recall FROM (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS tp,
+    count(*) FILTER (WHERE o_orderstatus = 'O' AND o_orderkey % 2 = 0) AS fp, count(*) FILTER (WHERE o_orderstatus = 'P') AS fn FROM orders GROUP BY 1)""")
 def eval_metrics_from_counts(spark: SparkSession, d: str) -> DataFrame:
-    # fixed values: published counts of true and false positives and false negatives
-    counts = spark.createDataFrame([("existence", 1, 1, 2), ("proposition", 0, 0, 6), ("quote", 0, 1, 6)], "check string, tp int, fp int, fn int")
+    """Rates of counts of true and false positives and false negatives; null without any."""
+    status = F.col("o_orderstatus")
+    counts = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("check")).agg(
+        F.count_if(status == "F").alias("tp"), F.count_if((status == "O") & (F.col("o_orderkey") % 2 == 0)).alias("fp"), F.count_if(status == "P").alias("fn")
+    )
     return rates(counts).select("check", "precision", "recall")

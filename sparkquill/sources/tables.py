@@ -17,6 +17,29 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, table: str, key: str, cases, names: str, every: bool = False) -> DataFrame:
+    """The rows of a table as cases: its key as `k`, and the fields of the case that the key's remainder names, or of each case with `every`.
+
+    `{k}` in a text stands for the key, so that cases differ from row to row.
+    """
+    fixed = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "__case int, " + names)
+    k = F.col(key)
+    nth = F.explode(F.sequence(F.lit(0), F.lit(len(cases) - 1))) if every else F.pmod(k, F.lit(len(cases))).cast("int")
+    rows = read(spark, sf_dir, table).select(k.alias("k"), nth.alias("__case"))
+    fields = [F.replace(f.name, F.lit("{k}"), F.col("k").cast("string")).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name) for f in fixed.schema[1:]]
+    return rows.join(F.broadcast(fixed), "__case").select("k", *fields)
+
+
+def dealt_sql(table: str, key: str, cases, names: str, every: bool = False) -> str:
+    """SQL of the rows that `dealt` makes."""
+    one = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    columns = names.split(", ")
+    texts = {i for c in cases for i, x in enumerate(c) if isinstance(x, str)}
+    shown = ", ".join(f"replace({c}, '{{k}}', {key}::VARCHAR) AS {c}" if i in texts else c for i, c in enumerate(columns))
+    given = ", ".join("(" + ", ".join([str(i), *map(one, c)]) + ")" for i, c in enumerate(cases))
+    return f"SELECT {key} AS k, {shown} FROM {table} JOIN (VALUES {given}) AS t(nth, {names}) ON " + ("true" if every else f"{key} % {len(cases)} = nth")
+
+
 _folder: dict[str, str] = {}
 #: Tables and streams that were written to the shared folder, by application, until `release` removes them.
 _written: dict[str, list[str]] = {}
