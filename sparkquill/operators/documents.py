@@ -193,18 +193,20 @@ def holders(items: DataFrame, docs: DataFrame) -> DataFrame:
     """(item_id, doc_id, passage) of texts (doc_id, text) that hold passages (item_id, passage).
 
     A passage's inner words are whole words of each text that holds it, so its longest one is a key: words meet ids by an equi-join,
-    and only texts that have the word are searched. A passage of one or two words has no inner word: its longest word lies inside a word of the
-    text. Such passages are compared with the distinct words of the texts instead, and these are joined back.
+    and only texts that have the word are searched. A passage of one or two words has no inner word: its longest word, or all of it where it is blank, lies inside
+    a word or a run of white space of the text. The distinct ones of these are exploded to their runs of one to three characters, one of which is such a passage's key.
     """
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
     by_size = lambda a: F.array_max(F.transform(a, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
     inner = F.slice(words("passage"), F.lit(2), F.greatest(F.size(words("passage")) - 2, F.lit(0)))
     keyed = items.withColumn("word", by_size(inner))
-    held = docs.select("doc_id", F.explode(F.array_distinct(words("text"))).alias("word"))
+    held = docs.select("doc_id", F.explode(F.array_distinct(F.concat(words("text"), F.regexp_extract_all("text", F.lit(r"\s+"), F.lit(0))))).alias("word"))
     long = keyed.where(F.col("word").isNotNull()).select("item_id", "word").join(held, "word")
-    # passages are stated queries: short ones are few, and each meets each distinct word once
-    short = keyed.where(F.col("word").isNull()).select("item_id", by_size(words("passage")).alias("part"))
-    short = short.join(held.select("word").distinct(), F.col("part").isNull() | F.col("word").contains(F.col("part")))
+    short = keyed.where(F.col("word").isNull() & (F.col("passage") != "")).select("item_id", F.coalesce(by_size(words("passage")), F.col("passage")).alias("part"))
+    short = short.withColumn("key", F.substring("part", 1, 3))
+    runs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.array(*[F.substring(F.col("word"), i, F.lit(n)) for n in (1, 2, 3)]))))
+    grams = held.select("word").distinct().select("word", F.explode(runs).alias("key")).join(short.select("key").distinct(), "key", "left_semi")
+    short = short.join(grams, "key").where(F.col("word").contains(F.col("part"))).select("item_id", "word").distinct()
     near = long.select("item_id", "doc_id").union(short.join(held, "word").select("item_id", "doc_id")).distinct()
     met = near.join(items, "item_id").join(docs, "doc_id")
     return met.where(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id", "passage")

@@ -97,8 +97,8 @@ COS_SQL = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::
   cs AS (SELECT q.vec_id AS q, c.vec_id AS c, q.label = c.label AS relevant, round(coalesce(list_cosine_similarity(q.e, c.e), 0), 6) AS score,
     round(-list_distance(q.e, c.e), 6) AS other FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
   sem AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS rank FROM cs)"""
-#: Queries of a block.
-ASKED = 256
+#: Queries and rows of a block.
+ASKED, HELD = 256, 8192
 
 
 def semantic(spark: SparkSession, d: str, known: DataFrame | None = None) -> DataFrame:
@@ -106,17 +106,18 @@ def semantic(spark: SparkSession, d: str, known: DataFrame | None = None) -> Dat
 
     `known` has more columns of the queries, by q, which their pairs then have.
 
-    Queries are the rows whose id is divisible by 100. Rows and queries are dealt to blocks by a hash; a block of rows meets each block of
-    queries by an equi-join on its number, so what a task holds at once is a block of queries.
+    Queries are the rows whose id is divisible by 100. Queries and rows are dealt to blocks by hashes, and a block of each meets by an equi-join on both numbers: so
+    a key has ASKED x HELD pairs, about, and no task the table.
     """
     rows = read(spark, d, "embeddings").select("vec_id", "label", "embedding")
     asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("embedding").alias("qe"))
-    n = max(1, -(-asked.count() // ASKED))
+    n, m = max(1, -(-asked.count() // ASKED)), max(1, -(-rows.count() // HELD))
     more = [] if known is None else [c for c in known.columns if c != "q"]
     asked = asked if known is None else asked.join(known, "q")
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(n)).cast("int"))
-    held = rows.select(F.col("vec_id").alias("c"), "label", "embedding", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
-    pairs = asked.join(held, "block").where("q <> c")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    asked = asked.select("*", F.pmod(F.xxhash64("q"), F.lit(n)).cast("int").alias("block"), each(m).alias("part"))
+    held = rows.select(F.col("vec_id").alias("c"), "label", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int").alias("part"), each(n).alias("block"))
+    pairs = asked.join(held, ["block", "part"]).where("q <> c")
     apart = F.aggregate(F.zip_with("qe", "embedding", lambda x, y: x.cast("double") - y.cast("double")), F.lit(0.0), lambda s, x: s + x * x)
     score, other = F.round(cosine(F.col("qe"), F.col("embedding")), 6), F.round(-F.sqrt(apart), 6)
     return pairs.select("q", "c", (F.col("ql") == F.col("label")).alias("relevant"), score.alias("score"), other.alias("other"), *more)
