@@ -147,3 +147,26 @@ def test_word_diffs_rebuild_the_source(spark):
         assert sorted(w for o in ops for w in o.source_words) == sorted(stretched)
         assert sum(len(o.quote_words) for o in ops) == sum(map(len, A.segments(r.quote)[0]))
         assert all((o.operation == "equal") == (o.quote_words == o.source_words) for o in ops)
+
+
+def test_the_query_against_every_paragraph(spark, tmp_path):
+    """`quote_verdict_benchmark` over forty documents, with items that are null, empty, blank, or long parts of a document."""
+    from pyspark.sql import functions as F
+
+    from sparkquill.operators.documents import paragraphs
+    from sparkquill.sources.tables import read
+
+    small = "/root/testdata/sf0.001"
+    docs = read(spark, small, "documents").where("doc_id < 40")
+    lines = paragraphs(docs, "\n").collect()
+    items = [(r.item_id, r.text) for r in read(spark, small, "benchmark").collect()] + [(900, None), (901, ""), (902, " "), (903, lines[3].text + "\n" + lines[9].text.upper()), (904, lines[20].text.replace(" ", " the ", 1)), (905, "[x]y zz")]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.item_id, r.line): r for r in Q.quote_verdict_benchmark(spark, str(tmp_path)).collect()}
+    asked = {(i, n): q for i, t in items for n, q in enumerate((t or "").split("\n") if t else [None])}
+    assert set(got) == set(asked)
+    texts = [r.text for r in lines]
+    for k, q in asked.items():
+        verdict, similarity = brute(q, texts)
+        assert got[k].verdict == verdict and (similarity is None or abs(got[k].similarity - similarity) < 2e-4)
+    assert got[903, 1].verdict == "VERBATIM" and Q.quote_verdict_summary(spark, str(tmp_path)).agg(F.sum("n")).first()[0] == len(asked)
