@@ -143,16 +143,20 @@ def antecedents(cites: DataFrame, id_col: str = "doc_id") -> DataFrame:
     full = cites.where("kind = 'full'").select(
         F.col(id_col).alias("d"), F.col("n").alias("m"), F.col("name").alias("f_name"), F.col("raw_text").alias("f_raw"), F.col("volume").alias("f_vol"), F.col("reporter").alias("f_rep")
     )
-    back = cites.where("kind in ('short', 'supra')")
-    pairs = back.join(full, (F.col(id_col) == F.col("d")) & (F.col("m") < F.col("n")))
-    guess = F.lower("name")
-    named = F.contains(F.lower(F.coalesce("f_name", F.lit(""))), guess) | F.contains(F.lower("f_raw"), guess)
+    back = cites.where("kind in ('short', 'supra')").select(F.col(id_col).alias("b_d"), F.col("n").alias("b_n"), F.lower("name").alias("guess"), "volume", "reporter")
+    # a name's first letters are a run of the text that holds it: the key of an equi-join
+    guesses = back.where(F.coalesce("guess", F.lit("")) != "").withColumn("run", F.substring("guess", 1, 3))
+    held = F.concat(F.lower(F.coalesce("f_name", F.lit(""))), F.lit("\n"), F.lower("f_raw"))
+    runs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("held")), lambda i: F.array(*[F.substring(F.col("held"), i, F.lit(k)) for k in (1, 2, 3)]))))
+    named = full.withColumn("held", held).select("d", "m", "f_name", "f_raw", F.explode(runs).alias("run"))
+    holds = F.contains(F.lower(F.coalesce("f_name", F.lit(""))), F.col("guess")) | F.contains(F.lower("f_raw"), F.col("guess"))
+    on = (F.col("b_d") == F.col("d")) & (F.col("m") < F.col("b_n"))
+    by_name = guesses.join(named.withColumnRenamed("run", "f_run"), on & (F.col("run") == F.col("f_run"))).where(holds).groupBy("b_d", "b_n").agg(F.max("m").alias("by_name"))
     # a reporter's identity doesn't hang on its spaces: S. Ct. and S.Ct. are one
     spelled = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
-    same = (F.col("volume") == F.col("f_vol")) & (spelled("reporter") == spelled("f_rep"))
-    met = pairs.groupBy(id_col, "n").agg(
-        F.max(F.when(named, F.col("m"))).alias("by_name"), F.count_if(same).alias("same"), F.max(F.when(same, F.col("m"))).alias("by_key")
-    )
+    same = on & (F.col("volume") == F.col("f_vol")) & (spelled("reporter") == spelled("f_rep"))
+    by_key = back.join(full, same).groupBy("b_d", "b_n").agg(F.count("*").alias("same"), F.max("m").alias("by_key"))
+    met = back.select("b_d", "b_n").join(by_name, ["b_d", "b_n"], "left").join(by_key, ["b_d", "b_n"], "left").withColumnsRenamed({"b_d": id_col, "b_n": "n"})
     root = F.coalesce("by_name", F.when(F.col("same") == 1, F.col("by_key")))
     known = cites.join(met.select(id_col, "n", root.alias("own")), [id_col, "n"], "left")
     points = F.when(F.col("kind") == "full", F.col("n")).otherwise(F.col("own"))
