@@ -113,14 +113,17 @@ def similar(rows: DataFrame, key: str, name: str, least: float | None = None) ->
 
     def look(pdfs):
         for pdf in pdfs:
-            found = [(f, g) for f in pdf["form"] for g in keys(f, least, sent.value)]
-            yield pd.DataFrame(found, columns=["form", "g"])
+            found = [(f, g, numbered(f, 2)) for f in pdf["form"] for g in keys(f, least, sent.value)]
+            yield pd.DataFrame(found, columns=["form", "g", "twos"])
 
-    looked = stored(forms.mapInPandas(look, "form string, g string"), "name-keys")
-    left, right = looked.select(F.col("form").alias("a"), "g"), looked.select(F.col("form").alias("b"), "g")
+    looked = stored(forms.mapInPandas(look, "form string, g string, twos array<string>"), "name-keys")
+    left, right = looked.select(F.col("form").alias("a"), "g", F.col("twos").alias("x")), looked.select(F.col("form").alias("b"), "g", F.col("twos").alias("y"))
     both = F.length("a") + F.length("b")
-    fits = F.ceil(both * least / 2 - 1e-9) <= F.least(F.length("a"), F.length("b"))
-    pairs = left.join(right, "g").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    m = F.ceil(both * least / 2 - 1e-9)
+    fits = m <= F.least(F.length("a"), F.length("b"))
+    # all the runs of two letters that both have, before any letters are matched
+    enough = F.size(F.array_intersect("x", "y")) >= m - (both - 2 * m + 1)
+    pairs = left.join(right, "g").where((F.col("a") < F.col("b")) & fits & enough).select("a", "b").distinct()
 
     @F.pandas_udf("double")
     def ratio(a, b):

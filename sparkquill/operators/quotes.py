@@ -36,19 +36,42 @@ def query(sql: str | None = None):
     return add
 
 
+def mixed(hashes, seeds, size: int):
+    """A hash of each run of `size` words from the words' hashes; `seeds` has one number for each run."""
+    import numpy as np
+
+    out = seeds
+    for j in range(size):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[j : len(hashes) - size + 1 + j]
+    return (out ^ (out >> np.uint64(32))).view(np.int64)
+
+
+def seed(size: int, scope: str | None) -> int:
+    """Runs of different sizes and scopes have different hashes."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(f"{size} {scope or ''}")
+
+
+def word_hashes(words: list[str], known: dict[str, int]):
+    import numpy as np
+    import xxhash
+
+    if len(known) > 500_000:
+        known.clear()
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w)
+    return np.array([known[w] for w in words], dtype=np.uint64)
+
+
 def run_hashes(words: list[str], size: int, scope: str | None):
     """A hash of each run of `size` words, which differs from scope to scope."""
     import numpy as np
-    import xxhash
 
     if len(words) < size:
         return np.zeros(0, np.int64)
-    each = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
-    h = np.array([each[w] for w in words], dtype=np.uint64)
-    out = np.full(len(words) - size + 1, xxhash.xxh64_intdigest(f"{size} {scope or ''}"), dtype=np.uint64)
-    for j in range(size):
-        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - size + 1 + j]
-    return (out ^ (out >> np.uint64(32))).view(np.int64)
+    return mixed(word_hashes(words, {}), np.full(len(words) - size + 1, seed(size, scope), dtype=np.uint64), size)
 
 
 PARSED = "tag bigint, words int, used boolean, loose boolean, anchors array<struct<anchor:bigint,part:int,before:int,after:int>>"
@@ -86,23 +109,33 @@ def postings(rows: DataFrame, known, sizes=range(1, A.ANCHOR + 1)) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        seen: dict[str, int] = {}
         for batch in batches:
-            of, anchors, at = [], [], []
-            for i, (scope, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                words = A.source_tokens(text or "")
-                for size in sizes:
-                    h = run_hashes(words, size, scope)
-                    here = np.arange(len(h))
-                    if sent is not None and len(h):
-                        near = np.minimum(np.searchsorted(sent.value, h), max(0, len(sent.value) - 1))
-                        here = np.flatnonzero(sent.value[near] == h) if len(sent.value) else here[:0]
-                    of.append(np.full(len(here), i))
-                    anchors.append(h[here])
-                    at.append(here)
-            take = pa.array(np.concatenate(of) if of else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(anchors), pa.int64()), pa.array(np.concatenate(at).astype(np.int32))], ["doc", "para_no", "anchor", "at"]
-            ) if len(take) else pa.RecordBatch.from_arrays([batch.column(0).slice(0, 0), batch.column(1).slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.int32())], ["doc", "para_no", "anchor", "at"])
+            if not batch.num_rows:
+                continue
+            # the words of all paragraphs of a batch one after the other; runs end with their paragraph
+            each = [A.source_tokens(t or "") for t in batch.column(3).to_pylist()]
+            scopes, ends = batch.column(2).to_pylist(), np.cumsum([len(w) for w in each])
+            hashes = word_hashes([w for words in each for w in words], seen)
+            owner = np.repeat(np.arange(len(each)), [len(w) for w in each])
+            first, of, anchors, at = ends - [len(w) for w in each], [], [], []
+            for size in sizes:
+                if len(hashes) < size:
+                    continue
+                seeds = np.array([seed(size, s) for s in scopes], dtype=np.uint64)
+                starts = owner[: len(hashes) - size + 1]
+                h = mixed(hashes, seeds[starts], size)
+                fits = np.arange(len(h)) + size <= ends[starts]
+                if sent is not None:
+                    near = np.minimum(np.searchsorted(sent.value, h), max(0, len(sent.value) - 1))
+                    fits &= (sent.value[near] == h) if len(sent.value) else False
+                here = np.flatnonzero(fits)
+                of.append(starts[here])
+                anchors.append(h[here])
+                at.append(here - first[starts[here]])
+            take = pa.array(np.concatenate([*of, np.zeros(0, np.int64)]).astype(np.int64))
+            found = pa.array(np.concatenate([*anchors, np.zeros(0, np.int64)]).astype(np.int64)), pa.array(np.concatenate([*at, np.zeros(0, np.int64)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *found], ["doc", "para_no", "anchor", "at"])
 
     return rows.select("doc", "para_no", "scope", "text").mapInArrow(run, f"doc {kind}, para_no int, anchor bigint, at int")
 
