@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkquill.functions.text import tokens
-from sparkquill.sources.tables import read
+from sparkquill.sources.tables import read, stored
 
 QUERIES, SQL = {}, {}
 # fixed values: BM25 constants, constant of the rank fusion
@@ -97,35 +100,159 @@ COS_SQL = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::
   cs AS (SELECT q.vec_id AS q, c.vec_id AS c, q.label = c.label AS relevant, round(coalesce(list_cosine_similarity(q.e, c.e), 0), 6) AS score,
     round(-list_distance(q.e, c.e), 6) AS other FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
   sem AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS rank FROM cs)"""
-#: Queries and rows of a block.
-ASKED, HELD = 256, 8192
+#: Queries and rows of a block, and pairs that are scored at once.
+ASKED, HELD, AT_ONCE = 4096, 4096, 1 << 18
+
+
+def micro(x):
+    """Rounded to six places, halves away from 0."""
+    import numpy as np
+
+    return np.copysign(np.floor(np.abs(x) * 1e6 + 0.5), x) / 1e6 + 0.0
 
 
-def semantic(spark: SparkSession, d: str, known: DataFrame | None = None) -> DataFrame:
-    """(q, c, relevant, score, other): cosine of each query vector, and its distance with a minus, with all vectors but its own.
+def settled(x):
+    """As `micro`, but by the decimal digits where a value is about halfway."""
+    import numpy as np
 
-    `known` has more columns of the queries, by q, which their pairs then have.
+    out, near = micro(x), np.abs(np.abs(x) * 1e6 % 1 - 0.5) < 1e-4
+    for i in np.flatnonzero(near):
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal("0.000001"), ROUND_HALF_UP)) + 0.0
+    return out
 
-    Queries are the rows whose id is divisible by 100. Queries and rows are dealt to blocks by hashes, and a block of each meets by an equi-join on both numbers: so
-    a key has ASKED x HELD pairs, about, and no task the table.
+
+def similarities(q, e):
+    """(cosine, distance with a minus) of all rows of two matrices, rounded to six places as sums in the order of components are.
+
+    A matrix product is right but for its last digits; where these could change the rounded value, a pair is summed in order.
     """
-    rows = read(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("embedding").alias("qe"))
+    import numpy as np
+
+    in_order = lambda x: np.add.accumulate(x, axis=1)[:, -1] if x.shape[1] else np.zeros(len(x))
+    with np.errstate(all="ignore"):
+        qs, es, off = in_order(q * q), in_order(e * e), (q.shape[1] + 8) * 1e-15
+        dot, norms = q @ e.T, np.sqrt(qs)[:, None] * np.sqrt(es)[None, :]
+        cos = dot / norms
+        score, other = micro(cos - off), micro(cos + off)
+        unsure = (score != other) & (norms != 0)
+        score[norms == 0] = 0.0
+        i, j = np.nonzero(unsure)
+        for n in range(0, len(i), HELD):
+            a, b = i[n : n + HELD], j[n : n + HELD]
+            score[a, b] = settled(in_order(q[a] * e[b]) / norms[a, b])
+        both = qs[:, None] + es[None, :]
+        apart = both - 2 * dot
+        other, high = micro(np.sqrt(np.maximum(apart - off * both, 0))), micro(np.sqrt(apart + off * both))
+        i, j = np.nonzero(other != high)
+        for n in range(0, len(i), HELD):
+            a, b = i[n : n + HELD], j[n : n + HELD]
+            other[a, b] = settled(np.sqrt(in_order((q[a] - e[b]) ** 2)))
+    return score, 0.0 - other
+
+
+def greatest(x, may, k: int):
+    """Mask of the k greatest values of each row among those that may be taken, the earlier of equal ones first; NaN is greatest."""
+    import numpy as np
+
+    x = np.where(may, np.where(np.isnan(x), np.inf, x), -np.inf)
+    at = max(0, x.shape[1] - k)
+    least = np.partition(x, at, axis=1)[:, at : at + 1]
+    over, same = (x > least) & may, (x == least) & may
+    return over | same & (np.cumsum(same, axis=1) <= k - over.sum(axis=1, keepdims=True))
+
+
+def vectors(column):
+    """(matrix, mask of rows that have a whole vector): rows without, with a null in it or of a length that most others don't have are zeros."""
+    import numpy as np
+
+    sizes = [-1 if v is None else len(v) for v in column]
+    size = Counter(n for n in sizes if n >= 0).most_common(1)
+    size = size[0][0] if size else 0
+    out, whole = np.zeros((len(sizes), size)), np.array([n == size for n in sizes], dtype=bool)
+    for i in np.flatnonzero(whole):
+        out[i] = column[i]
+    return out, whole
+
+
+def arrow_schema(columns: str):
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(columns))
+
+
+def met(spark: SparkSession, d: str, found, schema: str, known: DataFrame | None = None) -> DataFrame:
+    """What `found(asked, held, score, other, may, lost)` gives for tiles of pairs of a query and a row: columns of `schema`.
+
+    Queries are the rows whose id is divisible by 100; `asked` has q, ql and the columns of `known` (by q), `held` has c and label in order of c, score and
+    other are matrices of rounded cosines and distances with a minus, `may` is false for a query's own rows. A row without a vector is lost: it has the cosine 0 and no distance.
+
+    Queries and rows are dealt to blocks by hashes, and a block of each meets in one group: so a task holds a block of either and a tile of pairs, and what a query keeps
+    of each block is all that is shuffled by query.
+    """
+    rows = read(spark, d, "embeddings").select("vec_id", "label", F.when(~F.exists("embedding", F.isnull), F.col("embedding")).alias("v")).where("vec_id is not null")
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("v").alias("qv"))
     n, m = max(1, -(-asked.count() // ASKED)), max(1, -(-rows.count() // HELD))
-    more = [] if known is None else [c for c in known.columns if c != "q"]
     asked = asked if known is None else asked.join(known, "q")
     each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     asked = asked.select("*", F.pmod(F.xxhash64("q"), F.lit(n)).cast("int").alias("block"), each(m).alias("part"))
-    held = rows.select(F.col("vec_id").alias("c"), "label", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int").alias("part"), each(n).alias("block"))
-    pairs = asked.join(held, ["block", "part"]).where("q <> c")
-    apart = F.aggregate(F.zip_with("qe", "embedding", lambda x, y: x.cast("double") - y.cast("double")), F.lit(0.0), lambda s, x: s + x * x)
-    score, other = F.round(cosine(F.col("qe"), F.col("embedding")), 6), F.round(-F.sqrt(apart), 6)
-    return pairs.select("q", "c", (F.col("ql") == F.col("label")).alias("relevant"), score.alias("score"), other.alias("other"), *more)
+    held = rows.select(F.col("vec_id").alias("c"), "label", "v", F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int").alias("part"), each(n).alias("block"))
+
+    kinds = arrow_schema(schema)
+    names = kinds.names
+
+    def run(asked, held):
+        import numpy as np
+        import pyarrow as pa
+
+        as_table = lambda x: x if isinstance(x, pa.Table) else pa.table(x)
+        asked, held = asked.to_pandas(), held.sort_by("c").to_pandas()
+        out = []
+        if len(asked) and len(held):
+            (q, q_whole), (e, e_whole) = vectors(asked["qv"].tolist()), vectors(held["v"].tolist())
+            e, e_whole = (e, e_whole) if q.shape[1] == e.shape[1] else (np.zeros((len(e), q.shape[1])), np.zeros(len(e), dtype=bool))
+            c, step = held["c"].to_numpy(), max(1, AT_ONCE // len(held))
+            for lo in range(0, len(asked), step):
+                some = slice(lo, lo + step)
+                score, other = similarities(q[some], e)
+                lost = ~(q_whole[some][:, None] & e_whole[None, :])
+                score[lost] = 0.0
+                tile = asked.iloc[some].reset_index(drop=True)
+                out.append(as_table(found(tile, held, score, other, tile["q"].to_numpy()[:, None] != c[None, :], lost)).select(names).cast(kinds))
+        return pa.concat_tables(out) if out else kinds.empty_table()
+
+    # with a number of tasks given, small blocks aren't put together
+    deal = lambda df: df.repartition(min(2 * n * m, 4096), "block", "part").groupBy("block", "part")
+    return deal(asked).cogroup(deal(held)).applyInArrow(run, schema)
+
+
+PAIR = "q bigint, c bigint, relevant boolean, score double, other double"
+
+
+def chosen(asked, held, mask, score, other, lost) -> dict:
+    """The pairs that a mask keeps, as columns of PAIR."""
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    i, j = np.nonzero(mask)
+    a, b = asked["ql"].to_numpy()[i], held["label"].to_numpy()[j]
+    relevant = pa.array(np.asarray(a == b, dtype=bool), mask=np.asarray(pd.isna(a) | pd.isna(b), dtype=bool))
+    return {"q": asked["q"].to_numpy()[i], "c": held["c"].to_numpy()[j], "relevant": relevant, "score": score[i, j], "other": pa.array(other[i, j], mask=lost[i, j])}
+
+
+def semantic(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
+    """(q, c, relevant, score, other): the k rows of each block with the greatest cosine for each query vector, its own left out; without k all rows."""
+
+    def found(asked, held, score, other, may, lost):
+        return chosen(asked, held, may if k is None else greatest(score, may, k), score, other, lost)
+
+    return met(spark, d, found, PAIR)
 
 
 @query(f"WITH {COS_SQL} SELECT q, c, round(score, 4) AS score, rank FROM sem WHERE rank <= 10")
 def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
-    return ranked(semantic(spark, d), ["q"], "score", "c", 10).select("q", "c", F.round("score", 4).alias("score"), "rank")
+    return ranked(semantic(spark, d, 10), ["q"], "score", "c", 10).select("q", "c", F.round("score", 4).alias("score"), "rank")
 
 
 def fuse(lists: DataFrame, group: str, item: str, k: int) -> DataFrame:
@@ -151,10 +278,13 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     return fuse(both.where("rank <= 24"), "item_id", "doc_id", 6).drop("first")
 
 
-def minmax(score: str) -> Column:
-    """Scaled to 0..1 between the query's bounds `lo_` and `hi_` of this score; 0 where all scores are the same."""
-    lo, hi = F.col(f"lo_{score}"), F.col(f"hi_{score}")
-    return F.when(hi == lo, 0.0).otherwise((F.col(score) - lo) / (hi - lo))
+def minmax(x, lo, hi):
+    """Scaled to 0..1 between the query's bounds of this score; 0 where all scores are the same."""
+    import numpy as np
+
+    lo, hi = lo.to_numpy(dtype=float)[:, None], hi.to_numpy(dtype=float)[:, None]
+    with np.errstate(all="ignore"):
+        return np.where(hi == lo, 0.0, (x - lo) / (hi - lo))
 
 
 HYBRID_SQL = f"""{COS_SQL}, hy AS (SELECT q, c, relevant, other, round((coalesce((score - min(score) OVER p) / nullif(max(score) OVER p - min(score) OVER p, 0), 0)
@@ -162,21 +292,52 @@ HYBRID_SQL = f"""{COS_SQL}, hy AS (SELECT q, c, relevant, other, round((coalesce
   hr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS rank FROM hy)"""
 
 
-def hybrid(spark: SparkSession, d: str, keep: str | None = None) -> DataFrame:
-    """(q, c, relevant, other, score): the mean of two scores, cosine and distance, each scaled within its query; `keep` names a column for the first.
+# fixed values: scores that have bounds
+BOUNDS = ("score", "other")
+
+
+def firsts(spark: SparkSession, d: str, single: int, hybrid: int) -> tuple[DataFrame, DataFrame]:
+    """(bounds, lists). bounds: for each query the bounds of its cosines and distances, and how many rows are relevant (gold). lists: mode, q, c, relevant,
+    other, score, rank; the first `single` rows of each query by cosine (semantic) and the first `hybrid` by the mean of cosine and distance, each scaled within its query.
 
-    The bounds of a query's scores are an aggregate, combined before its shuffle, and come back with the query. So pairs are scored twice but
-    never brought together by query.
+    Bounds are an aggregate, combined in each block before its shuffle, and come back with the query. So pairs are scored twice but never brought together by query.
     """
-    bounds = semantic(spark, d).groupBy("q").agg(*[f(c).alias(f"{name}_{c}") for c in ("score", "other") for name, f in (("lo", F.min), ("hi", F.max))])
-    both = (minmax("score") + minmax("other")) / 2
-    single = [F.col("score").alias(keep)] if keep else []
-    return semantic(spark, d, bounds).select("q", "c", "relevant", "other", *single, F.round(both, 6).alias("score"))
+
+    def bounded(asked, held, score, other, may, lost):
+        import numpy as np
+        import pyarrow as pa
+
+        gold = (asked["ql"].to_numpy()[:, None] == held["label"].to_numpy()[None, :]) & may
+        out = {"q": asked["q"].to_numpy(), "gold": gold.sum(axis=1)}
+        for name, x, has in (("score", score, may), ("other", other, may & ~lost)):
+            none = ~has.any(axis=1)
+            out[f"lo_{name}"] = pa.array(np.fmin.reduce(np.where(has, x, np.inf), axis=1), mask=none)
+            out[f"hi_{name}"] = pa.array(np.max(np.where(has, x, -np.inf), axis=1), mask=none)  # NaN is greatest
+        return out
+
+    ends = [f"{x}_{name} double" for name in BOUNDS for x in ("lo", "hi")]
+    of_block = met(spark, d, bounded, ", ".join(["q bigint", "gold bigint", *ends]))
+    sums = [F.sum("gold").alias("gold")] + [f(f"{x}_{c}").alias(f"{x}_{c}") for c in BOUNDS for x, f in (("lo", F.min), ("hi", F.max))]
+    bounds = stored(of_block.groupBy("q").agg(*sums), "bounds")
+
+    def found(asked, held, score, other, may, lost):
+        import numpy as np
+        import pyarrow as pa
+
+        scaled = minmax(score, asked["lo_score"], asked["hi_score"]) + np.where(lost, 0.0, minmax(other, asked["lo_other"], asked["hi_other"]))
+        both = settled((scaled / 2).ravel()).reshape(scaled.shape)
+        parts = [(mode, chosen(asked, held, greatest(x, may, k), x, other, lost)) for mode, x, k in (("hybrid", both, hybrid), ("semantic", score, single)) if k]
+        return pa.concat_tables([pa.table({**rows, "mode": pa.array([mode] * len(rows["q"]), pa.string())}) for mode, rows in parts])
+
+    near = met(spark, d, found, PAIR + ", mode string", bounds.drop("gold"))
+    length = F.when(F.col("mode") == "hybrid", hybrid).otherwise(single)
+    n = F.row_number().over(Window.partitionBy("mode", "q").orderBy(F.desc("score"), "c"))
+    return bounds, near.withColumn("rank", n).where(F.col("rank") <= length)
 
 
 @query(f"WITH {HYBRID_SQL} SELECT q, c, round(score, 4) AS score, rank FROM hr WHERE rank <= 6")
 def hybrid_minmax(spark: SparkSession, d: str) -> DataFrame:
-    return ranked(hybrid(spark, d), ["q"], "score", "c", 6).select("q", "c", F.round("score", 4).alias("score"), "rank")
+    return firsts(spark, d, 0, 6)[1].select("q", "c", F.round("score", 4).alias("score"), "rank")
 
 
 @query(
@@ -190,11 +351,8 @@ def hybrid_minmax(spark: SparkSession, d: str) -> DataFrame:
 )
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Precision, recall and reciprocal rank of two modes, averaged over queries."""
-    sem, hyb = semantic(spark, d), hybrid(spark, d)
-    lists = ranked(sem, ["q"], "score", "c", 6).withColumn("mode", F.lit("semantic")).unionByName(
-        ranked(hyb, ["q"], "score", "c", 6).withColumn("mode", F.lit("hybrid"))
-    )
-    gold = sem.groupBy("q").agg(F.count_if("relevant").alias("gold"))
+    bounds, lists = firsts(spark, d, 6, 6)
+    gold = bounds.select("q", "gold")
     each = lists.groupBy("mode", "q").agg(
         F.count_if("relevant").alias("hits"), F.count("*").alias("n"), F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first")
     ).join(gold, "q")

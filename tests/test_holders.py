@@ -51,3 +51,38 @@ def test_no_task_has_the_table(spark, monkeypatch):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert sum(n) == 5 * 499 and max(n) < 0.7 * sum(n)
+
+
+def vector_table(spark, tmp_path):
+    """Vectors with copies, a null and near ones, and equal scores over several blocks; no zeros, which have the cosine 0 here and NaN in SQL."""
+    draw = random.Random(4)
+    some = [[round(draw.uniform(-1, 1), 2) for _ in range(3)] for _ in range(40)]
+    rows = [(i, some[draw.randrange(40)] if i % 3 else [draw.uniform(-1, 1) for _ in range(3)], draw.choice([0, 1, None])) for i in range(700)]
+    rows += [(701, None, 1), (702, [1e-7, 0.0, 0.0], 0), (None, some[0], 1), (800, some[0], 1), (801, some[0], 1)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    return str(tmp_path)
+
+
+def test_vector_queries_keep_ties_over_blocks(spark, monkeypatch, tmp_path):
+    import duckdb
+
+    from sparkquill import catalogue
+
+    d = vector_table(spark, tmp_path)
+    monkeypatch.setattr(search, "HELD", 60)
+    monkeypatch.setattr(search, "AT_ONCE", 100)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{d}/embeddings.parquet/*.parquet'")
+    for name in ("knn_cosine", "hybrid_minmax", "ablation_modes", "retrieval_metrics"):
+        df = catalogue.QUERIES[name](spark, d)
+        want = con.sql(catalogue.SQL[name])
+        got = sorted((tuple(r[c] for c in want.columns) for r in df.collect()), key=repr)
+        assert got == sorted(want.fetchall(), key=repr), name
+
+
+def test_no_pair_is_shuffled_that_no_list_keeps(spark, monkeypatch, tmp_path):
+    """Of all pairs only the first of each block leave its task, so what is shuffled grows with the rows kept and not with the pairs."""
+    d = vector_table(spark, tmp_path)
+    monkeypatch.setattr(search, "HELD", 350)
+    queries, blocks = 9, 4
+    assert search.semantic(spark, d, 10).count() <= queries * blocks * 10
