@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
@@ -44,52 +47,100 @@ BROKEN = re.compile(r"[-\u2010\u2011][\r\n](?=[^\W\d_])")
 PAGE_TABLE = str.maketrans(T.PAGE_FROM, T.PAGE_TO)
 
 
-def with_origins(raw: str, removed: set[int]) -> tuple[str, list[int]]:
-    """The normal form of a page without some of its lines, and the raw place of each of its characters.
+#: Characters of pages that a task works on at once.
+CHARS = 4_000_000
+
+
+@functools.cache
+def page_codes():
+    """(plain form, whether it is white space) of the code points of the basic plane and one for all others, which stay as they are."""
+    import numpy as np
+
+    plain, space = np.arange(0x10000, dtype=np.uint32), np.zeros(0x10001, dtype=bool)
+    for old, new in PAGE_TABLE.items():
+        plain[old] = ord(new) if isinstance(new, str) else new
+    space[[i for i in range(0x10000) if chr(int(plain[i])).isspace()]] = True
+    return plain, space
 
-    The places are one array, and what is left out is taken from it by masks: removed lines, broken words, and all white space but the first
-    of each run inside the text.
+
+def normal_origins(raw: str, removed: set[int]):
+    """(normal form of a page without some of its lines, array of the raw place of each of its characters).
+
+    Characters are an array of code points, and what is left out is taken from it by masks: removed lines, broken words, and all white space but
+    the first of each run inside the text.
     """
     import numpy as np
 
-    ends = np.cumsum([len(line) + 1 for line in raw.split("\n")])
-    gone = np.zeros(len(raw), dtype=bool)
-    for n in removed:
-        if n < len(ends):
-            gone[ends[n - 1] if n else 0 : ends[n]] = True
-    origin = np.flatnonzero(~gone)
-    shown = "".join(raw[a:b] for a, b in runs(origin))
-    whole = np.ones(len(shown), dtype=bool)
-    for m in BROKEN.finditer(shown):
-        whole[m.start() : m.end()] = False
-    origin, chars = origin[whole], np.array(list(shown.translate(PAGE_TABLE)), dtype=object)[whole]
-    space = np.array([c.isspace() for c in chars], dtype=bool)
+    codes = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    shown, origin = raw, np.arange(len(codes), dtype=np.int32)
+    if removed:
+        ends = np.concatenate([np.flatnonzero(codes == 10) + 1, [len(codes)]])
+        gone = np.zeros(len(codes), dtype=bool)
+        for n in removed:
+            if n < len(ends):
+                gone[ends[n - 1] if n else 0 : ends[n]] = True
+        origin = origin[~gone]
+        shown = codes[origin].tobytes().decode("utf-32-le", "surrogatepass")
+    broken = [m.span() for m in BROKEN.finditer(shown)]
+    if broken:
+        whole = np.ones(len(origin), dtype=bool)
+        for lo, hi in broken:
+            whole[lo:hi] = False
+        origin = origin[whole]
+    plain, blank = page_codes()
+    codes = codes[origin]
+    low = np.minimum(codes, 0x10000)
+    space = blank[low]
     inside = np.flatnonzero(~space)
     if not len(inside):
-        return "", []
+        return "", origin[:0]
     keep = ~(space & np.concatenate([[True], space[:-1]]))
     keep[: inside[0]] = keep[inside[-1] + 1 :] = False
-    chars[space] = " "
-    return "".join(chars[keep]), origin[keep].tolist()
+    codes = np.where(space, np.uint32(32), np.where(low < 0x10000, plain[np.minimum(low, 0xFFFF)], codes)).astype(np.uint32)
+    return codes[keep].tobytes().decode("utf-32-le", "surrogatepass"), origin[keep]
 
 
-def runs(places) -> list[tuple[int, int]]:
-    """(first, end) of the stretches of places that follow each other."""
+def with_origins(raw: str, removed: set[int]) -> tuple[str, list[int]]:
+    """As `normal_origins`, places as a list."""
+    text, origin = normal_origins(raw, removed)
+    return text, origin.tolist()
+
+
+PAGE = t.StructType([t.StructField("text", t.StringType()), t.StructField("origin", t.ArrayType(t.IntegerType()))])
+
+
+def few(raw, *more):
+    """Stretches of an Arrow batch's columns that have about CHARS bytes of text."""
     import numpy as np
+    import pyarrow.compute as pc
 
-    cuts = np.flatnonzero(np.diff(places) > 1) + 1
-    return [(int(x[0]), int(x[-1]) + 1) for x in np.split(places, cuts) if len(x)]
+    sums = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(raw), 0), dtype=np.int64))
+    at = 0
+    while at < len(raw):
+        before = sums[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sums, before + CHARS, side="right")))
+        yield [c.slice(at, end - at).to_pylist() for c in (raw, *more)]
+        at = end
 
 
-PAGE = t.StructType([t.StructField("text", t.StringType()), t.StructField("origin", t.ArrayType(t.IntegerType()))])
+@F.arrow_udf(PAGE)
+def page_with_origins(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    import numpy as np
 
+    for batch in columns:
+        for raw, removed in few(*batch):
+            rows = [normal_origins(x or "", set(r or ())) for x, r in zip(raw, removed)]
+            ends = np.cumsum([0, *(len(r[1]) for r in rows)]).astype(np.int32)
+            places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([r[1] for r in rows]), pa.int32()))
+            yield pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), places], ["text", "origin"])
 
-@F.pandas_udf(PAGE)
-def page_with_origins(raw, removed):
-    import pandas as pd
 
-    rows = [with_origins(x or "", set() if r is None else set(r)) for x, r in zip(raw, removed)]
-    return pd.DataFrame({"text": [r[0] for r in rows], "origin": [r[1] for r in rows]})
+@F.arrow_udf(t.StringType())
+def page_form(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """The normal form alone."""
+    for batch in columns:
+        for raw, removed in few(*batch):
+            yield pa.array([normal_origins(x or "", set(r or ()))[0] for x, r in zip(raw, removed)], pa.string())
 
 
 def original_span(origin: Column, start: Column, end: Column) -> Column:
@@ -109,20 +160,30 @@ def normalise_offsets(spark: SparkSession, d: str) -> DataFrame:
     """Normal forms with the raw place of each character; places grow and lie inside the raw text."""
     p = page_with_origins(F.col("text"), F.array().cast("array<int>"))
     rows = read(spark, d, "documents").select("doc_id", "text", p.alias("p"))
-    rising = F.forall(F.sequence(F.lit(1), F.greatest(F.size("p.origin") - 1, F.lit(1))), lambda i: F.coalesce(F.get("p.origin", i) > F.get("p.origin", i - 1), F.lit(True)))
-    inside = rising & (F.size("p.origin") == F.length("p.text")) & (F.coalesce(F.array_max("p.origin"), F.lit(-1)) < F.length("text"))
+    # the place before each is kept as the fold goes, so no second array is made
+    rising = F.aggregate("p.origin", F.lit(-1), lambda before, x: F.when(x > before, x).otherwise(F.lit(2**31 - 1))) < 2**31 - 1
+    inside = rising & (F.size("p.origin") == F.length("p.text")) & (F.coalesce(F.get("p.origin", F.size("p.origin") - 1), F.lit(-1)) < F.length("text"))
     return rows.select("doc_id", F.sha2("p.text", 256).alias("normal"), F.length("p.text").cast("bigint").alias("size"), inside.alias("inside"))
 
 
+#: The characters of the pattern of white space: only a text's ends are looked at for them.
+WHITE = "".join(chr(i) for i in range(0x3001) if re.fullmatch(T.SPACE, chr(i)))
+
+
 def running_lines(pages: DataFrame) -> DataFrame:
     """(doc, page, removed): numbers, from 0, of the first and last lines of pages (doc, page, text) that two or more pages of their document share.
 
     Lines are compared stripped and in small letters; those under four characters and line numbers are never running lines. A page appears
     once for each of its running lines that is first or last, in one sorted array; pages without any, and rows without a document or page, don't.
     """
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), F.lower(T.strip(x)).alias("line"))), lambda x: x["line"] != "")
-    ends = pages.where(F.col("doc").isNotNull() & F.col("page").isNotNull()).select("doc", "page", lines.alias("l")).where(F.size("l") > 0)
-    ends = ends.select("doc", "page", F.explode(F.array_distinct(F.array(F.element_at("l", 1), F.element_at("l", -1)))).alias("x")).select("doc", "page", "x.*")
+    # the page is stripped once as a whole, so that its first and last lines are at its ends; line numbers are counts of the breaks before them
+    kept = pages.where(F.col("doc").isNotNull() & F.col("page").isNotNull()).select("doc", "page", "text", F.ltrim("text", F.lit(WHITE)).alias("rest"))
+    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    lead = F.substring(F.col("text"), F.lit(1), F.length("text") - F.length("rest"))
+    whole = kept.select("doc", "page", breaks(lead).alias("at"), F.rtrim("rest", F.lit(WHITE)).alias("body")).where("body <> ''")
+    line = lambda n: F.lower(F.btrim(F.substring_index("body", "\n", n), F.lit(WHITE))).alias("line")
+    first, last = F.struct(F.col("at"), line(1)), F.struct((F.col("at") + breaks(F.col("body"))).alias("at"), line(-1))
+    ends = whole.select("doc", "page", F.explode(F.array_distinct(F.array(first, last))).alias("x")).select("doc", "page", "x.*")
     ends = ends.where((F.length("line") >= 4) & ~F.col("line").rlike(r"^\d{1,3}$"))
     # least and greatest page: two of them are different pages, and both are combined before the shuffle
     shared = ends.groupBy("doc", "line").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a <> b").select("doc", "line")
@@ -130,9 +191,9 @@ def running_lines(pages: DataFrame) -> DataFrame:
 
 
 def normal_pages(pages: DataFrame) -> DataFrame:
-    """pages (doc, page, text) with their normal form and its origins, running lines left out; each document's page is one row."""
+    """pages (doc, page, text) with `removed`, their running lines, and their normal form without them; each document's page is one row."""
     found = pages.join(running_lines(pages), ["doc", "page"], "left")
-    return found.withColumn("p", page_with_origins(F.col("text"), F.coalesce("removed", F.array().cast("array<int>")))).drop("removed")
+    return found.withColumn("p", F.struct(page_form(F.col("text"), F.coalesce("removed", F.array().cast("array<int>"))).alias("text")))
 
 
 RUNNING_SQL = (
@@ -153,9 +214,7 @@ RUNNING_SQL = (
 def page_running_lines(spark: SparkSession, d: str) -> DataFrame:
     """Documents as the pages of their source: the running lines found, and the normal form without them."""
     pages = read(spark, d, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
-    lines = running_lines(pages).select("page", F.array_join("removed", ",").alias("removed"))
-    rows = normal_pages(pages).select("page", F.sha2("p.text", 256).alias("normal"))
-    return rows.join(lines, "page", "left").select("page", F.coalesce("removed", F.lit("")).alias("removed"), "normal")
+    return normal_pages(pages).select("page", F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"), F.sha2("p.text", 256).alias("normal"))
 
 
 # fixed values: pages, the lines removed, a span of the normal form, and the raw span
