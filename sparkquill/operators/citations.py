@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkquill.sources.tables import dealt, dealt_sql, read
+from sparkquill.sources.tables import dealt, dealt_sql, read, stored
 
 QUERIES, SQL = {}, {}
 
@@ -134,12 +134,19 @@ def extract(pages: DataFrame, id_col: str = "doc_id", page_col: str = "page", te
     return found.withColumn("n", F.row_number().over(Window.partitionBy(id_col).orderBy(page_col, "start")))
 
 
+#: Beginnings of guesses up to which a text is searched for each; for more, all its runs are made.
+FEW = 64
+
+
 def antecedents(cites: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Adds root (n of the full citation meant; null if unresolved or full).
 
     Short and supra forms go to the newest full citation before them whose name or text holds their name, else to the only
     one with their volume and reporter. An id. goes to the last resolved citation before it.
+
+    Citations are written once, as several joins read them: pages are gone over a single time.
     """
+    cites = stored(cites, "cites")
     full = cites.where("kind = 'full'").select(
         F.col(id_col).alias("d"), F.col("n").alias("m"), F.col("name").alias("f_name"), F.col("raw_text").alias("f_raw"), F.col("volume").alias("f_vol"), F.col("reporter").alias("f_rep")
     )
@@ -147,8 +154,11 @@ def antecedents(cites: DataFrame, id_col: str = "doc_id") -> DataFrame:
     # a name's first letters are a run of the text that holds it: the key of an equi-join
     guesses = back.where(F.coalesce("guess", F.lit("")) != "").withColumn("run", F.substring("guess", 1, 3))
     held = F.concat(F.lower(F.coalesce("f_name", F.lit(""))), F.lit("\n"), F.lower("f_raw"))
+    # only the runs that a document's guesses begin with are taken from its texts
+    begun = guesses.groupBy(F.col("b_d").alias("d")).agg(F.collect_set("run").alias("begun"))
     runs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("held")), lambda i: F.array(*[F.substring(F.col("held"), i, F.lit(k)) for k in (1, 2, 3)]))))
-    named = full.withColumn("held", held).select("d", "m", "f_name", "f_raw", F.explode(runs).alias("run"))
+    met = F.when(F.size("begun") <= FEW, F.filter("begun", lambda r: F.contains(F.col("held"), r))).otherwise(F.array_intersect(runs, "begun"))
+    named = full.withColumn("held", held).join(begun, "d").select("d", "m", "f_name", "f_raw", F.explode(met).alias("run"))
     holds = F.contains(F.lower(F.coalesce("f_name", F.lit(""))), F.col("guess")) | F.contains(F.lower("f_raw"), F.col("guess"))
     on = (F.col("b_d") == F.col("d")) & (F.col("m") < F.col("b_n"))
     by_name = guesses.join(named.withColumnRenamed("run", "f_run"), on & (F.col("run") == F.col("f_run"))).where(holds).groupBy("b_d", "b_n").agg(F.max("m").alias("by_name"))

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
+from pyspark.sql.window import Window
 
-from sparkquill.operators.citations import antecedents, excluded_pages, extract
-from sparkquill.operators.passages import running_lines, with_origins
+from sparkquill.operators.citations import CITED, antecedents, around, excluded_pages, find
+from sparkquill.operators.passages import normal_origins, running_lines
 from sparkquill.sources.tables import read
 
 QUERIES, SQL = {}, {}
@@ -47,7 +48,7 @@ def runs_of(origin: list[int]) -> list[dict]:
 def page_runs(raw, removed):
     import pandas as pd
 
-    rows = [with_origins(x or "", set() if r is None else set(r)) for x, r in zip(raw, removed)]
+    rows = [normal_origins(x or "", set() if r is None else set(r)) for x, r in zip(raw, removed)]
     return pd.DataFrame({"normal": [r[0] for r in rows], "runs": [runs_of(r[1]) for r in rows]})
 
 
@@ -76,24 +77,46 @@ def normal_with_runs(pages: DataFrame) -> DataFrame:
     return found.select(*pages.columns, "p.*")
 
 
+RAW = "raw_start int, raw_end int, raw_cited string, raw_context_start int, raw_context_end int, raw_quote_start int, raw_quote_end int, raw_quote string"
+
+
+def raw_of(origin, start: int | None, end: int | None) -> tuple[int | None, int | None]:
+    """As `raw_span`, from the array of origins."""
+    if start is None or not 0 <= start <= end <= len(origin):
+        return None, None
+    first = int(origin[start]) if start < len(origin) else 0
+    return (first, int(origin[end - 1]) + 1) if end > start else (first, first)
+
+
 def cited_pages(pages: DataFrame) -> DataFrame:
     """Citations of pages (doc, page, text) as `extract` finds them in normal forms without running lines and tables of authorities, with their antecedents.
 
-    raw_start, raw_end, raw_context_start and raw_context_end are characters of the raw page, raw_cited what stands there. Rows without a document or
-    page, null texts and empty tables have no citations; each document's page is one row.
+    raw_start, raw_end, raw_context_start and raw_context_end are characters of the raw page, raw_cited and raw_quote what stands there. Rows without a document or
+    page, null texts and empty tables have no citations; each document's page is one row. A page is gone over once: its normal form, its citations and
+    their raw spans are made by one task, and neither form of a page is shuffled for them.
     """
-    named = pages.where(F.col("doc").isNotNull() & F.col("page").isNotNull())
+    named = pages.where(F.col("doc").isNotNull() & F.col("page").isNotNull()).select("doc", "page", "text")
     gone = excluded_pages(named, "doc").where("excluded").select("doc", "page").distinct()
-    normal = normal_with_runs(named.join(gone, ["doc", "page"], "left_anti"))
-    found = antecedents(extract(normal.select("doc", "page", "normal"), "doc", "page", "normal", skip_tables=False), "doc")
-    back = found.join(normal.select("doc", "page", F.col("text").alias("raw_page"), "runs"), ["doc", "page"])
-    span, context = raw_span(F.col("runs"), F.col("start"), F.col("end")), raw_span(F.col("runs"), F.col("context_start"), F.col("context_end"))
-    quote = F.when(F.col("quote_start").isNotNull(), raw_span(F.col("runs"), F.col("quote_start"), F.col("quote_end")))
-    back = back.select(*found.columns, "raw_page", span.alias("span"), context.alias("around"), quote.alias("quoted"))
-    return back.select(
-        *found.columns, F.col("span.lo").alias("raw_start"), F.col("span.hi").alias("raw_end"), F.expr("substring(raw_page, span.lo + 1, span.hi - span.lo)").alias("raw_cited"),
-        F.col("around.lo").alias("raw_context_start"), F.col("around.hi").alias("raw_context_end"), F.col("quoted.lo").alias("raw_quote_start"), F.col("quoted.hi").alias("raw_quote_end"),
-    )
+    rows = named.join(gone, ["doc", "page"], "left_anti").join(running_lines(named), ["doc", "page"], "left")
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("doc", "page")]
+    fields, raw_fields = ([x.split()[0] for x in names.split(", ")] for names in (CITED, RAW))
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for doc, page, raw, removed in pdf[["doc", "page", "text", "removed"]].itertuples(index=False):
+                text, origin = normal_origins(raw or "", set() if removed is None else set(removed))
+                for c in around(text, find(text)):
+                    spans = [raw_of(origin, c[f"{x}start"], c[f"{x}end"]) for x in ("", "context_", "quote_")]
+                    shown = [None if lo is None else raw[lo:hi] for lo, hi in spans]
+                    out.append((doc, page, *(c[f] for f in fields), *spans[0], shown[0], *spans[1], *spans[2], shown[2]))
+            frame = pd.DataFrame(out, columns=["doc", "page", *fields, *raw_fields])
+            yield frame.astype({f: "Int32" for f in ("year", "quote_start", "quote_end", *(x for x in raw_fields if x not in ("raw_cited", "raw_quote")))})
+
+    found = rows.mapInPandas(run, f"doc {kinds[0]}, page {kinds[1]}, {CITED}, {RAW}")
+    return antecedents(found.withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("page", "start"))), "doc")
 
 
 #: Pages of a brief.
@@ -125,7 +148,5 @@ def brief_pages(spark: SparkSession, d: str) -> DataFrame:
 )
 def citation_raw_spans(spark: SparkSession, d: str) -> DataFrame:
     """Citations of all pages, with the raw spans of citations, contexts and quotations, and the citation that each refers to."""
-    pages = brief_pages(spark, d)
-    found = cited_pages(pages).join(pages.withColumnRenamed("text", "raw_text_of_page"), ["doc", "page"])
-    quoted = F.expr("substring(raw_text_of_page, raw_quote_start + 1, raw_quote_end - raw_quote_start)")
-    return found.select("doc", "page", "kind", "raw_start", "raw_cited", "raw_context_start", "raw_context_end", quoted.alias("quoted"), "n", "root")
+    found = cited_pages(brief_pages(spark, d))
+    return found.select("doc", "page", "kind", "raw_start", "raw_cited", "raw_context_start", "raw_context_end", F.col("raw_quote").alias("quoted"), "n", "root")

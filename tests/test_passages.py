@@ -146,3 +146,47 @@ def test_running_lines(spark):
     assert passages.running_lines(pages.limit(0)).count() == 0
     kept = {(r["doc"], r["page"]): r["p"]["text"] for r in passages.normal_pages(pages.where("page <> 3")).collect()}
     assert kept["d", 1] == "body 12" and kept["d", 9] == "" and kept["e", 1] == "HEAD one x" and kept["d", 2] == "other foot"
+
+
+def test_first_and_last_lines_are_counted_from_the_page(spark):
+    from sparkquill.operators.offsets import cited_pages
+
+    pages = [("d", 1, " \n\t\n  Head Line \nbody\n\n Foot\u00a0line\n\n"), ("d", 2, "head line\nmore\nFOOT LINE "), ("d", 3, "only line"), ("d", 4, None), ("d", 5, " \n "), ("d", 6, "head line"), (None, 1, "head line")]
+    df = spark.createDataFrame(pages, "doc string, page int, text string")
+    got = {(r["doc"], r["page"]): r["removed"] for r in passages.running_lines(df).collect()}
+    assert got == {("d", 1): [2], ("d", 2): [0], ("d", 6): [0]}
+    assert cited_pages(df).count() == 0
+
+
+def test_pages_are_worked_on_in_stretches(monkeypatch, spark):
+    """A batch of long pages is taken in stretches of a bounded length, with a row for each page; a page's form needs no objects of single characters."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = ["a  b" * 50, None, "", "c\n" * 400, "d"] * 20
+    monkeypatch.setattr(passages, "CHARS", 500)
+    parts = [x for x, _ in passages.few(pa.array(texts), pa.array([None] * len(texts), pa.list_(pa.int32())))]
+    assert [t for p in parts for t in p] == texts and len(parts) > 20
+    tracemalloc.start()
+    passages.normal_origins("word  word\n" * 20_000, {1, 3})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45 * 220_000
+
+
+def test_citations_are_read_once(spark, tmp_path):
+    """Pages are gone over a single time, whatever number of joins the antecedents take."""
+    from sparkquill.operators.citations import antecedents, extract
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(x):
+        seen.add(1)
+        return x
+
+    pages = spark.createDataFrame([(i, 1, "Roe v. Wade, 410 U.S. 113 (1973). Roe, 410 U.S. at 120. Id. at 121.") for i in range(40)], "doc_id int, page int, text string").localCheckpoint()
+    found = antecedents(extract(pages.withColumn("text", told("text")), skip_tables=False)).collect()
+    assert len(found) == 120 and {(r["kind"], r["root"]) for r in found} == {("full", None), ("short", 1), ("id", 1)}
+    assert seen.value == 40
