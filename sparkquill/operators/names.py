@@ -2,14 +2,15 @@
 
 Names are compared in their plain forms; rows of one form are one class. With a ratio of T or more, the matched letters M of two names of |x| and |y| letters are
 at least T (|x| + |y|) / 2, and they stand in at most |x| + |y| - 2M + 1 blocks, since between two blocks a letter is unmatched. So the names share
-at least M - (q - 1) (blocks) runs of q letters, counted as often as they stand; from that follow the lengths that can meet, and how many of a name's
-runs, the rarest first, have to be looked at. Pairs that share one of them are compared letter by letter.
+at least M - (q - 1) (blocks) runs of q letters, counted as often as they stand, and no more letters than |x| + |y| - 2M are without a partner. An index of runs
+parts names of a few words badly, so all pairs are held against the bound on letters, by their bits, in blocks.
 """
 
 from __future__ import annotations
 
 import difflib
 import math
+import zlib
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,8 @@ from sparkquill.sources.settings import settings
 from sparkquill.sources.tables import read, stored
 
 QUERIES, SQL = {}, {}
-#: A run that one name in COMMON has is common and looked at last; there are few of these.
-COMMON = 1000
+#: Names of a block, and words of 64 bits that hold a name's letters.
+HELD, WORDS = 4096, 2
 
 
 def query(sql: str | None = None):
@@ -50,11 +51,6 @@ def shared(x: int, y: int, least: float, q: int) -> int:
     return m - (q - 1) * (x + y - 2 * m + 1)
 
 
-def run_length(x: int, least: float) -> int:
-    """Two letters where every partner shares such a run, else one."""
-    return 2 if all(shared(x, y, least, 2) >= 1 for y in lengths(x, least)) else 1
-
-
 def numbered(name: str, q: int) -> list[str]:
     """The runs of q letters of a name, with a number for those that repeat, and how long they are."""
     seen: Counter = Counter()
@@ -66,15 +62,55 @@ def numbered(name: str, q: int) -> list[str]:
     return out
 
 
-def keys(name: str, least: float, common: dict[str, int]) -> list[str]:
-    """The runs to be looked at, of both lengths that partners may go by."""
-    out: set[str] = set()
-    for q in {min(run_length(len(name), least), run_length(y, least)) for y in lengths(len(name), least)}:
-        runs = sorted(numbered(name, q), key=lambda g: (common.get(g, 0), g))
-        partners = [y for y in lengths(len(name), least) if min(run_length(len(name), least), run_length(y, least)) == q]
-        need = max(1, min(shared(len(name), y, least, q) for y in partners))
-        out.update(runs[: len(runs) - need + 1])
-    return sorted(out)
+def counted(names: list[str]):
+    """(lengths, counts of letters as bits of WORDS words): a letter's nth occurrence is a bit by a hash, so that the bits two names differ in are no more than the letters."""
+    import numpy as np
+
+    bits = np.zeros((len(names), WORDS), dtype=np.uint64)
+    for i, name in enumerate(names):
+        for g in numbered(name, 1):
+            h = zlib.crc32(g.encode()) % (64 * WORDS)
+            bits[i, h >> 6] ^= np.uint64(1) << np.uint64(h & 63)
+    return np.array([len(x) for x in names], dtype=np.int64), bits
+
+
+def common_letters(x: list[str], y: list[str]) -> list[int]:
+    """The longest common subsequence of each pair, by bits of a number."""
+    out = []
+    for a, b in zip(x, y):
+        at: dict[str, int] = {}
+        for i, c in enumerate(a):
+            at[c] = at.get(c, 0) | 1 << i
+        full = (1 << len(a)) - 1
+        v = full
+        for c in b:
+            u = v & at.get(c, 0)
+            v = ((v + u) | (v - u)) & full
+        out.append(len(a) - v.bit_count())
+    return out
+
+
+def pairs_of(left: list[str], right: list[str], least: float, same: bool) -> list[tuple[str, str, float]]:
+    """(a, b, ratio), a before b, of two blocks of names (of one, if `same`): all pairs of a ratio of `least` or more.
+
+    What doesn't match in two names is at least the letters that one has more often than the other, then what their longest common
+    subsequence lacks; both bounds hold for any matching blocks, and only pairs that meet both are matched.
+    """
+    import numpy as np
+
+    (n, x), (m, y), out = counted(left), counted(right), []
+    for i, name in enumerate(left):
+        apart = np.bitwise_count(x[i] ^ y).sum(axis=1, dtype=np.int64)
+        need = np.ceil(least * (n[i] + m) / 2 - 1e-9).astype(np.int64)
+        near = [right[j] for j in np.flatnonzero(apart <= n[i] + m - 2 * need)]
+        near = [o for o in near if (name < o if same else name != o)]
+        for o, k in zip(near, common_letters([name] * len(near), near)):
+            if k >= matched(len(name), len(o), least):
+                a, b = min(name, o), max(name, o)
+                ratio = difflib.SequenceMatcher(None, a, b).ratio()
+                if ratio >= least:
+                    out.append((a, b, ratio))
+    return out
 
 
 def classes(rows: DataFrame, key: str, name: str) -> DataFrame:
@@ -90,50 +126,29 @@ def classes(rows: DataFrame, key: str, name: str) -> DataFrame:
 def similar(rows: DataFrame, key: str, name: str, least: float | None = None) -> DataFrame:
     """(a, b, ratio), a before b: all pairs of classes of names of a ratio of `least` or more; a and b are forms.
 
-    The ratio is that of the first form against the second, as the matcher isn't the same both ways. Runs that many names have are known by an exact
-    count and come last, so that they are looked at only where a name has no others.
+    The ratio is that of the first form against the second, as the matcher isn't the same both ways. All blocks of names meet in pairs, each in a task of
+    its own, so that a task holds two blocks; the work grows with the square of the names.
     """
-    import pandas as pd
-
     least = settings().name_similarity if least is None else least
     if not 0.67 <= least <= 1:
         raise ValueError("the bounds hold for ratios from 0.67 on")
-    spark = rows.sparkSession
     forms = stored(classes(rows, key, name).select("form"), "name-forms")
-    total = forms.count()
-
-    def runs(pdfs):
-        for pdf in pdfs:
-            n = Counter(g for f in pdf["form"] for q in (1, 2) for g in numbered(f, q))
-            yield pd.DataFrame({"g": list(n), "n": list(n.values())})
-
-    # each form has each numbered run once: no more than COMMON times a form's runs are this common
-    often = forms.mapInPandas(runs, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") * COMMON >= total)
-    sent = spark.sparkContext.broadcast({r[0]: r[1] for r in often.collect()})
-
-    def look(pdfs):
-        for pdf in pdfs:
-            found = [(f, g, numbered(f, 2)) for f in pdf["form"] for g in keys(f, least, sent.value)]
-            yield pd.DataFrame(found, columns=["form", "g", "twos"])
-
-    looked = stored(forms.mapInPandas(look, "form string, g string, twos array<string>"), "name-keys")
-    left, right = looked.select(F.col("form").alias("a"), "g", F.col("twos").alias("x")), looked.select(F.col("form").alias("b"), "g", F.col("twos").alias("y"))
-    both = F.length("a") + F.length("b")
-    m = F.ceil(both * least / 2 - 1e-9)
-    fits = m <= F.least(F.length("a"), F.length("b"))
-    # all the runs of two letters that both have, before any letters are matched
-    enough = F.size(F.array_intersect("x", "y")) >= m - (both - 2 * m + 1)
-    pairs = left.join(right, "g").where((F.col("a") < F.col("b")) & fits & enough).select("a", "b").distinct()
-
-    @F.pandas_udf("double")
-    def ratio(a, b):
-        out = []
-        for x, y in zip(a, b):
-            m = difflib.SequenceMatcher(None, x, y)
-            out.append(m.ratio() if m.quick_ratio() >= least else 0.0)
-        return pd.Series(out)
-
-    return pairs.withColumn("ratio", ratio("a", "b")).where(F.col("ratio") >= least)
+    m = max(1, -(-forms.count() // HELD))
+    # a pair of blocks i <= j meets once; pairs within a block are taken where a < b
+    block = F.pmod(F.xxhash64("form"), F.lit(m)).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    dealt = forms.select("form", block.alias("own"), each.alias("other"))
+    left = dealt.where("own <= other").select("form", F.col("own").alias("i"), F.col("other").alias("j"))
+    right = dealt.where("other <= own").select("form", F.col("other").alias("i"), F.col("own").alias("j"))
+
+    def run(left, right):
+        import pyarrow as pa
+
+        found = pairs_of(left["form"].to_pylist(), right["form"].to_pylist(), least, bool(len(left)) and left["i"][0].as_py() == left["j"][0].as_py())
+        return pa.table({n: pa.array([p[k] for p in found], kind) for k, (n, kind) in enumerate((("a", pa.string()), ("b", pa.string()), ("ratio", pa.float64())))})
+
+    deal = lambda df: df.repartition(min(m * (m + 1), 4096), "i", "j").groupBy("i", "j")
+    return deal(left).cogroup(deal(right)).applyInArrow(run, "a string, b string, ratio double")
 
 
 def titled(spark: SparkSession, d: str) -> DataFrame:

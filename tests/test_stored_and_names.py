@@ -99,3 +99,26 @@ def test_links_of_all_documents(spark):
         mine = [v for p, v in pairs.items() if f in p]
         assert (rows[f].links, rows[f].best) == (len(mine), max(mine, default=None))
         assert rows[f].class_id == min(i for i, g in named if g == f) and rows[f].n == sum(g == f for _, g in named)
+
+
+def test_names_of_a_block_are_held_against_each_other_by_letters(monkeypatch):
+    """Only pairs that the letters and the longest common subsequence allow are matched; all others would take a second for each few thousand."""
+    draw = random.Random(8)
+    words = ["report", "annual", "of", "the", "board", "minutes", "summary", "letter", "draft", "final", "case", "notes"]
+    some = sorted({" ".join(draw.choice(words) for _ in range(4))[:24].strip() for _ in range(600)})
+    calls = []
+    real = difflib.SequenceMatcher
+    monkeypatch.setattr(names.difflib, "SequenceMatcher", lambda *a: calls.append(1) or real(*a))
+    got = {(a, b): r for a, b, r in names.pairs_of(some, some, 0.8, True)}
+    monkeypatch.undo()
+    assert got == brute(some, 0.8) and len(calls) < len(some) ** 2 / 40
+    half = len(some) // 2
+    assert {p[:2] for p in names.pairs_of(some[half:], some[:half], 0.8, False)} == {p for p in got if p[0] < some[half] <= p[1]}
+
+
+def test_names_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(names, "HELD", 20)
+    draw = random.Random(9)
+    some = sorted({"".join(draw.choice("abcd") for _ in range(draw.randint(3, 9))) for _ in range(110)})
+    df = spark.createDataFrame(list(enumerate(some)), "id int, name string")
+    assert {(r.a, r.b): r.ratio for r in names.similar(df, "id", "name", 0.8).collect()} == brute(some, 0.8)
