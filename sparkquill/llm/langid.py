@@ -228,14 +228,17 @@ def keep_identified(
     decides nothing. Null ids, repeated rows and other columns, whatever their names, are passed on; an empty table gives none.
     """
     network = train(docs, id_col, text_col, lang_col)
-    # the text stands beside the packed row, as it is what the tasks read
-    rows = packed(docs, __text=F.col(f"`{text_col}`"))
+    rows, nth = packed(docs), docs.columns.index(text_col)
 
     def run(batches):
         import pyarrow as pa
 
-        for part in text_chunks(batches, 1 << 20):
+        # the text is read inside the packed row, so that it crosses to the task once
+        beside = (pa.RecordBatch.from_arrays([b.column(0), b.column(0).field(nth)], ["doc", "text"]) for b in batches)
+        for part in text_chunks(beside, 1 << 20):
             langs, scores = answers(network, part.column(1))
-            yield part.select([0]).filter(pa.array((langs != UNKNOWN) & (scores >= least)))
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array((langs != UNKNOWN) & (scores >= least)))], ["__doc"])
+        # a worker serves other stages too, which shouldn't find this one's buffers
+        pa.default_memory_pool().release_unused()
 
     return unpacked(rows.mapInArrow(run, T.StructType([rows.schema[0]])))

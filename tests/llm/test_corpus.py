@@ -423,3 +423,16 @@ def test_minimum_cut_against_every_labelling():
 
         least = min(cost(side) for side in itertools.product([False, True], repeat=n))
         assert abs(cost(html_extract.minimum_cut(costs, edges)) - least) < 1e-6
+
+
+def test_identified_rows_cross_to_tasks_once(spark):
+    """The text isn't sent beside the row that holds it; rows with texts of any length, null ones and clashing names are as they were."""
+    docs = spark.createDataFrame([(i, t, g, "s", i, *CLASHES) for i, t, g in texts()], SCHEMA)
+    kept = langid.keep_identified(docs, least=0.0)
+    plan = kept._jdf.queryExecution().analyzed()
+    while plan.nodeName() != "MapInArrow":
+        plan = plan.children().head()
+    assert plan.children().head().output().size() == 1
+    told = {r.doc_id for r in langid.predict(docs, langid.train(docs)).where("lang_pred <> 'und'").collect()}
+    want = sorted((str(r) for r in docs.collect() if r.doc_id in told))
+    assert sorted(map(str, kept.collect())) == want
