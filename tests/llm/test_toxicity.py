@@ -121,3 +121,24 @@ def test_nothing_to_learn(spark, given, score):
     docs = spark.createDataFrame([(1, "a b", "en"), (2, "c d", "en"), (3, None, None)], "doc_id bigint, text string, lang string")
     got = toxicity.score_toxicity(docs, spark.createDataFrame(given, "doc_id bigint, toxic int")).collect()
     assert len(got) == 3 and {r.score for r in got} == {score}
+
+
+def test_words_and_thresholds_come_from_all_labelled_texts(spark, monkeypatch):
+    """With a sample of 20 texts, what only the others say is learned: a language's words, its threshold, and a toxic word; parts in any order give the same."""
+    monkeypatch.setattr(toxicity, "TEXTS_EACH", 10)
+    monkeypatch.setattr(toxicity, "TOGETHER", 500)
+    draw = np.random.default_rng(4)
+    words = np.array("rain stone green light paper river under seven little house".split())
+    said = [" ".join(draw.choice(words, 12)) + f" {'grumbix' if k % 4 == 0 else 'flower'} g{k % 2}" for k in range(1500)]
+    docs = spark.createDataFrame([(k, t, f"g{k % 2}") for k, t in enumerate(said)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(1500)], "doc_id bigint, toxic int")
+    seen = []
+    real = toxicity.Model.__init__
+    monkeypatch.setattr(toxicity.Model, "__init__", lambda self, nets, counts, tallies: seen.append((counts, tallies)) or real(self, nets, counts, tallies))
+    models = [toxicity.train(d, labels) for d in (docs.repartition(3), docs.repartition(7))]
+    known = [r[0] for r in docs.where(~toxicity.held_out("doc_id")).select("doc_id").collect()]
+    counts, tallies = seen[0]
+    assert {g: int(c.sum()) for g, c in counts.items()} == {g: 14 * sum(k % 2 == int(g[1]) for k in known) for g in ("g0", "g1")}
+    assert sum(t[2] for t in tallies) == len(known) and sum(t[3] for t in tallies) == sum(k % 4 == 0 for k in known)
+    got = [m.scores(pa.array(said)) for m in models]
+    assert (got[0] == got[1]).all() and ((got[0] >= 0.5) == (np.arange(1500) % 4 == 0)).mean() > 0.99
