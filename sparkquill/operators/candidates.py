@@ -6,9 +6,10 @@ then by place. Paragraphs that share nothing fill a list up, the first of the so
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from sparkquill.functions import text as T
@@ -114,12 +115,23 @@ def semantic_candidates(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT doc_id, sha256(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '{T.SPACE_SQL}+', ' ', 'g'))) AS form FROM documents""")
 def citation_forms(spark: SparkSession, d: str) -> DataFrame:
     """Texts as citations are compared: casefolded, with single spaces."""
-    return read(spark, d, "documents").select("doc_id", F.sha2(casefolded(F.col("text")), 256).alias("form"))
+    return form_digests(read(spark, d, "documents").select("doc_id", "text"))
+
+
+def form_digests(rows: DataFrame) -> DataFrame:
+    """(key, form) of rows (key, text): the digest of each casefolded text. A task holds one text at a time besides its batch, and sends digests on only."""
+
+    def digest(text):
+        return None if text is None else hashlib.sha256(" ".join(text.casefold().split()).encode()).hexdigest()
+
+    def run(batches):
+        import pyarrow as pa
 
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(x.as_py()) for x in batch.column(1)], pa.string())], names)
 
-@F.pandas_udf(StringType())
-def casefolded(text):
-    return text.map(lambda x: " ".join(x.casefold().split()), na_action="ignore")
+    names = [rows.columns[0], "form"]
+    return rows.mapInArrow(run, f"`{names[0]}` {rows.schema[0].dataType.simpleString()}, form string")
 
 
 def matching(citations: DataFrame, found: DataFrame, check: Column, wanted: Column) -> DataFrame:

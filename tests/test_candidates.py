@@ -75,3 +75,13 @@ def test_closing_rows(spark):
     assert sorted((r.citation_id, r.check, r.verdict, r.note) for r in C.closing_rows(rows).collect()) == [
         (1, "proposition", "UNVERIFIABLE", "R"), (1, "quote", "SOURCE_UNAVAILABLE", None), (2, "proposition", "UNVERIFIABLE", "R"), (3, "proposition", "UNVERIFIABLE", None)
     ]
+
+
+def test_forms_are_hashed_where_they_are_made(spark):
+    """Digests of casefolded texts, null ones too; whole texts don't come back from the tasks' Python."""
+    import hashlib
+
+    given = [(1, "Straße  X\n"), (2, None), (3, ""), (4, "a" * 100_000), (None, "x")]
+    got = C.form_digests(spark.createDataFrame(given, "k int, text string")).collect()
+    assert [(r.k, r.form) for r in got] == [(k, t if t is None else hashlib.sha256(" ".join(t.casefold().split()).encode()).hexdigest()) for k, t in given]
+    assert "ArrowEvalPython" not in C.citation_forms(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
