@@ -32,8 +32,8 @@ CHUNK, STEP = 4096, 0.01
 NAMES = ("embed", "filters", "bias", "out", "base")
 #: Toxic texts of a language that weigh as much as the threshold of all languages, and texts from which on a language has its own.
 PRIOR, LEAST = 20, 20
-#: Words answered at once.
-AT_ONCE = 1 << 16
+#: Words answered at once, and texts of the sample whose words are numbered at once.
+AT_ONCE, TOGETHER_READ = 1 << 16, 256
 
 
 def words_of(texts):
@@ -209,36 +209,43 @@ class Learner:
         self.weight = {1: (0.5 / max(1e-9, share)) ** 0.5, 0: (0.5 / max(1e-9, 1 - share)) ** 0.5}
 
     def learn(self, texts, y) -> None:
-        """One step, by a few texts."""
+        """One step, by a few texts, whose words are answered together."""
         import numpy as np
 
         net, grads = self.net, {k: np.zeros_like(v) for k, v in self.mean.items()}
-        for (buckets, first, words, _), label in zip(texts, y):
-            top, place = net.answers(words, np.array([0, len(words)]), buckets, first)
-            hidden = np.maximum(top[0] + net.bias, 0)
-            p = 1 / (1 + np.exp(-np.clip(hidden @ net.out + net.base[0], -30, 30)))
-            if abs(p - label) < SETTLED:
-                continue
-            d = self.weight[int(label)] * (p - label) / len(texts)
-            grads["out"] += d * hidden
-            grads["base"] += d
-            down = d * net.out * (hidden > 0)
-            grads["bias"] += down
-            k, j = np.nonzero((net.mask[:, 0] > 0).T & (down != 0)[:, None] & (place[0][:, None] + np.arange(WIDEST) < len(words)) & (place[0] >= 0)[:, None])
-            if not len(k):
-                continue
-            after, w = np.append(first, len(buckets)), words[place[0][k] + j]
+        ends = np.cumsum([len(t[2]) for t in texts])
+        before = [np.cumsum([0, *map(len, column)])[:-1] for column in ([t[0] for t in texts], [t[1] for t in texts])]
+        buckets = np.concatenate([t[0] for t in texts])
+        first, words = (np.concatenate([t[k] + n for t, n in zip(texts, before[k - 1])]) for k in (1, 2))
+        top, place = net.answers(words, np.append(0, ends), buckets, first)
+        hidden = np.maximum(top + net.bias, 0)
+        error = 1 / (1 + np.exp(-np.clip(hidden @ net.out + net.base[0], -30, 30))) - y
+        d = np.where(np.abs(error) < SETTLED, 0, np.where(y == 1, self.weight[1], self.weight[0]) * error / len(texts)).astype(np.float32)
+        down = d[:, None] * net.out * (hidden > 0)
+        grads["out"], grads["base"], grads["bias"] = d @ hidden, grads["base"] + d.sum(), down.sum(axis=0)
+        inside = (place[:, :, None] + np.arange(WIDEST) < ends[:, None, None]) & (place >= 0)[:, :, None]
+        t, k, j = np.nonzero((net.mask[:, 0] > 0).T & (down != 0)[:, :, None] & inside)
+        if len(t):
+            after, w = np.append(first, len(buckets)), words[place[t, k] + j]
             n = after[w + 1] - after[w]
             starts = np.cumsum(n) - n
             own = buckets[np.repeat(after[w] - starts, n) + np.arange(n.sum())]
-            grads["filters"][j, :, k] += down[k, None] * np.add.reduceat(net.embed[own], starts, axis=0) / n[:, None]
-            np.add.at(grads["embed"], own, np.repeat((down[k] / n)[:, None] * net.filters[j, :, k], n, axis=0))
+            np.add.at(grads["filters"], (j, slice(None), k), down[t, k, None] * np.add.reduceat(net.embed[own], starts, axis=0) / n[:, None])
+            shares = np.repeat((down[t, k] / n)[:, None] * net.filters[j, :, k], n, axis=0).astype(np.float32)
+            np.add.at(grads["embed"].reshape(-1), (own[:, None] * EMBED + np.arange(EMBED)).ravel(), shares.ravel())
         self.step += 1
         for k, g in grads.items():
-            self.mean[k] += 0.1 * (g - self.mean[k])
-            self.square[k] += 0.001 * (g**2 - self.square[k])
-            change = self.mean[k] / (1 - 0.9**self.step) / (np.sqrt(self.square[k] / (1 - 0.999**self.step)) + 1e-8)
-            setattr(net, k, (getattr(net, k) - self.rate * change).astype(np.float32))
+            mean, square = self.mean[k], self.square[k]
+            mean *= 0.9
+            square *= 0.999
+            square += 0.001 * g * g
+            g *= 0.1
+            mean += g
+            change = np.sqrt(square / (1 - 0.999**self.step))
+            change += 1e-8
+            np.divide(mean, change, out=change)
+            change *= self.rate / (1 - 0.9**self.step)
+            setattr(net, k, getattr(net, k) - change)
 
 
 def numbered(texts):
@@ -371,10 +378,45 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_
 
 
 def each_text(texts):
-    """(buckets, first parts, word numbers, whole words' buckets) of each text of an Arrow array."""
-    for i in range(len(texts)):
-        numbers, _, buckets, first, whole = numbered(texts.slice(i, 1))
-        yield buckets, first, numbers, whole
+    """(buckets, first parts, word numbers, whole words' buckets) of each text of an Arrow array, whose words are numbered together."""
+    import numpy as np
+
+    numbers, offsets, buckets, first, whole = numbered(texts)
+    after = np.append(first, len(buckets)).astype(np.int64)
+    for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        known, words = np.unique(numbers[lo:hi], return_inverse=True)
+        n = after[known + 1] - after[known]
+        starts = np.cumsum(n) - n
+        yield buckets[np.repeat(after[known] - starts, n) + np.arange(n.sum())], starts, words, whole[known]
+
+
+def begun_with(spark: SparkSession, few: list[tuple]) -> list[Network]:
+    """The networks fitted to a sample (label, language, words, fold), each in a task of its own, without the texts of its fold."""
+    sent = spark.sparkContext.broadcast(few)
+
+    def run(batches):
+        import pickle
+
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                own = [r for r in sent.value if r[3] != k]
+                texts = [t for at in range(0, len(own), TOGETHER_READ) for t in each_text(pa.array([r[2] for r in own[at : at + TOGETHER_READ]]))]
+                net = Network().fit(texts, np.array([float(r[0]) for r in own])) if own else Network()
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([pickle.dumps(net)], pa.binary())], ["k", "net"])
+
+    import pickle
+
+    found = spark.range(0, FOLDS, 1, FOLDS).mapInArrow(run, "k bigint, net binary").collect()  # FOLDS networks
+    return [pickle.loads(bytes(r["net"])) for r in sorted(found, key=lambda r: r["k"])]
+
+
+def in_parts(rows: DataFrame, parts: int) -> DataFrame:
+    """(part, h, y, fold, lang, text) in order of h, each part a task of its own: by hashes of parts some tasks would have several and others none."""
+    dealt = rows.select(F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int").alias("part"), "h", "y", "fold", "lang", "text")
+    return dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "h")
 
 
 def refined(rows: DataFrame, networks: list[Network], share: float, n: int, langs: list[str]) -> tuple[list[Network], dict]:
@@ -387,8 +429,7 @@ def refined(rows: DataFrame, networks: list[Network], share: float, n: int, lang
 
     parts = max(1, -(-n // TOGETHER))
     sent = rows.sparkSession.sparkContext.broadcast(networks)
-    dealt = rows.select(F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int").alias("part"), "h", "y", "fold", "lang", "text")
-    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "h")
+    dealt = in_parts(rows, parts)
 
     def run(batches):
         import copy
@@ -493,12 +534,9 @@ def tallied(rows: DataFrame, networks: list[Network]) -> list[tuple]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic"):
     """A Model of all labelled texts that aren't held out; where these lack one of the labels, the share of toxic ones (0 without any).
 
-    The networks begin with a sample, by several turns on the driver; then the tasks go over every labelled text, whole, and the means of what
+    The networks begin with a sample, by several turns in a task for each; then the tasks go over every labelled text, whole, and the means of what
     they learn are the networks. Words of languages and thresholds are counted over every labelled text too.
     """
-    import numpy as np
-    import pyarrow as pa
-
     before = held(docs.sparkSession)
     rows = taught(docs, labels, id_col, text_col, lang_col, label_col)
     try:
@@ -506,9 +544,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if not 0 < toxic < n:
             return toxic / n if n else 0.0
         few = sampled(rows)
-        y, fold = np.array([float(r[0]) for r in few]), np.array([r[3] for r in few])
-        texts = [next(each_text(pa.array([r[2]]))) for r in few]
-        begun = [Network().fit([texts[i] for i in np.flatnonzero(fold != k)], y[fold != k]) if (fold != k).any() else Network() for k in range(FOLDS)]
+        begun = begun_with(docs.sparkSession, few)
         # as many rows as languages
         langs = sorted(r[0] for r in rows.where("lang is not null").groupBy("lang").count().where(F.col("count") >= LEAST).collect())
         networks, counts = refined(rows, begun, toxic / n, n, langs)

@@ -142,3 +142,33 @@ def test_words_and_thresholds_come_from_all_labelled_texts(spark, monkeypatch):
     assert sum(t[2] for t in tallies) == len(known) and sum(t[3] for t in tallies) == sum(k % 4 == 0 for k in known)
     got = [m.scores(pa.array(said)) for m in models]
     assert (got[0] == got[1]).all() and ((got[0] >= 0.5) == (np.arange(1500) % 4 == 0)).mean() > 0.99
+
+
+def test_words_of_a_chunk_are_numbered_once(monkeypatch):
+    """The words of all texts of a chunk are hashed together, and each text has the words and parts that it has alone."""
+    given, calls, real = ["a scum no a", "", "no ünïcode scum", " ... "], [], toxicity.parts
+    alone = [toxicity.numbered(pa.array([t])) for t in given]
+    monkeypatch.setattr(toxicity, "parts", lambda words: calls.append(words) or real(words))
+    got = list(toxicity.each_text(pa.array(given)))
+    assert len(calls) == 1
+    spread = lambda buckets, first, words: [np.split(buckets, first[1:])[w].tolist() for w in words]
+    for (buckets, first, words, whole), (n, _, b, f, w) in zip(got, alone, strict=True):
+        assert spread(buckets, first, words) == spread(b, f, n) and whole[words].tolist() == w[n].tolist()
+
+
+def test_a_step_by_many_texts_is_the_mean_of_steps_by_each():
+    said = ["you scum of the earth", "a green house", "", "little rain on the river and no more of it", "x"]
+    texts, y = list(toxicity.each_text(pa.array(said))), np.array([1.0, 0, 1, 0, 0])
+    learner = lambda: toxicity.Learner(toxicity.Network(), 0.4, 0.01)
+    together, each = learner(), [learner() for _ in said]
+    together.learn(texts, y)
+    for one, t, label in zip(each, texts, y):
+        one.learn([t], np.array([label]))
+    for name in toxicity.NAMES:
+        assert np.allclose(together.mean[name], np.mean([e.mean[name] for e in each], axis=0), atol=1e-7) and together.mean[name].any()
+
+
+def test_each_part_is_a_task_of_its_own(spark):
+    rows = spark.range(4000).selectExpr("xxhash64(id) AS h", "0 AS y", "0 AS fold", "'en' AS lang", "'a' AS text")
+    found = toxicity.in_parts(rows, 11).selectExpr("part", "spark_partition_id() AS task").distinct().collect()
+    assert len(found) == len({r.task for r in found}) == len({r.part for r in found}) == 11
