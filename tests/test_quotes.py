@@ -170,3 +170,34 @@ def test_the_query_against_every_paragraph(spark, tmp_path):
         verdict, similarity = brute(q, texts)
         assert got[k].verdict == verdict and (similarity is None or abs(got[k].similarity - similarity) < 2e-4)
     assert got[903, 1].verdict == "VERBATIM" and Q.quote_verdict_summary(spark, str(tmp_path)).agg(F.sum("n")).first()[0] == len(asked)
+
+
+def test_exact_places_as_the_search_gives_them(monkeypatch):
+    """A quote that stands as it is has the place and similarity of the search, found without it; and what a batch repeats is aligned once."""
+    import pandas as pd
+    from sparkquill.functions import alignment
+    from sparkquill.operators import verdicts
+
+    words = "a b a b c b a a b c d a b c".split()
+    source, cases = alignment.Source(words), [(lo, hi, at, m) for lo in (0, 2) for hi in (9, 14) for at in range(11) for m in (1, 2, 3)]
+    pattern = lambda at, m: [(w, None) for w in words[at : at + m]]
+    quick = [alignment.align(pattern(at, m), source, lo, hi) for lo, hi, at, m in cases]
+    calls, score = [], alignment.score
+    monkeypatch.setattr(alignment, "score", lambda q, s: calls.append(q) or score(q, s))
+    verdicts.aligned.func(pd.Series(["b c", "b c", None]), pd.Series(["a b c", "a b c", "a"]))
+    assert len(calls) == 2
+    with monkeypatch.context() as m:
+        m.setattr(alignment, "exact", lambda *a: None)
+        assert [alignment.align(pattern(at, k), source, lo, hi) for lo, hi, at, k in cases] == quick
+    monkeypatch.setattr(alignment, "cheapest", None)
+    assert alignment.align(pattern(2, 3), source) == (1.0, 2, 5)
+
+
+def test_nothing_behind_a_place_as_it_is_is_aligned(spark, monkeypatch):
+    """Of a hundred paragraphs that hold a quote as it is, one batch gives its first place alone."""
+    from sparkquill.operators import quotes
+
+    rows = spark.createDataFrame([(1, d, 1, "the long rule", "here the long rule stands") for d in range(100)], "tag bigint, doc bigint, para_no int, quote string, text string")
+    rows = rows.coalesce(1).selectExpr("*", "array(struct(0 AS part, 0 AS lo, 5 AS hi)) AS windows")
+    found = quotes.in_windows(rows, quotes.FOUND.format(doc="bigint")).collect()
+    assert [(r.doc, r.similarity, r.first, r.last) for r in found] == [(0, 1.0, 1, 4)]
