@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from sparkquill.operators import reports
+from sparkquill.operators import findings, reports
+from sparkquill.sources import tables
+
+DIR = "/root/testdata/sf0.001"
 
 RESULTS = "id string, url string, query int, priority int, allowed boolean, denied boolean, secondary boolean, failed boolean, accepted boolean"
 
@@ -43,3 +46,14 @@ def test_notes_of_unknown_parts(spark):
 
 def test_job_references_of_an_empty_table(spark):
     assert reports.job_references(spark.createDataFrame([], "place int, line string")).count() == 0
+
+
+def largest(df):
+    """Rows of the partition that has most."""
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_investigations_are_dealt_by_number(spark, monkeypatch):
+    """Rows of a task don't grow with the table: 1,650 results in tasks of about 50."""
+    monkeypatch.setattr(reports, "tasks", lambda n: tables.tasks(n, 50))
+    assert largest(reports.investigation_outcome(spark, DIR)) < 150
