@@ -151,6 +151,9 @@ def ablation_problems(cases: DataFrame, corpus: DataFrame, queries: DataFrame) -
 
     cases: fixture, version, top_k, candidate_k. corpus: fixture, id. queries: fixture, query, gold (ids), scores (id -> score).
     """
+    # dealt once by fixture, which serves all groups and joins; so no task holds more than some fixtures
+    parts = tasks(max(rows.count() for rows in (cases, corpus, queries)))
+    cases, corpus, queries = (rows.repartition(parts, "fixture") for rows in (cases, corpus, queries))
     held = corpus.groupBy("fixture").agg(F.count("*").alias("n"), F.collect_set("id").alias("ids"))
     known = cases.join(held, "fixture", "left")
     rules = {
@@ -167,10 +170,10 @@ def ablation_problems(cases: DataFrame, corpus: DataFrame, queries: DataFrame) -
         "SCORES": ~F.coalesce(covered & finite, F.lit(False)),
     }
     twice = queries.groupBy("fixture", "query").agg(F.count("*").alias("n")).where("n > 1").select("fixture", F.lit("QUERY_IDS").alias("problem"))
-    found = [rows.where(rule).select("fixture", F.lit(name).alias("problem")) for rows, rs in ((known, rules), (asked, of_query)) for name, rule in rs.items()]
-    for more in found:
-        twice = twice.unionByName(more)
-    return twice.distinct()
+    for rows, rs in ((known, rules), (asked, of_query)):
+        named = F.array_compact(F.array(*[F.when(rule, name) for name, rule in rs.items()]))
+        twice = twice.unionByName(rows.select("fixture", F.explode(named).alias("problem")))
+    return twice.repartition(parts, "fixture").distinct()
 
 
 @query(

@@ -57,3 +57,8 @@ def test_investigations_are_dealt_by_number(spark, monkeypatch):
     """Rows of a task don't grow with the table: 1,650 results in tasks of about 50."""
     monkeypatch.setattr(reports, "tasks", lambda n: tables.tasks(n, 50))
     assert largest(reports.investigation_outcome(spark, DIR)) < 150
+
+
+def test_ablation_inputs_are_dealt_by_number(spark, monkeypatch):
+    monkeypatch.setattr(reports, "tasks", lambda n: tables.tasks(n, 50))
+    assert largest(reports.ablation_validation(spark, DIR)) < 150
