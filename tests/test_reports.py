@@ -62,3 +62,9 @@ def test_investigations_are_dealt_by_number(spark, monkeypatch):
 def test_ablation_inputs_are_dealt_by_number(spark, monkeypatch):
     monkeypatch.setattr(reports, "tasks", lambda n: tables.tasks(n, 50))
     assert largest(reports.ablation_validation(spark, DIR)) < 150
+
+
+def test_jobs_are_dealt_by_number(spark, monkeypatch):
+    """1,500 orders and 6,000 line items, in tasks of about 300."""
+    monkeypatch.setattr(findings, "tasks", lambda n, each: tables.tasks(n, 300))
+    assert largest(findings.job_completeness(spark, DIR)) < 200
