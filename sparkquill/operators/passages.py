@@ -254,11 +254,21 @@ def normalise_nfkc(spark: SparkSession, d: str) -> DataFrame:
 # -- sources ------------------------------------------------------------------------------------------------------
 
 
-@F.pandas_udf(t.StringType())
-def unescaped(text):
+#: What html.unescape takes as a character reference.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+@F.pandas_udf(t.ArrayType(t.StringType()))
+def decoded(references):
     import html
 
-    return text.map(html.unescape, na_action="ignore")
+    return references.map(lambda x: [html.unescape(r) for r in x], na_action="ignore")
+
+
+def unescaped(text: Column) -> Column:
+    """Character references decoded. Only these go through Python: whole texts of a batch of rows would grow with the texts."""
+    between = F.split(text, REFERENCE, -1)
+    return F.array_join(F.zip_with(between, decoded(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
 def source_text(*choices: Column) -> Column:

@@ -1,6 +1,7 @@
 """Offsets, source texts and the rate limiter against plain Python."""
 
 import hashlib
+import html
 
 from pyspark.sql import functions as F
 
@@ -190,3 +191,12 @@ def test_citations_are_read_once(spark, tmp_path):
     found = antecedents(extract(pages.withColumn("text", told("text")), skip_tables=False)).collect()
     assert len(found) == 120 and {(r["kind"], r["root"]) for r in found} == {("full", None), ("short", 1), ("id", 1)}
     assert seen.value == 40
+
+
+def test_only_references_go_through_python(spark):
+    """Texts stay with Spark; what is decoded is what html.unescape decodes, those at the ends and in a row too."""
+    odd = ["&amp;", "a &amp;&lt;b&gt; &notit; &#65;&#x42; &#128; &#xD800; & &; &nosuch; &copy x&hellip", "&&amp;amp;", "", "no", "\U0001f600&eacute;\U0001f600&#1114112;" + "&" + "x" * 40, None]
+    df = spark.createDataFrame([(x,) for x in odd], "x string").select("x", passages.unescaped(F.col("x")).alias("y"))
+    assert [(r.x, r.y) for r in df.collect()] == [(x, None if x is None else html.unescape(x)) for x in odd]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython [decoded(regexp_extract_all(" in plan, plan
