@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkquill.functions.text import tokens
-from sparkquill.sources.tables import read, stored
+from sparkquill.sources.tables import read, stored, tasks
 
 QUERIES, SQL = {}, {}
 # fixed values: BM25 constants, constant of the rank fusion
@@ -32,23 +32,88 @@ def ranked(rows: DataFrame, group: list[str], score: str, tie: str, k: int) -> D
     return rows.withColumn("rank", n).where(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, q_id: str, c_id: str, text: str = "text", overlap: bool = False) -> DataFrame:
-    """(q_id, c_id, score, perhaps overlap) of all pairs that share a token: an equi-join on tokens, as an inverted index does it.
+def token_counts(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stats, df) of texts as tokens t: one row of n_docs and their mean length, and in how many a token is. Texts are gone over once: a null token stands for
+    each text, and tokens are counted in the tasks before they are shuffled."""
+    none = F.lit(None).cast("string")
+    own = F.array_append(F.coalesce(F.array_distinct("t"), F.array().cast("array<string>")), none)
+    counts = words.select(F.size("t").alias("len"), F.explode(own).alias("token")).groupBy("token").agg(F.count("*").alias("df"), F.avg(F.when(F.col("token").isNull(), F.col("len"))).alias("mean"))
+    counts = stored(counts, "tokens")
+    return counts.where("token is null").select(F.col("df").alias("n_docs"), "mean"), counts.where("token is not null").select("token", "df")
 
-    Token counts are aggregated per document before the join; only tokens of a query meet the corpus.
+
+#: Texts of a part, queries of a block that meets it, and texts and queries whose scores are a tile.
+TEXTS, ASKERS, TILE = 4096, 16384, 256
+
+
+def best(queries: DataFrame, corpus: DataFrame, q_id: str, c_id: str, lexical: int = 0, shared: int = 0, text: str = "text") -> DataFrame:
+    """(by, q_id, c_id, score, overlap): of the texts that share a token with a query, those of each part that may be among its first `lexical` by BM25
+    (by: score), and among its first `shared` by tokens that both have (by: overlap).
+
+    Texts are dealt to parts by hashes and meet blocks of queries there, by products of matrices over the queries' tokens. All pairs are scored, but
+    only what a query keeps of each part is shuffled by query.
     """
-    asked = queries.select(q_id, F.explode(F.array_distinct(tokens(F.col(text)))).alias("token"))
-    words = corpus.select(c_id, tokens(F.col(text)).alias("t"))
-    stats = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("mean"))
-    counts = words.select(c_id, F.size("t").alias("len"), F.explode("t").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
-    tf = counts.groupBy(c_id, "token").agg(F.count("*").alias("f"), F.first("len").alias("len"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    # one row of statistics, broadcast
-    known = asked.join(df, "token").join(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    shared = [F.count("*").alias("overlap")] if overlap else []
-    return known.join(tf, "token").groupBy(q_id, c_id).agg(F.round(F.sum(part), 6).alias("score"), *shared)
+    asked = queries.select(F.col(q_id).alias("q"), F.explode(tokens(F.col(text))).alias("token")).distinct()
+    words = corpus.select(F.col(c_id).alias("c"), tokens(F.col(text)).alias("t"))
+    known = asked.select("*", F.lit(0.0).alias("idf"), F.lit(1.0).alias("mean"))
+    if lexical:
+        # one row of statistics, broadcast
+        stats, df = token_counts(words)
+        idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        known = asked.join(df, "token").join(F.broadcast(stats)).select("q", "token", idf.alias("idf"), "mean")
+    n, m = tasks(queries.count(), ASKERS), tasks(corpus.count(), TEXTS)
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    lists = known.select("*", F.pmod(F.xxhash64("q"), F.lit(n)).cast("int").alias("block"), each(m).alias("part"))
+    held = words.where("size(t) > 0").select("c", F.array_join("t", " ").alias("t"), F.pmod(F.xxhash64("c"), F.lit(m)).cast("int").alias("part"), each(n).alias("block"))
+    q_kind, c_kind = queries.schema[q_id].dataType.simpleString(), corpus.schema[c_id].dataType.simpleString()
+    schema = f"by string, q {q_kind}, c {c_kind}, score double, overlap bigint"
+    kinds = arrow_schema(schema)
+
+    def run(asked, held):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not asked.num_rows or not held.num_rows:
+            return kinds.empty_table()
+        lists = pc.split_pattern(held["t"].combine_chunks(), " ")
+        sizes = pc.list_value_length(lists).to_numpy()
+        # rows of a text's id are one text; in order of ids, so that the first of equal ones is the lesser
+        ids, row = np.unique(held["c"].to_numpy(), return_inverse=True)
+        size, flat, of = np.bincount(row, sizes, len(ids)), lists.flatten(), np.repeat(row, sizes)
+        every, nth = np.unique(asked["q"].to_numpy(), return_inverse=True)
+        tokens, idf, mean = asked["token"].combine_chunks(), asked["idf"].to_numpy(), asked["mean"][0].as_py()
+        out = []
+        for lo in range(0, len(every), TILE):
+            q, some = every[lo : lo + TILE], np.flatnonzero((nth >= lo) & (nth < lo + TILE))
+            n, coded = len(q), tokens.take(pa.array(some)).dictionary_encode()
+            weight, there = np.zeros((len(coded.dictionary), n)), np.zeros((len(coded.dictionary), n), np.float32)
+            at = coded.indices.to_numpy(), nth[some] - lo
+            weight[at], there[at] = idf[some], 1
+            met = pc.index_in(flat, value_set=coded.dictionary)
+            mine = met.is_valid().to_numpy(zero_copy_only=False)
+            codes, f = np.unique(of[mine] * len(weight) + met.drop_null().to_numpy().astype(np.int64), return_counts=True)
+            doc, word = codes // max(1, len(weight)), codes % max(1, len(weight))
+            part = f * (K1 + 1) / (f + K1 * (1 - B + B * size[doc] / mean))
+            score, overlap = np.zeros((n, len(ids))), np.zeros((n, len(ids)), np.float32)
+            for first in range(0, len(ids), TILE):
+                a, b = np.searchsorted(doc, [first, first + TILE])
+                dense = np.zeros((min(TILE, len(ids) - first), len(weight)))
+                dense[doc[a:b] - first, word[a:b]] = part[a:b]
+                if lexical:
+                    score[:, first : first + TILE] = (dense @ weight).T
+                overlap[:, first : first + TILE] = ((dense > 0).astype(np.float32) @ there).T
+            may = overlap > 0
+            score = settled(score.ravel()).reshape(score.shape) if lexical else score
+            for by, values, k in (("score", score, lexical), ("overlap", overlap, shared)):
+                if k:
+                    i, j = np.nonzero(greatest(values, may, k))
+                    out.append(pa.table({"by": [by] * len(i), "q": q[i], "c": ids[j], "score": score[i, j], "overlap": overlap[i, j].astype(np.int64)}).cast(kinds))
+        return pa.concat_tables(out)
+
+    # with a number of tasks given, small parts aren't put together
+    deal = lambda df: df.repartition(min(2 * n * m, 4096), "block", "part").groupBy("block", "part")
+    return deal(lists).cogroup(deal(held)).applyInArrow(run, schema).withColumnsRenamed({"q": q_id, "c": c_id})
 
 
 BM25_SQL = """w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
@@ -62,8 +127,8 @@ BM25_SQL = """w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+')
 
 
 def lexical(spark: SparkSession, d: str, k: int) -> DataFrame:
-    found = bm25(read(spark, d, "benchmark"), read(spark, d, "documents"), "item_id", "doc_id")
-    return ranked(found, ["item_id"], "score", "doc_id", k)
+    found = best(read(spark, d, "benchmark"), read(spark, d, "documents"), "item_id", "doc_id", lexical=k)
+    return ranked(found.select("item_id", "doc_id", "score"), ["item_id"], "score", "doc_id", k)
 
 
 @query(f"WITH {BM25_SQL} SELECT item_id, doc_id, round(score, 4) AS score, rank FROM lex WHERE rank <= 6")
@@ -80,10 +145,8 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 )
 def token_overlap_topk(spark: SparkSession, d: str) -> DataFrame:
     """The 24 texts that share most distinct words with each passage."""
-    asked = read(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    held = read(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    shared = asked.join(held, "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("overlap"))
-    return ranked(shared, ["item_id"], "overlap", "doc_id", 24).withColumnRenamed("rank", "pos")
+    found = best(read(spark, d, "benchmark"), read(spark, d, "documents"), "item_id", "doc_id", shared=24)
+    return ranked(found.select("item_id", "doc_id", "overlap"), ["item_id"], "overlap", "doc_id", 24).withColumnRenamed("rank", "pos")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -270,12 +333,11 @@ def fuse(lists: DataFrame, group: str, item: str, k: int) -> DataFrame:
     SELECT item_id, doc_id, score, pos FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, first, doc_id) AS pos FROM s) WHERE pos <= 6"""
 )
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """Fusion of the lexical list with that of the most shared words. Both orders are ranks over one aggregate, so texts are gone over once."""
-    found = bm25(read(spark, d, "benchmark"), read(spark, d, "documents"), "item_id", "doc_id", overlap=True)
-    rank = lambda *order: F.row_number().over(Window.partitionBy("item_id").orderBy(*order, "doc_id"))
-    ranks = found.select("item_id", "doc_id", rank(F.desc("score")).alias("a"), rank(F.desc("overlap")).alias("b"))
-    both = ranks.select("item_id", "doc_id", F.explode(F.array("a", "b")).alias("rank"))
-    return fuse(both.where("rank <= 24"), "item_id", "doc_id", 6).drop("first")
+    """Fusion of the lexical list with that of the most shared words; both come from the same tiles of scores."""
+    found = best(read(spark, d, "benchmark"), read(spark, d, "documents"), "item_id", "doc_id", lexical=24, shared=24)
+    value = F.when(F.col("by") == "score", F.col("score")).otherwise(F.col("overlap"))
+    lists = ranked(found.select("by", "item_id", "doc_id", value.alias("value")), ["by", "item_id"], "value", "doc_id", 24)
+    return fuse(lists.select("item_id", "doc_id", "rank"), "item_id", "doc_id", 6).drop("first")
 
 
 def minmax(x, lo, hi):
