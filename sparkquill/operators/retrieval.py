@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkquill.functions.text import strip, tokens
-from sparkquill.operators.search import K1, B, cosine, fuse
+from sparkquill.operators.search import K1, B, cosine, fuse, token_counts
 from sparkquill.sources.tables import dealt, dealt_sql, read
 
 QUERIES, SQL = {}, {}
@@ -41,17 +41,21 @@ def paragraph_rows(rows: DataFrame, size: int) -> DataFrame:
     return good.groupBy("source_id", "para_no", para.alias("para_id")).agg(F.min(row).alias("r")).select("para_id", "source_id", "para_no", "r.*")
 
 
-def scoped_bm25(asked: DataFrame, paragraphs: DataFrame) -> DataFrame:
+def of_asked(asked: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """The paragraphs of sources that a query asks."""
+    return paragraphs.join(asked.select("source_id").distinct(), "source_id", "left_semi")
+
+
+def scoped_bm25(asked: DataFrame, paragraphs: DataFrame, own: DataFrame | None = None) -> DataFrame:
     """(q, para_id, score): paragraphs of the query's own source that share a token with it; counts of documents are those of all sources.
 
-    asked: q, source_id, text. Source and token are the key of one equi-join.
+    asked: q, source_id, text. own: `of_asked`, where it is there already. Source and token are the key of one equi-join, which only asked sources come to; of the others
+    tokens are counted in the tasks before they are shuffled.
     """
-    words = paragraphs.select("source_id", "para_id", tokens(F.col("text")).alias("t"))
-    tf = words.select("source_id", "para_id", F.size("t").alias("len"), F.explode("t").alias("token")).groupBy("source_id", "para_id", "token").agg(
-        F.count("*").alias("f"), F.first("len").alias("len")
-    )
-    stats = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("mean"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
+    words = lambda rows: rows.select("source_id", "para_id", tokens(F.col("text")).alias("t"))
+    tf = words(of_asked(asked, paragraphs) if own is None else own).select("source_id", "para_id", F.size("t").alias("len"), F.explode("t").alias("token"))
+    tf = tf.groupBy("source_id", "para_id", "token").agg(F.count("*").alias("f"), F.first("len").alias("len"))
+    stats, df = token_counts(words(paragraphs))
     want = asked.select("q", "source_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
     met = want.join(tf, ["source_id", "token"]).join(df, "token").join(F.broadcast(stats))  # one row of statistics
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
