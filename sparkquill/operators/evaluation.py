@@ -14,8 +14,8 @@ QUERIES, SQL = {}, {}
 SOUND = ("VERIFIED", "VERIFIED_OFFICIAL")
 ISSUES = {"quote": ("ALTERED", "PARAPHRASE_IN_QUOTES", "NOT_FOUND_IN_SOURCE"), "proposition": ("PARTIAL", "CONTRADICTS", "NOT_ADDRESSED")}
 ABSTAINED, MISUSED = ("UNVERIFIABLE", "SOURCE_UNAVAILABLE", "PENDING"), "MISREPRESENTED"
-#: Characters of a label's key that it meets citations by.
-GRAM = 6
+#: Characters of a label's key that it meets citations by, and labels of a brief that each of its citations is held against as they are.
+GRAM, FEW = 6, 64
 
 
 def query(sql: str | None = None):
@@ -31,13 +31,19 @@ def query(sql: str | None = None):
 def met_labels(labels: DataFrame, observations: DataFrame) -> DataFrame:
     """(brief, nth, place): labels (brief, nth, citation) whose key is held by the key of a citation (brief, place, normalized, raw_text) of their brief.
 
-    A key is the text in small letters without white space. The last GRAM characters of a label's key are one of the grams of each key that
-    holds it, so labels and citations of a brief meet by an equi-join on the gram, and only then is containment checked. Keys that are shorter meet
-    all citations of their brief; empty ones meet none.
+    A key is the text in small letters without white space. A brief's FEW labels or less come to each of its citations as a list. Of briefs with more, the
+    last GRAM characters of a label's key are one of the grams of each key that holds it, so labels and citations of a brief meet by an equi-join on the gram,
+    and only then is containment checked. Keys that are shorter meet all citations of their brief; empty ones meet none.
     """
     asked = labels.select("brief", "nth", match_key(F.col("citation")).alias("key")).where("key <> ''")
     keys = F.array_distinct(F.array_compact(F.array(match_key(F.col("normalized")), match_key(F.col("raw_text")))))
-    held = observations.select("brief", "place", F.explode(keys).alias("held"))
+    every = observations.select("brief", "place", keys.alias("keys"))
+    many = asked.groupBy("brief").count().where(F.col("count") > FEW).select("brief")
+    lists = asked.join(many, "brief", "left_anti").groupBy("brief").agg(F.collect_list(F.struct("nth", "key")).alias("few"))
+    holding = F.filter("few", lambda x: F.exists("keys", lambda k: k.contains(x["key"])))
+    by_list = every.join(lists, "brief").select("brief", F.explode(holding["nth"]).alias("nth"), "place").distinct()
+    asked, every = asked.join(many, "brief", "left_semi"), every.join(many, "brief", "left_semi")
+    held = every.select("brief", "place", F.explode("keys").alias("held"))
 
     def grams(c: Column) -> Column:
         all_of = F.transform(F.sequence(F.lit(1), F.length(c) - GRAM + 1), lambda i: F.substring(c, i, F.lit(GRAM)))
@@ -46,7 +52,7 @@ def met_labels(labels: DataFrame, observations: DataFrame) -> DataFrame:
     long = asked.where(F.length("key") >= GRAM).withColumn("gram", F.right("key", F.lit(GRAM)))
     near = long.join(held.select("brief", "place", "held", F.explode(grams(F.col("held"))).alias("gram")), ["brief", "gram"]).drop("gram")
     near = near.unionByName(asked.where(F.length("key") < GRAM).join(held, "brief"))
-    return near.where(F.col("held").contains(F.col("key"))).select("brief", "nth", "place").distinct()
+    return by_list.unionByName(near.where(F.col("held").contains(F.col("key"))).select("brief", "nth", "place").distinct())
 
 
 def first_verdicts(met: DataFrame, findings: DataFrame) -> DataFrame:
