@@ -32,6 +32,8 @@ CHUNK, STEP = 4096, 0.01
 NAMES = ("embed", "filters", "bias", "out", "base")
 #: Toxic texts of a language that weigh as much as the threshold of all languages, and texts from which on a language has its own.
 PRIOR, LEAST = 20, 20
+#: Buckets of the bitmap of labelled ids.
+BUCKETS = 2048
 #: Words answered at once, and texts of the sample whose words are numbered at once.
 AT_ONCE, TOGETHER_READ = 1 << 16, 256
 
@@ -336,11 +338,28 @@ def judged(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     return rows.withColumn("__fold", (nth - 1) % FOLDS)
 
 
+def likely(found: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `found` (__key, ...) whose id is one of `ids` (__id), and few others: those whose bit is set in a bitmap of the ids' hashes.
+
+    The bitmap has BUCKETS buckets of 32,768 bits, 8 MB in all, and is broadcast: so texts without a label aren't shuffled.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(BUCKETS * 32768))
+    bucket, bit = lambda p: F.floor(p / 32768).cast("bigint"), lambda p: F.pmod(p, F.lit(32768))
+    bitmap = ids.select(place("__id").alias("p")).groupBy(bucket(F.col("p")).alias("__bucket")).agg(F.bitmap_construct_agg(bit(F.col("p"))).alias("__bits"))
+    rows = found.withColumn("__bit", bit(place("__key"))).withColumn("__bucket", bucket(place("__key"))).join(F.broadcast(bitmap), "__bucket")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+    return rows.where(F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1).drop("__bit", "__bucket", "__bits")
+
+
 def taught(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, label_col: str) -> DataFrame:
     """(h, y, fold, lang, text), stored: every labelled document that isn't held out, whole; rows that repeat an id count as one, by the least of its texts."""
     found = docs.select(F.col(f"`{id_col}`").alias("__key"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    rows = found.join(judged(labels, id_col, label_col), F.col("__key") == F.col("__id")).select(F.col("__h").alias("h"), F.col("__y").alias("y"), F.col("__fold").alias("fold"), "lang", "text")
-    return stored(rows.groupBy("h", "y", "fold").agg(F.min(F.struct("text", "lang")).alias("r")).select("h", "y", "fold", "r.lang", "r.text"), "taught")
+    known, kinds = judged(labels, id_col, label_col), {rows.schema[id_col].dataType.simpleString() for rows in (docs, labels)}
+    if len(kinds) == 1 and kinds <= {"tinyint", "smallint", "int", "bigint", "string"}:  # ids of other kinds may be equal with unlike hashes
+        found = likely(found, known)
+    rows = found.join(known, F.col("__key") == F.col("__id")).select("__id", F.col("__h").alias("h"), F.col("__y").alias("y"), F.col("__fold").alias("fold"), "lang", "text")
+    # by the id as well, so that what the join has dealt isn't dealt again
+    return stored(rows.groupBy("__id", "h", "y", "fold").agg(F.min(F.struct("text", "lang")).alias("r")).select("h", "y", "fold", "r.lang", "r.text"), "taught")
 
 
 def sampled(rows: DataFrame) -> list[tuple]:
