@@ -172,3 +172,9 @@ def test_each_part_is_a_task_of_its_own(spark):
     rows = spark.range(4000).selectExpr("xxhash64(id) AS h", "0 AS y", "0 AS fold", "'en' AS lang", "'a' AS text")
     found = toxicity.in_parts(rows, 11).selectExpr("part", "spark_partition_id() AS task").distinct().collect()
     assert len(found) == len({r.task for r in found}) == len({r.part for r in found}) == 11
+
+
+def test_bitmap_keeps_all_labelled_rows_and_few_others(spark):
+    rows = spark.range(20_000).selectExpr("id AS __key", "'x' AS text").union(spark.sql("SELECT CAST(NULL AS BIGINT), 'y'"))
+    kept = {r[0] for r in toxicity.likely(rows, spark.range(0, 20_000, 40).withColumnRenamed("id", "__id")).select("__key").collect()}
+    assert set(range(0, 20_000, 40)) <= kept and len(kept) < 520

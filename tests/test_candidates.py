@@ -85,3 +85,21 @@ def test_forms_are_hashed_where_they_are_made(spark):
     got = C.form_digests(spark.createDataFrame(given, "k int, text string")).collect()
     assert [(r.k, r.form) for r in got] == [(k, t if t is None else hashlib.sha256(" ".join(t.casefold().split()).encode()).hexdigest()) for k, t in given]
     assert "ArrowEvalPython" not in C.citation_forms(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tiles_of_scores_against_plain_counts(spark, monkeypatch):
+    """Parts and tiles of a few rows give each query's first texts by shared words, of equal ones the lesser id; a pair without a word of both is none."""
+    from sparkquill.operators import search
+
+    for name, n in (("TEXTS", 7), ("ASKERS", 5), ("TILE", 3)):
+        monkeypatch.setattr(search, name, n)
+    words = lambda i: {f"w{(i * i + j * j) % 17}" for j in range(i % 5)}
+    texts, asked = {i: words(i) for i in range(60)}, {i: words(i + 3) for i in range(12)}
+    frame = lambda rows, key: spark.createDataFrame([(k, " ".join(sorted(v))) for k, v in rows.items()], f"{key} long, text string")
+    found = search.best(frame(asked, "q"), frame(texts, "c"), "q", "c", shared=4)
+    got = {(r.q, r.c, r.overlap, r.rank) for r in search.ranked(found, ["q"], "overlap", "c", 4).collect()}
+    want = set()
+    for q, a in asked.items():
+        order = sorted((-len(a & t), c) for c, t in texts.items() if a & t)[:4]
+        want |= {(q, c, -n, i + 1) for i, (n, c) in enumerate(order)}
+    assert got == want

@@ -105,3 +105,15 @@ def test_lookups_of_odd_answers(spark):
     got = sorted((tuple(r) for r in investigations.parsed_lookups(spark.createDataFrame(rows, "batch int, answer string")).collect()), key=str)
     bad = [(n, None, None, None, None, None, "UNAVAILABLE") for n in (1, 2, 3, 4, 5, 8)]
     assert got == sorted([*bad, (6, 0, "a", 300, 2, 0, None)], key=str)
+
+
+def test_briefs_of_few_and_of_many_labels(spark):
+    """Briefs of up to FEW labels, whose citations make no grams, and others; short keys, repeats and nulls in both."""
+    labels = [(b, i, f"{i} U.S. {b}") for b, n in ((1, 5), (2, evaluation.FEW), (3, evaluation.FEW + 1)) for i in range(n)]
+    labels += [(b, 900, "7") for b in (1, 3)] + [(b, 901, " ") for b in (1, 3)] + [(1, 0, "0 U.S. 1")]
+    seen = [(b, i, f"Roe, {i} u.s. {b}, 12" if i % 2 else None, f"Roe,\n{i}  U.S. {b}" if i % 3 else None) for b in (1, 2, 3) for i in range(80)]
+    form = lambda x: "".join((x or "").split()).lower()
+    want = {(b, n, p) for b, n, c in labels for b2, p, *texts in seen if b == b2 and form(c) and any(x is not None and form(c) in form(x) for x in texts)}
+    got = evaluation.met_labels(spark.createDataFrame(labels, "brief int, nth int, citation string"), spark.createDataFrame(seen, "brief int, place int, normalized string, raw_text string"))
+    rows = [tuple(r) for r in got.select("brief", "nth", "place").collect()]
+    assert set(rows) == want and len(rows) == len(want)
