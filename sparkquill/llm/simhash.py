@@ -99,8 +99,9 @@ def links(nodes: DataFrame) -> DataFrame:
     apart = F.col("a").bitwiseXOR(F.col("b"))
     at = F.shiftrightunsigned(F.col("__chain"), 2 * WIDTH)
     near = [in_chain(apart, at, n) <= n * K // RING for n in range(3, RING)]
+    # Spark sizes both sides as the nodes they are exploded from, and would send one of them to the driver for a broadcast
     return (
-        tried.join(plain, ["__chain", "__part"])
+        tried.join(plain.hint("merge"), ["__chain", "__part"])
         .where(F.col("a") < F.col("b"))
         .where(near[0])
         .where(F.bit_count(apart) <= K)
