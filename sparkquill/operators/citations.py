@@ -144,7 +144,8 @@ def antecedents(cites: DataFrame, id_col: str = "doc_id") -> DataFrame:
     Short and supra forms go to the newest full citation before them whose name or text holds their name, else to the only
     one with their volume and reporter. An id. goes to the last resolved citation before it.
 
-    Citations are written once, as several joins read them: pages are gone over a single time.
+    Citations are written once, as several joins read them: pages are gone over a single time. Their file is far smaller than their rows, since
+    texts repeat in it; Spark would broadcast them by its size, so the joins are told to sort and merge.
     """
     cites = stored(cites, "cites")
     full = cites.where("kind = 'full'").select(
@@ -158,17 +159,17 @@ def antecedents(cites: DataFrame, id_col: str = "doc_id") -> DataFrame:
     begun = guesses.groupBy(F.col("b_d").alias("d")).agg(F.collect_set("run").alias("begun"))
     runs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("held")), lambda i: F.array(*[F.substring(F.col("held"), i, F.lit(k)) for k in (1, 2, 3)]))))
     met = F.when(F.size("begun") <= FEW, F.filter("begun", lambda r: F.contains(F.col("held"), r))).otherwise(F.array_intersect(runs, "begun"))
-    named = full.withColumn("held", held).join(begun, "d").select("d", "m", "f_name", "f_raw", F.explode(met).alias("run"))
+    named = full.withColumn("held", held).join(begun.hint("merge"), "d").select("d", "m", "f_name", "f_raw", F.explode(met).alias("run"))
     holds = F.contains(F.lower(F.coalesce("f_name", F.lit(""))), F.col("guess")) | F.contains(F.lower("f_raw"), F.col("guess"))
     on = (F.col("b_d") == F.col("d")) & (F.col("m") < F.col("b_n"))
-    by_name = guesses.join(named.withColumnRenamed("run", "f_run"), on & (F.col("run") == F.col("f_run"))).where(holds).groupBy("b_d", "b_n").agg(F.max("m").alias("by_name"))
+    by_name = guesses.join(named.withColumnRenamed("run", "f_run").hint("merge"), on & (F.col("run") == F.col("f_run"))).where(holds).groupBy("b_d", "b_n").agg(F.max("m").alias("by_name"))
     # a reporter's identity doesn't hang on its spaces: S. Ct. and S.Ct. are one
     spelled = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
     same = on & (F.col("volume") == F.col("f_vol")) & (spelled("reporter") == spelled("f_rep"))
-    by_key = back.join(full, same).groupBy("b_d", "b_n").agg(F.count("*").alias("same"), F.max("m").alias("by_key"))
-    met = back.select("b_d", "b_n").join(by_name, ["b_d", "b_n"], "left").join(by_key, ["b_d", "b_n"], "left").withColumnsRenamed({"b_d": id_col, "b_n": "n"})
+    by_key = back.join(full.hint("merge"), same).groupBy("b_d", "b_n").agg(F.count("*").alias("same"), F.max("m").alias("by_key"))
+    met = back.select("b_d", "b_n").join(by_name.hint("merge"), ["b_d", "b_n"], "left").join(by_key.hint("merge"), ["b_d", "b_n"], "left").withColumnsRenamed({"b_d": id_col, "b_n": "n"})
     root = F.coalesce("by_name", F.when(F.col("same") == 1, F.col("by_key")))
-    known = cites.join(met.select(id_col, "n", root.alias("own")), [id_col, "n"], "left")
+    known = cites.join(met.select(id_col, "n", root.alias("own")).hint("merge"), [id_col, "n"], "left")
     points = F.when(F.col("kind") == "full", F.col("n")).otherwise(F.col("own"))
     before = Window.partitionBy(id_col).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(points, ignorenulls=True).over(before)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkquill.llm import simhash, topk
 from sparkquill.llm.common import stored
+from tests.plans import broadcast_bytes
 
 JOB = """
 import sys
@@ -52,17 +53,6 @@ def test_block_pairs_are_dealt_to_small_groups(spark):
         assert of.join(parts, [side, "part"], "left_anti").count() == 0
 
 
-def broadcast_bytes(plan):
-    """Bytes of all tables that a finished plan has sent to the driver for a broadcast."""
-    own = plan.metrics().apply("dataSize").value() if plan.nodeName() == "BroadcastExchange" else 0
-    if plan.nodeName() == "AdaptiveSparkPlan":
-        return broadcast_bytes(plan.executedPlan())
-    if plan.nodeName().endswith("QueryStage"):
-        return broadcast_bytes(plan.plan())
-    children = plan.children()
-    return own + sum(broadcast_bytes(children.apply(i)) for i in range(children.size()))
-
-
 def test_tried_chains_of_fingerprints_do_not_come_to_the_driver(spark):
     """Nodes of a small file are small to Spark after they are exploded too, 68 chains of each: 20,000 of them made a broadcast of 168 MB."""
     of = F.xxhash64(F.floor(F.col("id") / 2)).bitwiseXOR(F.when(F.col("id") < 200, F.col("id") % 2 * 5).otherwise(F.col("id") % 2 * -1))
